@@ -1,0 +1,37 @@
+"""Join helpers shared by the operators.
+
+Broadcasting is only ever decided from a checked size: either a side whose row
+count is fixed by construction (literal rule tables), or a bounded probe of a
+stored catalog table. Everything else is left to AQE, which converts a
+sort-merge join to a broadcast join only after measuring the shuffled side at
+run time, and splits skewed partitions otherwise.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Largest side, in rows, that the probe below will broadcast. Catalog rows are
+# narrow (ids, names, flags), so this stays well under executor memory.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def has_at_most(df: DataFrame, max_rows: int) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    ``limit(n + 1).count()`` lets every task stop after n + 1 rows, so the
+    probe is bounded however large ``df`` turns out to be.
+    """
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """``broadcast(df)`` when a bounded probe proves it small, else ``df``
+    unchanged (shuffle join, with AQE free to re-plan)."""
+    return F.broadcast(df) if has_at_most(df, max_rows) else df
+
+
+def fixed_broadcast(df: DataFrame) -> DataFrame:
+    """Broadcast a side whose size is fixed by construction (literal rows)."""
+    return F.broadcast(df)
