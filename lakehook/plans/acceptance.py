@@ -27,3 +27,317 @@ def trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "trigger_match": trigger_match,
 }
+
+
+# ---------------------------------------------------------------- imports used below
+from datetime import date  # noqa: E402
+
+from lakehook.functions import predicates as P  # noqa: E402
+from lakehook.functions import scalars as S  # noqa: E402
+from lakehook.operators import lifecycle as LC  # noqa: E402
+from lakehook.operators import lookup as L  # noqa: E402
+from lakehook.operators import mutate as M  # noqa: E402
+from lakehook.operators import quality as Q  # noqa: E402
+from lakehook.operators.match import gate, mark_processed  # noqa: E402
+
+# Fixed parameters of the acceptance queries.
+FIB_K = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]
+AS_OF = "2024-01-08"
+REUPLOAD_TS = "2024-02-01 00:00:00"
+
+
+def _files(spark, sf_dir):
+    return lake.files_from_documents(table(spark, sf_dir, "documents"))
+
+
+def _log(spark, sf_dir):
+    return lake.event_log(table(spark, sf_dir, "events"))
+
+
+# ---------------------------------------------------------------- P1-P10
+def predicate_conj(spark, sf_dir):
+    """Equality, membership (typed, empty list dropped), null and
+    negated predicates, compiled into one pushed-down filter."""
+    ev = table(spark, sf_dir, "events").withColumn("k", S.json_field("props", "$.k").cast("int"))
+    cond = P.where(
+        [("event_type", ["click", "purchase", "view"]), ("event_type", "view"),
+         ("value", None), ("k", FIB_K), ("props", "Null"), ("user_id", [])],
+        negate=[False, True, True, False, True, False])
+    return ev.filter(cond).select("event_id", "event_type", "value", "k")
+
+
+def path_functions(spark, sf_dir):
+    """Extension, base name, forced .parquet path, resource name."""
+    f = _files(spark, sf_dir)
+    return f.select(
+        "file_id",
+        S.file_extension("name").alias("file_extension"),
+        S.base_name("path").alias("base_name"),
+        S.force_parquet_extension("path").alias("output_path"),
+        S.resource_name("dataset").alias("resource_name"))
+
+
+def distinct_paths(spark, sf_dir):
+    """Distinct (directory, extension) of all files."""
+    f = _files(spark, sf_dir).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("dataset_dir"),
+        S.file_extension("name").alias("file_extension"))
+    return P.project(f, ["dataset_dir", "file_extension"], distinct=True)
+
+
+def exists_semi(spark, sf_dir):
+    """Documents that have a label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return L.exists_in(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def exclude_anti(spark, sf_dir):
+    """Documents without a label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return L.not_exists_in(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+
+
+def list_members(spark, sf_dir):
+    """P8 + P9: datasets holding English files, minus an exclusion list."""
+    f = _files(spark, sf_dir)
+    return L.list_members(f, "lang", "en", "dataset", exclude=["src0", "src1"]).distinct()
+
+
+def grouped_slots(spark, sf_dir):
+    """P10: group / order / limit slots -- the five largest datasets."""
+    docs = table(spark, sf_dir, "documents")
+    return P.apply_slots(
+        docs, group_by=["source"],
+        aggregations=[F.count(F.lit(1)).alias("n_docs"), F.sum("n_chars").alias("total_chars")],
+        order_by=[F.desc("total_chars"), F.asc("source")], limit=5)
+
+
+# ---------------------------------------------------------------- J1, J3, J6, A1, A2
+def name_lookup(spark, sf_dir):
+    """Name -> id with the miss sentinel (every user id x 20 as a name)."""
+    req = table(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 20).cast("string"), 9, "0"))
+        .alias("wanted_name"))
+    out = L.name_to_id(req, "wanted_name", table(spark, sf_dir, "customer"),
+                       "c_name", "c_custkey", "custkey")
+    return out.select("event_id", "custkey")
+
+
+def id_to_name(spark, sf_dir):
+    """J1 reversed: id -> name (NULL on a miss)."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    out = L.name_to_id(orders, "o_custkey", table(spark, sf_dir, "customer"),
+                       "c_custkey", "c_name", "c_name", sentinel=None)
+    return out.select("o_orderkey", "c_name")
+
+
+def owned_lookup(spark, sf_dir):
+    """Resolve a customer only when both the id and the claimed nation match."""
+    req = table(spark, sf_dir, "events").select(
+        "event_id", "user_id",
+        (S.json_field("props", "$.k").cast("int") % 25).alias("claimed_nation"))
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name")
+    out = L.resolve_owned(req, cust, [("user_id", "c_custkey"), ("claimed_nation", "c_nationkey")])
+    return out.select("event_id", "c_name", "found")
+
+
+def trigger_gate(spark, sf_dir):
+    """Events on datasets that have any registration."""
+    log = _log(spark, sf_dir)
+    return gate(log, lake.registrations(log)).select(
+        "log_id", F.col("dataset_id").alias("node_id"))
+
+
+def registration_counts(spark, sf_dir):
+    """A1: registrations per input dataset."""
+    regs = lake.registrations(_log(spark, sf_dir))
+    return L.count_per_key(regs, "in_dataset_id", "n_transforms") \
+        .withColumnRenamed("in_dataset_id", "node_id")
+
+
+def first_per_key(spark, sf_dir):
+    """A2: first event of every user (by time, then id)."""
+    ev = table(spark, sf_dir, "events")
+    return L.first_per_key(ev, "user_id", ["ts", "event_id"], payload=["event_type"])
+
+
+# ---------------------------------------------------------------- M1-M7, J5
+def cascade_delete(spark, sf_dir):
+    """J5 + M4: deleting AUTOMOBILE customers removes their orders and those
+    orders' line items; returns the surviving line items."""
+    cust = table(spark, sf_dir, "customer")
+    doomed = cust.filter(F.col("c_mktsegment") == "AUTOMOBILE").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    _, kept_items = M.cascade_delete(
+        [(orders, ["o_custkey"], ["o_orderkey"]),
+         (items, ["l_orderkey"], ["l_orderkey", "l_linenumber"])], doomed)
+    return kept_items
+
+
+def _file_snapshot(spark, sf_dir, langs, ts=None):
+    f = _files(spark, sf_dir).filter(F.col("lang").isin(langs))
+    created = F.expr(f"TIMESTAMP_NTZ '{ts}'") if ts else F.col("created").cast("timestamp_ntz")
+    return f.select("dataset", "path", "file_id", created.alias("created"),
+                    created.alias("last_modified"))
+
+
+def upsert_files(spark, sf_dir):
+    """M3: re-upload of German and Spanish files onto a catalog of English and
+    German ones: existing paths only get a new modification time."""
+    base = _file_snapshot(spark, sf_dir, ["en", "de"])
+    incoming = _file_snapshot(spark, sf_dir, ["de", "es"], ts=REUPLOAD_TS)
+    return M.upsert(base, incoming, ["dataset", "path"])
+
+
+def update_rows(spark, sf_dir):
+    """M2: conditional update -- Spanish documents move to the 'archive' source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    changes = docs.filter(F.col("lang") == "es").select("doc_id")
+    return M.update_rows(docs, changes, ["doc_id"], {"source": "archive"})
+
+
+def patch_rows(spark, sf_dir):
+    """M6: per-customer patches derived from orders; NULL fields keep the
+    stored value."""
+    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment",
+                                                   "c_nationkey")
+    urgent = F.sum(F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0))
+    patches = (table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"))
+               .agg(F.when(urgent >= 3, F.lit("PRIORITY")).alias("c_mktsegment"),
+                    F.when(F.count(F.lit(1)) > 12, F.lit(0)).alias("c_nationkey")))
+    return M.patch_rows(cust, patches, ["c_custkey"])
+
+
+def mark_processed_q(spark, sf_dir):
+    """M5: events up to the high-water mark of the first two weeks are flagged."""
+    log = _log(spark, sf_dir)
+    batch = log.filter(F.col("created_timestamp") < F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'"))
+    hw = batch.agg(F.max("log_id")).first()[0]
+    return mark_processed(log, hw).select("log_id", "processed")
+
+
+def insert_rows(spark, sf_dir):
+    """M1: users table plus supplier accounts appended as new users."""
+    users = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+    new = table(spark, sf_dir, "supplier").select(
+        (F.col("s_suppkey") + 10000000).alias("user_id"), F.col("s_name").alias("username"))
+    return M.insert_rows(users, new)
+
+
+def lifecycle_transition(spark, sf_dir):
+    """J4 + M7: storage class after the lifecycle rules run on 2024-01-08."""
+    docs = table(spark, sf_dir, "documents")
+    files = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("dataset"),
+                        lake.created_date().alias("created"),
+                        F.lit("hot").alias("storage_class"))
+    src = F.col("source")
+    datasets = docs.select(src.alias("dataset"), F.when(src.isin("src1", "src2", "src3"), 1)
+                           .when(src.isin("src4", "src5"), 2).otherwise(3)
+                           .cast("long").alias("lifecycle_id")).distinct()
+    rules = spark.createDataFrame([(1, True), (2, False), (3, True)],
+                                  "lifecycle_id long, rule_enabled boolean")
+    transitions = spark.createDataFrame([(1, 3, "cold"), (2, 3, "cold"), (3, 7, "archive")],
+                                        "lifecycle_id long, days_till_transition int, transition_to string")
+    due = LC.due_transitions(datasets, F.broadcast(rules), F.broadcast(transitions))
+    out = LC.apply_transitions(files, due, AS_OF)
+    return out.select("file_id", "dataset", "storage_class")
+
+
+# ---------------------------------------------------------------- F1, F6-F12, Q1
+def human_size(spark, sf_dir):
+    """human-readable sizes in the bytes/KB, MB and GB ranges."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id",
+                    S.human_size("n_chars").alias("size"),
+                    S.human_size(F.col("n_chars") * 1000).alias("size_x1000"),
+                    S.human_size(F.col("n_chars") * 100000000).alias("size_x1e8"))
+
+
+def path_parents(spark, sf_dir):
+    """every ancestor directory of every file path."""
+    f = _files(spark, sf_dir)
+    return f.select("file_id", F.explode(S.parent_dirs("path")).alias("parent_dir"))
+
+
+def sanitize_names(spark, sf_dir):
+    """page URLs turned into safe names."""
+    return table(spark, sf_dir, "pages").select("page_id", S.sanitize_name("url").alias("name"))
+
+
+def local_time(spark, sf_dir):
+    """event times as US Mountain wall-clock, second precision."""
+    return table(spark, sf_dir, "events").select("event_id", S.local_time("ts").alias("local_ts"))
+
+
+def json_roundtrip(spark, sf_dir):
+    """F8 + F9: event objects to JSON (ISO dates) and a field parsed back."""
+    ev = table(spark, sf_dir, "events")
+    return ev.select(
+        "event_id",
+        S.to_json_object("event_id", "ts", "event_type", "user_id", iso_dates=("ts",))
+        .alias("details"),
+        S.json_field("props", "$.k").cast("int").alias("k"),
+        F.from_json("props", "k INT")["k"].alias("k_parsed"))
+
+
+def tags_clean(spark, sf_dir):
+    """comma-separated tags with empty entries removed."""
+    d = table(spark, sf_dir, "documents")
+    raw = F.concat_ws(",", F.col("lang"), F.lit(""), F.col("source"), F.lit(""))
+    tags = S.split_tags(raw)
+    return d.select("doc_id", F.size(tags).alias("n_tags"), F.array_join(tags, "|").alias("tags"))
+
+
+def file_age(spark, sf_dir):
+    """file age in whole days on the as-of date."""
+    f = _files(spark, sf_dir)
+    return f.select("file_id", S.age_days(F.to_date(F.lit(AS_OF)), "created").alias("age_days"))
+
+
+QUALITY_RULES = [
+    ("user_name_length", lambda: Q.length_between("user_name_length", "c_name", *Q.USER_NAME_LENGTH)),
+    ("name_distinct_chars", lambda: Q.min_distinct_chars("name_distinct_chars", "c_name", 12)),
+    ("segment_not_in_name", lambda: Q.not_contained("segment_not_in_name", "c_mktsegment", "c_name")),
+    ("acctbal_at_most", lambda: Q.at_most("acctbal_at_most", "c_acctbal", 1500)),
+]
+
+
+def quality_checks(spark, sf_dir):
+    """Q1: pass / fail counts of the customer rules."""
+    rules = [make() for _, make in QUALITY_RULES]
+    return Q.summarize(table(spark, sf_dir, "customer"), rules)
+
+
+QUERIES.update({
+    "predicate_conj": predicate_conj,
+    "path_functions": path_functions,
+    "distinct_paths": distinct_paths,
+    "exists_semi": exists_semi,
+    "exclude_anti": exclude_anti,
+    "list_members": list_members,
+    "grouped_slots": grouped_slots,
+    "name_lookup": name_lookup,
+    "id_to_name": id_to_name,
+    "owned_lookup": owned_lookup,
+    "trigger_gate": trigger_gate,
+    "registration_counts": registration_counts,
+    "first_per_key": first_per_key,
+    "cascade_delete": cascade_delete,
+    "upsert_files": upsert_files,
+    "update_rows": update_rows,
+    "patch_rows": patch_rows,
+    "mark_processed": mark_processed_q,
+    "insert_rows": insert_rows,
+    "lifecycle_transition": lifecycle_transition,
+    "human_size": human_size,
+    "path_parents": path_parents,
+    "sanitize_names": sanitize_names,
+    "local_time": local_time,
+    "json_roundtrip": json_roundtrip,
+    "tags_clean": tags_clean,
+    "file_age": file_age,
+    "quality_checks": quality_checks,
+})

@@ -90,7 +90,7 @@ def registrations(log: DataFrame) -> DataFrame:
 
 def files_from_documents(documents: DataFrame, root: str = "/lake") -> DataFrame:
     """File catalog rows, one per document."""
-    name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+    name = F.concat(F.col("doc_id").cast("string"), F.lit("."), F.col("lang"), F.lit(".txt"))
     return documents.select(
         F.col("doc_id").alias("file_id"),
         F.col("source").alias("dataset"),
@@ -98,4 +98,12 @@ def files_from_documents(documents: DataFrame, root: str = "/lake") -> DataFrame
         name.alias("name"),
         S.dataset_path(root, F.col("lang"), F.col("source"), name).alias("path"),
         F.col("n_chars").alias("size_bytes"),
+        created_date().alias("created"),
     )
+
+
+def created_date(doc_id: str = "doc_id"):
+    """Creation date of a document's file: spread over ten days from
+    2024-01-01 in blocks of twenty ids."""
+    offset = F.expr(f"CAST(({doc_id} div 20) % 10 AS INT)")
+    return F.date_add(F.lit("2024-01-01").cast("date"), offset)

@@ -35,3 +35,178 @@ FROM m WHERE rn=1 AND enabled AND out_action='POST'
 ORACLES = {
     "trigger_match": TRIGGER_MATCH,
 }
+
+# File catalog view mirroring lake.files_from_documents.
+_FILES = """
+files AS (
+  SELECT doc_id AS file_id, source AS dataset, lang,
+         CAST(doc_id AS VARCHAR) || '.' || lang || '.txt' AS name,
+         '/lake/' || lang || '/' || source || '/' || CAST(doc_id AS VARCHAR) || '.' || lang || '.txt' AS path,
+         n_chars AS size_bytes,
+         DATE '2024-01-01' + CAST((doc_id // 20) % 10 AS INT) AS created
+  FROM documents)"""
+
+ORACLES.update({
+    "predicate_conj": """
+SELECT event_id, event_type, value, CAST(props->>'$.k' AS INT) AS k FROM events
+WHERE event_type IN ('click', 'purchase', 'view') AND event_type <> 'view'
+  AND value IS NOT NULL AND CAST(props->>'$.k' AS INT) IN (1, 2, 3, 5, 8, 13, 21, 34, 55, 89)
+  AND props IS NOT NULL""",
+    "path_functions": f"""
+WITH {_FILES}
+SELECT file_id, string_split(name, '.')[-1] AS file_extension,
+       string_split(path, '/')[-1] AS base_name,
+       CASE WHEN suffix(path, '.parquet') THEN path
+            ELSE regexp_replace(path, '\\.[^.]*$', '') || '.parquet' END AS output_path,
+       'lake:dataset:::' || dataset AS resource_name
+FROM files""",
+    "distinct_paths": f"""
+WITH {_FILES}
+SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS dataset_dir,
+       string_split(name, '.')[-1] AS file_extension
+FROM files""",
+    "exists_semi": """
+SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+    "exclude_anti": """
+SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+    "list_members": f"""
+WITH {_FILES}
+SELECT DISTINCT dataset FROM files WHERE lang = 'en' AND dataset NOT IN ('src0', 'src1')""",
+    "grouped_slots": """
+SELECT source, count(*) AS n_docs, CAST(sum(n_chars) AS BIGINT) AS total_chars
+FROM documents GROUP BY source ORDER BY total_chars DESC, source LIMIT 5""",
+    "name_lookup": """
+SELECT e.event_id, coalesce(c.c_custkey, 999999999) AS custkey
+FROM events e
+LEFT JOIN (SELECT c_name, min(c_custkey) AS c_custkey FROM customer GROUP BY c_name) c
+  ON c.c_name = 'Customer#' || lpad(CAST(e.user_id * 20 AS VARCHAR), 9, '0')""",
+    "id_to_name": """
+SELECT o.o_orderkey, c.c_name
+FROM orders o
+LEFT JOIN (SELECT c_custkey, min(c_name) AS c_name FROM customer GROUP BY c_custkey) c
+  ON c.c_custkey = o.o_custkey""",
+    "owned_lookup": """
+SELECT e.event_id, c.c_name, (c.c_custkey IS NOT NULL) AS found
+FROM (SELECT event_id, user_id, CAST(props->>'$.k' AS INT) % 25 AS claimed_nation FROM events) e
+LEFT JOIN customer c ON c.c_custkey = e.user_id AND c.c_nationkey = e.claimed_nation""",
+    "trigger_gate": f"""
+WITH {_LOG}, {_REG}
+SELECT log_id, node_id FROM log WHERE node_id IN (SELECT in_node_id FROM reg)""",
+    "registration_counts": f"""
+WITH {_LOG}, {_REG}
+SELECT in_node_id AS node_id, count(*) AS n_transforms FROM reg GROUP BY in_node_id""",
+    "first_per_key": """
+SELECT user_id, ts, event_id, event_type FROM (
+  SELECT user_id, ts, event_id, event_type,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn
+  FROM events) WHERE rn = 1""",
+    "cascade_delete": """
+WITH doomed_orders AS (
+  SELECT o_orderkey FROM orders o
+  WHERE EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment = 'AUTOMOBILE'))
+SELECT l_orderkey, l_linenumber FROM lineitem l
+WHERE NOT EXISTS (SELECT 1 FROM doomed_orders d WHERE d.o_orderkey = l.l_orderkey)""",
+    "upsert_files": f"""
+WITH {_FILES},
+base AS (SELECT dataset, path, file_id, CAST(created AS TIMESTAMP) AS created,
+                CAST(created AS TIMESTAMP) AS last_modified FROM files WHERE lang IN ('en', 'de')),
+inc AS (SELECT dataset, path, file_id, TIMESTAMP '2024-02-01 00:00:00' AS created,
+               TIMESTAMP '2024-02-01 00:00:00' AS last_modified FROM files WHERE lang IN ('de', 'es'))
+SELECT coalesce(b.dataset, i.dataset) AS dataset, coalesce(b.path, i.path) AS path,
+       CASE WHEN b.path IS NOT NULL THEN b.file_id ELSE i.file_id END AS file_id,
+       CASE WHEN b.path IS NOT NULL THEN b.created ELSE i.created END AS created,
+       CASE WHEN i.path IS NOT NULL THEN i.last_modified ELSE b.last_modified END AS last_modified
+FROM base b FULL OUTER JOIN inc i ON b.dataset = i.dataset AND b.path = i.path""",
+    "update_rows": """
+SELECT d.doc_id, d.lang, CASE WHEN c.doc_id IS NOT NULL THEN 'archive' ELSE d.source END AS source
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'es') c
+  ON c.doc_id = d.doc_id""",
+    "patch_rows": """
+WITH p AS (
+  SELECT o_custkey AS c_custkey,
+         CASE WHEN sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) >= 3
+              THEN 'PRIORITY' END AS c_mktsegment,
+         CASE WHEN count(*) > 12 THEN 0 END AS c_nationkey
+  FROM orders GROUP BY o_custkey)
+SELECT c.c_custkey, c.c_name, coalesce(p.c_mktsegment, c.c_mktsegment) AS c_mktsegment,
+       CAST(coalesce(p.c_nationkey, c.c_nationkey) AS INTEGER) AS c_nationkey
+FROM customer c LEFT JOIN p ON p.c_custkey = c.c_custkey""",
+    "mark_processed": """
+SELECT event_id AS log_id,
+       CASE WHEN event_id <= (SELECT max(event_id) FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00')
+            THEN true ELSE (event_id % 3 = 0) END AS processed
+FROM events""",
+    "insert_rows": """
+SELECT c_custkey AS user_id, c_name AS username FROM customer
+UNION ALL
+SELECT s_suppkey + 10000000, s_name FROM supplier""",
+    "lifecycle_transition": """
+WITH files AS (SELECT doc_id AS file_id, source AS dataset,
+                      DATE '2024-01-01' + CAST((doc_id // 20) % 10 AS INT) AS created,
+                      'hot' AS storage_class FROM documents),
+ds AS (SELECT DISTINCT source AS dataset,
+              CASE WHEN source IN ('src1','src2','src3') THEN 1
+                   WHEN source IN ('src4','src5') THEN 2 ELSE 3 END AS lifecycle_id
+       FROM documents),
+rules AS (SELECT * FROM (VALUES (1,true),(2,false),(3,true)) t(lifecycle_id, rule_enabled)),
+trans AS (SELECT * FROM (VALUES (1,3,'cold'),(2,3,'cold'),(3,7,'archive'))
+          t(lifecycle_id, days_till_transition, transition_to)),
+due AS (SELECT ds.dataset, t.days_till_transition, t.transition_to
+        FROM ds JOIN rules r ON ds.lifecycle_id=r.lifecycle_id
+                JOIN trans t ON r.lifecycle_id=t.lifecycle_id
+        WHERE r.rule_enabled)
+SELECT f.file_id, f.dataset, coalesce(d.transition_to, f.storage_class) AS storage_class
+FROM files f LEFT JOIN due d ON f.dataset=d.dataset
+  AND date_diff('day', f.created, DATE '2024-01-08') = d.days_till_transition""",
+    "human_size": """
+WITH s AS (SELECT doc_id, n_chars AS b1, n_chars * 1000 AS b2, n_chars * 100000000 AS b3 FROM documents)
+SELECT doc_id,
+  CASE WHEN b1 < 1024 THEN CAST(b1 AS VARCHAR) || ' bytes' WHEN b1 < 1048576 THEN printf('%.2f KB', b1 / 1024.0)
+       WHEN b1 < 1073741824 THEN printf('%.2f MB', b1 / 1048576.0) ELSE printf('%.2f GB', b1 / 1073741824.0) END AS size,
+  CASE WHEN b2 < 1024 THEN CAST(b2 AS VARCHAR) || ' bytes' WHEN b2 < 1048576 THEN printf('%.2f KB', b2 / 1024.0)
+       WHEN b2 < 1073741824 THEN printf('%.2f MB', b2 / 1048576.0) ELSE printf('%.2f GB', b2 / 1073741824.0) END AS size_x1000,
+  CASE WHEN b3 < 1024 THEN CAST(b3 AS VARCHAR) || ' bytes' WHEN b3 < 1048576 THEN printf('%.2f KB', b3 / 1024.0)
+       WHEN b3 < 1073741824 THEN printf('%.2f MB', b3 / 1048576.0) ELSE printf('%.2f GB', b3 / 1073741824.0) END AS size_x1e8
+FROM s""",
+    "path_parents": f"""
+WITH {_FILES}
+SELECT file_id, unnest(list_transform(range(2, len(parts)),
+                 lambda i: array_to_string(list_slice(parts, 1, i), '/'))) AS parent_dir
+FROM (SELECT file_id, string_split(path, '/') AS parts FROM files)""",
+    "sanitize_names": """
+SELECT page_id, trim(translate(url, '<>:"/\\|?*$&;()[]{}^!#%@', ''), ' .') AS name FROM pages""",
+    "local_time": """
+SELECT event_id, date_trunc('second', timezone('America/Denver', ts AT TIME ZONE 'UTC')) AS local_ts
+FROM events""",
+    "json_roundtrip": """
+SELECT event_id,
+       CAST(to_json({'event_id': event_id,
+                     'ts': regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', ''),
+                     'event_type': event_type, 'user_id': user_id}) AS VARCHAR) AS details,
+       CAST(props->>'$.k' AS INT) AS k,
+       CAST(json_extract(props, '$.k') AS INT) AS k_parsed
+FROM events""",
+    "tags_clean": """
+WITH t AS (SELECT doc_id, list_filter(string_split(lang || ',,' || source || ',', ','), lambda x: x <> '') AS tags
+           FROM documents)
+SELECT doc_id, CAST(len(tags) AS INTEGER) AS n_tags, array_to_string(tags, '|') AS tags FROM t""",
+    "file_age": f"""
+WITH {_FILES}
+SELECT file_id, CAST(date_diff('day', created, DATE '2024-01-08') AS INTEGER) AS age_days FROM files""",
+    "quality_checks": """
+SELECT 'user_name_length' AS rule,
+       count(*) FILTER (WHERE coalesce(length(c_name) BETWEEN 8 AND 32, false)) AS n_pass,
+       count(*) FILTER (WHERE NOT coalesce(length(c_name) BETWEEN 8 AND 32, false)) AS n_fail FROM customer
+UNION ALL
+SELECT 'name_distinct_chars',
+       count(*) FILTER (WHERE coalesce(length(list_distinct(string_split(c_name, ''))) >= 12, false)),
+       count(*) FILTER (WHERE NOT coalesce(length(list_distinct(string_split(c_name, ''))) >= 12, false)) FROM customer
+UNION ALL
+SELECT 'segment_not_in_name',
+       count(*) FILTER (WHERE coalesce(NOT contains(lower(c_name), lower(c_mktsegment)), false)),
+       count(*) FILTER (WHERE NOT coalesce(NOT contains(lower(c_name), lower(c_mktsegment)), false)) FROM customer
+UNION ALL
+SELECT 'acctbal_at_most',
+       count(*) FILTER (WHERE coalesce(c_acctbal <= 1500, false)),
+       count(*) FILTER (WHERE NOT coalesce(c_acctbal <= 1500, false)) FROM customer""",
+})
