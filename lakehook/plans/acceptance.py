@@ -341,3 +341,21 @@ QUERIES.update({
     "file_age": file_age,
     "quality_checks": quality_checks,
 })
+
+
+# ---------------------------------------------------------------- T1 + D1-D14, T3
+from lakehook.plans.scripts import SCRIPTS  # noqa: E402
+from lakehook.plans.transforms import sql_transform  # noqa: E402
+
+
+def _script_query(name):
+    source, script = SCRIPTS[name]
+
+    def run(spark, sf_dir):
+        return sql_transform(spark, script, lambda s: table(s, sf_dir, source))
+    run.__name__ = name
+    run.__doc__ = f"T1: acceptance script {name} over {source}."
+    return run
+
+
+QUERIES.update({name: _script_query(name) for name in SCRIPTS})

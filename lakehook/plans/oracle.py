@@ -210,3 +210,122 @@ SELECT 'acctbal_at_most',
        count(*) FILTER (WHERE coalesce(c_acctbal <= 1500, false)),
        count(*) FILTER (WHERE NOT coalesce(c_acctbal <= 1500, false)) FROM customer""",
 })
+
+ORACLES.update({
+    "sql_transform_d01": """
+SELECT event_id, user_id,
+       CASE WHEN value >= 100 THEN 'high' WHEN value >= 10 THEN 'mid' ELSE 'low' END AS band,
+       upper(event_type) AS etype
+FROM events a
+WHERE (event_type LIKE 'p%' OR event_type ILIKE 'CL%')
+  AND value BETWEEN 5 AND 200
+  AND event_type IN ('purchase', 'click', 'view')""",
+    "sql_transform_d02": """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) AS total_value,
+       count(*) FILTER (WHERE value > 100) AS n_big
+FROM events GROUP BY event_type HAVING count(*) > 10""",
+    "sql_transform_d03": """
+SELECT l_returnflag, l_linestatus, count(*) AS n,
+       CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS qty,
+       CAST(grouping(l_returnflag) AS INT) AS g_flag,
+       CAST(grouping(l_linestatus) AS INT) AS g_status
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""",
+    "sql_transform_d03_cube": """
+SELECT l_linestatus, CAST(year(l_shipdate) AS INTEGER) AS ship_year, count(*) AS n,
+       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
+FROM lineitem GROUP BY CUBE (l_linestatus, year(l_shipdate))""",
+    "sql_transform_d03_sets": """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n
+FROM orders GROUP BY GROUPING SETS ((o_orderstatus, o_orderpriority), (o_orderpriority), ())""",
+    "sql_transform_d04": """
+SELECT l_orderkey, l_linenumber,
+       row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS rn,
+       dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_quantity) AS rk,
+       CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) OVER (
+            PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS running_qty,
+       lag(l_linenumber) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS prev_line,
+       count(*) OVER (PARTITION BY l_orderkey) AS n_lines
+FROM lineitem""",
+    "sql_transform_d05": """
+SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (
+  SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice,
+         row_number() OVER (PARTITION BY l_suppkey
+                            ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn
+  FROM lineitem) ranked
+WHERE rn <= 3""",
+    "sql_transform_d05_topn": """
+SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem
+ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10""",
+    "sql_transform_d06": """
+SELECT a.event_id, a.user_id, a.value FROM events a
+WHERE a.value >= (SELECT max(b.value) FROM events b
+                  WHERE b.event_type = a.event_type AND b.user_id = a.user_id)
+  AND EXISTS (SELECT 1 FROM events c WHERE c.user_id = a.user_id AND c.event_type = 'signup')
+  AND a.user_id NOT IN (SELECT d.user_id FROM events d WHERE d.event_type = 'error' AND d.value > 500)""",
+    "sql_transform_d06_selfjoin": """
+SELECT a.event_id, a.user_id, s.n_events, s.n_types FROM events a
+JOIN (SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types
+      FROM events GROUP BY user_id) s ON a.user_id = s.user_id
+WHERE a.event_type = 'purchase'""",
+    "sql_transform_d07": """
+((SELECT user_id FROM events WHERE event_type = 'purchase'
+  INTERSECT
+  SELECT user_id FROM events WHERE event_type = 'signup')
+ EXCEPT
+ SELECT user_id FROM events WHERE event_type = 'error' AND value > 400)
+UNION
+SELECT user_id FROM events WHERE value > 550""",
+    "sql_transform_d08": """
+SELECT doc_id, upper(source) AS src, length(text) AS n_chars,
+       length(text) - length(replace(text, '.', '')) AS n_periods,
+       CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
+       concat_ws('-', lang, source) AS tag,
+       regexp_replace(lower(lang), '[aeiou]', '*', 'g') AS masked_lang,
+       lpad(CAST(doc_id AS VARCHAR), 8, '0') AS padded,
+       CAST(position('the' IN text) AS INTEGER) AS first_the
+FROM documents""",
+    "sql_transform_d09": """
+SELECT event_id,
+       CAST(date_trunc('day', ts) AS DATE) AS day,
+       CAST(date_trunc('month', ts) AS DATE) AS month,
+       CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS day_no,
+       CAST(hour(ts) AS INTEGER) AS hour,
+       CAST(isodow(ts) AS INTEGER) AS iso_dow,
+       strftime(ts, '%Y-%m') AS ym,
+       CAST(CAST(ts AS DATE) + 30 AS DATE) AS due
+FROM events""",
+    "sql_transform_d10": """
+SELECT l_orderkey, l_linenumber,
+       CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(18,2))) AS DOUBLE) AS net,
+       abs(l_quantity - 25) AS dist,
+       CAST(power(l_linenumber, 2) AS DOUBLE) AS sq,
+       TRY_CAST(l_returnflag AS INTEGER) AS flag_num,
+       coalesce(nullif(l_returnflag, 'N'), 'none') AS flag,
+       CAST(l_quantity AS BIGINT) AS qty_int,
+       CAST(floor(l_extendedprice / 1000) AS BIGINT) AS price_band,
+       CAST(sign(l_quantity - 25) AS INTEGER) AS side
+FROM lineitem""",
+    "sql_transform_d11": """
+SELECT event_id, props->>'$.k' AS k_text,
+       CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+       struct_pack(t := event_type, u := user_id).t AS etype,
+       unnest([user_id, event_id * 2]) AS item
+FROM events""",
+    "sql_transform_d12": """
+SELECT l_returnflag, median(l_quantity) AS med_qty, quantile_cont(l_quantity, 0.9) AS p90_qty,
+       count(*) AS n
+FROM lineitem GROUP BY l_returnflag""",
+    "sql_transform_d13": """
+SELECT l_returnflag,
+       sum(l_quantity) FILTER (WHERE l_linestatus = 'O') AS o,
+       sum(l_quantity) FILTER (WHERE l_linestatus = 'F') AS f
+FROM lineitem GROUP BY l_returnflag""",
+    "sql_transform_d14": """
+WITH daily AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2),
+busy AS (SELECT user_id, count(*) AS active_days, max(n) AS peak FROM daily GROUP BY user_id),
+ranked AS (SELECT * FROM busy WHERE active_days >= 10)
+SELECT user_id, active_days, peak FROM ranked""",
+    "sql_identity": "SELECT * FROM orders",
+})
