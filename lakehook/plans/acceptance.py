@@ -359,3 +359,278 @@ def _script_query(name):
 
 
 QUERIES.update({name: _script_query(name) for name in SCRIPTS})
+
+
+# ---------------------------------------------------------------- T2-T7, S1-S8, T8
+from lakehook.plans import dispatch as D  # noqa: E402
+from lakehook.plans import transforms as TR  # noqa: E402
+from lakehook.session import scratch_path  # noqa: E402
+from lakehook.sources import files as IO  # noqa: E402
+from lakehook.streaming.trigger_stream import start_dispatch_stream  # noqa: E402
+
+ORDERS_DDL = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string")
+DISPATCH_OUT_DDL = ("user_id long, dataset_id long, transform_id long, event_id long, "
+                    "value_delta double, out_dataset_id long, out_file string")
+SQL_DISPATCH_OUT_DDL = ("event_id long, event_type string, value2 double, "
+                        "out_dataset_id long, out_file string")
+DISPATCH_SCRIPT = ("SELECT event_id, event_type, value * 2 AS value2 "
+                   "FROM return_arrow_table a WHERE value > 100")
+
+
+def shift_to_min(df):
+    """Whole-table Python transform: non-error events, value relative to the
+    smallest value and as a share of the largest."""
+    r = df.copy()
+    r = r[r["event_type"] != "error"]
+    r["value_delta"] = r["value"] - r["value"].min()
+    r["value_share"] = r["value"] / r["value"].max()
+    return r[["event_id", "event_type", "value_delta", "value_share"]]
+
+
+def file_delta(pdf):
+    """Per-file Python transform: value relative to the file's smallest."""
+    r = pdf.copy()
+    r["value_delta"] = r["value"] - r["value"].min()
+    return r[["event_id", "event_type", "value_delta"]]
+
+
+def purchase_delta(pdf):
+    """Dispatched per-file transform: purchases, value relative to the
+    file's cheapest purchase."""
+    r = pdf[pdf["event_type"] == "purchase"].copy()
+    r["value_delta"] = r["value"] - r["value"].min()
+    return r[["event_id", "value_delta"]]
+
+
+def python_transform(spark, sf_dir):
+    """Whole-table pandas transform on pandas-on-Spark."""
+    return TR.pandas_transform(table(spark, sf_dir, "events"), shift_to_min)
+
+
+def python_identity(spark, sf_dir):
+    """The default Python transform (an unchanged copy)."""
+    return TR.pandas_transform(table(spark, sf_dir, "events"), TR.identity_process_df)
+
+
+def per_file_transform(spark, sf_dir, max_file_rows=TR.MAX_FILE_ROWS_IN_WORKER):
+    """T4: events stored as one lake file per event type; a pandas transform
+    runs once per file."""
+    root = scratch_path(spark, "per-file")
+    table(spark, sf_dir, "events").write.partitionBy("event_type").parquet(root)
+    df = IO.read_files(spark, {"parquet": [root]})
+    out = TR.per_file_transform_routed(df, file_delta,
+                                       "event_id long, event_type string, value_delta double",
+                                       IO.SOURCE_FILE_COL, max_file_rows=max_file_rows)
+    return out.drop(IO.SOURCE_FILE_COL)
+
+
+def native_transform(spark, sf_dir):
+    """T5: a Spark-native DataFrame -> DataFrame transform."""
+    def fn(df):
+        return (df.filter(F.col("value") > 100)
+                .select("event_id", "user_id", (F.col("value") * 2).alias("value_x2")))
+    return TR.native_transform(table(spark, sf_dir, "events"), fn)
+
+
+def scan_parquet(spark, sf_dir):
+    """Parquet scan with pruned columns and pushed-down filters."""
+    li = IO.read_parquet(spark, f"{sf_dir}/lineitem.parquet")
+    return (li.filter((F.col("l_shipdate") >= F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00'"))
+                      & (F.col("l_quantity") < 10))
+            .select("l_orderkey", "l_linenumber", "l_quantity", "l_shipdate"))
+
+
+def scan_csv(spark, sf_dir):
+    """CSV scan (header row, declared schema) of orders stored as CSV."""
+    path = scratch_path(spark, "orders-csv")
+    table(spark, sf_dir, "orders").write.option("header", True).csv(path)
+    return IO.read_csv(spark, path, schema=ORDERS_DDL)
+
+
+def _orders_dataset(spark, sf_dir):
+    """A dataset of three files: shipped orders as Parquet, open and pending
+    ones as CSV; returns its catalog rows."""
+    root = scratch_path(spark, "orders-dataset")
+    orders = table(spark, sf_dir, "orders")
+    rows = []
+    for i, (status, ext) in enumerate([("F", "parquet"), ("O", "csv"), ("P", "csv")]):
+        path = f"{root}/orders_{status}.{ext}"
+        part = orders.filter(F.col("o_orderstatus") == status)
+        if ext == "parquet":
+            IO.write_parquet(part, path)
+        else:
+            part.write.mode("overwrite").option("header", True).csv(path)
+        rows.append((1, 7, 100 + i, f"orders_{status}.{ext}", path, ext))
+    return spark.createDataFrame(
+        rows, "user_id long, dataset_id long, file_id long, name string, path string, "
+              "file_extension string")
+
+
+def scan_dataset(spark, sf_dir):
+    """S3: every file of a dataset (Parquet and CSV), unioned by name."""
+    catalog = _orders_dataset(spark, sf_dir)
+    df = IO.scan_dataset(spark, catalog, 1, 7, csv_schema=ORDERS_DDL)
+    fmt = F.when(F.col(IO.SOURCE_FILE_COL).endswith(".parquet"), "parquet").otherwise("csv")
+    return df.select("o_orderkey", "o_orderstatus", "o_totalprice", fmt.alias("fmt"))
+
+
+def catalog_scan(spark, sf_dir):
+    """One file resolved through the catalog by (user, dataset, file id)."""
+    catalog = _orders_dataset(spark, sf_dir)
+    df = IO.scan_catalog_file(spark, catalog, 1, 7, 100, csv_schema=ORDERS_DDL)
+    return df.select("o_orderkey", "o_orderstatus")
+
+
+def sink_roundtrip(spark, sf_dir):
+    """Parquet sink forcing the extension, read back."""
+    target = IO.write_parquet(
+        table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity"),
+        scratch_path(spark, "sink") + "/lineitem_copy.csv")
+    back = spark.read.parquet(target)
+    stored = F.regexp_extract(IO.logical_file(), r"([^/]+)$", 1)
+    return back.select("l_orderkey", "l_linenumber", "l_quantity", stored.alias("stored_as"))
+
+
+def ingest_q(spark, sf_dir):
+    """Orders land as three CSV files, are ingested into a dataset (with
+    catalog upsert and upload events), and the shipped file is uploaded
+    again -- which updates the catalog but emits no new event."""
+    from datetime import datetime
+
+    landing = scratch_path(spark, "landing")
+    orders = table(spark, sf_dir, "orders")
+    rows = []
+    for status in ("F", "O", "P"):
+        path = f"{landing}/orders_{status}.csv"
+        orders.filter(F.col("o_orderstatus") == status).write.option("header", True).csv(path)
+        rows.append((f"orders_{status}.csv", path, "csv"))
+    land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
+    empty = spark.createDataFrame([], TR_FILES_SCHEMA)
+    ds_root = scratch_path(spark, "dataset")
+    t1, t2 = datetime(2024, 3, 1), datetime(2024, 3, 2)
+    snap1, ev1 = IO.ingest(spark, land, empty, ds_root, 1, 7, "owner1", t1, 1, 1)
+    snap1 = snap1.checkpoint(eager=True)  # cut lineage before re-reading the dataset
+    again = land.filter(F.col("name") == "orders_F.csv")
+    snap2, ev2 = IO.ingest(spark, again, snap1, ds_root, 1, 7, "owner1", t2, 4, 4)
+    events = ev1.unionByName(ev2)
+    per_file = events.groupBy(S.json_field("object_details", "$.name").alias("file_name")) \
+        .agg(F.count(F.lit(1)).alias("n_events"))
+    data = IO.scan_dataset(spark, snap2, 1, 7)
+    data = data.select("o_orderkey", "o_orderstatus",
+                       F.regexp_extract(IO.SOURCE_FILE_COL, r"([^/]+)$", 1).alias("file_name"))
+    return data.join(per_file, "file_name", "left")
+
+
+def append_docs(spark, sf_dir):
+    """Conversation turns appended to a document collection (JSON,
+    partitioned by role) with content-derived ids, read back."""
+    path = scratch_path(spark, "docs")
+    conv = table(spark, sf_dir, "conversations")
+    n, _ = IO.append_documents(conv, path, id_cols=["conv_id", "turn"], partition_by=["role"])
+    back = spark.read.schema("_id string, conv_id long, turn long, text string, role string").json(path)
+    return back.select("_id", "conv_id", "turn", "role", F.length("text").alias("n_chars"))
+
+
+def append_log(spark, sf_dir):
+    """Event-log rows appended in two batches, read back."""
+    path = scratch_path(spark, "event-log")
+    ev = table(spark, sf_dir, "events")
+    log = lake.event_log(ev).drop("service", "object", "is_transform_output", "processed")
+    cut = F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")
+    for part in (log.filter(F.col("created_timestamp") < cut),
+                 log.filter(F.col("created_timestamp") >= cut)):
+        IO.append_events(IO.log_rows(part), path)
+    back = spark.read.parquet(path)
+    return back.select("log_id", "created_timestamp", "action", "dataset_id", "processed")
+
+
+def register_transform(spark, sf_dir):
+    """Registrations submitted by name (user, datasets) are resolved to
+    ids, sanitised, numbered above the existing ones and appended."""
+    log = _log(spark, sf_dir)
+    regs = lake.registrations(log)
+    existing = regs.filter(F.col("transform_id") < 1000000)
+    submitted = regs.filter(F.col("transform_id") >= 1000000)
+    users = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+    datasets = log.select("dataset_id").distinct().select(
+        "dataset_id", F.concat(F.lit("dataset_"), F.col("dataset_id").cast("string")).alias("name"))
+    requests = submitted.select(
+        F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0")).alias("username"),
+        F.concat(F.lit("reg #"), F.col("transform_id").cast("string"), F.lit("!")).alias("name"),
+        F.concat(F.lit("dataset_"), F.col("in_dataset_id").cast("string")).alias("in_dataset"),
+        "in_action",
+        F.concat(F.lit("dataset_"), F.col("out_dataset_id").cast("string")).alias("out_dataset"),
+        "out_action", "src_file")
+    snapshot = TR.register_transforms(requests, existing, users, datasets)
+    new = snapshot.join(existing.select("transform_id"), "transform_id", "left_anti")
+    return new.select("name", "user_id", "in_dataset_id", "out_dataset_id", "in_action", "out_action")
+
+
+def _dispatch_inputs(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    log = lake.event_log(ev)
+    return log, lake.registrations(log), lake.activity(ev)
+
+
+def dispatch_batch(spark, sf_dir):
+    """T7 (Python): every matched event runs its transform on the file it
+    names; outputs land in the transform's output dataset."""
+    log, regs, data = _dispatch_inputs(spark, sf_dir)
+    out_root = scratch_path(spark, "dispatch-py")
+    D.dispatch_python(match_triggers(log, regs), data, lake.ACTIVITY_FILE_KEYS,
+                      lake.activity_file_name(), purchase_delta,
+                      "event_id long, value_delta double", out_root)
+    return spark.read.schema(DISPATCH_OUT_DDL).parquet(out_root)
+
+
+def dispatch_batch_sql(spark, sf_dir):
+    """T7 (SQL): each fired transform runs its script over its matched files."""
+    log, regs, _ = _dispatch_inputs(spark, sf_dir)
+    out_root = scratch_path(spark, "dispatch-sql")
+    D.dispatch_sql(spark, match_triggers(log, regs),
+                   lambda s: lake.activity(table(s, sf_dir, "events")),
+                   lake.ACTIVITY_FILE_KEYS, lambda tid: DISPATCH_SCRIPT, out_root,
+                   work_path=scratch_path(spark, "dispatch-work"))
+    return spark.read.schema(SQL_DISPATCH_OUT_DDL).parquet(out_root)
+
+
+def dispatch_stream(spark, sf_dir):
+    """The event table read as a stream; each micro-batch is matched and
+    dispatched like T7 (Python), with progress in a checkpoint."""
+    _, regs, data = _dispatch_inputs(spark, sf_dir)
+    out_root = scratch_path(spark, "dispatch-stream")
+    schema = table(spark, sf_dir, "events").schema
+
+    def handle(matched, batch_id):
+        D.dispatch_python(matched, data, lake.ACTIVITY_FILE_KEYS, lake.activity_file_name(),
+                          purchase_delta, "event_id long, value_delta double", out_root)
+
+    q = start_dispatch_stream(spark, sf_dir, schema, lake.event_log, regs, handle,
+                              checkpoint=scratch_path(spark, "stream-ckpt"),
+                              path_glob="events.parquet")
+    q.awaitTermination()
+    return spark.read.schema(DISPATCH_OUT_DDL).parquet(out_root)
+
+
+from lakehook.schemas import FILES as TR_FILES_SCHEMA  # noqa: E402
+
+QUERIES.update({
+    "python_transform": python_transform,
+    "python_identity": python_identity,
+    "per_file_transform": per_file_transform,
+    "native_transform": native_transform,
+    "scan_parquet": scan_parquet,
+    "scan_csv": scan_csv,
+    "scan_dataset": scan_dataset,
+    "catalog_scan": catalog_scan,
+    "sink_roundtrip": sink_roundtrip,
+    "ingest": ingest_q,
+    "append_docs": append_docs,
+    "append_log": append_log,
+    "register_transform": register_transform,
+    "dispatch_batch": dispatch_batch,
+    "dispatch_batch_sql": dispatch_batch_sql,
+    "dispatch_stream": dispatch_stream,
+})

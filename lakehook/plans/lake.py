@@ -107,3 +107,20 @@ def created_date(doc_id: str = "doc_id"):
     2024-01-01 in blocks of twenty ids."""
     offset = F.expr(f"CAST(({doc_id} div 20) % 10 AS INT)")
     return F.date_add(F.lit("2024-01-01").cast("date"), offset)
+
+
+def activity(events: DataFrame) -> DataFrame:
+    """Lake data the events point at: every event row belongs to the file of
+    its (user, dataset) -- the user's activity file in that dataset."""
+    k = S.json_field("props", "$.k").cast("int")
+    return events.select("event_id", "user_id", (k % 10).cast("long").alias("dataset_id"),
+                         "event_type", "value", "ts")
+
+
+ACTIVITY_FILE_KEYS = ["user_id", "dataset_id"]
+
+
+def activity_file_name():
+    """Output file name of an activity file: same base name, .parquet."""
+    return F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("_d"),
+                    F.col("dataset_id").cast("string"), F.lit(".parquet"))

@@ -329,3 +329,79 @@ ranked AS (SELECT * FROM busy WHERE active_days >= 10)
 SELECT user_id, active_days, peak FROM ranked""",
     "sql_identity": "SELECT * FROM orders",
 })
+
+_MATCHED = """
+m AS (
+  SELECT l.log_id, l.user_id, l.node_id, r.transform_id, r.out_node_id, r.out_action, r.enabled,
+         row_number() OVER (PARTITION BY l.log_id ORDER BY r.transform_id) AS rn
+  FROM log l JOIN reg r ON l.user_id=r.user_id AND l.node_id=r.in_node_id AND l.action=r.in_action
+  WHERE NOT l.processed),
+work AS (SELECT DISTINCT user_id, node_id, transform_id, CAST(out_node_id AS BIGINT) AS out_node_id
+         FROM m WHERE rn=1 AND enabled AND out_action='POST'),
+act AS (SELECT event_id, user_id, CAST(CAST(props->>'$.k' AS INT) % 10 AS BIGINT) AS node_id,
+               event_type, value FROM events)"""
+
+_DISPATCH_PY = f"""
+WITH {_LOG}, {_REG}, {_MATCHED},
+p AS (SELECT w.user_id, w.node_id, w.transform_id, w.out_node_id, a.event_id, a.value
+      FROM work w JOIN act a ON a.user_id = w.user_id AND a.node_id = w.node_id
+      WHERE a.event_type = 'purchase')
+SELECT user_id, node_id AS dataset_id, transform_id, event_id,
+       value - min(value) OVER (PARTITION BY user_id, node_id, transform_id) AS value_delta,
+       out_node_id AS out_dataset_id,
+       'u' || CAST(user_id AS VARCHAR) || '_d' || CAST(node_id AS VARCHAR) || '.parquet' AS out_file
+FROM p"""
+
+ORACLES.update({
+    "python_transform": """
+WITH f AS (SELECT * FROM events WHERE event_type <> 'error')
+SELECT event_id, event_type, value - (SELECT min(value) FROM f) AS value_delta,
+       value / (SELECT max(value) FROM f) AS value_share
+FROM f""",
+    "python_identity": "SELECT * FROM events",
+    "per_file_transform": """
+SELECT event_id, event_type, value - min(value) OVER (PARTITION BY event_type) AS value_delta
+FROM events""",
+    "native_transform": """
+SELECT event_id, user_id, value * 2 AS value_x2 FROM events WHERE value > 100""",
+    "scan_parquet": """
+SELECT l_orderkey, l_linenumber, l_quantity, l_shipdate FROM lineitem
+WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_quantity < 10""",
+    "scan_csv": "SELECT * FROM orders",
+    "scan_dataset": """
+SELECT o_orderkey, o_orderstatus, o_totalprice,
+       CASE WHEN o_orderstatus = 'F' THEN 'parquet' ELSE 'csv' END AS fmt
+FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+    "catalog_scan": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
+    "sink_roundtrip": """
+SELECT l_orderkey, l_linenumber, l_quantity, 'lineitem_copy.parquet' AS stored_as FROM lineitem""",
+    "ingest": """
+SELECT 'orders_' || o_orderstatus || '.parquet' AS file_name, o_orderkey, o_orderstatus,
+       CAST(1 AS BIGINT) AS n_events
+FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+    "append_docs": """
+SELECT sha256(CAST(conv_id AS VARCHAR) || chr(1) || CAST(turn AS VARCHAR)) AS _id,
+       conv_id, turn, role, CAST(length(text) AS INTEGER) AS n_chars
+FROM conversations""",
+    "append_log": """
+SELECT event_id AS log_id, ts AS created_timestamp,
+       CASE event_type WHEN 'click' THEN 'PUT' WHEN 'error' THEN 'DELETE'
+                       WHEN 'view' THEN 'GET' ELSE 'POST' END AS action,
+       CAST(CAST(props->>'$.k' AS INT) % 10 AS BIGINT) AS dataset_id,
+       false AS processed
+FROM events""",
+    "register_transform": f"""
+WITH {_LOG}, {_REG}
+SELECT 'reg ' || CAST(transform_id AS VARCHAR) AS name, user_id, in_node_id AS in_dataset_id,
+       CAST(out_node_id AS BIGINT) AS out_dataset_id, in_action, out_action
+FROM reg WHERE transform_id >= 1000000""",
+    "dispatch_batch": _DISPATCH_PY,
+    "dispatch_stream": _DISPATCH_PY,
+    "dispatch_batch_sql": f"""
+WITH {_LOG}, {_REG}, {_MATCHED}
+SELECT a.event_id, a.event_type, a.value * 2 AS value2, w.out_node_id AS out_dataset_id,
+       't' || CAST(w.transform_id AS VARCHAR) || '.parquet' AS out_file
+FROM (SELECT DISTINCT transform_id, out_node_id, user_id, node_id FROM work) w
+JOIN act a ON a.user_id = w.user_id AND a.node_id = w.node_id
+WHERE a.value > 100""",
+})

@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakehook.session import ship_package
+
 TABLE_NAME = "return_arrow_table"
 
 # The default bodies of a new transform (identity).
@@ -50,8 +52,16 @@ def pandas_transform(df: DataFrame, process_df: Callable) -> DataFrame:
     ``distributed`` kind (no sequential numbering pass); the index is dropped
     from the result.
     """
+    import warnings
+
     import pyspark.pandas as ps
 
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        return _run_pandas_api(df, process_df, ps)
+
+
+def _run_pandas_api(df, process_df, ps):
     with ps.option_context("compute.default_index_type", "distributed",
                            "compute.ops_on_diff_frames", False):
         psdf = df.pandas_api()
@@ -80,6 +90,7 @@ def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType
         res.insert(0, file_col, name)
         return res[[f.name for f in full.fields]]
 
+    ship_package()
     return df.groupBy(file_col).applyInPandas(run, full)
 
 
@@ -122,3 +133,56 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
         timeout.cast("decimal(4,0)").alias("timeout"),
         enabled.cast("boolean").alias("enabled"))
     return existing.unionByName(new.select(*existing.columns))
+
+
+# Files with more rows than this are not handed to one Python worker; they run
+# through the distributed pandas-on-Spark path instead (exact, one job each).
+MAX_FILE_ROWS_IN_WORKER = 2_000_000
+
+
+def per_file_transform_routed(df: DataFrame, process_df: Callable, schema: T.StructType | str,
+                              file_cols: list[str] | str = "source_file",
+                              max_file_rows: int = MAX_FILE_ROWS_IN_WORKER) -> DataFrame:
+    """T4 with a size guard: small files go through one grouped
+    ``applyInPandas`` job; files above ``max_file_rows`` (counted with one
+    aggregate pass) each run through :func:`pandas_transform`, so no file is
+    ever collected into a single task. Results are unioned.
+
+    ``file_cols`` may be several columns (a file identified by a composite
+    key); they are re-attached to every output row.
+    """
+    keys = [file_cols] if isinstance(file_cols, str) else list(file_cols)
+    out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
+    key_fields = [df.schema[k] for k in keys]
+    full = T.StructType(key_fields + list(out_schema.fields))
+
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    large = [tuple(r[k] for k in keys)
+             for r in sizes.filter(F.col("__rows") > max_file_rows).collect()]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ident = {k: pdf[k].iloc[0] for k in keys}
+        res = process_df(pdf.drop(columns=keys).reset_index(drop=True)).reset_index(drop=True)
+        for i, k in enumerate(keys):
+            res.insert(i, k, ident[k])
+        return res[[f.name for f in full.fields]]
+
+    small_df = df
+    if large:
+        big_keys = df.sparkSession.createDataFrame(large, T.StructType(key_fields))
+        small_df = df.join(big_keys, keys, "left_anti")
+    ship_package()
+    parts = [small_df.groupBy(*keys).applyInPandas(run, full)]
+    for ident in large:
+        cond = None
+        for k, v in zip(keys, ident):
+            c = F.col(k) == F.lit(v)
+            cond = c if cond is None else cond & c
+        res = pandas_transform(df.filter(cond).drop(*keys), process_df)
+        res = res.select(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(key_fields, ident)],
+                         *[F.col(f.name).cast(f.dataType) for f in out_schema.fields])
+        parts.append(res)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

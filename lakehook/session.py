@@ -33,6 +33,8 @@ def build_session(
     On a cluster ``master`` stays None so spark-submit decides; tests and the
     bench pass ``local[N]``.
     """
+    # pandas-on-Spark wants this set before the JVM starts, on both sides.
+    os.environ.setdefault("PYARROW_IGNORE_TIMEZONE", "1")
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
@@ -83,3 +85,17 @@ def local_path(path: str) -> str:
 
 def is_local_fs(path: str) -> bool:
     return path.startswith("file:") or os.path.isabs(path)
+
+
+def ship_package() -> None:
+    """Make lakehook functions travel to Python workers by value.
+
+    Grouped pandas functions defined in this package are pickled with the
+    task, so executors need no installed copy of it (on a cluster, shipping
+    a zip with ``--py-files`` works as well).
+    """
+    from pyspark import cloudpickle
+
+    import lakehook
+
+    cloudpickle.register_pickle_by_value(lakehook)

@@ -39,8 +39,16 @@ def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None
     return reader.csv(list(paths))
 
 
+def logical_file(file_path=None):
+    """The lake file a row came from. Spark writes a "file" as a directory of
+    ``part-*`` files; this strips the part file name, leaving plain files
+    unchanged."""
+    path = F.col("_metadata.file_path") if file_path is None else file_path
+    return F.regexp_replace(path, "/part-[^/]*$", "")
+
+
 def _with_source(df: DataFrame) -> DataFrame:
-    return df.withColumn(SOURCE_FILE_COL, F.col("_metadata.file_path"))
+    return df.withColumn(SOURCE_FILE_COL, logical_file())
 
 
 def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
