@@ -46,13 +46,13 @@ def at_most(name: str, col: str, bound) -> Rule:
 
 
 def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Input rows plus one boolean column per rule and ``passed_all``."""
-    checks = [r.passed().alias(r.name) for r in rules]
-    out = df.select("*", *checks)
+    """Input rows plus one boolean ``check_<rule>`` column per rule and
+    ``passed_all``."""
+    checks = [r.passed().alias(f"check_{r.name}") for r in rules]
     all_ok = F.lit(True)
     for r in rules:
-        all_ok = all_ok & F.col(r.name)
-    return out.withColumn("passed_all", all_ok)
+        all_ok = all_ok & r.passed()
+    return df.select("*", *checks, all_ok.alias("passed_all"))
 
 
 def summarize(df: DataFrame, rules: list[Rule]) -> DataFrame:
