@@ -371,9 +371,9 @@ from lakehook.streaming.trigger_stream import start_dispatch_stream  # noqa: E40
 ORDERS_DDL = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
               "o_orderdate timestamp_ntz, o_orderpriority string")
 DISPATCH_OUT_DDL = ("user_id long, dataset_id long, transform_id long, event_id long, "
-                    "value_delta double, out_dataset_id long, out_file string")
+                    "value_delta double, out_file string, out_dataset_id long, batch_id long")
 SQL_DISPATCH_OUT_DDL = ("event_id long, event_type string, value2 double, "
-                        "out_dataset_id long, out_file string")
+                        "out_file string, out_dataset_id long, batch_id long")
 DISPATCH_SCRIPT = ("SELECT event_id, event_type, value * 2 AS value2 "
                    "FROM return_arrow_table a WHERE value > 100")
 
@@ -582,18 +582,19 @@ def dispatch_batch(spark, sf_dir):
     D.dispatch_python(match_triggers(log, regs), data, lake.ACTIVITY_FILE_KEYS,
                       lake.activity_file_name(), purchase_delta,
                       "event_id long, value_delta double", out_root)
-    return spark.read.schema(DISPATCH_OUT_DDL).parquet(out_root)
+    return D.read_outputs(spark, out_root, DISPATCH_OUT_DDL)
 
 
 def dispatch_batch_sql(spark, sf_dir):
-    """T7 (SQL): each fired transform runs its script over its matched files."""
+    """T7 (SQL): fired transforms run their script over their matched files,
+    one job per (script, output dataset)."""
     log, regs, _ = _dispatch_inputs(spark, sf_dir)
     out_root = scratch_path(spark, "dispatch-sql")
     D.dispatch_sql(spark, match_triggers(log, regs),
                    lambda s: lake.activity(table(s, sf_dir, "events")),
-                   lake.ACTIVITY_FILE_KEYS, lambda tid: DISPATCH_SCRIPT, out_root,
+                   lake.ACTIVITY_FILE_KEYS, {"identity.sql": DISPATCH_SCRIPT}, out_root,
                    work_path=scratch_path(spark, "dispatch-work"))
-    return spark.read.schema(SQL_DISPATCH_OUT_DDL).parquet(out_root)
+    return D.read_outputs(spark, out_root, SQL_DISPATCH_OUT_DDL)
 
 
 def dispatch_stream(spark, sf_dir):
@@ -605,13 +606,14 @@ def dispatch_stream(spark, sf_dir):
 
     def handle(matched, batch_id):
         D.dispatch_python(matched, data, lake.ACTIVITY_FILE_KEYS, lake.activity_file_name(),
-                          purchase_delta, "event_id long, value_delta double", out_root)
+                          purchase_delta, "event_id long, value_delta double", out_root,
+                          batch_id=batch_id)
 
     q = start_dispatch_stream(spark, sf_dir, schema, lake.event_log, regs, handle,
                               checkpoint=scratch_path(spark, "stream-ckpt"),
                               path_glob="events.parquet")
     q.awaitTermination()
-    return spark.read.schema(DISPATCH_OUT_DDL).parquet(out_root)
+    return D.read_outputs(spark, out_root, DISPATCH_OUT_DDL)
 
 
 from lakehook.schemas import FILES as TR_FILES_SCHEMA  # noqa: E402

@@ -10,11 +10,15 @@ columns (``file_keys``) of the data; every matched event names one file.
   in an isolated session each; the jobs are submitted concurrently.
 
 Outputs are written as Parquet under ``out_root``, partitioned by output
-dataset and by output file name (the input file's base name with a
-``.parquet`` extension), using dynamic partition overwrite: re-running a
-batch replaces exactly the partitions it produced, so replays are
-idempotent. Output rows are flagged as transform output in the event log and
-never re-trigger.
+dataset and batch id, with the output file name (the input file's base name
+with a ``.parquet`` extension) as a column; rows are sorted by it inside each
+Parquet file so a single file's rows are found through row-group statistics.
+The number of physical files therefore follows the number of tasks, not the
+number of matched files. Writes use dynamic partition overwrite: re-running a
+batch replaces exactly the (dataset, batch) partitions it produced, so
+replays are idempotent; :func:`read_outputs` returns the latest version of
+every output file (a later batch rewriting a file name replaces it). Output
+rows are flagged as transform output in the event log and never re-trigger.
 """
 
 from __future__ import annotations
@@ -26,75 +30,121 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakehook.plans.transforms import TABLE_NAME, per_file_transform_routed
+from lakehook.plans.transforms import (MAX_FILE_ROWS_IN_WORKER, TABLE_NAME,
+                                       per_file_transform_routed)
 
 OUT_FILE_COL = "out_file"
 OUT_DATASET_COL = "out_dataset_id"
+BATCH_COL = "batch_id"
 
 
 def work_items(matched: DataFrame, file_keys: list[str]) -> DataFrame:
     """Distinct (file, transform) pairs of a batch. Several events on the same
     file and transform collapse into one run (its output would be the same)."""
-    return matched.select(*file_keys, "transform_id", "out_dataset_id").distinct()
+    extra = [c for c in ("src_file",) if c in matched.columns]
+    return matched.select(*file_keys, "transform_id", "out_dataset_id", *extra).distinct()
 
 
-def _write(result: DataFrame, out_root: str) -> None:
-    (result.write.mode("overwrite")
+def _write(result: DataFrame, out_root: str, batch_id: int) -> None:
+    (result.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
+     .sortWithinPartitions(OUT_DATASET_COL, OUT_FILE_COL)
+     .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
-     .partitionBy(OUT_DATASET_COL, OUT_FILE_COL)
+     .partitionBy(OUT_DATASET_COL, BATCH_COL)
      .parquet(out_root))
 
 
+def read_outputs(spark: SparkSession, out_root: str, schema: T.StructType | str | None = None) -> DataFrame:
+    """Latest version of every output file: rows of the highest batch that
+    wrote each (output dataset, file name). The version pick is a grouped
+    max (combined map-side) joined back on the key, not a window over rows."""
+    reader = spark.read
+    if schema is not None:
+        reader = reader.schema(schema)
+    out = reader.parquet(out_root)
+    latest = out.groupBy(OUT_DATASET_COL, OUT_FILE_COL).agg(F.max(BATCH_COL).alias(BATCH_COL))
+    return out.join(latest, [OUT_DATASET_COL, OUT_FILE_COL, BATCH_COL], "left_semi").drop(BATCH_COL)
+
+
 def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
                     file_name: Column, process_df: Callable, out_schema: T.StructType | str,
-                    out_root: str, max_file_rows: int | None = None) -> None:
+                    out_root: str, max_file_rows: int = MAX_FILE_ROWS_IN_WORKER,
+                    batch_id: int = 0) -> None:
     """Run a per-file pandas transform for every (file, transform) of the
     batch in one job and write the results.
 
-    ``file_name`` is a Column over ``file_keys`` giving the output file name.
+    The batch's work items are checkpointed first (reliable checkpoint in the
+    shared folder): the match -- a scan of the event log -- runs exactly
+    once, and executor loss after that point never re-runs it. File sizes
+    are counted from the data's key columns only; files above
+    ``max_file_rows`` take the distributed path. ``file_name`` is a Column
+    over ``file_keys`` giving the output file name.
     """
-    work = work_items(matched, file_keys)
+    work = work_items(matched, file_keys).checkpoint(eager=True)
+    files = work.select(*file_keys).distinct()
+    sizes = (data.select(*file_keys).join(files, file_keys, "left_semi")
+             .groupBy(*file_keys).agg(F.count(F.lit(1)).alias("__rows")))
+    large_keys = sizes.filter(F.col("__rows") > max_file_rows).select(*file_keys)
+    large = [tuple(r) for r in work.join(large_keys, file_keys, "left_semi")
+             .select(*file_keys, "transform_id", "out_dataset_id").collect()]
     tagged = data.join(work, file_keys, "inner")
     group = file_keys + ["transform_id", "out_dataset_id"]
-    kwargs = {} if max_file_rows is None else {"max_file_rows": max_file_rows}
-    result = per_file_transform_routed(tagged, process_df, out_schema, group, **kwargs)
-    result = result.withColumn(OUT_FILE_COL, file_name)
-    _write(result, out_root)
+    result = per_file_transform_routed(tagged, process_df, out_schema, group,
+                                       max_file_rows=max_file_rows, large_files=large)
+    _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id)
 
 
 def dispatch_sql(spark: SparkSession, matched: DataFrame,
                  data_reader: Callable[[SparkSession], DataFrame], file_keys: list[str],
-                 scripts: dict[int, str] | Callable[[int], str], out_root: str,
-                 work_path: str, max_parallel: int = 8) -> list[int]:
-    """Run each fired transform's SQL script over all of its matched files
-    (the script sees them as one ``return_arrow_table``) and write the result
-    under the transform's output dataset, file ``t<transform_id>.parquet``.
-
-    The batch's work items are first written to ``work_path`` (a table in
-    the shared checkpoint folder): that cuts the match lineage, survives
-    executor loss, and lets every transform's private session read them.
-    Only the list of fired transforms -- catalog rows -- reaches the driver.
-    ``data_reader(session)`` builds the lake data inside a given session.
-    Returns the transform ids that ran.
+                 scripts: dict[str, str] | Callable[[str], str], out_root: str,
+                 work_path: str, max_parallel: int = 8, batch_id: int = 0,
+                 per_transform: bool = False) -> list[tuple]:
+    """Run the SQL scripts of the fired transforms and write their outputs.
+
+    Default grouping: one job per (script, output dataset). Its
+    ``return_arrow_table`` is the UNION ALL of the matched files of every
+    transform in the group (a file matched by two transforms appears twice),
+    so for row-local scripts the output equals the union of the
+    per-transform outputs; it is written to the output dataset as the
+    script's base name with a ``.parquet`` extension. The number of jobs is
+    bounded by the catalog (scripts x datasets), not by how many events or
+    transforms fired. ``per_transform=True`` runs one job per fired transform
+    instead (exact per-transform input for aggregating scripts; output file
+    ``t<transform_id>.parquet``).
+
+    The batch's work items are first written to ``work_path`` in the shared
+    checkpoint folder: that cuts the match lineage, survives executor loss,
+    and lets every job's private session read them. ``scripts`` maps a
+    registration's ``src_file`` to its SQL text; ``data_reader(session)``
+    builds the lake data inside a given session. Only the list of groups --
+    catalog-sized -- reaches the driver. Returns the groups that ran.
     """
+    from lakehook.sources.files import parquet_target
+
     work_items(matched, file_keys).write.mode("overwrite").parquet(work_path)
     work = spark.read.parquet(work_path)
-    fired = [(r["transform_id"], r["out_dataset_id"])
-             for r in work.select("transform_id", "out_dataset_id").distinct().collect()]
-    script_of = scripts if callable(scripts) else scripts.__getitem__
+    key = ["transform_id", "out_dataset_id"] if per_transform else ["src_file", "out_dataset_id"]
+    groups = [tuple(r) for r in work.select(*key).distinct().collect()]
+    script_text = scripts if callable(scripts) else scripts.__getitem__
 
-    def execute(item):
-        tid, out_ds = item
+    def execute(group):
         session = spark.newSession()
-        files = (session.read.parquet(work_path)
-                 .filter(F.col("transform_id") == F.lit(tid)).select(*file_keys))
-        data_reader(session).join(files, file_keys, "left_semi") \
+        mine = session.read.parquet(work_path)
+        for k, v in zip(key, group):
+            mine = mine.filter(F.col(k) == F.lit(v))
+        if per_transform:
+            src = mine.select("src_file").first()["src_file"]
+            out_file = f"t{group[0]}.parquet"
+        else:
+            src = group[0]
+            out_file = parquet_target(src.rsplit("/", 1)[-1])
+        data_reader(session).join(mine.select(*file_keys), file_keys, "inner") \
             .createOrReplaceTempView(TABLE_NAME)
-        result = session.sql(script_of(tid))
-        result = (result.withColumn(OUT_DATASET_COL, F.lit(out_ds).cast("long"))
-                  .withColumn(OUT_FILE_COL, F.lit(f"t{tid}.parquet")))
-        _write(result, out_root)
-        return tid
+        result = session.sql(script_text(src))
+        result = (result.withColumn(OUT_DATASET_COL, F.lit(group[-1]).cast("long"))
+                  .withColumn(OUT_FILE_COL, F.lit(out_file)))
+        _write(result, out_root, batch_id)
+        return group
 
     with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
-        return list(pool.map(execute, fired))
+        return list(pool.map(execute, groups))

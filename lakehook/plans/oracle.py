@@ -400,7 +400,7 @@ FROM reg WHERE transform_id >= 1000000""",
     "dispatch_batch_sql": f"""
 WITH {_LOG}, {_REG}, {_MATCHED}
 SELECT a.event_id, a.event_type, a.value * 2 AS value2, w.out_node_id AS out_dataset_id,
-       't' || CAST(w.transform_id AS VARCHAR) || '.parquet' AS out_file
+       'identity.parquet' AS out_file
 FROM (SELECT DISTINCT transform_id, out_node_id, user_id, node_id FROM work) w
 JOIN act a ON a.user_id = w.user_id AND a.node_id = w.node_id
 WHERE a.value > 100""",

@@ -91,7 +91,20 @@ def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType
         return res[[f.name for f in full.fields]]
 
     ship_package()
-    return df.groupBy(file_col).applyInPandas(run, full)
+    return _spread(df, [file_col]).groupBy(file_col).applyInPandas(run, full)
+
+
+def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition by the group keys into ``spark.sql.shuffle.partitions``
+    parts before a grouped pandas call.
+
+    The grouping reuses this partitioning (no second shuffle). Unlike a
+    plain ``groupBy`` shuffle, an explicit repartition is not coalesced by
+    AQE, whose size-based merging would otherwise put many Python groups of
+    a small input into one task and run them serially.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)
 
 
 def native_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -142,23 +155,29 @@ MAX_FILE_ROWS_IN_WORKER = 2_000_000
 
 def per_file_transform_routed(df: DataFrame, process_df: Callable, schema: T.StructType | str,
                               file_cols: list[str] | str = "source_file",
-                              max_file_rows: int = MAX_FILE_ROWS_IN_WORKER) -> DataFrame:
+                              max_file_rows: int = MAX_FILE_ROWS_IN_WORKER,
+                              large_files: list[tuple] | None = None) -> DataFrame:
     """T4 with a size guard: small files go through one grouped
     ``applyInPandas`` job; files above ``max_file_rows`` (counted with one
     aggregate pass) each run through :func:`pandas_transform`, so no file is
     ever collected into a single task. Results are unioned.
 
     ``file_cols`` may be several columns (a file identified by a composite
-    key); they are re-attached to every output row.
+    key); they are re-attached to every output row. Callers that already
+    know which files are large (e.g. from catalog sizes) pass
+    ``large_files`` and skip the counting pass.
     """
     keys = [file_cols] if isinstance(file_cols, str) else list(file_cols)
     out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     key_fields = [df.schema[k] for k in keys]
     full = T.StructType(key_fields + list(out_schema.fields))
 
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    large = [tuple(r[k] for k in keys)
-             for r in sizes.filter(F.col("__rows") > max_file_rows).collect()]
+    if large_files is None:
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+        large = [tuple(r[k] for k in keys)
+                 for r in sizes.filter(F.col("__rows") > max_file_rows).collect()]
+    else:
+        large = [tuple(x) for x in large_files]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ident = {k: pdf[k].iloc[0] for k in keys}
@@ -172,7 +191,7 @@ def per_file_transform_routed(df: DataFrame, process_df: Callable, schema: T.Str
         big_keys = df.sparkSession.createDataFrame(large, T.StructType(key_fields))
         small_df = df.join(big_keys, keys, "left_anti")
     ship_package()
-    parts = [small_df.groupBy(*keys).applyInPandas(run, full)]
+    parts = [_spread(small_df, keys).groupBy(*keys).applyInPandas(run, full)]
     for ident in large:
         cond = None
         for k, v in zip(keys, ident):

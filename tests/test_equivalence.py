@@ -83,3 +83,25 @@ def test_sql_transform_isolated_views(spark):
     assert TR.SQL_TEMPLATE.startswith("SELECT * FROM return_arrow_table")
     tiny = spark.createDataFrame([(1,)], "x long")
     assert TR.native_transform(tiny, lambda d: d.withColumn("y", F.col("x") + 1)).first()["y"] == 2
+
+
+def test_sql_dispatch_per_transform_mode(spark):
+    from lakehook.operators.match import match_triggers
+    from lakehook.plans import dispatch as D
+    from lakehook.plans import lake
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    log = lake.event_log(ev)
+    matched = match_triggers(log, lake.registrations(log))
+    script = "SELECT count(*) AS n, max(value) AS top FROM return_arrow_table"
+    out = scratch_path(spark, "sql-per-t")
+    ran = D.dispatch_sql(spark, matched, lambda s: lake.activity(s.read.parquet(f"{SMOKE_DIR}/events.parquet")),
+                         lake.ACTIVITY_FILE_KEYS, {"identity.sql": script}, out,
+                         work_path=scratch_path(spark, "sql-per-t-work"), per_transform=True)
+    got = D.read_outputs(spark, out)
+    # one aggregate row per fired transform, counting that transform's own files
+    assert got.count() == len(ran) == matched.select("transform_id").distinct().count()
+    want = (lake.activity(ev).join(D.work_items(matched, lake.ACTIVITY_FILE_KEYS),
+                                   lake.ACTIVITY_FILE_KEYS)
+            .groupBy("transform_id").count())
+    want = {f"t{r['transform_id']}.parquet": r["count"] for r in want.collect()}
+    assert {r["out_file"]: r["n"] for r in got.collect()} == want
