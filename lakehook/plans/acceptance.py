@@ -371,9 +371,9 @@ from lakehook.streaming.trigger_stream import start_dispatch_stream  # noqa: E40
 ORDERS_DDL = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
               "o_orderdate timestamp_ntz, o_orderpriority string")
 DISPATCH_OUT_DDL = ("user_id long, dataset_id long, transform_id long, event_id long, "
-                    "value_delta double, out_file string, out_dataset_id long, batch_id long")
+                    "value_delta double, out_file string, out_dataset_id long, batch_id long, job string")
 SQL_DISPATCH_OUT_DDL = ("event_id long, event_type string, value2 double, "
-                        "out_file string, out_dataset_id long, batch_id long")
+                        "out_file string, out_dataset_id long, batch_id long, job string")
 DISPATCH_SCRIPT = ("SELECT event_id, event_type, value * 2 AS value2 "
                    "FROM return_arrow_table a WHERE value > 100")
 

@@ -36,6 +36,7 @@ from lakehook.plans.transforms import (MAX_FILE_ROWS_IN_WORKER, TABLE_NAME,
 OUT_FILE_COL = "out_file"
 OUT_DATASET_COL = "out_dataset_id"
 BATCH_COL = "batch_id"
+JOB_COL = "job"
 
 
 def work_items(matched: DataFrame, file_keys: list[str]) -> DataFrame:
@@ -45,12 +46,16 @@ def work_items(matched: DataFrame, file_keys: list[str]) -> DataFrame:
     return matched.select(*file_keys, "transform_id", "out_dataset_id", *extra).distinct()
 
 
-def _write(result: DataFrame, out_root: str, batch_id: int) -> None:
+def _write(result: DataFrame, out_root: str, batch_id: int, job: str) -> None:
+    """Partitions are (dataset, batch, job): ``job`` names the writing job
+    deterministically, so jobs running concurrently never overwrite each
+    other's partitions, while a replay of the same job rewrites its own."""
     (result.withColumn(BATCH_COL, F.lit(batch_id).cast("long"))
+     .withColumn(JOB_COL, F.lit(job))
      .sortWithinPartitions(OUT_DATASET_COL, OUT_FILE_COL)
      .write.mode("overwrite")
      .option("partitionOverwriteMode", "dynamic")
-     .partitionBy(OUT_DATASET_COL, BATCH_COL)
+     .partitionBy(OUT_DATASET_COL, BATCH_COL, JOB_COL)
      .parquet(out_root))
 
 
@@ -63,7 +68,8 @@ def read_outputs(spark: SparkSession, out_root: str, schema: T.StructType | str
         reader = reader.schema(schema)
     out = reader.parquet(out_root)
     latest = out.groupBy(OUT_DATASET_COL, OUT_FILE_COL).agg(F.max(BATCH_COL).alias(BATCH_COL))
-    return out.join(latest, [OUT_DATASET_COL, OUT_FILE_COL, BATCH_COL], "left_semi").drop(BATCH_COL)
+    return (out.join(latest, [OUT_DATASET_COL, OUT_FILE_COL, BATCH_COL], "left_semi")
+            .drop(BATCH_COL, JOB_COL))
 
 
 def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
@@ -91,7 +97,7 @@ def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
     group = file_keys + ["transform_id", "out_dataset_id"]
     result = per_file_transform_routed(tagged, process_df, out_schema, group,
                                        max_file_rows=max_file_rows, large_files=large)
-    _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id)
+    _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id, "py")
 
 
 def dispatch_sql(spark: SparkSession, matched: DataFrame,
@@ -138,12 +144,13 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
         else:
             src = group[0]
             out_file = parquet_target(src.rsplit("/", 1)[-1])
+        job = f"sql-{out_file}"
         data_reader(session).join(mine.select(*file_keys), file_keys, "inner") \
             .createOrReplaceTempView(TABLE_NAME)
         result = session.sql(script_text(src))
         result = (result.withColumn(OUT_DATASET_COL, F.lit(group[-1]).cast("long"))
                   .withColumn(OUT_FILE_COL, F.lit(out_file)))
-        _write(result, out_root, batch_id)
+        _write(result, out_root, batch_id, job)
         return group
 
     with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
