@@ -57,35 +57,33 @@ def registrations(log: DataFrame) -> DataFrame:
     base = (log.select("user_id", "dataset_id")
             .filter((F.col("user_id") + F.col("dataset_id")) % 4 == 0)
             .distinct())
-    common = dict(in_service=F.lit(SERVICE_DATASETS), in_action=F.lit("POST"),
-                  in_object=F.lit(OBJECT_FILE), out_service=F.lit(SERVICE_DATASETS),
-                  out_object=F.lit(OBJECT_FILE))
+    u, d = F.col("user_id"), F.col("dataset_id")
 
-    def shape(df, tid, out_ds, out_action, enabled, script):
-        return df.select(
+    def shape(tid, out_ds, out_action, enabled):
+        return F.struct(
             tid.cast("long").alias("transform_id"),
-            F.col("user_id"),
+            u.alias("user_id"),
             F.concat(F.lit("t"), tid.cast("string")).alias("name"),
-            common["in_service"].alias("in_service"),
-            F.col("dataset_id").alias("in_dataset_id"),
-            common["in_action"].alias("in_action"),
-            common["in_object"].alias("in_object"),
-            common["out_service"].alias("out_service"),
+            F.lit(SERVICE_DATASETS).alias("in_service"),
+            d.alias("in_dataset_id"),
+            F.lit("POST").alias("in_action"),
+            F.lit(OBJECT_FILE).alias("in_object"),
+            F.lit(SERVICE_DATASETS).alias("out_service"),
             out_ds.cast("long").alias("out_dataset_id"),
             out_action.alias("out_action"),
-            common["out_object"].alias("out_object"),
-            F.lit(script).alias("src_file"),
+            F.lit(OBJECT_FILE).alias("out_object"),
+            F.lit("identity.sql").alias("src_file"),
             F.lit(200).cast("decimal(4,0)").alias("timeout"),
             enabled.alias("enabled"),
         )
 
-    u, d = F.col("user_id"), F.col("dataset_id")
-    primary = shape(base, u * 10 + d, (d + 1) % 10,
-                    F.when(d % 2 == 0, F.lit("POST")).otherwise(F.lit("PUT")),
-                    u % 5 != 0, "identity.sql")
-    secondary = shape(base.filter(d % 3 == 0), F.lit(1000000) + u * 10 + d, (d + 2) % 10,
-                      F.lit("POST"), F.lit(True), "identity.sql")
-    return primary.unionByName(secondary)
+    primary = shape(u * 10 + d, (d + 1) % 10,
+                    F.when(d % 2 == 0, F.lit("POST")).otherwise(F.lit("PUT")), u % 5 != 0)
+    secondary = F.when(d % 3 == 0, shape(F.lit(1000000) + u * 10 + d, (d + 2) % 10,
+                                          F.lit("POST"), F.lit(True)))
+    # both registrations of a pair come from one pass over the distinct pairs
+    both = F.filter(F.array(primary, secondary), lambda r: r.isNotNull())
+    return base.select(F.explode(both).alias("r")).select("r.*")
 
 
 def files_from_documents(documents: DataFrame, root: str = "/lake") -> DataFrame:
