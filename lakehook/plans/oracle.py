@@ -263,7 +263,8 @@ SELECT a.event_id, a.user_id, a.value FROM events a
 WHERE a.value >= (SELECT max(b.value) FROM events b
                   WHERE b.event_type = a.event_type AND b.user_id = a.user_id)
   AND EXISTS (SELECT 1 FROM events c WHERE c.user_id = a.user_id AND c.event_type = 'signup')
-  AND a.user_id NOT IN (SELECT d.user_id FROM events d WHERE d.event_type = 'error' AND d.value > 500)""",
+  AND NOT EXISTS (SELECT 1 FROM events d
+                  WHERE d.user_id = a.user_id AND d.event_type = 'error' AND d.value > 500)""",
     "sql_transform_d06_selfjoin": """
 SELECT a.event_id, a.user_id, s.n_events, s.n_types FROM events a
 JOIN (SELECT user_id, count(*) AS n_events, count(DISTINCT event_type) AS n_types

@@ -70,7 +70,7 @@ SELECT l_orderkey, l_linenumber, l_extendedprice
 FROM return_arrow_table
 ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber
 LIMIT 10"""),
-    # D6 correlated subquery, EXISTS, NOT IN
+    # D6 correlated subqueries: scalar, EXISTS, NOT EXISTS
     "sql_transform_d06": ("events", """
 SELECT a.event_id, a.user_id, a.value
 FROM return_arrow_table a
@@ -78,8 +78,8 @@ WHERE a.value >= (SELECT max(b.value) FROM return_arrow_table b
                   WHERE b.event_type = a.event_type AND b.user_id = a.user_id)
   AND EXISTS (SELECT 1 FROM return_arrow_table c
               WHERE c.user_id = a.user_id AND c.event_type = 'signup')
-  AND a.user_id NOT IN (SELECT d.user_id FROM return_arrow_table d
-                        WHERE d.event_type = 'error' AND d.value > 500)"""),
+  AND NOT EXISTS (SELECT 1 FROM return_arrow_table d
+                  WHERE d.user_id = a.user_id AND d.event_type = 'error' AND d.value > 500)"""),
     # D6 self-join against an aggregate of the same table
     "sql_transform_d06_selfjoin": ("events", """
 SELECT a.event_id, a.user_id, s.n_events, s.n_types
