@@ -66,7 +66,8 @@ def _key_condition(log: DataFrame, regs: DataFrame) -> Column:
     return cond
 
 
-def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first") -> DataFrame:
+def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
+                   salt_buckets: int = 0) -> DataFrame:
     """Pending events joined to the registration that fires for them.
 
     ``policy="first"`` (default) keeps the reference rule -- one registration
@@ -77,6 +78,13 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first")
     inner equi-join on the trigger key; the planner (with AQE) broadcasts the
     registration side when it is measured small and splits skewed keys
     otherwise.
+
+    ``salt_buckets > 0`` salts the join explicitly (for clusters running
+    without AQE skew handling): every event gets a bucket from a hash of its
+    id, and each registration row -- one per key after ranking, so cheap to
+    copy -- is replicated into all buckets with ``explode``. A key holding a
+    large share of the events is then spread over that many tasks. The
+    result is identical.
     """
     if policy == "first":
         regs = dispatchable(first_registration_per_key(transforms))
@@ -86,9 +94,19 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first")
     else:
         raise ValueError(f"unknown policy {policy!r}")
     events = pending(log)
-    joined = events.join(regs, _key_condition(events, regs), "inner")
-    return joined.drop(*[regs[r] for l, r in TRIGGER_KEY if l != r] +
-                       [regs[r] for l, r in TRIGGER_KEY if l == r])
+    if salt_buckets > 0:
+        events = events.withColumn(
+            "__salt", F.pmod(F.xxhash64("log_id"), F.lit(salt_buckets)).cast("int"))
+        regs = regs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salt_buckets - 1))))
+    cond = _key_condition(events, regs)
+    if salt_buckets > 0:
+        cond = cond & (events["__salt"] == regs["__salt"])
+    joined = events.join(regs, cond, "inner")
+    joined = joined.drop(*[regs[r] for l, r in TRIGGER_KEY if l != r] +
+                         [regs[r] for l, r in TRIGGER_KEY if l == r])
+    if salt_buckets > 0:
+        joined = joined.drop(events["__salt"]).drop(regs["__salt"])
+    return joined
 
 
 def gate(log: DataFrame, transforms: DataFrame) -> DataFrame:

@@ -233,3 +233,28 @@ def test_quality_rules(spark):
     assert summary == {"len": (1, 2), "chars": (1, 2), "sep": (1, 2), "bal": (1, 2)}
     flags = Q.evaluate(df, rules).select("passed_all").collect()
     assert [r[0] for r in flags] == [True, False, False]
+
+
+def test_match_with_hot_user_and_salting(spark):
+    """One user holds a third of all events; plain, AQE-skew and salted joins agree."""
+    from pyspark.sql import functions as F
+    n = 6000
+    log = (spark.range(n).select(
+        F.col("id").alias("log_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50 + 100).cast("long").alias("user_id"),
+        F.lit("cortex").alias("service"), (F.col("id") % 4).alias("dataset_id"),
+        F.lit("POST").alias("action"), F.lit("file").alias("object"),
+        F.lit(False).alias("is_transform_output"), F.lit(False).alias("processed")))
+    users = log.select("user_id", "dataset_id").distinct()
+    regs = users.select(
+        (F.col("user_id") * 10 + F.col("dataset_id")).alias("transform_id"), "user_id",
+        F.lit("cortex").alias("in_service"), F.col("dataset_id").alias("in_dataset_id"),
+        F.lit("POST").alias("in_action"), F.lit("file").alias("in_object"),
+        ((F.col("dataset_id") + 1) % 4).alias("out_dataset_id"), F.lit("POST").alias("out_action"),
+        F.lit(True).alias("enabled"))
+    plain = sorted(tuple(r) for r in match_triggers(log, regs).select("log_id", "transform_id").collect())
+    salted = sorted(tuple(r) for r in match_triggers(log, regs, salt_buckets=16)
+                    .select("log_id", "transform_id").collect())
+    assert len(plain) == n and plain == salted
+    hot = [t for l, t in plain if l % 3 == 0]
+    assert len(hot) == n // 3 and all(t // 10 == 7 for t in hot)
