@@ -113,9 +113,16 @@ def json_field(json_text: Column | str, path: str) -> Column:
 
 def local_time(ts_utc: Column | str, zone: str = "America/Denver") -> Column:
     """wall-clock time in ``zone`` (default US Mountain), naive, second
-    precision."""
-    local = F.from_utc_timestamp(_c(ts_utc).cast("timestamp"), zone)
-    return F.date_trunc("second", local).cast("timestamp_ntz")
+    precision, of a naive UTC timestamp."""
+    ts = _c(ts_utc)
+    ntz = ts.cast("timestamp_ntz") if isinstance(ts_utc, str) else ts
+    # convert_timezone works on wall-clock values, independent of the
+    # session time zone
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), ntz)
+    # second precision by formatting and parsing the wall-clock value, so no
+    # step passes through the session time zone (date_trunc would)
+    return F.to_timestamp_ntz(F.date_format(local, "yyyy-MM-dd HH:mm:ss"),
+                              F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
 def age_days(as_of: Column | str, created: Column | str) -> Column:

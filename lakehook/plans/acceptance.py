@@ -509,10 +509,12 @@ def ingest_q(spark, sf_dir):
     empty = spark.createDataFrame([], TR_FILES_SCHEMA)
     ds_root = scratch_path(spark, "dataset")
     t1, t2 = datetime(2024, 3, 1), datetime(2024, 3, 2)
-    snap1, ev1 = IO.ingest(spark, land, empty, ds_root, 1, 7, "owner1", t1, 1, 1)
+    snap1, ev1 = IO.ingest(spark, land, empty, ds_root, 1, 7, "owner1", t1, 1, 1,
+                           csv_schema=ORDERS_DDL)
     snap1 = snap1.checkpoint(eager=True)  # cut lineage before re-reading the dataset
     again = land.filter(F.col("name") == "orders_F.csv")
-    snap2, ev2 = IO.ingest(spark, again, snap1, ds_root, 1, 7, "owner1", t2, 4, 4)
+    snap2, ev2 = IO.ingest(spark, again, snap1, ds_root, 1, 7, "owner1", t2, 4, 4,
+                           csv_schema=ORDERS_DDL)
     events = ev1.unionByName(ev2)
     per_file = events.groupBy(S.json_field("object_details", "$.name").alias("file_name")) \
         .agg(F.count(F.lit(1)).alias("n_events"))

@@ -279,8 +279,8 @@ WHERE a.event_type = 'purchase'""",
 UNION
 SELECT user_id FROM events WHERE value > 550""",
     "sql_transform_d08": """
-SELECT doc_id, upper(source) AS src, length(text) AS n_chars,
-       length(text) - length(replace(text, '.', '')) AS n_periods,
+SELECT doc_id, upper(source) AS src, CAST(length(text) AS INTEGER) AS n_chars,
+       CAST(length(text) - length(replace(text, '.', '')) AS INTEGER) AS n_periods,
        CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines,
        concat_ws('-', lang, source) AS tag,
        regexp_replace(lower(lang), '[aeiou]', '*', 'g') AS masked_lang,

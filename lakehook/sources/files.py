@@ -147,7 +147,9 @@ def log_rows(df: DataFrame, created: datetime | None = None) -> DataFrame:
     ``log_id, user_id, action, dataset_id``; the other columns get their
     defaults (service 'cortex', object 'file', not processed). The creation
     time is the given instant, else now as US Mountain wall-clock."""
-    ts = F.lit(created).cast("timestamp_ntz") if created is not None else S.local_time(F.current_timestamp())
+    now_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
+                                 F.localtimestamp())
+    ts = F.lit(created).cast("timestamp_ntz") if created is not None else S.local_time(now_utc)
     defaults = {
         "created_timestamp": ts,
         "description": F.lit(None).cast("string"),
@@ -175,18 +177,21 @@ def append_events(rows: DataFrame, log_path: str) -> None:
 
 def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_root: str,
            user_id: int, dataset_id: int, owner: str, now: datetime,
-           next_file_id: int, next_log_id: int):
+           next_file_id: int, next_log_id: int, csv_schema=None):
     """Land files into a dataset, upsert the catalog, log new uploads.
 
     ``landing`` lists ``(name, landing_path, file_extension)`` of the files to
     ingest. Each file is copied (as Parquet) under ``dataset_root`` with the
     same base name; the catalog gets a new row per new path, or only a new
     modification time for an existing one -- and only new paths produce a
-    POST event. Returns ``(catalog_snapshot, new_events)`` as DataFrames.
+    POST event. CSV files are read with ``csv_schema`` when given, else
+    with inferred types. Returns ``(catalog_snapshot, new_events)`` as
+    DataFrames.
     """
     written = []
     for r in landing.collect():   # one row per landed file (metadata only)
-        src = read_files(spark, {r["file_extension"].lower(): [r["landing_path"]]}).drop(SOURCE_FILE_COL)
+        src = read_files(spark, {r["file_extension"].lower(): [r["landing_path"]]},
+                         csv_schema).drop(SOURCE_FILE_COL)
         target = write_parquet(src, f"{dataset_root.rstrip('/')}/{r['name']}")
         written.append((r["name"], target))
     landed = spark.createDataFrame(written, "name string, path string")
