@@ -11,7 +11,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakehook.operators.joins import broadcast_if_small
 
 
 def due_transitions(datasets: DataFrame, rules: DataFrame, transitions: DataFrame,
@@ -36,9 +35,11 @@ def apply_transitions(files: DataFrame, due: DataFrame, as_of: Column | str,
     """M7: new storage class of every file (unchanged when nothing is due)."""
     as_of_col = F.to_date(F.lit(as_of)) if isinstance(as_of, str) else as_of
     aged = files.withColumn("__age", F.datediff(as_of_col, F.col(created_col)))
-    d = broadcast_if_small(due.select(
+    # ``due`` is derived (joins + an aggregate); AQE measures it after its
+    # shuffle and broadcasts it then if it is small, so no probe re-runs it.
+    d = due.select(
         F.col(dataset_key).alias("__ds"), F.col("days_till_transition").alias("__days"),
-        F.col("transition_to").alias("__to")))
+        F.col("transition_to").alias("__to"))
     joined = aged.join(d, (aged[dataset_key] == d["__ds"]) & (aged["__age"] == d["__days"]), "left")
     return (joined.withColumn(class_col, F.coalesce(F.col("__to"), F.col(class_col)))
             .drop("__age", "__ds", "__days", "__to"))
