@@ -620,6 +620,21 @@ def dispatch_stream(spark, sf_dir):
 
 from lakehook.schemas import FILES as TR_FILES_SCHEMA  # noqa: E402
 
+
+def dispatch_record(spark, sf_dir):
+    """T7 catalog side (M3 + S8): output files of a dispatched batch enter the
+    catalog and are logged as transform output; returns those events."""
+    from datetime import datetime
+
+    log, regs, _ = _dispatch_inputs(spark, sf_dir)
+    work = D.work_items(match_triggers(log, regs), lake.ACTIVITY_FILE_KEYS)
+    empty = spark.createDataFrame([], TR_FILES_SCHEMA)
+    _, events = D.record_outputs(work, lake.activity_file_name(), "/lake/out", empty,
+                                 datetime(2024, 3, 1), 1, 1)
+    return events.select("user_id", "dataset_id", "action",
+                         S.json_field("object_details", "$.name").alias("object_name"),
+                         "is_transform_output")
+
 QUERIES.update({
     "python_transform": python_transform,
     "python_identity": python_identity,
@@ -637,4 +652,5 @@ QUERIES.update({
     "dispatch_batch": dispatch_batch,
     "dispatch_batch_sql": dispatch_batch_sql,
     "dispatch_stream": dispatch_stream,
+    "dispatch_record": dispatch_record,
 })

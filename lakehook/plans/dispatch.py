@@ -155,3 +155,46 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
 
     with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
         return list(pool.map(execute, groups))
+
+
+def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: DataFrame,
+                   now, next_file_id: int, next_log_id: int):
+    """Catalog side of a dispatched batch (M3 + S8 for transform output).
+
+    ``work`` holds the batch's work items (with ``user_id``); ``file_name``
+    gives each item's output file name. Every output file is upserted into
+    the ``files`` catalog keyed by (user, dataset, path): a path seen before
+    only gets a new modification time, a new one gets a row and one POST
+    event flagged ``is_transform_output`` -- the gate and the matcher skip
+    such events, so transform output never triggers another transform.
+    Returns ``(catalog_snapshot, output_events)``.
+    """
+    from lakehook.functions import scalars as S
+    from lakehook.operators.mutate import upsert
+    from lakehook.sources.files import log_rows
+
+    ts = F.lit(now).cast("timestamp_ntz")
+    outs = work.select("user_id", F.col("out_dataset_id").alias("dataset_id"),
+                       file_name.alias("name")).distinct()
+    path = F.concat_ws("/", F.lit(out_root.rstrip("/")),
+                       F.concat(F.lit(f"{OUT_DATASET_COL}="), F.col("dataset_id").cast("string")),
+                       F.col("name"))
+    incoming = outs.select(
+        F.col("user_id").cast("long"), F.col("dataset_id").cast("long"),
+        (F.lit(next_file_id) + F.monotonically_increasing_id()).cast("long").alias("file_id"),
+        "name", path.alias("path"), F.lit(None).cast("string").alias("owner"),
+        ts.alias("creation_date"), ts.alias("last_modified"),
+        F.lit(None).cast("string").alias("size"), F.lit(None).cast("long").alias("size_bytes"),
+        S.file_extension("name").alias("file_extension"),
+        F.array().cast("array<string>").alias("tags"), F.lit("hot").alias("storage_class"))
+    keys = ["user_id", "dataset_id", "path"]
+    snapshot = upsert(files.select(*incoming.columns), incoming, keys)
+    new = incoming.join(files.select(*keys), keys, "left_anti")
+    events = log_rows(new.select(
+        (F.lit(next_log_id) + F.monotonically_increasing_id()).alias("log_id"),
+        "user_id", F.lit("POST").alias("action"), "dataset_id",
+        F.lit("transformOutput").alias("description"),
+        S.to_json_object("name", "path", "creation_date", "last_modified", "file_extension",
+                         iso_dates=("creation_date", "last_modified")).alias("object_details"),
+        F.lit(True).alias("is_transform_output")), created=now)
+    return snapshot, events

@@ -406,3 +406,10 @@ FROM (SELECT DISTINCT transform_id, out_node_id, user_id, node_id FROM work) w
 JOIN act a ON a.user_id = w.user_id AND a.node_id = w.node_id
 WHERE a.value > 100""",
 })
+
+ORACLES["dispatch_record"] = f"""
+WITH {_LOG}, {_REG}, {_MATCHED}
+SELECT DISTINCT user_id, out_node_id AS dataset_id, 'POST' AS action,
+       'u' || CAST(user_id AS VARCHAR) || '_d' || CAST(node_id AS VARCHAR) || '.parquet' AS object_name,
+       true AS is_transform_output
+FROM work"""

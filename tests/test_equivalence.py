@@ -105,3 +105,33 @@ def test_sql_dispatch_per_transform_mode(spark):
             .groupBy("transform_id").count())
     want = {f"t{r['transform_id']}.parquet": r["count"] for r in want.collect()}
     assert {r["out_file"]: r["n"] for r in got.collect()} == want
+
+
+def test_transform_output_never_retriggers(spark):
+    """Output events land in the log flagged as transform output; a
+    registration listening on the output dataset does not fire for them,
+    while a plain upload to the same dataset does."""
+    from datetime import datetime
+    from lakehook.operators.match import match_triggers
+    from lakehook.plans import dispatch as D
+    from lakehook.schemas import FILES
+    work = spark.createDataFrame([(1, 3, 10, 4, "identity.sql")],
+                                 "user_id long, dataset_id long, transform_id long, "
+                                 "out_dataset_id long, src_file string")
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".parquet"))
+    snap, events = D.record_outputs(work, name, "/lake/out", spark.createDataFrame([], FILES),
+                                    datetime(2024, 1, 1), 1, 100)
+    assert snap.count() == 1 and events.first()["is_transform_output"] is True
+    upload = events.withColumn("log_id", F.lit(101).cast("long")) \
+        .withColumn("is_transform_output", F.lit(False))
+    log = events.unionByName(upload)
+    regs = spark.createDataFrame(
+        [(20, 1, "cortex", 4, "POST", "file", 5, "POST", True)],
+        "transform_id long, user_id long, in_service string, in_dataset_id long, in_action string, "
+        "in_object string, out_dataset_id long, out_action string, enabled boolean")
+    fired = [r["log_id"] for r in match_triggers(log, regs).collect()]
+    assert fired == [101]
+    # recording the same outputs again adds no event and keeps one catalog row
+    snap2, events2 = D.record_outputs(work, name, "/lake/out", snap, datetime(2024, 1, 2), 2, 200)
+    assert events2.count() == 0 and snap2.count() == 1
+    assert snap2.first()["last_modified"] == datetime(2024, 1, 2)
