@@ -39,6 +39,14 @@ def pending(log: DataFrame) -> DataFrame:
     return log.filter(~F.col("processed") & ~F.coalesce(F.col("is_transform_output"), F.lit(False)))
 
 
+def _dispatchable_event(log: DataFrame):
+    """An event can only be dispatched when it names its object (a log row
+    with NULL object details has no file to read)."""
+    if "object_details" in log.columns:
+        return F.col("object_details").isNotNull()
+    return F.lit(True)
+
+
 def first_registration_per_key(transforms: DataFrame,
                                payload: tuple[str, ...] = MATCH_PAYLOAD) -> DataFrame:
     """Lowest-id registration of every trigger key (ties are impossible: ids
@@ -93,7 +101,7 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
         regs = dispatchable(transforms.select(*dict.fromkeys(keep)))
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    events = pending(log)
+    events = pending(log).filter(_dispatchable_event(log))
     if salt_buckets > 0:
         events = events.withColumn(
             "__salt", F.pmod(F.xxhash64("log_id"), F.lit(salt_buckets)).cast("int"))
@@ -109,6 +117,36 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
     return joined
 
 
+STATUS_DISPATCHED = "dispatched"
+STATUS_DISABLED = "disabled"
+STATUS_OUTPUT_NOT_POST = "output_not_post"
+STATUS_NO_OBJECT = "no_object"
+STATUS_NO_REGISTRATION = "no_registration"
+
+
+def match_report(log: DataFrame, transforms: DataFrame) -> DataFrame:
+    """Every pending event with the registration that ranks first for it and
+    what happened: ``dispatched``, ``disabled`` (the first registration is
+    disabled, even if a later one is enabled), ``output_not_post`` (output
+    action PUT is registered but never runs), ``no_object`` (no object
+    details to read) or ``no_registration``.
+
+    One left join of the events with the ranked registration side, so the
+    report costs the same as the match itself.
+    """
+    regs = first_registration_per_key(transforms)
+    events = pending(log)
+    if "object_details" not in events.columns:
+        events = events.withColumn("object_details", F.lit("{}"))
+    joined = events.join(regs, _key_condition(events, regs), "left")
+    status = (F.when(regs["transform_id"].isNull(), F.lit(STATUS_NO_REGISTRATION))
+              .when(~F.coalesce(regs["enabled"], F.lit(False)), F.lit(STATUS_DISABLED))
+              .when(regs["out_action"] != F.lit(DISPATCH_ACTION), F.lit(STATUS_OUTPUT_NOT_POST))
+              .when(events["object_details"].isNull(), F.lit(STATUS_NO_OBJECT))
+              .otherwise(F.lit(STATUS_DISPATCHED)))
+    return joined.select(events["log_id"], regs["transform_id"], status.alias("status"))
+
+
 def gate(log: DataFrame, transforms: DataFrame) -> DataFrame:
     """Events on a dataset that has at least one registration (any user),
     excluding transform output. A semi join against the distinct registered

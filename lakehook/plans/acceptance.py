@@ -38,7 +38,7 @@ from lakehook.operators import lifecycle as LC  # noqa: E402
 from lakehook.operators import lookup as L  # noqa: E402
 from lakehook.operators import mutate as M  # noqa: E402
 from lakehook.operators import quality as Q  # noqa: E402
-from lakehook.operators.match import gate, mark_processed  # noqa: E402
+from lakehook.operators.match import gate, mark_processed, match_report  # noqa: E402
 
 # Fixed parameters of the acceptance queries.
 FIB_K = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]
@@ -149,6 +149,12 @@ def trigger_gate(spark, sf_dir):
         "log_id", F.col("dataset_id").alias("node_id"))
 
 
+def trigger_report(spark, sf_dir):
+    """J2 report: every pending event, its first registration and status."""
+    log = _log(spark, sf_dir)
+    return match_report(log, lake.registrations(log))
+
+
 def registration_counts(spark, sf_dir):
     """A1: registrations per input dataset."""
     regs = lake.registrations(_log(spark, sf_dir))
@@ -323,6 +329,7 @@ QUERIES.update({
     "id_to_name": id_to_name,
     "owned_lookup": owned_lookup,
     "trigger_gate": trigger_gate,
+    "trigger_report": trigger_report,
     "registration_counts": registration_counts,
     "first_per_key": first_per_key,
     "cascade_delete": cascade_delete,

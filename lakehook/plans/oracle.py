@@ -413,3 +413,17 @@ SELECT DISTINCT user_id, out_node_id AS dataset_id, 'POST' AS action,
        'u' || CAST(user_id AS VARCHAR) || '_d' || CAST(node_id AS VARCHAR) || '.parquet' AS object_name,
        true AS is_transform_output
 FROM work"""
+
+ORACLES["trigger_report"] = f"""
+WITH {_LOG}, {_REG},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY user_id, in_node_id, in_action
+                                        ORDER BY transform_id) AS rn FROM reg),
+first AS (SELECT * FROM ranked WHERE rn = 1)
+SELECT l.log_id, f.transform_id,
+       CASE WHEN f.transform_id IS NULL THEN 'no_registration'
+            WHEN NOT coalesce(f.enabled, false) THEN 'disabled'
+            WHEN f.out_action <> 'POST' THEN 'output_not_post'
+            ELSE 'dispatched' END AS status
+FROM log l LEFT JOIN first f
+  ON l.user_id = f.user_id AND l.node_id = f.in_node_id AND l.action = f.in_action
+WHERE NOT l.processed"""

@@ -258,3 +258,24 @@ def test_match_with_hot_user_and_salting(spark):
     assert len(plain) == n and plain == salted
     hot = [t for l, t in plain if l % 3 == 0]
     assert len(hot) == n // 3 and all(t // 10 == 7 for t in hot)
+
+
+def test_match_report_statuses(spark):
+    from lakehook.operators.match import match_report
+    log = spark.createDataFrame(
+        [(1, 7, "cortex", 3, "POST", "file", False, False, "{}"),
+         (2, 7, "cortex", 4, "POST", "file", False, False, "{}"),
+         (3, 7, "cortex", 5, "POST", "file", False, False, "{}"),
+         (4, 7, "cortex", 6, "POST", "file", False, False, None),
+         (5, 7, "cortex", 9, "POST", "file", False, False, "{}")],
+        LOG_DDL + ", object_details string")
+    regs = _regs(spark, [(10, 7, "cortex", 3, "POST", "file", 4, "POST", False),
+                         (11, 7, "cortex", 3, "POST", "file", 4, "POST", True),
+                         (20, 7, "cortex", 4, "POST", "file", 5, "PUT", True),
+                         (30, 7, "cortex", 5, "POST", "file", 6, "POST", True),
+                         (40, 7, "cortex", 6, "POST", "file", 7, "POST", True)])
+    got = {r["log_id"]: (r["transform_id"], r["status"]) for r in match_report(log, regs).collect()}
+    assert got == {1: (10, "disabled"), 2: (20, "output_not_post"), 3: (30, "dispatched"),
+                   4: (40, "no_object"), 5: (None, "no_registration")}
+    fired = [r["log_id"] for r in match_triggers(log, regs).collect()]
+    assert fired == [3]
