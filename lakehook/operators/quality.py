@@ -11,10 +11,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Length bounds used by the lake's own validators.
+# Bounds used by the lake's own validators.
 DATASET_NAME_LENGTH = (3, 63)
 USER_NAME_LENGTH = (8, 32)
 TRANSFORM_NAME_LENGTH = (1, 64)
+MIN_DISTINCT_CHARS = 5
+MAX_TIMEOUT = 1500
 
 
 @dataclass(frozen=True)

@@ -317,7 +317,21 @@ def quality_checks(spark, sf_dir):
     return Q.summarize(table(spark, sf_dir, "customer"), rules)
 
 
+def quality_transforms(spark, sf_dir):
+    """Q1 on the registration catalog: name length and timeout bound."""
+    regs = lake.registrations(_log(spark, sf_dir)).withColumn(
+        "name", F.concat(F.lit("transform "), F.col("name"), F.lit(" of user "),
+                         F.col("user_id").cast("string"), F.lit(" on dataset "),
+                         F.col("in_dataset_id").cast("string"), F.lit(" writing to dataset "),
+                         F.col("out_dataset_id").cast("string")))
+    rules = [Q.length_between("name_length", "name", *Q.TRANSFORM_NAME_LENGTH),
+             Q.at_most("timeout_bound", "timeout", Q.MAX_TIMEOUT),
+             Q.min_distinct_chars("name_distinct_chars", "name", Q.MIN_DISTINCT_CHARS)]
+    return Q.summarize(regs, rules)
+
+
 QUERIES.update({
+    "quality_transforms": quality_transforms,
     "predicate_conj": predicate_conj,
     "path_functions": path_functions,
     "distinct_paths": distinct_paths,

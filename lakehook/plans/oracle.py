@@ -427,3 +427,20 @@ SELECT l.log_id, f.transform_id,
 FROM log l LEFT JOIN first f
   ON l.user_id = f.user_id AND l.node_id = f.in_node_id AND l.action = f.in_action
 WHERE NOT l.processed"""
+
+ORACLES["quality_transforms"] = f"""
+WITH {_LOG}, {_REG},
+r AS (SELECT 'transform t' || CAST(transform_id AS VARCHAR) || ' of user ' || CAST(user_id AS VARCHAR)
+             || ' on dataset ' || CAST(in_node_id AS VARCHAR) || ' writing to dataset '
+             || CAST(out_node_id AS VARCHAR) AS name,
+             CAST(200 AS DECIMAL(4,0)) AS timeout FROM reg)
+SELECT 'name_length' AS rule,
+       count(*) FILTER (WHERE coalesce(length(name) BETWEEN 1 AND 64, false)) AS n_pass,
+       count(*) FILTER (WHERE NOT coalesce(length(name) BETWEEN 1 AND 64, false)) AS n_fail FROM r
+UNION ALL
+SELECT 'timeout_bound', count(*) FILTER (WHERE coalesce(timeout <= 1500, false)),
+       count(*) FILTER (WHERE NOT coalesce(timeout <= 1500, false)) FROM r
+UNION ALL
+SELECT 'name_distinct_chars',
+       count(*) FILTER (WHERE coalesce(length(list_distinct(string_split(name, ''))) >= 5, false)),
+       count(*) FILTER (WHERE NOT coalesce(length(list_distinct(string_split(name, ''))) >= 5, false)) FROM r"""

@@ -188,12 +188,16 @@ def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_ro
     with inferred types. Returns ``(catalog_snapshot, new_events)`` as
     DataFrames.
     """
-    written = []
-    for r in landing.collect():   # one row per landed file (metadata only)
+    from concurrent.futures import ThreadPoolExecutor
+
+    def copy(r):
         src = read_files(spark, {r["file_extension"].lower(): [r["landing_path"]]},
                          csv_schema).drop(SOURCE_FILE_COL)
-        target = write_parquet(src, f"{dataset_root.rstrip('/')}/{r['name']}")
-        written.append((r["name"], target))
+        return r["name"], write_parquet(src, f"{dataset_root.rstrip('/')}/{r['name']}")
+
+    # one row per landed file (metadata only); the copies run as concurrent jobs
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        written = list(pool.map(copy, landing.collect()))
     landed = spark.createDataFrame(written, "name string, path string")
     ts = F.lit(now).cast("timestamp_ntz")
     incoming = landed.select(
