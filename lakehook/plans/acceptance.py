@@ -642,6 +642,37 @@ def dispatch_stream(spark, sf_dir):
 from lakehook.schemas import FILES as TR_FILES_SCHEMA  # noqa: E402
 
 
+def _catalog_from_documents(spark, sf_dir):
+    f = _files(spark, sf_dir)
+    created = F.col("created").cast("timestamp_ntz")
+    return f.select(
+        F.lit(1).cast("long").alias("user_id"),
+        F.regexp_extract("dataset", r"(\d+)$", 1).cast("long").alias("dataset_id"),
+        "file_id", "name", "path", F.lit("owner1").alias("owner"),
+        created.alias("creation_date"), created.alias("last_modified"),
+        S.human_size("size_bytes").alias("size"), "size_bytes",
+        S.file_extension("name").alias("file_extension"),
+        S.split_tags(F.concat_ws(",", "lang", "dataset")).alias("tags"),
+        F.lit("hot").alias("storage_class"))
+
+
+def update_tags(spark, sf_dir):
+    """M2 + F12 + S8: German files get new tags; each update is a PUT event
+    (which PUT-triggered transforms can match)."""
+    from datetime import datetime
+
+    files = _catalog_from_documents(spark, sf_dir)
+    changes = (files.filter(S.file_extension(F.regexp_replace("name", r"\.txt$", "")) == "de")
+               .select("user_id", "dataset_id", "path",
+                       F.concat_ws(",", F.lit("de"), F.lit("reviewed"), F.lit(""),
+                                   F.element_at("tags", 2)).alias("tags_text")))
+    _, events = IO.update_file_tags(files, changes, datetime(2024, 3, 1), 1)
+    return events.select("dataset_id", "action",
+                         S.json_field("object_details", "$.path").alias("path"),
+                         F.array_join(F.from_json(F.get_json_object("object_details", "$.tags"),
+                                                  "array<string>"), "|").alias("tags"))
+
+
 def dispatch_record(spark, sf_dir):
     """T7 catalog side (M3 + S8): output files of a dispatched batch enter the
     catalog and are logged as transform output; returns those events."""
@@ -674,4 +705,5 @@ QUERIES.update({
     "dispatch_batch_sql": dispatch_batch_sql,
     "dispatch_stream": dispatch_stream,
     "dispatch_record": dispatch_record,
+    "update_tags": update_tags,
 })

@@ -444,3 +444,9 @@ UNION ALL
 SELECT 'name_distinct_chars',
        count(*) FILTER (WHERE coalesce(length(list_distinct(string_split(name, ''))) >= 5, false)),
        count(*) FILTER (WHERE NOT coalesce(length(list_distinct(string_split(name, ''))) >= 5, false)) FROM r"""
+
+ORACLES["update_tags"] = f"""
+WITH {_FILES}
+SELECT CAST(regexp_extract(dataset, '(\\d+)$', 1) AS BIGINT) AS dataset_id, 'PUT' AS action, path,
+       'de|reviewed|' || dataset AS tags
+FROM files WHERE lang = 'de'"""

@@ -220,3 +220,24 @@ def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_ro
                          "file_extension", iso_dates=("creation_date", "last_modified"))
         .alias("object_details")), created=now)
     return snapshot, events
+
+
+def update_file_tags(files: DataFrame, changes: DataFrame, now: datetime, next_log_id: int):
+    """Tag update of catalog files (M2 + F12), logged as PUT events.
+
+    ``changes`` holds ``user_id, dataset_id, path, tags_text`` (comma
+    separated; empty entries dropped). The file is found by its stored path,
+    so the PUT event is always produced and PUT-triggered transforms can
+    fire. Returns ``(catalog_snapshot, put_events)``.
+    """
+    keys = ["user_id", "dataset_id", "path"]
+    ch = changes.select(*keys, S.split_tags("tags_text").alias("tags"))
+    snapshot = M.update_rows(files, ch, keys, {
+        "tags": F.col("new_tags"), "last_modified": F.lit(now).cast("timestamp_ntz")})
+    hit = files.select(*keys, "name").join(ch, keys, "inner")
+    events = log_rows(hit.select(
+        (F.lit(next_log_id) + F.monotonically_increasing_id()).alias("log_id"),
+        "user_id", F.lit("PUT").alias("action"), "dataset_id",
+        F.lit("updateFile").alias("description"),
+        S.to_json_object("name", "path", "tags").alias("object_details")), created=now)
+    return snapshot, events

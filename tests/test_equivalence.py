@@ -135,3 +135,23 @@ def test_transform_output_never_retriggers(spark):
     snap2, events2 = D.record_outputs(work, name, "/lake/out", snap, datetime(2024, 1, 2), 2, 200)
     assert events2.count() == 0 and snap2.count() == 1
     assert snap2.first()["last_modified"] == datetime(2024, 1, 2)
+
+
+def test_tag_update_emits_put_that_triggers(spark):
+    from datetime import datetime
+    from lakehook.operators.match import match_triggers
+    from lakehook.schemas import FILES
+    files = spark.createDataFrame(
+        [(1, 3, 10, "a.csv", "/lake/1/3/a.csv", "o", datetime(2024, 1, 1), datetime(2024, 1, 1),
+          "1 bytes", 1, "csv", ["x"], "hot")], FILES)
+    changes = spark.createDataFrame([(1, 3, "/lake/1/3/a.csv", "y,,z"), (1, 3, "/lake/1/3/missing", "q")],
+                                    "user_id long, dataset_id long, path string, tags_text string")
+    snap, events = IO.update_file_tags(files, changes, datetime(2024, 2, 1), 50)
+    row = snap.first()
+    assert row["tags"] == ["y", "z"] and row["last_modified"] == datetime(2024, 2, 1)
+    assert [(r["action"], r["log_id"]) for r in events.collect()] == [("PUT", 50)]
+    regs = spark.createDataFrame(
+        [(7, 1, "cortex", 3, "PUT", "file", 4, "POST", True)],
+        "transform_id long, user_id long, in_service string, in_dataset_id long, in_action string, "
+        "in_object string, out_dataset_id long, out_action string, enabled boolean")
+    assert [r["transform_id"] for r in match_triggers(events, regs).collect()] == [7]
