@@ -87,16 +87,21 @@ def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
     over ``file_keys`` giving the output file name.
     """
     work = work_items(matched, file_keys).checkpoint(eager=True)
+    group = file_keys + ["transform_id", "out_dataset_id"]
+    # sizes from the data's key columns only, per file, then per work item
     files = work.select(*file_keys).distinct()
     sizes = (data.select(*file_keys).join(files, file_keys, "left_semi")
              .groupBy(*file_keys).agg(F.count(F.lit(1)).alias("__rows")))
-    large_keys = sizes.filter(F.col("__rows") > max_file_rows).select(*file_keys)
-    large = [tuple(r) for r in work.join(large_keys, file_keys, "left_semi")
-             .select(*file_keys, "transform_id", "out_dataset_id").collect()]
+    per_item = work.join(sizes, file_keys).select(*group, "__rows")
+    summary = per_item.agg(
+        F.coalesce(F.sum(F.when(F.col("__rows") <= max_file_rows, F.col("__rows"))),
+                   F.lit(0)).alias("small_rows"),
+        F.collect_list(F.when(F.col("__rows") > max_file_rows, F.struct(*group))).alias("large"),
+    ).first()
+    plan = ([tuple(r) for r in summary["large"]], int(summary["small_rows"]))
     tagged = data.join(work, file_keys, "inner")
-    group = file_keys + ["transform_id", "out_dataset_id"]
     result = per_file_transform_routed(tagged, process_df, out_schema, group,
-                                       max_file_rows=max_file_rows, large_files=large)
+                                       max_file_rows=max_file_rows, plan=plan)
     _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id, "py")
 
 

@@ -107,6 +107,7 @@ def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.repartition(n, *keys)
 
 
+
 def native_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """T5: a Spark-native transform, ``DataFrame -> DataFrame``."""
     return df.transform(fn)
@@ -151,47 +152,76 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
 # Files with more rows than this are not handed to one Python worker; they run
 # through the distributed pandas-on-Spark path instead (exact, one job each).
 MAX_FILE_ROWS_IN_WORKER = 2_000_000
+# Small files are packed into pandas calls of about this many rows.
+TARGET_ROWS_PER_CALL = 200_000
+
+
+def plan_files(df: DataFrame, keys: list[str], max_file_rows: int = MAX_FILE_ROWS_IN_WORKER):
+    """One aggregate pass over the key columns: the files above
+    ``max_file_rows`` (a bounded list: at most total rows / max_file_rows)
+    and the total number of rows in the remaining small files."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    row = sizes.agg(
+        F.coalesce(F.sum(F.when(F.col("__rows") <= max_file_rows, F.col("__rows"))),
+                   F.lit(0)).alias("small_rows"),
+        F.collect_list(F.when(F.col("__rows") > max_file_rows, F.struct(*keys))).alias("large"),
+    ).first()
+    return [tuple(r) for r in row["large"]], int(row["small_rows"])
 
 
 def per_file_transform_routed(df: DataFrame, process_df: Callable, schema: T.StructType | str,
                               file_cols: list[str] | str = "source_file",
                               max_file_rows: int = MAX_FILE_ROWS_IN_WORKER,
-                              large_files: list[tuple] | None = None) -> DataFrame:
-    """T4 with a size guard: small files go through one grouped
-    ``applyInPandas`` job; files above ``max_file_rows`` (counted with one
-    aggregate pass) each run through :func:`pandas_transform`, so no file is
-    ever collected into a single task. Results are unioned.
+                              plan: tuple[list[tuple], int] | None = None,
+                              rows_per_call: int = TARGET_ROWS_PER_CALL) -> DataFrame:
+    """T4 at any file size and count, exact per-file semantics.
+
+    * Files above ``max_file_rows`` each run through :func:`pandas_transform`
+      (distributed), so no large file is collected into one task.
+    * Small files are packed: hashed into ``ceil(small_rows / rows_per_call)``
+      buckets (at least one per shuffle partition), one grouped
+      ``applyInPandas`` call per bucket, and inside the
+      call ``process_df`` runs once per file. Many small files then cost a
+      few pandas calls instead of one each, and memory per call stays near
+      ``rows_per_call`` plus one file.
 
     ``file_cols`` may be several columns (a file identified by a composite
-    key); they are re-attached to every output row. Callers that already
-    know which files are large (e.g. from catalog sizes) pass
-    ``large_files`` and skip the counting pass.
+    key); they are re-attached to every output row. ``plan`` is the result
+    of :func:`plan_files` when the caller already has it.
     """
     keys = [file_cols] if isinstance(file_cols, str) else list(file_cols)
     out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
     key_fields = [df.schema[k] for k in keys]
     full = T.StructType(key_fields + list(out_schema.fields))
+    names = [f.name for f in full.fields]
+    large, small_rows = plan if plan is not None else plan_files(df, keys, max_file_rows)
 
-    if large_files is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-        large = [tuple(r[k] for k in keys)
-                 for r in sizes.filter(F.col("__rows") > max_file_rows).collect()]
-    else:
-        large = [tuple(x) for x in large_files]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run_one(pdf: pd.DataFrame) -> pd.DataFrame:
         ident = {k: pdf[k].iloc[0] for k in keys}
         res = process_df(pdf.drop(columns=keys).reset_index(drop=True)).reset_index(drop=True)
         for i, k in enumerate(keys):
             res.insert(i, k, ident[k])
-        return res[[f.name for f in full.fields]]
+        return res[names]
+
+    def run_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop(columns=["__bucket"])
+        parts = [run_one(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)]
+        parts = [p for p in parts if len(p)]
+        if not parts:
+            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
+        return pd.concat(parts, ignore_index=True)
 
     small_df = df
     if large:
         big_keys = df.sparkSession.createDataFrame(large, T.StructType(key_fields))
         small_df = df.join(big_keys, keys, "left_anti")
+    # enough buckets to bound the rows per call, and at least one per shuffle
+    # partition so small inputs still use every core
+    parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parallelism, -(-small_rows // max(1, rows_per_call)))
     ship_package()
-    parts = [_spread(small_df, keys).groupBy(*keys).applyInPandas(run, full)]
+    packed = small_df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
+    parts = [_spread(packed, ["__bucket"]).groupBy("__bucket").applyInPandas(run_bucket, full)]
     for ident in large:
         cond = None
         for k, v in zip(keys, ident):
