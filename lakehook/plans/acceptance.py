@@ -550,7 +550,7 @@ def append_docs(spark, sf_dir):
     partitioned by role) with content-derived ids, read back."""
     path = scratch_path(spark, "docs")
     conv = table(spark, sf_dir, "conversations")
-    n, _ = IO.append_documents(conv, path, id_cols=["conv_id", "turn"], partition_by=["role"])
+    n, ids = IO.append_documents(conv, path, id_cols=["conv_id", "turn"], partition_by=["role"])
     back = spark.read.schema("_id string, conv_id long, turn long, text string, role string").json(path)
     return back.select("_id", "conv_id", "turn", "role", F.length("text").alias("n_chars"))
 
@@ -673,6 +673,44 @@ def update_tags(spark, sf_dir):
                                                   "array<string>"), "|").alias("tags"))
 
 
+def priority_summary(pdf):
+    """Per-file Python transform of the lake flow: orders per priority."""
+    return pdf.groupby("o_orderpriority", as_index=False).agg(
+        n=("o_orderkey", "count"), max_price=("o_totalprice", "max"))
+
+
+def lake_flow(spark, sf_dir):
+    """S6 -> S8 -> J2 -> T7 over real files: orders land as three CSV files,
+    are ingested (one upload event each), match a registration on their
+    dataset, and a per-file pandas transform writes each file's summary under
+    the same base name in the output dataset."""
+    from datetime import datetime
+
+    landing = scratch_path(spark, "flow-landing")
+    orders = table(spark, sf_dir, "orders")
+    rows = []
+    for status in ("F", "O", "P"):
+        path = f"{landing}/orders_{status}.csv"
+        orders.filter(F.col("o_orderstatus") == status).write.option("header", True).csv(path)
+        rows.append((f"orders_{status}.csv", path, "csv"))
+    land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
+    root = scratch_path(spark, "flow-lake")
+    _, events = IO.ingest(spark, land, spark.createDataFrame([], TR_FILES_SCHEMA),
+                          f"{root}/user1/sales", 1, 7, "owner1", datetime(2024, 6, 1), 1, 1,
+                          csv_schema=ORDERS_DDL)
+    regs = spark.createDataFrame(
+        [(1, 1, "summary", "cortex", 7, "POST", "file", "cortex", 2, "POST", "file",
+          "summary.py", True)],
+        "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
+        "in_action string, in_object string, out_service string, out_dataset_id long, "
+        "out_action string, out_object string, src_file string, enabled boolean")
+    out_root = f"{root}/outputs"
+    D.dispatch_files(spark, match_triggers(events.checkpoint(eager=True), regs),
+                     priority_summary, "o_orderpriority string, n long, max_price double",
+                     out_root)
+    return D.read_outputs(spark, out_root).drop(IO.SOURCE_FILE_COL, "transform_id")
+
+
 def dispatch_record(spark, sf_dir):
     """T7 catalog side (M3 + S8): output files of a dispatched batch enter the
     catalog and are logged as transform output; returns those events."""
@@ -706,4 +744,5 @@ QUERIES.update({
     "dispatch_stream": dispatch_stream,
     "dispatch_record": dispatch_record,
     "update_tags": update_tags,
+    "lake_flow": lake_flow,
 })

@@ -105,6 +105,36 @@ def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
     _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id, "py")
 
 
+def dispatch_files(spark: SparkSession, matched: DataFrame, process_df: Callable,
+                   out_schema: T.StructType | str, out_root: str, csv_schema=None,
+                   batch_id: int = 0, max_file_rows: int = MAX_FILE_ROWS_IN_WORKER) -> None:
+    """T7 over lake files: each matched event names its file in
+    ``object_details`` (path and extension); exactly those files are read
+    (one read per format, rows tagged with their file) and the per-file
+    Python transform writes its output under the file's base name with a
+    ``.parquet`` extension. Events without object details were never matched.
+    """
+    from lakehook.functions import scalars as S
+    from lakehook.sources.files import SOURCE_FILE_COL, normalize_path, read_files
+
+    obj = F.col("object_details")
+    located = matched.select(
+        normalize_path(F.get_json_object(obj, "$.path")).alias(SOURCE_FILE_COL),
+        F.lower(F.get_json_object(obj, "$.file_extension")).alias("__ext"),
+        "transform_id", "out_dataset_id")
+    work = located.distinct().checkpoint(eager=True)
+    paths: dict[str, list[str]] = {}
+    for r in work.select(SOURCE_FILE_COL, "__ext").distinct().collect():   # file list only
+        paths.setdefault(r["__ext"], []).append(r[SOURCE_FILE_COL])
+    if not paths:
+        return
+    data = read_files(spark, paths, csv_schema)
+    dispatch_python(work.drop("__ext"), data, [SOURCE_FILE_COL],
+                    S.force_parquet_extension(S.base_name(SOURCE_FILE_COL)),
+                    process_df, out_schema, out_root, max_file_rows=max_file_rows,
+                    batch_id=batch_id)
+
+
 def dispatch_sql(spark: SparkSession, matched: DataFrame,
                  data_reader: Callable[[SparkSession], DataFrame], file_keys: list[str],
                  scripts: dict[str, str] | Callable[[str], str], out_root: str,

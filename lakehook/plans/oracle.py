@@ -450,3 +450,9 @@ WITH {_FILES}
 SELECT CAST(regexp_extract(dataset, '(\\d+)$', 1) AS BIGINT) AS dataset_id, 'PUT' AS action, path,
        'de|reviewed|' || dataset AS tags
 FROM files WHERE lang = 'de'"""
+
+ORACLES["lake_flow"] = """
+SELECT 'orders_' || o_orderstatus || '.parquet' AS out_file, CAST(2 AS BIGINT) AS out_dataset_id,
+       o_orderpriority, count(*) AS n, max(o_totalprice) AS max_price
+FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')
+GROUP BY o_orderstatus, o_orderpriority"""

@@ -44,7 +44,13 @@ def logical_file(file_path=None):
     ``part-*`` files; this strips the part file name, leaving plain files
     unchanged."""
     path = F.col("_metadata.file_path") if file_path is None else file_path
-    return F.regexp_replace(path, "/part-[^/]*$", "")
+    return normalize_path(F.regexp_replace(path, "/part-[^/]*$", ""))
+
+
+def normalize_path(path):
+    """Local-filesystem URIs (``file:/x``, ``file:///x``) as bare paths, so
+    catalog paths and the paths Spark reports compare equal."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def _with_source(df: DataFrame) -> DataFrame:
@@ -123,23 +129,25 @@ def append_documents(df: DataFrame, path: str, id_cols: Sequence[str] | None = N
     """Append schemaless documents to a collection directory.
 
     Every document gets an ``_id``: a SHA-256 of ``id_cols`` when given
-    (stable across retries and re-runs), else a random UUID. Returns
-    ``(count, path)``; the count comes from an observed metric of the write
-    itself, not a second pass.
+    (stable across retries and re-runs), else a random UUID -- in that case
+    the tagged documents are checkpointed first, so a retried task cannot
+    hand out different ids than the ones reported. Returns
+    ``(count, ids)``: the count is an observed metric of the write itself
+    (no second pass), ``ids`` a DataFrame of the appended ``_id`` values.
     """
     from pyspark.sql import Observation
 
     if id_cols:
         ident = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in id_cols]), 256)
+        tagged = df.withColumn("_id", ident)
     else:
-        ident = F.expr("uuid()")
+        tagged = df.withColumn("_id", F.expr("uuid()")).checkpoint(eager=True)
     obs = Observation("append_documents")
-    out = df.withColumn("_id", ident).observe(obs, F.count(F.lit(1)).alias("n"))
-    writer = out.write.mode("append").format(fmt)
+    writer = tagged.observe(obs, F.count(F.lit(1)).alias("n")).write.mode("append").format(fmt)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
-    return obs.get["n"], path
+    return obs.get["n"], tagged.select("_id")
 
 
 def log_rows(df: DataFrame, created: datetime | None = None) -> DataFrame:

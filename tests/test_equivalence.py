@@ -155,3 +155,49 @@ def test_tag_update_emits_put_that_triggers(spark):
         "transform_id long, user_id long, in_service string, in_dataset_id long, in_action string, "
         "in_object string, out_dataset_id long, out_action string, enabled boolean")
     assert [r["transform_id"] for r in match_triggers(events, regs).collect()] == [7]
+
+
+def test_end_to_end_upload_trigger_transform(spark):
+    """Upload -> event -> match -> read the named file -> per-file transform
+    -> output under the same base name -> recorded as transform output,
+    which does not trigger again."""
+    from datetime import datetime
+    from decimal import Decimal
+    from lakehook.operators.match import match_triggers
+    from lakehook.plans import dispatch as D
+    from lakehook.schemas import FILES
+
+    landing = scratch_path(spark, "e2e-landing")
+    spark.read.parquet(f"{SMOKE_DIR}/nation.parquet").write.option("header", True) \
+        .csv(landing + "/nations.csv")
+    land = spark.createDataFrame([("nations.csv", landing + "/nations.csv", "csv")],
+                                 "name string, landing_path string, file_extension string")
+    root = scratch_path(spark, "e2e-lake")
+    catalog, events = IO.ingest(spark, land, spark.createDataFrame([], FILES), f"{root}/u1/d1",
+                                1, 1, "owner1", datetime(2024, 5, 1), 1, 1,
+                                csv_schema="n_nationkey int, n_name string, n_regionkey int")
+    catalog, events = catalog.checkpoint(eager=True), events.checkpoint(eager=True)
+    assert events.count() == 1 and events.first()["action"] == "POST"
+    regs = spark.createDataFrame(
+        [(1, 1, "t1", "cortex", 1, "POST", "file", "cortex", 2, "POST", "file", "region_share.py",
+          Decimal(200), True)],
+        "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
+        "in_action string, in_object string, out_service string, out_dataset_id long, "
+        "out_action string, out_object string, src_file string, timeout decimal(4,0), enabled boolean")
+    matched = match_triggers(events, regs)
+    assert matched.count() == 1
+
+    def region_share(pdf):
+        out = pdf.groupby("n_regionkey", as_index=False).agg(n=("n_name", "count"))
+        out["share"] = out["n"] / out["n"].sum()
+        return out[["n_regionkey", "n", "share"]]
+
+    out_root = f"{root}/outputs"
+    D.dispatch_files(spark, matched, region_share, "n_regionkey int, n long, share double", out_root)
+    got = D.read_outputs(spark, out_root).collect()
+    assert {r["out_file"] for r in got} == {"nations.parquet"}
+    assert sum(r["n"] for r in got) == 25 and {r["out_dataset_id"] for r in got} == {2}
+    _, out_events = D.record_outputs(
+        D.work_items(matched, ["user_id"]).withColumn("name", F.lit("nations.parquet")),
+        F.col("name"), out_root, catalog, datetime(2024, 5, 1), 10, 10)
+    assert out_events.count() == 1 and match_triggers(out_events, regs).count() == 0
