@@ -201,3 +201,38 @@ def test_end_to_end_upload_trigger_transform(spark):
         D.work_items(matched, ["user_id"]).withColumn("name", F.lit("nations.parquet")),
         F.col("name"), out_root, catalog, datetime(2024, 5, 1), 10, 10)
     assert out_events.count() == 1 and match_triggers(out_events, regs).count() == 0
+
+
+def test_stream_in_several_micro_batches_equals_batch(spark):
+    from lakehook.operators.match import match_triggers
+    from lakehook.plans import dispatch as D
+    from lakehook.plans import lake
+    from lakehook.streaming.trigger_stream import start_dispatch_stream
+
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    # the event log as three files (ten days each) in one directory
+    files_dir = scratch_path(spark, "stream-files")
+    for lo, hi in [("2024-01-01", "2024-01-11"), ("2024-01-11", "2024-01-21"),
+                   ("2024-01-21", "2024-02-01")]:
+        part = ev.filter((F.col("ts") >= F.lit(lo).cast("timestamp_ntz"))
+                         & (F.col("ts") < F.lit(hi).cast("timestamp_ntz")))
+        part.coalesce(1).write.mode("append").parquet(files_dir)
+    regs = lake.registrations(lake.event_log(ev))
+    data = lake.activity(ev)
+    out = scratch_path(spark, "stream-out")
+    batches = []
+
+    def handle(matched, batch_id):
+        batches.append(batch_id)
+        D.dispatch_python(matched, data, lake.ACTIVITY_FILE_KEYS, lake.activity_file_name(),
+                          A.purchase_delta, "event_id long, value_delta double", out,
+                          batch_id=batch_id)
+
+    q = start_dispatch_stream(spark, files_dir, ev.schema, lake.event_log, regs, handle,
+                              checkpoint=scratch_path(spark, "stream-ckpt2"),
+                              max_files_per_trigger=1)
+    q.awaitTermination()
+    assert len(batches) == 3
+    streamed = sorted(tuple(r) for r in D.read_outputs(spark, out, A.DISPATCH_OUT_DDL).collect())
+    batch = sorted(tuple(r) for r in A.dispatch_batch(spark, SMOKE_DIR).collect())
+    assert streamed == batch
