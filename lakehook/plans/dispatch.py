@@ -113,6 +113,8 @@ def dispatch_files(spark: SparkSession, matched: DataFrame, process_df: Callable
     (one read per format, rows tagged with their file) and the per-file
     Python transform writes its output under the file's base name with a
     ``.parquet`` extension. Events without object details were never matched.
+    Returns the batch's (checkpointed) work items, or None when nothing
+    matched.
     """
     from lakehook.functions import scalars as S
     from lakehook.sources.files import SOURCE_FILE_COL, normalize_path, read_files
@@ -121,18 +123,19 @@ def dispatch_files(spark: SparkSession, matched: DataFrame, process_df: Callable
     located = matched.select(
         normalize_path(F.get_json_object(obj, "$.path")).alias(SOURCE_FILE_COL),
         F.lower(F.get_json_object(obj, "$.file_extension")).alias("__ext"),
-        "transform_id", "out_dataset_id")
+        "user_id", "transform_id", "out_dataset_id")
     work = located.distinct().checkpoint(eager=True)
     paths: dict[str, list[str]] = {}
     for r in work.select(SOURCE_FILE_COL, "__ext").distinct().collect():   # file list only
         paths.setdefault(r["__ext"], []).append(r[SOURCE_FILE_COL])
     if not paths:
-        return
+        return None
     data = read_files(spark, paths, csv_schema)
-    dispatch_python(work.drop("__ext"), data, [SOURCE_FILE_COL],
+    dispatch_python(work.drop("__ext", "user_id"), data, [SOURCE_FILE_COL],
                     S.force_parquet_extension(S.base_name(SOURCE_FILE_COL)),
                     process_df, out_schema, out_root, max_file_rows=max_file_rows,
                     batch_id=batch_id)
+    return work
 
 
 def dispatch_sql(spark: SparkSession, matched: DataFrame,
@@ -233,3 +236,52 @@ def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: Dat
                          iso_dates=("creation_date", "last_modified")).alias("object_details"),
         F.lit(True).alias("is_transform_output")), created=now)
     return snapshot, events
+
+
+def run_batch(spark: SparkSession, log: DataFrame, transforms: DataFrame, files: DataFrame,
+              process_df: Callable, out_schema: T.StructType | str, out_root: str,
+              log_out: str, files_out: str, now, batch_id: int, csv_schema=None) -> dict:
+    """One complete batch of T7 over lake snapshots.
+
+    1. the batch's high-water mark is fixed (largest pending event id);
+    2. pending events up to it are matched (J2) and their files dispatched
+       (:func:`dispatch_files`, S5);
+    3. output files are upserted into the file catalog and logged as
+       transform output (:func:`record_outputs`, M3 + S8);
+    4. every event up to the mark is flagged processed (M5).
+
+    The new event log and file catalog are written as new snapshots to
+    ``log_out`` / ``files_out`` (never over the paths being read). Events
+    that arrive while the batch runs lie above the mark and stay pending.
+    Returns counts of the batch (from the written snapshots).
+    """
+    from lakehook.functions import scalars as S
+    from lakehook.operators.match import mark_processed, match_triggers, pending
+
+    hw = pending(log).agg(F.max("log_id").alias("hw")).first()["hw"]
+    if hw is None:
+        log.write.mode("overwrite").parquet(log_out)
+        files.write.mode("overwrite").parquet(files_out)
+        return {"high_water": None, "dispatched": 0, "outputs": 0}
+    batch = log.filter(F.col("log_id") <= F.lit(hw))
+    matched = match_triggers(batch, transforms)
+    work = dispatch_files(spark, matched, process_df, out_schema, out_root,
+                          csv_schema=csv_schema, batch_id=batch_id)
+    new_files, out_events = files, None
+    if work is not None:
+        next_file = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0] + 1
+        next_log = log.agg(F.max("log_id")).first()[0] + 1
+        new_files, out_events = record_outputs(
+            work.select("user_id", "out_dataset_id", "source_file"),
+            S.force_parquet_extension(S.base_name("source_file")), out_root, files,
+            now, next_file, next_log)
+    new_log = mark_processed(log, hw)
+    if out_events is not None:
+        new_log = new_log.unionByName(out_events.select(*new_log.columns))
+    new_log.write.mode("overwrite").parquet(log_out)
+    new_files.write.mode("overwrite").parquet(files_out)
+    return {"high_water": hw,
+            "dispatched": 0 if work is None else work.count(),
+            "outputs": 0 if out_events is None else
+            spark.read.parquet(log_out).filter(F.col("is_transform_output")
+                                               & (F.col("log_id") > F.lit(hw))).count()}

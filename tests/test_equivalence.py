@@ -236,3 +236,51 @@ def test_stream_in_several_micro_batches_equals_batch(spark):
     streamed = sorted(tuple(r) for r in D.read_outputs(spark, out, A.DISPATCH_OUT_DDL).collect())
     batch = sorted(tuple(r) for r in A.dispatch_batch(spark, SMOKE_DIR).collect())
     assert streamed == batch
+
+
+def test_run_batch_twice_dispatches_once(spark):
+    """A full batch (match, dispatch, record, mark processed) over snapshots;
+    the second run over the new snapshots finds nothing to do, and the
+    transform output it logged never triggers."""
+    from datetime import datetime
+    from decimal import Decimal
+    from lakehook.plans import dispatch as D
+    from lakehook.schemas import EVENT_LOG, FILES
+
+    landing = scratch_path(spark, "rb-landing")
+    spark.read.parquet(f"{SMOKE_DIR}/region.parquet").write.option("header", True) \
+        .csv(landing + "/regions.csv")
+    land = spark.createDataFrame([("regions.csv", landing + "/regions.csv", "csv")],
+                                 "name string, landing_path string, file_extension string")
+    root = scratch_path(spark, "rb-lake")
+    files, events = IO.ingest(spark, land, spark.createDataFrame([], FILES), f"{root}/u1/d1",
+                              1, 1, "o", datetime(2024, 5, 1), 1, 1,
+                              csv_schema="r_regionkey int, r_name string")
+    log = spark.createDataFrame([], EVENT_LOG).unionByName(events)
+    regs = spark.createDataFrame(
+        [(5, 1, "t5", "cortex", 1, "POST", "file", "cortex", 2, "POST", "file", "upper.py",
+          Decimal(200), True),
+         (6, 1, "t6", "cortex", 2, "POST", "file", "cortex", 3, "POST", "file", "upper.py",
+          Decimal(200), True)],
+        "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
+        "in_action string, in_object string, out_service string, out_dataset_id long, "
+        "out_action string, out_object string, src_file string, timeout decimal(4,0), enabled boolean")
+
+    def upper(pdf):
+        out = pdf.copy()
+        out["r_name"] = out["r_name"].str.upper()
+        return out[["r_regionkey", "r_name"]]
+
+    out_root = f"{root}/out"
+    s1 = D.run_batch(spark, log, regs, files, upper, "r_regionkey int, r_name string", out_root,
+                     f"{root}/log1", f"{root}/files1", datetime(2024, 5, 2), 1)
+    assert s1["dispatched"] == 1 and s1["outputs"] == 1
+    log1, files1 = spark.read.parquet(f"{root}/log1"), spark.read.parquet(f"{root}/files1")
+    assert files1.count() == 2
+    # transform 6 listens on dataset 2, where the output landed: it must not fire
+    s2 = D.run_batch(spark, log1, regs, files1, upper, "r_regionkey int, r_name string", out_root,
+                     f"{root}/log2", f"{root}/files2", datetime(2024, 5, 3), 2)
+    assert s2["dispatched"] == 0
+    outs = D.read_outputs(spark, out_root).collect()
+    assert sorted(r["r_name"] for r in outs) == ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    assert {r["out_file"] for r in outs} == {"regions.parquet"}
