@@ -10,9 +10,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehook.operators.match import match_triggers
+from lakehook.functions import predicates as P
+from lakehook.functions import scalars as S
+from lakehook.operators import lifecycle as LC
+from lakehook.operators import lookup as L
+from lakehook.operators import mutate as M
+from lakehook.operators import quality as Q
+from lakehook.operators.match import gate, mark_processed, match_report, match_triggers
+from lakehook.plans import dispatch as D
 from lakehook.plans import lake
+from lakehook.plans import transforms as TR
 from lakehook.plans.lake import table
+from lakehook.plans.scripts import SCRIPTS
+from lakehook.plans.transforms import sql_transform
+from lakehook.schemas import FILES as TR_FILES_SCHEMA
+from lakehook.session import scratch_path
+from lakehook.sources import files as IO
+from lakehook.streaming.trigger_stream import start_dispatch_stream
 
 
 def trigger_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,17 +43,6 @@ QUERIES = {
 }
 
 
-# ---------------------------------------------------------------- imports used below
-from datetime import date  # noqa: E402
-
-from lakehook.functions import predicates as P  # noqa: E402
-from lakehook.functions import scalars as S  # noqa: E402
-from lakehook.operators import lifecycle as LC  # noqa: E402
-from lakehook.operators import lookup as L  # noqa: E402
-from lakehook.operators import mutate as M  # noqa: E402
-from lakehook.operators import quality as Q  # noqa: E402
-from lakehook.operators.match import gate, mark_processed, match_report  # noqa: E402
-
 # Fixed parameters of the acceptance queries.
 FIB_K = [1, 2, 3, 5, 8, 13, 21, 34, 55, 89]
 AS_OF = "2024-01-08"
@@ -365,8 +368,6 @@ QUERIES.update({
 
 
 # ---------------------------------------------------------------- T1 + D1-D14, T3
-from lakehook.plans.scripts import SCRIPTS  # noqa: E402
-from lakehook.plans.transforms import sql_transform  # noqa: E402
 
 
 def _script_query(name):
@@ -383,11 +384,6 @@ QUERIES.update({name: _script_query(name) for name in SCRIPTS})
 
 
 # ---------------------------------------------------------------- T2-T7, S1-S8, T8
-from lakehook.plans import dispatch as D  # noqa: E402
-from lakehook.plans import transforms as TR  # noqa: E402
-from lakehook.session import scratch_path  # noqa: E402
-from lakehook.sources import files as IO  # noqa: E402
-from lakehook.streaming.trigger_stream import start_dispatch_stream  # noqa: E402
 
 ORDERS_DDL = ("o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
               "o_orderdate timestamp_ntz, o_orderpriority string")
@@ -639,9 +635,6 @@ def dispatch_stream(spark, sf_dir):
     return D.read_outputs(spark, out_root, DISPATCH_OUT_DDL)
 
 
-from lakehook.schemas import FILES as TR_FILES_SCHEMA  # noqa: E402
-
-
 def _catalog_from_documents(spark, sf_dir):
     f = _files(spark, sf_dir)
     created = F.col("created").cast("timestamp_ntz")
