@@ -704,6 +704,29 @@ def lake_flow(spark, sf_dir):
     return D.read_outputs(spark, out_root).drop(IO.SOURCE_FILE_COL, "transform_id")
 
 
+def create_datasets(spark, sf_dir):
+    """Catalog action: every customer asks for a dataset named after its
+    market segment (one name is taken already) and one named after its
+    nation key (too short). The lowest customer id wins each free name."""
+    from datetime import datetime
+
+    from lakehook.operators import catalog as C
+    from lakehook.schemas import DATASETS
+
+    cust = table(spark, sf_dir, "customer")
+    req = (cust.select(F.col("c_custkey").alias("user_id"), F.lower("c_mktsegment").alias("name"),
+                       F.lit(None).cast("string").alias("tags_text"))
+           .unionByName(cust.select(F.col("c_custkey").alias("user_id"),
+                                    F.col("c_nationkey").cast("string").alias("name"),
+                                    F.lit(None).cast("string").alias("tags_text"))))
+    existing = spark.createDataFrame([(0, 1, "building", "lake:dataset:::building", [], None)],
+                                     DATASETS)
+    snap, _, refused = C.create_datasets(existing, req, datetime(2024, 1, 1), 2, 1)
+    created = snap.filter(F.col("dataset_id") >= 2).select(
+        "user_id", "name", F.lit("created").alias("outcome"))
+    return created.unionByName(refused.withColumnRenamed("reason", "outcome"))
+
+
 def dispatch_record(spark, sf_dir):
     """T7 catalog side (M3 + S8): output files of a dispatched batch enter the
     catalog and are logged as transform output; returns those events."""
@@ -738,4 +761,5 @@ QUERIES.update({
     "dispatch_record": dispatch_record,
     "update_tags": update_tags,
     "lake_flow": lake_flow,
+    "create_datasets": create_datasets,
 })

@@ -456,3 +456,17 @@ SELECT 'orders_' || o_orderstatus || '.parquet' AS out_file, CAST(2 AS BIGINT) A
        o_orderpriority, count(*) AS n, max(o_totalprice) AS max_price
 FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')
 GROUP BY o_orderstatus, o_orderpriority"""
+
+ORACLES["create_datasets"] = """
+WITH req AS (SELECT c_custkey AS user_id, lower(c_mktsegment) AS name FROM customer
+             UNION ALL
+             SELECT c_custkey, CAST(c_nationkey AS VARCHAR) FROM customer),
+valid AS (SELECT * FROM req WHERE length(name) BETWEEN 3 AND 63),
+win AS (SELECT name, min(user_id) AS user_id FROM valid GROUP BY name),
+free AS (SELECT * FROM win WHERE name NOT IN ('building'))
+SELECT user_id, name, 'created' AS outcome FROM free
+UNION ALL
+SELECT user_id, name, 'name_length' FROM req WHERE NOT coalesce(length(name) BETWEEN 3 AND 63, false)
+UNION ALL
+SELECT v.user_id, v.name, 'name_taken' FROM valid v
+WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.name = v.name AND f.user_id = v.user_id)"""

@@ -279,3 +279,34 @@ def test_match_report_statuses(spark):
                    4: (40, "no_object"), 5: (None, "no_registration")}
     fired = [r["log_id"] for r in match_triggers(log, regs).collect()]
     assert fired == [3]
+
+
+def test_catalog_create_and_delete_datasets(spark):
+    from lakehook.operators import catalog as C
+    from lakehook.schemas import DATASETS, FILES
+    existing = spark.createDataFrame([(1, 10, "sales", "lake:dataset:::sales", [], None)], DATASETS)
+    req = spark.createDataFrame(
+        [(2, "sales", ""), (3, "logs", "a,,b"), (2, "logs", None), (4, "xy", None)],
+        "user_id long, name string, tags_text string")
+    snap, events, refused = C.create_datasets(existing, req, datetime(2024, 1, 1), 100, 1)
+    rows = {r["name"]: (r["user_id"], r["tags"]) for r in snap.collect()}
+    assert rows == {"sales": (1, []), "logs": (2, [])}
+    assert sorted((r["user_id"], r["name"], r["reason"]) for r in refused.collect()) == \
+        [(2, "sales", "name_taken"), (3, "logs", "name_taken"), (4, "xy", "name_length")]
+    assert [(r["action"], r["description"]) for r in events.collect()] == [("POST", "datasetCreate")]
+    files = spark.createDataFrame(
+        [(1, 10, 1, "a.csv", "/l/1/sales/a.csv", "o", datetime(2024, 1, 1), datetime(2024, 1, 1),
+          "1 bytes", 1, "csv", [], "hot"),
+         (2, 11, 2, "b.csv", "/l/2/logs/b.csv", "o", datetime(2024, 1, 1), datetime(2024, 1, 1),
+          "1 bytes", 1, "csv", [], "hot")], FILES)
+    ds = snap.withColumn("dataset_id", F.when(F.col("name") == "logs", 11).otherwise(F.col("dataset_id")))
+    # user 2 cannot delete user 1's dataset; user 1 can
+    kept_ds, kept_files, ev = C.delete_datasets(
+        ds, files, spark.createDataFrame([(2, 10), (1, 10)], "user_id long, dataset_id long"),
+        datetime(2024, 1, 2), 5)
+    assert [r["name"] for r in kept_ds.collect()] == ["logs"]
+    assert [r["path"] for r in kept_files.collect()] == ["/l/2/logs/b.csv"]
+    assert [r["action"] for r in ev.collect()] == ["DELETE"]
+    left = C.delete_files(kept_files, spark.createDataFrame(
+        [(2, 11, "/l/2/logs/b.csv")], "user_id long, dataset_id long, path string"))
+    assert left.count() == 0
