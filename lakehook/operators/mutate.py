@@ -20,6 +20,19 @@ def insert_rows(base: DataFrame, new_rows: DataFrame) -> DataFrame:
     return base.unionByName(new_rows, allowMissingColumns=True)
 
 
+def one_per_key(df: DataFrame, keys: Sequence[str], rank: Sequence[str] = ()) -> DataFrame:
+    """Reduce a change set to one row per key, deterministically: the row
+    with the largest ``rank`` columns (then the largest remaining columns)
+    wins. A grouped ``max(struct)``, combined map-side; unique keys pass
+    through unchanged."""
+    rest = [c for c in df.columns if c not in keys]
+    if not rest:
+        return df.select(*keys).distinct()
+    order = [c for c in rank if c in rest] + [c for c in rest if c not in rank]
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order)).alias("__best"))
+    return best.select(*keys, *[F.col(f"__best.{c}").alias(c) for c in rest])
+
+
 def _tag(df: DataFrame, prefix: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(c if c in keys else f"{prefix}{c}") for c in df.columns])
 
@@ -30,9 +43,10 @@ def update_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str],
 
     ``changes`` holds the keys of the rows to update (plus any columns the
     assignments refer to as ``new.<col>``). Each assignment is a Column over
-    the change row's columns prefixed ``new_`` or a literal.
+    the change row's columns prefixed ``new_`` or a literal. Several changes
+    for one key are reduced to one first (:func:`one_per_key`).
     """
-    ch = _tag(changes.dropDuplicates(list(keys)), "new_", keys).withColumn("__matched", F.lit(True))
+    ch = _tag(one_per_key(changes, keys), "new_", keys).withColumn("__matched", F.lit(True))
     joined = base.join(ch, list(keys), "left")
     matched = F.coalesce(F.col("__matched"), F.lit(False))
     out = []
@@ -47,9 +61,11 @@ def update_rows(base: DataFrame, changes: DataFrame, keys: Sequence[str],
 
 
 def patch_rows(base: DataFrame, patches: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """M6: only the non-NULL fields of a patch override the stored value."""
+    """M6: only the non-NULL fields of a patch override the stored value.
+    Several patches for one key are reduced to one first, so a stored row is
+    never duplicated."""
     patch_cols = [c for c in patches.columns if c not in keys and c in base.columns]
-    p = _tag(patches.select(*keys, *patch_cols), "patch_", keys)
+    p = _tag(one_per_key(patches.select(*keys, *patch_cols), keys), "patch_", keys)
     joined = base.join(p, list(keys), "left")
     return joined.select(*[
         F.coalesce(F.col(f"patch_{c}"), F.col(c)).alias(c) if c in patch_cols else F.col(c)
@@ -63,9 +79,12 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
     keep the stored row and only take the ``bump`` columns from the incoming
     one (re-uploading a file updates its modification time only).
 
-    One full outer join on the key; applying it twice equals applying it once.
+    Several incoming rows for one key are reduced to the latest (largest
+    ``bump`` values) first. One full outer join on the key; applying it twice
+    equals applying it once.
     """
-    inc = _tag(incoming.select(*base.columns), "in_", keys).withColumn("__in", F.lit(True))
+    latest = one_per_key(incoming.select(*base.columns), keys, rank=list(bump))
+    inc = _tag(latest.select(*base.columns), "in_", keys).withColumn("__in", F.lit(True))
     cur = base.withColumn("__cur", F.lit(True))
     joined = cur.join(inc, list(keys), "full_outer")
     has_cur = F.coalesce(F.col("__cur"), F.lit(False))

@@ -310,3 +310,18 @@ def test_catalog_create_and_delete_datasets(spark):
     left = C.delete_files(kept_files, spark.createDataFrame(
         [(2, 11, "/l/2/logs/b.csv")], "user_id long, dataset_id long, path string"))
     assert left.count() == 0
+
+
+def test_mutations_with_repeated_keys_stay_one_row_per_key(spark):
+    base = spark.createDataFrame([(1, "a", 10), (2, "b", 20)], "id long, s string, n long")
+    patches = spark.createDataFrame([(1, "x", None), (1, None, 5)], "id long, s string, n long")
+    pat = M.patch_rows(base, patches, ["id"])
+    assert pat.count() == 2
+    upd = M.update_rows(base, spark.createDataFrame([(1, "p"), (1, "q")], "id long, v string"),
+                        ["id"], {"s": F.col("new_v")})
+    assert sorted(tuple(r) for r in upd.collect()) == [(1, "q", 10), (2, "b", 20)]
+    inc = spark.createDataFrame([("p1", 7, datetime(2024, 3, 1)), ("p1", 8, datetime(2024, 2, 1))],
+                                "path string, id long, lm timestamp_ntz")
+    cur = spark.createDataFrame([], "path string, id long, lm timestamp_ntz")
+    up = M.upsert(cur, inc, ["path"], bump=["lm"]).collect()
+    assert [tuple(r) for r in up] == [("p1", 7, datetime(2024, 3, 1))]
