@@ -44,9 +44,15 @@ def resolve_owned(requests: DataFrame, catalog: DataFrame, keys: Sequence[tuple[
 
     One left join on the composite key: matched rows carry the catalog
     columns, misses carry NULLs and ``found = false`` (the "not found"
-    answer), so found and missing requests need no second join.
+    answer), so found and missing requests need no second join. A
+    composite key held by several catalog rows resolves to one of them
+    (deterministically).
     """
-    marker = catalog.withColumn("__hit", F.lit(True))
+    from lakehook.operators.mutate import one_per_key
+
+    # one catalog row per composite key (grouped on the join keys, so the
+    # join reuses that partitioning): a request is never duplicated
+    marker = one_per_key(catalog, [c for _, c in keys]).withColumn("__hit", F.lit(True))
     cond = [requests[r] == marker[c] for r, c in keys]
     out = requests.join(marker, cond, "left")
     out = out.drop(*[marker[c] for _, c in keys])
