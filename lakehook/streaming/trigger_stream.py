@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakehook.operators.match import match_triggers
@@ -31,6 +32,7 @@ def start_dispatch_stream(
     max_files_per_trigger: int | None = None,
     available_now: bool = True,
     processing_time: str | None = None,
+    dedupe_within: str | None = None,
 ):
     """Start the streaming dispatcher and return the StreamingQuery.
 
@@ -40,6 +42,14 @@ def start_dispatch_stream(
     batch_id)`` writes the batch's outputs. ``available_now`` processes what
     is there and stops (bounded by ``max_files_per_trigger`` per batch);
     otherwise the query runs on a ``processing_time`` trigger.
+
+    ``dedupe_within`` (e.g. ``"1 hour"``) drops an event id seen before in
+    an earlier micro-batch too -- a log file delivered twice -- using
+    streaming state bounded by a watermark on the event time
+    (``dropDuplicatesWithinWatermark``). As with any watermark, events
+    older than the latest event time minus the delay count as late and are
+    dropped, so the delay should exceed how late the log can arrive. Without
+    it, duplicates are removed within each micro-batch only.
     """
     reader = spark.readStream.schema(schema)
     if path_glob:
@@ -47,6 +57,13 @@ def start_dispatch_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     log = to_log(reader.parquet(source_dir))
+    if dedupe_within:
+        # watermarks need a TIMESTAMP column; the log's time is wall-clock
+        # (NTZ), and a fixed zone shift does not change a relative delay
+        log = (log.withColumn("__event_time", F.col("created_timestamp").cast("timestamp"))
+               .withWatermark("__event_time", dedupe_within)
+               .dropDuplicatesWithinWatermark(["log_id"])
+               .drop("__event_time"))
 
     def each(batch: DataFrame, batch_id: int) -> None:
         events = batch.dropDuplicates(["log_id"])

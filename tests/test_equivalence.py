@@ -284,3 +284,27 @@ def test_run_batch_twice_dispatches_once(spark):
     outs = D.read_outputs(spark, out_root).collect()
     assert sorted(r["r_name"] for r in outs) == ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
     assert {r["out_file"] for r in outs} == {"regions.parquet"}
+
+
+def test_stream_drops_events_delivered_twice(spark):
+    from lakehook.plans import lake
+    from lakehook.streaming.trigger_stream import start_dispatch_stream
+
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    src = scratch_path(spark, "dup-src")
+    ev.coalesce(1).write.parquet(src)
+    ev.coalesce(1).write.mode("append").parquet(src)        # the same log file again
+    regs = lake.registrations(lake.event_log(ev))
+    seen = {}
+
+    def count(matched, batch_id):
+        seen[batch_id] = matched.count()
+
+    for dedupe, expect_factor in ((None, 2), ("1 hour", 1)):
+        seen.clear()
+        q = start_dispatch_stream(spark, src, ev.schema, lake.event_log, regs, count,
+                                  checkpoint=scratch_path(spark, "dup-ckpt"),
+                                  max_files_per_trigger=1, dedupe_within=dedupe)
+        q.awaitTermination()
+        assert len(seen) == 2
+        assert sum(seen.values()) == expect_factor * 17       # 17 matches in the smoke data
