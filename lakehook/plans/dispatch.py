@@ -4,21 +4,27 @@ Input is the match result of :func:`lakehook.operators.match.match_triggers`
 plus the lake data the events point at. A "file" is identified by key
 columns (``file_keys``) of the data; every matched event names one file.
 
-* Python transforms run per file, all files in one job (grouped
-  ``applyInPandas``, large files routed to the distributed path).
-* SQL transforms run once per fired transform over that transform's files,
-  in an isolated session each; the jobs are submitted concurrently.
+* Python transforms run per file, all files in one job (small files packed
+  into bucketed ``applyInPandas`` calls, large files routed to the
+  distributed path); :func:`dispatch_files` reads exactly the files that the
+  matched events name.
+* SQL transforms run once per (script, output dataset) -- or per fired
+  transform on request -- in an isolated session each; the jobs are
+  submitted concurrently.
+* :func:`record_outputs` enters the outputs in the file catalog and logs
+  them as transform output, which never re-triggers; :func:`run_batch`
+  chains match, dispatch, recording and the processed flag.
 
 Outputs are written as Parquet under ``out_root``, partitioned by output
-dataset and batch id, with the output file name (the input file's base name
-with a ``.parquet`` extension) as a column; rows are sorted by it inside each
-Parquet file so a single file's rows are found through row-group statistics.
-The number of physical files therefore follows the number of tasks, not the
-number of matched files. Writes use dynamic partition overwrite: re-running a
-batch replaces exactly the (dataset, batch) partitions it produced, so
-replays are idempotent; :func:`read_outputs` returns the latest version of
-every output file (a later batch rewriting a file name replaces it). Output
-rows are flagged as transform output in the event log and never re-trigger.
+dataset, batch id and writing job, with the output file name (the input
+file's base name with a ``.parquet`` extension) as a column; rows are sorted
+by it inside each Parquet file so a single file's rows are found through
+row-group statistics. The number of physical files therefore follows the
+number of tasks, not the number of matched files. Writes use dynamic
+partition overwrite: re-running a batch replaces exactly the partitions it
+produced, so replays are idempotent; :func:`read_outputs` returns the latest
+version of every output file (a later batch rewriting a file name replaces
+it).
 """
 
 from __future__ import annotations
@@ -107,7 +113,8 @@ def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
 
 def dispatch_files(spark: SparkSession, matched: DataFrame, process_df: Callable,
                    out_schema: T.StructType | str, out_root: str, csv_schema=None,
-                   batch_id: int = 0, max_file_rows: int = MAX_FILE_ROWS_IN_WORKER) -> None:
+                   batch_id: int = 0,
+                   max_file_rows: int = MAX_FILE_ROWS_IN_WORKER) -> DataFrame | None:
     """T7 over lake files: each matched event names its file in
     ``object_details`` (path and extension); exactly those files are read
     (one read per format, rows tagged with their file) and the per-file
