@@ -692,7 +692,7 @@ def lake_flow(spark, sf_dir):
                           f"{root}/user1/sales", 1, 7, "owner1", datetime(2024, 6, 1), 1, 1,
                           csv_schema=ORDERS_DDL)
     regs = spark.createDataFrame(
-        [(1, 1, "summary", "cortex", 7, "POST", "file", "cortex", 2, "POST", "file",
+        [(1, 1, "summary", "datasets", 7, "POST", "file", "datasets", 2, "POST", "file",
           "summary.py", True)],
         "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
         "in_action string, in_object string, out_service string, out_dataset_id long, "

@@ -102,7 +102,7 @@ OBJECT_DETAILS = T.StructType([
 ])
 
 # Fixed values of the lake's data model.
-SERVICE_DATASETS = "cortex"
+SERVICE_DATASETS = "datasets"
 OBJECT_FILE = "file"
 ACTIONS = ("POST", "PUT", "DELETE")
 TRIGGER_ACTIONS = ("PUT", "POST")

@@ -153,7 +153,7 @@ def append_documents(df: DataFrame, path: str, id_cols: Sequence[str] | None = N
 def log_rows(df: DataFrame, created: datetime | None = None) -> DataFrame:
     """Complete event-log rows from a DataFrame holding at least
     ``log_id, user_id, action, dataset_id``; the other columns get their
-    defaults (service 'cortex', object 'file', not processed). The creation
+    defaults (service 'datasets', object 'file', not processed). The creation
     time is the given instant, else now as US Mountain wall-clock."""
     now_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"),
                                  F.localtimestamp())

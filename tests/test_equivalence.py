@@ -126,7 +126,7 @@ def test_transform_output_never_retriggers(spark):
         .withColumn("is_transform_output", F.lit(False))
     log = events.unionByName(upload)
     regs = spark.createDataFrame(
-        [(20, 1, "cortex", 4, "POST", "file", 5, "POST", True)],
+        [(20, 1, "datasets", 4, "POST", "file", 5, "POST", True)],
         "transform_id long, user_id long, in_service string, in_dataset_id long, in_action string, "
         "in_object string, out_dataset_id long, out_action string, enabled boolean")
     fired = [r["log_id"] for r in match_triggers(log, regs).collect()]
@@ -151,7 +151,7 @@ def test_tag_update_emits_put_that_triggers(spark):
     assert row["tags"] == ["y", "z"] and row["last_modified"] == datetime(2024, 2, 1)
     assert [(r["action"], r["log_id"]) for r in events.collect()] == [("PUT", 50)]
     regs = spark.createDataFrame(
-        [(7, 1, "cortex", 3, "PUT", "file", 4, "POST", True)],
+        [(7, 1, "datasets", 3, "PUT", "file", 4, "POST", True)],
         "transform_id long, user_id long, in_service string, in_dataset_id long, in_action string, "
         "in_object string, out_dataset_id long, out_action string, enabled boolean")
     assert [r["transform_id"] for r in match_triggers(events, regs).collect()] == [7]
@@ -179,7 +179,7 @@ def test_end_to_end_upload_trigger_transform(spark):
     catalog, events = catalog.checkpoint(eager=True), events.checkpoint(eager=True)
     assert events.count() == 1 and events.first()["action"] == "POST"
     regs = spark.createDataFrame(
-        [(1, 1, "t1", "cortex", 1, "POST", "file", "cortex", 2, "POST", "file", "region_share.py",
+        [(1, 1, "t1", "datasets", 1, "POST", "file", "datasets", 2, "POST", "file", "region_share.py",
           Decimal(200), True)],
         "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
         "in_action string, in_object string, out_service string, out_dataset_id long, "
@@ -258,9 +258,9 @@ def test_run_batch_twice_dispatches_once(spark):
                               csv_schema="r_regionkey int, r_name string")
     log = spark.createDataFrame([], EVENT_LOG).unionByName(events)
     regs = spark.createDataFrame(
-        [(5, 1, "t5", "cortex", 1, "POST", "file", "cortex", 2, "POST", "file", "upper.py",
+        [(5, 1, "t5", "datasets", 1, "POST", "file", "datasets", 2, "POST", "file", "upper.py",
           Decimal(200), True),
-         (6, 1, "t6", "cortex", 2, "POST", "file", "cortex", 3, "POST", "file", "upper.py",
+         (6, 1, "t6", "datasets", 2, "POST", "file", "datasets", 3, "POST", "file", "upper.py",
           Decimal(200), True)],
         "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
         "in_action string, in_object string, out_service string, out_dataset_id long, "

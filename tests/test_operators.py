@@ -31,53 +31,53 @@ def _regs(spark, rows):
 
 # ---------------------------------------------------------------- J2 / J3 / M5
 def test_disabled_first_registration_hides_enabled_second(spark):
-    log = _log(spark, [(1, 7, "cortex", 3, "POST", "file", False, False)])
-    regs = _regs(spark, [(10, 7, "cortex", 3, "POST", "file", 4, "POST", False),
-                         (20, 7, "cortex", 3, "POST", "file", 5, "POST", True)])
+    log = _log(spark, [(1, 7, "datasets", 3, "POST", "file", False, False)])
+    regs = _regs(spark, [(10, 7, "datasets", 3, "POST", "file", 4, "POST", False),
+                         (20, 7, "datasets", 3, "POST", "file", 5, "POST", True)])
     assert match_triggers(log, regs).count() == 0
     fired = match_triggers(log, regs, policy="all").select("transform_id").collect()
     assert [r[0] for r in fired] == [20]
 
 
 def test_put_output_is_not_dispatched(spark):
-    log = _log(spark, [(1, 7, "cortex", 3, "POST", "file", False, False)])
-    regs = _regs(spark, [(10, 7, "cortex", 3, "POST", "file", 4, "PUT", True)])
+    log = _log(spark, [(1, 7, "datasets", 3, "POST", "file", False, False)])
+    regs = _regs(spark, [(10, 7, "datasets", 3, "POST", "file", 4, "PUT", True)])
     assert match_triggers(log, regs).count() == 0
 
 
 def test_first_match_is_lowest_id_and_at_most_once_per_event(spark):
-    log = _log(spark, [(1, 7, "cortex", 3, "POST", "file", False, False),
-                       (2, 7, "cortex", 3, "POST", "file", False, False)])
-    regs = _regs(spark, [(30, 7, "cortex", 3, "POST", "file", 6, "POST", True),
-                         (10, 7, "cortex", 3, "POST", "file", 4, "POST", True),
-                         (20, 7, "cortex", 3, "POST", "file", 5, "POST", True)])
+    log = _log(spark, [(1, 7, "datasets", 3, "POST", "file", False, False),
+                       (2, 7, "datasets", 3, "POST", "file", False, False)])
+    regs = _regs(spark, [(30, 7, "datasets", 3, "POST", "file", 6, "POST", True),
+                         (10, 7, "datasets", 3, "POST", "file", 4, "POST", True),
+                         (20, 7, "datasets", 3, "POST", "file", 5, "POST", True)])
     out = match_triggers(log, regs).select("log_id", "transform_id", "out_dataset_id").collect()
     assert sorted(tuple(r) for r in out) == [(1, 10, 4), (2, 10, 4)]
 
 
 def test_processed_and_transform_output_never_trigger(spark):
-    log = _log(spark, [(1, 7, "cortex", 3, "POST", "file", True, False),
-                       (2, 7, "cortex", 3, "POST", "file", False, True),
-                       (3, 7, "cortex", 3, "POST", "file", None, False)])
-    regs = _regs(spark, [(10, 7, "cortex", 3, "POST", "file", 4, "POST", True)])
+    log = _log(spark, [(1, 7, "datasets", 3, "POST", "file", True, False),
+                       (2, 7, "datasets", 3, "POST", "file", False, True),
+                       (3, 7, "datasets", 3, "POST", "file", None, False)])
+    regs = _regs(spark, [(10, 7, "datasets", 3, "POST", "file", 4, "POST", True)])
     assert [r[0] for r in match_triggers(log, regs).select("log_id").collect()] == [3]
 
 
 def test_key_mismatch_on_any_part(spark):
-    log = _log(spark, [(1, 7, "cortex", 3, "PUT", "file", False, False),
-                       (2, 8, "cortex", 3, "POST", "file", False, False),
-                       (3, 7, "cortex", 4, "POST", "file", False, False),
+    log = _log(spark, [(1, 7, "datasets", 3, "PUT", "file", False, False),
+                       (2, 8, "datasets", 3, "POST", "file", False, False),
+                       (3, 7, "datasets", 4, "POST", "file", False, False),
                        (4, 7, "other", 3, "POST", "file", False, False),
-                       (5, 7, "cortex", None, "POST", "file", False, False)])
-    regs = _regs(spark, [(10, 7, "cortex", 3, "POST", "file", 4, "POST", True)])
+                       (5, 7, "datasets", None, "POST", "file", False, False)])
+    regs = _regs(spark, [(10, 7, "datasets", 3, "POST", "file", 4, "POST", True)])
     assert match_triggers(log, regs).count() == 0
 
 
 def test_gate_needs_any_registration_on_dataset(spark):
-    log = _log(spark, [(1, 1, "cortex", 3, "POST", "file", False, False),
-                       (2, 1, "cortex", 9, "POST", "file", False, False),
-                       (3, 1, "cortex", 3, "POST", "file", True, False)])
-    regs = _regs(spark, [(10, 99, "cortex", 3, "POST", "file", 4, "POST", True)])
+    log = _log(spark, [(1, 1, "datasets", 3, "POST", "file", False, False),
+                       (2, 1, "datasets", 9, "POST", "file", False, False),
+                       (3, 1, "datasets", 3, "POST", "file", True, False)])
+    regs = _regs(spark, [(10, 99, "datasets", 3, "POST", "file", 4, "POST", True)])
     assert [r[0] for r in gate(log, regs).select("log_id").collect()] == [1]
 
 
@@ -242,13 +242,13 @@ def test_match_with_hot_user_and_salting(spark):
     log = (spark.range(n).select(
         F.col("id").alias("log_id"),
         F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 50 + 100).cast("long").alias("user_id"),
-        F.lit("cortex").alias("service"), (F.col("id") % 4).alias("dataset_id"),
+        F.lit("datasets").alias("service"), (F.col("id") % 4).alias("dataset_id"),
         F.lit("POST").alias("action"), F.lit("file").alias("object"),
         F.lit(False).alias("is_transform_output"), F.lit(False).alias("processed")))
     users = log.select("user_id", "dataset_id").distinct()
     regs = users.select(
         (F.col("user_id") * 10 + F.col("dataset_id")).alias("transform_id"), "user_id",
-        F.lit("cortex").alias("in_service"), F.col("dataset_id").alias("in_dataset_id"),
+        F.lit("datasets").alias("in_service"), F.col("dataset_id").alias("in_dataset_id"),
         F.lit("POST").alias("in_action"), F.lit("file").alias("in_object"),
         ((F.col("dataset_id") + 1) % 4).alias("out_dataset_id"), F.lit("POST").alias("out_action"),
         F.lit(True).alias("enabled"))
@@ -263,17 +263,17 @@ def test_match_with_hot_user_and_salting(spark):
 def test_match_report_statuses(spark):
     from lakehook.operators.match import match_report
     log = spark.createDataFrame(
-        [(1, 7, "cortex", 3, "POST", "file", False, False, "{}"),
-         (2, 7, "cortex", 4, "POST", "file", False, False, "{}"),
-         (3, 7, "cortex", 5, "POST", "file", False, False, "{}"),
-         (4, 7, "cortex", 6, "POST", "file", False, False, None),
-         (5, 7, "cortex", 9, "POST", "file", False, False, "{}")],
+        [(1, 7, "datasets", 3, "POST", "file", False, False, "{}"),
+         (2, 7, "datasets", 4, "POST", "file", False, False, "{}"),
+         (3, 7, "datasets", 5, "POST", "file", False, False, "{}"),
+         (4, 7, "datasets", 6, "POST", "file", False, False, None),
+         (5, 7, "datasets", 9, "POST", "file", False, False, "{}")],
         LOG_DDL + ", object_details string")
-    regs = _regs(spark, [(10, 7, "cortex", 3, "POST", "file", 4, "POST", False),
-                         (11, 7, "cortex", 3, "POST", "file", 4, "POST", True),
-                         (20, 7, "cortex", 4, "POST", "file", 5, "PUT", True),
-                         (30, 7, "cortex", 5, "POST", "file", 6, "POST", True),
-                         (40, 7, "cortex", 6, "POST", "file", 7, "POST", True)])
+    regs = _regs(spark, [(10, 7, "datasets", 3, "POST", "file", 4, "POST", False),
+                         (11, 7, "datasets", 3, "POST", "file", 4, "POST", True),
+                         (20, 7, "datasets", 4, "POST", "file", 5, "PUT", True),
+                         (30, 7, "datasets", 5, "POST", "file", 6, "POST", True),
+                         (40, 7, "datasets", 6, "POST", "file", 7, "POST", True)])
     got = {r["log_id"]: (r["transform_id"], r["status"]) for r in match_report(log, regs).collect()}
     assert got == {1: (10, "disabled"), 2: (20, "output_not_post"), 3: (30, "dispatched"),
                    4: (40, "no_object"), 5: (None, "no_registration")}
