@@ -91,7 +91,11 @@ def first_per_key(df: DataFrame, key: str | Sequence[str], order_by: Sequence[st
     Written as ``min(struct(order..., payload...))`` rather than
     ``row_number() == 1``: the aggregate is combined inside each map task, so a
     key holding a large share of all rows never has to be sorted in one task.
-    NULLs in order columns sort first, as in Spark's default ascending order.
+    Spark plans aggregates over structs sort-based: each task sorts its own
+    rows (spillable) and ships one row per key -- cheaper than a hash
+    aggregate of the order column followed by a join of the full table back
+    to it. NULLs in order columns sort first, as in Spark's default
+    ascending order.
     """
     keys = [key] if isinstance(key, str) else list(key)
     rest = [c for c in (payload if payload is not None else df.columns)
