@@ -80,3 +80,28 @@ def delete_files(files: DataFrame, doomed: DataFrame) -> DataFrame:
     """Delete files by (user, dataset, path)."""
     return M.delete_rows(files, doomed.select("user_id", "dataset_id", "path"),
                          ["user_id", "dataset_id", "path"])
+
+
+def update_datasets(datasets: DataFrame, patches: DataFrame, now: datetime, next_log_id: int):
+    """Patch datasets (``user_id, dataset_id`` + fields to change; NULL keeps
+    the stored value, M6) and log one PUT event per updated dataset.
+    Returns ``(snapshot, events)``."""
+    keys = ["user_id", "dataset_id"]
+    snapshot = M.patch_rows(datasets, patches, keys)
+    hit = snapshot.join(patches.select(*keys).distinct(), keys, "left_semi")
+    events = _events(hit.withColumn("host_details", S.to_json_object("name", "resource_name", "tags")),
+                     "PUT", "datasetUpdate", next_log_id, now)
+    return snapshot, events
+
+
+def delete_users(users: DataFrame, tables: dict[str, DataFrame], doomed: DataFrame) -> dict:
+    """Delete users (``user_id``) with ON DELETE CASCADE to every table that
+    carries ``user_id`` -- datasets, files, transforms and the event log
+    (including the user's own delete event). Registrations have no key to
+    datasets, so they go with their user, not with a deleted dataset.
+    Returns the surviving ``users`` and each table under its name."""
+    ids = doomed.select("user_id").distinct()
+    out = {"users": M.delete_rows(users, ids, ["user_id"])}
+    for name, df in tables.items():
+        out[name] = M.delete_rows(df, ids, ["user_id"])
+    return out

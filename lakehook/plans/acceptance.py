@@ -727,6 +727,24 @@ def create_datasets(spark, sf_dir):
     return created.unionByName(refused.withColumnRenamed("reason", "outcome"))
 
 
+def delete_users(spark, sf_dir):
+    """Catalog action: AUTOMOBILE customers delete their accounts; their
+    event-log rows and registrations go with them (cascade). Returns the
+    surviving log rows with the number of registrations left for the user."""
+    from lakehook.operators import catalog as C
+
+    cust = table(spark, sf_dir, "customer")
+    users = cust.select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("username"))
+    log = _log(spark, sf_dir)
+    doomed = cust.filter(F.col("c_mktsegment") == "AUTOMOBILE").select(
+        F.col("c_custkey").alias("user_id"))
+    out = C.delete_users(users, {"event_log": log, "transforms": lake.registrations(log)}, doomed)
+    regs_left = L.count_per_key(out["transforms"], "user_id", "n_transforms")
+    return (out["event_log"].select("log_id", "user_id")
+            .join(regs_left, "user_id", "left")
+            .select("log_id", "user_id", F.coalesce("n_transforms", F.lit(0)).alias("n_transforms")))
+
+
 def dispatch_record(spark, sf_dir):
     """T7 catalog side (M3 + S8): output files of a dispatched batch enter the
     catalog and are logged as transform output; returns those events."""
@@ -762,4 +780,5 @@ QUERIES.update({
     "update_tags": update_tags,
     "lake_flow": lake_flow,
     "create_datasets": create_datasets,
+    "delete_users": delete_users,
 })

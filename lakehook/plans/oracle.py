@@ -470,3 +470,12 @@ SELECT user_id, name, 'name_length' FROM req WHERE NOT coalesce(length(name) BET
 UNION ALL
 SELECT v.user_id, v.name, 'name_taken' FROM valid v
 WHERE NOT EXISTS (SELECT 1 FROM free f WHERE f.name = v.name AND f.user_id = v.user_id)"""
+
+ORACLES["delete_users"] = f"""
+WITH {_LOG}, {_REG},
+doomed AS (SELECT c_custkey AS user_id FROM customer WHERE c_mktsegment = 'AUTOMOBILE'),
+regs_left AS (SELECT user_id, count(*) AS n_transforms FROM reg
+              WHERE user_id NOT IN (SELECT user_id FROM doomed) GROUP BY user_id)
+SELECT l.log_id, l.user_id, coalesce(r.n_transforms, 0) AS n_transforms
+FROM log l LEFT JOIN regs_left r ON r.user_id = l.user_id
+WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.user_id = l.user_id)"""

@@ -325,3 +325,23 @@ def test_mutations_with_repeated_keys_stay_one_row_per_key(spark):
     cur = spark.createDataFrame([], "path string, id long, lm timestamp_ntz")
     up = M.upsert(cur, inc, ["path"], bump=["lm"]).collect()
     assert [tuple(r) for r in up] == [("p1", 7, datetime(2024, 3, 1))]
+
+
+def test_catalog_update_datasets_and_delete_users(spark):
+    from lakehook.operators import catalog as C
+    from lakehook.schemas import DATASETS
+    ds = spark.createDataFrame([(1, 10, "sales", "lake:dataset:::sales", ["a"], None),
+                                (2, 11, "logs", "lake:dataset:::logs", [], None)], DATASETS)
+    patch = spark.createDataFrame([(1, 10, ["x", "y"], None)],
+                                  "user_id long, dataset_id long, tags array<string>, lifecycle_id long")
+    snap, events = C.update_datasets(ds, patch, datetime(2024, 1, 1), 7)
+    assert {r["name"]: r["tags"] for r in snap.collect()} == {"sales": ["x", "y"], "logs": []}
+    assert [(r["action"], r["dataset_id"]) for r in events.collect()] == [("PUT", 10)]
+    users = spark.createDataFrame([(1, "ann"), (2, "bob")], "user_id long, username string")
+    log = spark.createDataFrame([(1, 1, "userDelete"), (2, 2, "x")],
+                                "log_id long, user_id long, description string")
+    out = C.delete_users(users, {"datasets": ds, "event_log": log},
+                         spark.createDataFrame([(1,)], "user_id long"))
+    assert [r["username"] for r in out["users"].collect()] == ["bob"]
+    assert [r["name"] for r in out["datasets"].collect()] == ["logs"]
+    assert [r["log_id"] for r in out["event_log"].collect()] == [2]
