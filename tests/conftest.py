@@ -13,7 +13,8 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from lakehook.session import build_session
-    s = build_session("local[*]", app_name="lakehook-tests", shuffle_partitions=8)
+    # up to three attempts per task, so tests can inject task failures
+    s = build_session("local[8,3]", app_name="lakehook-tests", shuffle_partitions=8)
     if not s.sparkContext.getCheckpointDir():
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lakehook-test-ckpt-"))
     yield s

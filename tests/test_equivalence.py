@@ -308,3 +308,34 @@ def test_stream_drops_events_delivered_twice(spark):
         q.awaitTermination()
         assert len(seen) == 2
         assert sum(seen.values()) == expect_factor * 17       # 17 matches in the smoke data
+
+
+def test_dispatch_survives_failed_task_attempts(spark):
+    import os
+    import tempfile
+    marks = tempfile.mkdtemp(prefix="lakehook-failures-")   # test-only, local mode
+
+    def flaky_purchase_delta(pdf):
+        """purchase_delta, except that the first attempt of every other task
+        dies -- a stand-in for a lost executor (nested, so it is pickled by
+        value for the workers)."""
+        from pyspark import TaskContext
+        ctx = TaskContext.get()
+        if ctx is not None and ctx.attemptNumber() == 0 and ctx.partitionId() % 2 == 0:
+            open(os.path.join(marks, f"{ctx.stageId()}-{ctx.partitionId()}"), "w").close()
+            raise RuntimeError("simulated executor loss")
+        return A.purchase_delta(pdf)
+
+    from lakehook.operators.match import match_triggers
+    from lakehook.plans import dispatch as D
+    from lakehook.plans import lake
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    log = lake.event_log(ev)
+    out = scratch_path(spark, "flaky")
+    D.dispatch_python(match_triggers(log, lake.registrations(log)), lake.activity(ev),
+                      lake.ACTIVITY_FILE_KEYS, lake.activity_file_name(), flaky_purchase_delta,
+                      "event_id long, value_delta double", out)
+    got = sorted(tuple(r) for r in D.read_outputs(spark, out, A.DISPATCH_OUT_DDL).collect())
+    want = sorted(tuple(r) for r in A.dispatch_batch(spark, SMOKE_DIR).collect())
+    assert len(os.listdir(marks)) > 0          # attempts really failed
+    assert got == want and len(got) > 0
