@@ -149,52 +149,69 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
                  data_reader: Callable[[SparkSession], DataFrame], file_keys: list[str],
                  scripts: dict[str, str] | Callable[[str], str], out_root: str,
                  work_path: str, max_parallel: int = 8, batch_id: int = 0,
-                 per_transform: bool = False) -> list[tuple]:
+                 scope: str = "script") -> list[tuple]:
     """Run the SQL scripts of the fired transforms and write their outputs.
 
-    Default grouping: one job per (script, output dataset). Its
-    ``return_arrow_table`` is the UNION ALL of the matched files of every
-    transform in the group (a file matched by two transforms appears twice),
-    so for row-local scripts the output equals the union of the
-    per-transform outputs; it is written to the output dataset as the
-    script's base name with a ``.parquet`` extension. The number of jobs is
-    bounded by the catalog (scripts x datasets), not by how many events or
-    transforms fired. ``per_transform=True`` runs one job per fired transform
-    instead (exact per-transform input for aggregating scripts; output file
-    ``t<transform_id>.parquet``).
+    ``scope`` decides what one script run sees as ``return_arrow_table``:
+
+    * ``"script"`` (default): one job per (script, output dataset) over the
+      UNION ALL of the matched files of every transform in the group (a file
+      matched by two transforms appears twice). For row-local scripts this
+      equals the union of per-transform outputs. Output file: the script's
+      base name with a ``.parquet`` extension. Jobs are bounded by the
+      catalog (scripts x datasets), not by how many events fired.
+    * ``"transform"``: one job per fired transform over its files (exact
+      per-transform input for aggregating scripts); output
+      ``t<transform_id>.parquet``.
+    * ``"file"``: one job per (transform, file) -- the reference's exact
+      per-file semantics for any script, at the cost of one job per matched
+      file; output: the file's base name (``source_file`` keys) or its key
+      values, with a ``.parquet`` extension.
 
     The batch's work items are first written to ``work_path`` in the shared
     checkpoint folder: that cuts the match lineage, survives executor loss,
     and lets every job's private session read them. ``scripts`` maps a
     registration's ``src_file`` to its SQL text; ``data_reader(session)``
-    builds the lake data inside a given session. Only the list of groups --
-    catalog-sized -- reaches the driver. Returns the groups that ran.
+    builds the lake data inside a given session. Only the list of groups
+    reaches the driver. Jobs run concurrently (``max_parallel``). Returns the
+    groups that ran.
     """
     from lakehook.sources.files import parquet_target
 
+    keys_of = {"script": ["src_file", "out_dataset_id"],
+               "transform": ["transform_id", "out_dataset_id"],
+               "file": ["transform_id", "out_dataset_id", *file_keys]}
+    if scope not in keys_of:
+        raise ValueError(f"unknown scope {scope!r}")
+    key = keys_of[scope]
     work_items(matched, file_keys).write.mode("overwrite").parquet(work_path)
     work = spark.read.parquet(work_path)
-    key = ["transform_id", "out_dataset_id"] if per_transform else ["src_file", "out_dataset_id"]
     groups = [tuple(r) for r in work.select(*key).distinct().collect()]
     script_text = scripts if callable(scripts) else scripts.__getitem__
 
+    def out_name(group) -> str:
+        if scope == "script":
+            return parquet_target(group[0].rsplit("/", 1)[-1])
+        if scope == "transform":
+            return f"t{group[0]}.parquet"
+        ident = dict(zip(key, group))
+        if file_keys == ["source_file"]:
+            return parquet_target(str(ident["source_file"]).rsplit("/", 1)[-1])
+        return f"t{group[0]}_" + "_".join(str(ident[k]) for k in file_keys) + ".parquet"
+
     def execute(group):
         session = spark.newSession()
         mine = session.read.parquet(work_path)
         for k, v in zip(key, group):
             mine = mine.filter(F.col(k) == F.lit(v))
-        if per_transform:
-            src = mine.select("src_file").first()["src_file"]
-            out_file = f"t{group[0]}.parquet"
-        else:
-            src = group[0]
-            out_file = parquet_target(src.rsplit("/", 1)[-1])
-        job = f"sql-{out_file}"
+        src = group[0] if scope == "script" else mine.select("src_file").first()["src_file"]
+        out_file = out_name(group)
         data_reader(session).join(mine.select(*file_keys), file_keys, "inner") \
             .createOrReplaceTempView(TABLE_NAME)
         result = session.sql(script_text(src))
-        result = (result.withColumn(OUT_DATASET_COL, F.lit(group[-1]).cast("long"))
+        result = (result.withColumn(OUT_DATASET_COL, F.lit(group[1]).cast("long"))
                   .withColumn(OUT_FILE_COL, F.lit(out_file)))
+        job = f"sql-{out_file}" if scope != "file" else f"sql-t{group[0]}-{out_file}"
         _write(result, out_root, batch_id, job)
         return group
 

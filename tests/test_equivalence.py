@@ -96,7 +96,7 @@ def test_sql_dispatch_per_transform_mode(spark):
     out = scratch_path(spark, "sql-per-t")
     ran = D.dispatch_sql(spark, matched, lambda s: lake.activity(s.read.parquet(f"{SMOKE_DIR}/events.parquet")),
                          lake.ACTIVITY_FILE_KEYS, {"identity.sql": script}, out,
-                         work_path=scratch_path(spark, "sql-per-t-work"), per_transform=True)
+                         work_path=scratch_path(spark, "sql-per-t-work"), scope="transform")
     got = D.read_outputs(spark, out)
     # one aggregate row per fired transform, counting that transform's own files
     assert got.count() == len(ran) == matched.select("transform_id").distinct().count()
@@ -339,3 +339,23 @@ def test_dispatch_survives_failed_task_attempts(spark):
     want = sorted(tuple(r) for r in A.dispatch_batch(spark, SMOKE_DIR).collect())
     assert len(os.listdir(marks)) > 0          # attempts really failed
     assert got == want and len(got) > 0
+
+
+def test_sql_dispatch_per_file_scope(spark):
+    from lakehook.operators.match import match_triggers
+    from lakehook.plans import dispatch as D
+    from lakehook.plans import lake
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    log = lake.event_log(ev)
+    matched = match_triggers(log, lake.registrations(log))
+    script = "SELECT count(*) AS n FROM return_arrow_table"
+    out = scratch_path(spark, "sql-per-file")
+    D.dispatch_sql(spark, matched, lambda s: lake.activity(s.read.parquet(f"{SMOKE_DIR}/events.parquet")),
+                   lake.ACTIVITY_FILE_KEYS, {"identity.sql": script}, out,
+                   work_path=scratch_path(spark, "sql-per-file-work"), scope="file")
+    got = {r["out_file"]: r["n"] for r in D.read_outputs(spark, out).collect()}
+    work = D.work_items(matched, lake.ACTIVITY_FILE_KEYS)
+    sizes = lake.activity(ev).groupBy(*lake.ACTIVITY_FILE_KEYS).count()
+    want = {f"t{r['transform_id']}_{r['user_id']}_{r['dataset_id']}.parquet": r["count"]
+            for r in work.join(sizes, lake.ACTIVITY_FILE_KEYS).collect()}
+    assert got == want and len(got) > 0
