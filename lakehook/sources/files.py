@@ -40,11 +40,16 @@ def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None
 
 
 def logical_file(file_path=None):
-    """The lake file a row came from. Spark writes a "file" as a directory of
-    ``part-*`` files; this strips the part file name, leaving plain files
-    unchanged."""
+    """The lake file a row came from, as the catalog writes its path. Spark
+    writes a "file" as a directory of ``part-*`` files; this strips the part
+    file name (plain files stay unchanged), decodes the percent-encoding of
+    the reported path and drops a local ``file:`` scheme."""
     path = F.col("_metadata.file_path") if file_path is None else file_path
-    return normalize_path(F.regexp_replace(path, "/part-[^/]*$", ""))
+    stripped = F.regexp_replace(path, "/part-[^/]*$", "")
+    # Spark reports the path percent-encoded; decode it (protecting '+',
+    # which form decoding would turn into a space)
+    decoded = F.url_decode(F.regexp_replace(stripped, r"\+", "%2B"))
+    return normalize_path(decoded)
 
 
 def normalize_path(path):

@@ -359,3 +359,15 @@ def test_sql_dispatch_per_file_scope(spark):
     want = {f"t{r['transform_id']}_{r['user_id']}_{r['dataset_id']}.parquet": r["count"]
             for r in work.join(sizes, lake.ACTIVITY_FILE_KEYS).collect()}
     assert got == want and len(got) > 0
+
+
+def test_logical_file_matches_catalog_path_with_special_characters(spark):
+    root = scratch_path(spark, "names")
+    paths = [f"{root}/my file #1+2.parquet", f"{root}/a%b.csv"]
+    spark.range(2).write.parquet(paths[0])
+    spark.range(2).write.option("header", True).csv(paths[1])
+    df = IO.read_files(spark, {"parquet": [paths[0]], "csv": [paths[1]]})
+    got = {r[0] for r in df.select(IO.SOURCE_FILE_COL).collect()}
+    want = {r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string")
+            .select(IO.normalize_path(F.col("p"))).collect()}
+    assert got == want
