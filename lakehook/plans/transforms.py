@@ -114,29 +114,44 @@ def native_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> Dat
 
 
 def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFrame,
-                        datasets: DataFrame) -> DataFrame:
+                        datasets: DataFrame, with_refused: bool = False):
     """Turn registration requests into catalog rows and append them.
 
     ``requests`` carries names: ``username, name, in_dataset, in_action,
     out_dataset, out_action, src_file`` (+ optional ``timeout``, ``enabled``).
     User and dataset names are resolved to ids (J1, sentinel on a miss);
-    names are sanitised (F7) and new ids continue above the current maximum,
-    in request order, without a global sort. Returns the new catalog snapshot.
+    names are sanitised (F7) and must then be 1-64 characters long, the
+    timeout at most 1500, and the user and both datasets must resolve --
+    other requests are refused with a reason. New ids continue above the
+    current maximum, in request order, without a global sort. Returns the
+    new catalog snapshot, plus the refused requests when ``with_refused``.
     """
     from lakehook.functions.scalars import sanitize_name
     from lakehook.operators.lookup import name_to_id
-    from lakehook.schemas import DEFAULT_TIMEOUT, OBJECT_FILE, SERVICE_DATASETS
+    from lakehook.operators.quality import MAX_TIMEOUT, TRANSFORM_NAME_LENGTH
+    from lakehook.schemas import DEFAULT_TIMEOUT, MISSING_ID, OBJECT_FILE, SERVICE_DATASETS
 
     r = name_to_id(requests, "username", users, "username", "user_id", "user_id")
     r = name_to_id(r, "in_dataset", datasets, "name", "dataset_id", "in_dataset_id")
     r = name_to_id(r, "out_dataset", datasets, "name", "dataset_id", "out_dataset_id")
-    base = existing.agg(F.coalesce(F.max("transform_id"), F.lit(0)).alias("m")).first()["m"]
     timeout = F.col("timeout") if "timeout" in requests.columns else F.lit(DEFAULT_TIMEOUT)
     enabled = F.col("enabled") if "enabled" in requests.columns else F.lit(True)
-    new = r.select(
+    r = r.withColumn("__name", sanitize_name("name")).withColumn("__timeout", timeout)
+    lo, hi = TRANSFORM_NAME_LENGTH
+    reason = (F.when(F.col("user_id") == MISSING_ID, F.lit("unknown_user"))
+              .when((F.col("in_dataset_id") == MISSING_ID) | (F.col("out_dataset_id") == MISSING_ID),
+                    F.lit("unknown_dataset"))
+              .when(~F.coalesce(F.length("__name").between(lo, hi), F.lit(False)),
+                    F.lit("name_length"))
+              .when(~F.coalesce(F.col("__timeout") <= MAX_TIMEOUT, F.lit(False)),
+                    F.lit("timeout_bound")))
+    r = r.withColumn("__reason", reason)
+    ok = r.filter(F.col("__reason").isNull())
+    base = existing.agg(F.coalesce(F.max("transform_id"), F.lit(0)).alias("m")).first()["m"]
+    new = ok.select(
         F.col("user_id").cast("long"),
         (F.lit(base + 1) + F.monotonically_increasing_id()).cast("long").alias("transform_id"),
-        sanitize_name("name").alias("name"),
+        F.col("__name").alias("name"),
         F.lit(SERVICE_DATASETS).alias("in_service"),
         F.col("in_dataset_id").cast("long"),
         F.col("in_action"), F.lit(OBJECT_FILE).alias("in_object"),
@@ -144,9 +159,14 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
         F.col("out_dataset_id").cast("long"),
         F.col("out_action"), F.lit(OBJECT_FILE).alias("out_object"),
         F.col("src_file"),
-        timeout.cast("decimal(4,0)").alias("timeout"),
+        F.col("__timeout").cast("decimal(4,0)").alias("timeout"),
         enabled.cast("boolean").alias("enabled"))
-    return existing.unionByName(new.select(*existing.columns))
+    snapshot = existing.unionByName(new.select(*existing.columns))
+    if not with_refused:
+        return snapshot
+    refused = r.filter(F.col("__reason").isNotNull()).select(
+        *requests.columns, F.col("__reason").alias("reason"))
+    return snapshot, refused
 
 
 # Files with more rows than this are not handed to one Python worker; they run

@@ -345,3 +345,25 @@ def test_catalog_update_datasets_and_delete_users(spark):
     assert [r["username"] for r in out["users"].collect()] == ["bob"]
     assert [r["name"] for r in out["datasets"].collect()] == ["logs"]
     assert [r["log_id"] for r in out["event_log"].collect()] == [2]
+
+
+def test_register_transforms_refuses_invalid_requests(spark):
+    from lakehook.plans.transforms import register_transforms
+    from lakehook.schemas import TRANSFORMS
+    users = spark.createDataFrame([(1, "ann")], "user_id long, username string")
+    ds = spark.createDataFrame([(5, "in"), (6, "out")], "dataset_id long, name string")
+    cols = "username string, name string, in_dataset string, in_action string, " \
+           "out_dataset string, out_action string, src_file string, timeout int"
+    req = spark.createDataFrame([
+        ("ann", " my:job. ", "in", "POST", "out", "POST", "f.sql", 200),
+        ("zed", "x", "in", "POST", "out", "POST", "f.sql", 200),
+        ("ann", "y", "in", "POST", "nowhere", "POST", "f.sql", 200),
+        ("ann", "<>", "in", "POST", "out", "POST", "f.sql", 200),
+        ("ann", "z", "in", "POST", "out", "POST", "f.sql", 1600)], cols)
+    existing = spark.createDataFrame([], TRANSFORMS)
+    snap, refused = register_transforms(req, existing, users, ds, with_refused=True)
+    assert [(r["name"], r["in_dataset_id"], r["out_dataset_id"]) for r in snap.collect()] == \
+        [("myjob", 5, 6)]
+    assert sorted((r["name"], r["reason"]) for r in refused.collect()) == [
+        ("<>", "name_length"), ("x", "unknown_user"), ("y", "unknown_dataset"),
+        ("z", "timeout_bound")]
