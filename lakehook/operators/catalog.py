@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from lakehook.functions import scalars as S
 from lakehook.operators import lookup as L
 from lakehook.operators import mutate as M
+from lakehook.operators.ids import with_ids
 from lakehook.operators.quality import DATASET_NAME_LENGTH
 from lakehook.sources.files import log_rows
 
@@ -25,8 +26,9 @@ REASON_NAME_TAKEN = "name_taken"
 
 
 def _events(rows: DataFrame, action: str, description: str, next_log_id: int, now) -> DataFrame:
+    rows = with_ids(rows, {"log_id": next_log_id})
     return log_rows(rows.select(
-        (F.lit(next_log_id) + F.monotonically_increasing_id()).alias("log_id"),
+        "log_id",
         "user_id", F.lit(action).alias("action"), "dataset_id",
         F.lit(description).alias("description"),
         F.col("host_details")), created=now)
@@ -48,9 +50,8 @@ def create_datasets(datasets: DataFrame, requests: DataFrame, now: datetime,
     winners = L.first_per_key(valid, "name", ["user_id"], payload=["tags_text"])
     free = L.not_exists_in(winners, datasets.select("name"), ["name"])
     taken = valid.join(free.select("name", "user_id"), ["name", "user_id"], "left_anti")
-    new = free.select(
-        F.col("user_id").cast("long"),
-        (F.lit(next_dataset_id) + F.monotonically_increasing_id()).cast("long").alias("dataset_id"),
+    new = with_ids(free, {"dataset_id": next_dataset_id}).select(
+        F.col("user_id").cast("long"), "dataset_id",
         "name", S.resource_name("name").alias("resource_name"),
         S.split_tags(F.coalesce(F.col("tags_text"), F.lit(""))).alias("tags"),
         F.lit(None).cast("long").alias("lifecycle_id"))

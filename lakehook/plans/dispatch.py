@@ -232,6 +232,7 @@ def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: Dat
     Returns ``(catalog_snapshot, output_events)``.
     """
     from lakehook.functions import scalars as S
+    from lakehook.operators.ids import with_ids
     from lakehook.operators.mutate import upsert
     from lakehook.sources.files import log_rows
 
@@ -241,19 +242,20 @@ def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: Dat
     path = F.concat_ws("/", F.lit(out_root.rstrip("/")),
                        F.concat(F.lit(f"{OUT_DATASET_COL}="), F.col("dataset_id").cast("string")),
                        F.col("name"))
-    incoming = outs.select(
-        F.col("user_id").cast("long"), F.col("dataset_id").cast("long"),
-        (F.lit(next_file_id) + F.monotonically_increasing_id()).cast("long").alias("file_id"),
+    staged = with_ids(outs, {"file_id": next_file_id, "__log_id": next_log_id})
+    incoming = staged.select(
+        F.col("user_id").cast("long"), F.col("dataset_id").cast("long"), "file_id",
         "name", path.alias("path"), F.lit(None).cast("string").alias("owner"),
         ts.alias("creation_date"), ts.alias("last_modified"),
         F.lit(None).cast("string").alias("size"), F.lit(None).cast("long").alias("size_bytes"),
         S.file_extension("name").alias("file_extension"),
-        F.array().cast("array<string>").alias("tags"), F.lit("hot").alias("storage_class"))
+        F.array().cast("array<string>").alias("tags"), F.lit("hot").alias("storage_class"),
+        "__log_id")
     keys = ["user_id", "dataset_id", "path"]
-    snapshot = upsert(files.select(*incoming.columns), incoming, keys)
+    snapshot = upsert(files.select(*incoming.drop("__log_id").columns), incoming.drop("__log_id"), keys)
     new = incoming.join(files.select(*keys), keys, "left_anti")
     events = log_rows(new.select(
-        (F.lit(next_log_id) + F.monotonically_increasing_id()).alias("log_id"),
+        F.col("__log_id").alias("log_id"),
         "user_id", F.lit("POST").alias("action"), "dataset_id",
         F.lit("transformOutput").alias("description"),
         S.to_json_object("name", "path", "creation_date", "last_modified", "file_extension",

@@ -123,10 +123,12 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
     names are sanitised (F7) and must then be 1-64 characters long, the
     timeout at most 1500, and the user and both datasets must resolve --
     other requests are refused with a reason. New ids continue above the
-    current maximum, in request order, without a global sort. Returns the
+    current maximum (stable, see :func:`lakehook.operators.ids.with_ids`),
+    without a global sort. Returns the
     new catalog snapshot, plus the refused requests when ``with_refused``.
     """
     from lakehook.functions.scalars import sanitize_name
+    from lakehook.operators.ids import with_ids
     from lakehook.operators.lookup import name_to_id
     from lakehook.operators.quality import MAX_TIMEOUT, TRANSFORM_NAME_LENGTH
     from lakehook.schemas import DEFAULT_TIMEOUT, MISSING_ID, OBJECT_FILE, SERVICE_DATASETS
@@ -148,9 +150,8 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
     r = r.withColumn("__reason", reason)
     ok = r.filter(F.col("__reason").isNull())
     base = existing.agg(F.coalesce(F.max("transform_id"), F.lit(0)).alias("m")).first()["m"]
-    new = ok.select(
-        F.col("user_id").cast("long"),
-        (F.lit(base + 1) + F.monotonically_increasing_id()).cast("long").alias("transform_id"),
+    new = with_ids(ok, {"transform_id": base + 1}).select(
+        F.col("user_id").cast("long"), "transform_id",
         F.col("__name").alias("name"),
         F.lit(SERVICE_DATASETS).alias("in_service"),
         F.col("in_dataset_id").cast("long"),

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from lakehook.functions import scalars as S
 from lakehook.operators import mutate as M
+from lakehook.operators.ids import with_ids
 from lakehook.schemas import OBJECT_FILE, SERVICE_DATASETS
 
 PARQUET_EXTENSIONS = ("pq", "parquet")
@@ -195,9 +196,10 @@ def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_ro
 
     ``landing`` lists ``(name, landing_path, file_extension)`` of the files to
     ingest. Each file is copied (as Parquet) under ``dataset_root`` with the
-    same base name; the catalog gets a new row per new path, or only a new
-    modification time for an existing one -- and only new paths produce a
-    POST event. CSV files are read with ``csv_schema`` when given, else
+    same base name; its catalog size is what was really written (summed
+    ``_metadata.file_size`` of its parts). The catalog gets a new row per new
+    path, or only a new modification time for an existing one -- and only new
+    paths produce a POST event. CSV files are read with ``csv_schema`` when given, else
     with inferred types. Returns ``(catalog_snapshot, new_events)`` as
     DataFrames.
     """
@@ -211,25 +213,34 @@ def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_ro
     # one row per landed file (metadata only); the copies run as concurrent jobs
     with ThreadPoolExecutor(max_workers=8) as pool:
         written = list(pool.map(copy, landing.collect()))
-    landed = spark.createDataFrame(written, "name string, path string")
+    landed = spark.createDataFrame(written, "name string, path string") \
+        .withColumn("path", normalize_path(F.col("path")))
+    # real stored size: one metadata-only scan over everything just written
+    sizes = (read_parquet(spark, *[t for _, t in written])
+             .select(logical_file().alias("path"), F.col("_metadata.file_path").alias("__part"),
+                     F.col("_metadata.file_size").alias("__bytes"))
+             .distinct().groupBy("path").agg(F.sum("__bytes").cast("long").alias("size_bytes")))
+    landed = with_ids(landed.join(sizes, "path", "left"),
+                      {"file_id": next_file_id, "__log_id": next_log_id})
     ts = F.lit(now).cast("timestamp_ntz")
-    incoming = landed.select(
+    staged = landed.select(
         F.lit(user_id).cast("long").alias("user_id"),
         F.lit(dataset_id).cast("long").alias("dataset_id"),
-        (F.lit(next_file_id) + F.monotonically_increasing_id()).cast("long").alias("file_id"),
+        "file_id", "__log_id",
         S.base_name("path").alias("name"), F.col("path"),
         F.lit(owner).alias("owner"), ts.alias("creation_date"), ts.alias("last_modified"),
-        F.lit(None).cast("string").alias("size"), F.lit(None).cast("long").alias("size_bytes"),
+        S.human_size("size_bytes").alias("size"), F.col("size_bytes"),
         F.lit("parquet").alias("file_extension"),
         F.array().cast("array<string>").alias("tags"), F.lit("hot").alias("storage_class"))
+    incoming = staged.drop("__log_id")
     keys = ["user_id", "dataset_id", "path"]
     snapshot = M.upsert(files.select(*incoming.columns), incoming, keys)
-    new_paths = incoming.join(files.select(*keys), keys, "left_anti")
+    new_paths = staged.join(files.select(*keys), keys, "left_anti")
     events = log_rows(new_paths.select(
-        (F.lit(next_log_id) + F.monotonically_increasing_id()).alias("log_id"),
+        F.col("__log_id").alias("log_id"),
         "user_id", F.lit("POST").alias("action"), "dataset_id",
         F.lit("uploadFile").alias("description"),
-        S.to_json_object("name", "path", "owner", "creation_date", "last_modified",
+        S.to_json_object("name", "path", "owner", "creation_date", "last_modified", "size",
                          "file_extension", iso_dates=("creation_date", "last_modified"))
         .alias("object_details")), created=now)
     return snapshot, events
@@ -247,9 +258,9 @@ def update_file_tags(files: DataFrame, changes: DataFrame, now: datetime, next_l
     ch = changes.select(*keys, S.split_tags("tags_text").alias("tags"))
     snapshot = M.update_rows(files, ch, keys, {
         "tags": F.col("new_tags"), "last_modified": F.lit(now).cast("timestamp_ntz")})
-    hit = files.select(*keys, "name").join(ch, keys, "inner")
+    hit = with_ids(files.select(*keys, "name").join(ch, keys, "inner"), {"log_id": next_log_id})
     events = log_rows(hit.select(
-        (F.lit(next_log_id) + F.monotonically_increasing_id()).alias("log_id"),
+        "log_id",
         "user_id", F.lit("PUT").alias("action"), "dataset_id",
         F.lit("updateFile").alias("description"),
         S.to_json_object("name", "path", "tags").alias("object_details")), created=now)

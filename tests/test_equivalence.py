@@ -71,6 +71,7 @@ def test_ingest_reupload_emits_no_event(spark):
     assert len(row) == 1 and row[0]["last_modified"] == datetime(2024, 1, 2)
     assert row[0]["creation_date"] == datetime(2024, 1, 1)
     assert row[0]["path"].endswith("/r.parquet") and row[0]["file_extension"] == "parquet"
+    assert row[0]["size_bytes"] > 0 and row[0]["size"].endswith(("bytes", "KB"))
 
 
 def test_sql_transform_isolated_views(spark):
