@@ -59,6 +59,12 @@ def resolve_owned(requests: DataFrame, catalog: DataFrame, keys: Sequence[tuple[
     return out.withColumn(found_col, F.coalesce(F.col("__hit"), F.lit(False))).drop("__hit")
 
 
+def has_row(df: DataFrame, condition: Column) -> bool:
+    """P7 for a single key: does any row satisfy ``condition``?
+    ``limit(1)`` lets every task stop at its first match."""
+    return df.filter(condition).limit(1).count() > 0
+
+
 def exists_in(df: DataFrame, other: DataFrame, on: Sequence[str] | Column) -> DataFrame:
     """Rows of ``df`` with a match in ``other`` (SQL EXISTS / IN)."""
     return df.join(other, on, "left_semi")

@@ -367,3 +367,9 @@ def test_register_transforms_refuses_invalid_requests(spark):
     assert sorted((r["name"], r["reason"]) for r in refused.collect()) == [
         ("<>", "name_length"), ("x", "unknown_user"), ("y", "unknown_dataset"),
         ("z", "timeout_bound")]
+
+
+def test_has_row_single_key_existence(spark):
+    df = spark.createDataFrame([(1, "ann"), (2, "bob")], "id long, name string")
+    assert L.has_row(df, F.col("name") == "bob")
+    assert not L.has_row(df, F.col("name") == "zed")
