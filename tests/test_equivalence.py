@@ -372,3 +372,38 @@ def test_logical_file_matches_catalog_path_with_special_characters(spark):
     want = {r[0] for r in spark.createDataFrame([(p,) for p in paths], "p string")
             .select(IO.normalize_path(F.col("p"))).collect()}
     assert got == want
+
+
+def test_stream_over_appended_event_log(spark):
+    """S8 appends the log (day-partitioned) in two batches; T8 streams that
+    directory and dispatches; the result equals the batch dispatch."""
+    from pyspark.sql import types as T
+    from lakehook.plans import dispatch as D
+    from lakehook.plans import lake
+    from lakehook.schemas import EVENT_LOG
+    from lakehook.streaming.trigger_stream import start_dispatch_stream
+
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    log = lake.event_log(ev)
+    log_dir = scratch_path(spark, "s8-log")
+    cut = F.lit("2024-01-15").cast("timestamp_ntz")
+    # each event names its object: the (user, dataset) activity file
+    named = log.withColumn("object_details", F.to_json(F.struct("user_id", "dataset_id")))
+    for part in (named.filter(F.col("created_timestamp") < cut),
+                 named.filter(F.col("created_timestamp") >= cut)):
+        IO.append_events(IO.log_rows(part), log_dir)
+    schema = T.StructType(EVENT_LOG.fields + [T.StructField("day", T.DateType())])
+    out = scratch_path(spark, "s8-out")
+
+    def handle(matched, batch_id):
+        D.dispatch_python(matched, lake.activity(ev), lake.ACTIVITY_FILE_KEYS,
+                          lake.activity_file_name(), A.purchase_delta,
+                          "event_id long, value_delta double", out, batch_id=batch_id)
+
+    q = start_dispatch_stream(spark, log_dir, schema, lambda df: df.drop("day"),
+                              lake.registrations(log), handle,
+                              checkpoint=scratch_path(spark, "s8-ckpt"), max_files_per_trigger=8)
+    q.awaitTermination()
+    streamed = sorted(tuple(r) for r in D.read_outputs(spark, out, A.DISPATCH_OUT_DDL).collect())
+    batch = sorted(tuple(r) for r in A.dispatch_batch(spark, SMOKE_DIR).collect())
+    assert streamed == batch and len(batch) > 0
