@@ -479,3 +479,30 @@ regs_left AS (SELECT user_id, count(*) AS n_transforms FROM reg
 SELECT l.log_id, l.user_id, coalesce(r.n_transforms, 0) AS n_transforms
 FROM log l LEFT JOIN regs_left r ON r.user_id = l.user_id
 WHERE NOT EXISTS (SELECT 1 FROM doomed d WHERE d.user_id = l.user_id)"""
+
+ORACLES.update({
+    "sql_transform_d02b": """
+SELECT event_type,
+       CAST(count_if(value > 100) AS BIGINT) AS n_big,
+       bool_and(value >= 0) AS all_non_negative,
+       bool_or(value > 500) AS any_huge,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean_value,
+       min(ts) AS first_ts, max(ts) AS last_ts,
+       string_agg(DISTINCT props->>'$.k', ',' ORDER BY props->>'$.k') AS k_values
+FROM events GROUP BY event_type""",
+    "sql_transform_d09b": """
+SELECT event_id,
+       CAST(date_trunc('week', ts) AS DATE) AS week_start,
+       make_date(year(ts), month(ts), 1) AS month_start,
+       last_day(CAST(ts AS DATE)) AS month_end,
+       CAST(dayofyear(ts) AS INTEGER) AS doy,
+       ts + INTERVAL 36 HOUR AS due_ts
+FROM events""",
+    "sql_transform_d11b": """
+SELECT doc_id,
+       CAST(len(string_split(text, ' ')) AS INTEGER) AS n_tokens,
+       CAST(list_sum(list_transform(string_split(text, ' '), lambda w: length(w))) AS INTEGER) AS token_chars,
+       CAST(len(list_filter(string_split(text, ' '), lambda w: length(w) > 6)) AS INTEGER) AS n_long_tokens,
+       list_contains(string_split(text, ' '), 'the') AS has_the
+FROM documents""",
+})

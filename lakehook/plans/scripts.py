@@ -163,6 +163,37 @@ busy AS (
   SELECT user_id, count(*) AS active_days, max(n) AS peak FROM daily GROUP BY user_id),
 ranked AS (SELECT * FROM busy WHERE active_days >= 10)
 SELECT user_id, active_days, peak FROM ranked"""),
+    # D2 aggregate breadth: conditional counts, boolean aggregates, exact
+    # mean, time range, ordered distinct list
+    "sql_transform_d02b": ("events", """
+SELECT event_type,
+       count_if(value > 100) AS n_big,
+       bool_and(value >= 0) AS all_non_negative,
+       bool_or(value > 500) AS any_huge,
+       CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value) AS mean_value,
+       min(ts) AS first_ts, max(ts) AS last_ts,
+       listagg(DISTINCT get_json_object(props, '$.k'), ',')
+         WITHIN GROUP (ORDER BY get_json_object(props, '$.k')) AS k_values
+FROM return_arrow_table
+GROUP BY event_type"""),
+    # D9 more date functions: week truncation, month bounds, day of year,
+    # interval arithmetic
+    "sql_transform_d09b": ("events", """
+SELECT event_id,
+       CAST(date_trunc('WEEK', ts) AS DATE) AS week_start,
+       make_date(year(ts), month(ts), 1) AS month_start,
+       last_day(CAST(ts AS DATE)) AS month_end,
+       dayofyear(ts) AS doy,
+       ts + INTERVAL 36 HOURS AS due_ts
+FROM return_arrow_table"""),
+    # D11 arrays with higher-order functions over whole texts
+    "sql_transform_d11b": ("documents", """
+SELECT doc_id,
+       size(split(text, ' ')) AS n_tokens,
+       aggregate(transform(split(text, ' '), w -> length(w)), 0, (acc, x) -> acc + x) AS token_chars,
+       size(filter(split(text, ' '), w -> length(w) > 6)) AS n_long_tokens,
+       array_contains(split(text, ' '), 'the') AS has_the
+FROM return_arrow_table"""),
     # The default (identity) SQL transform
     "sql_identity": ("orders", "SELECT * FROM return_arrow_table a"),
 }
