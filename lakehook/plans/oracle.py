@@ -506,3 +506,18 @@ SELECT doc_id,
        list_contains(string_split(text, ' '), 'the') AS has_the
 FROM documents""",
 })
+
+ORACLES.update({
+    "sql_transform_d07b": """
+(SELECT event_type, user_id FROM events WHERE value > 50
+ INTERSECT ALL
+ SELECT event_type, user_id FROM events WHERE value < 400)
+EXCEPT ALL
+SELECT event_type, user_id FROM events WHERE event_type = 'error'""",
+    "sql_transform_d13b": """
+SELECT l_orderkey, l_linenumber, 'quantity' AS measure, l_quantity AS amount FROM lineitem
+UNION ALL
+SELECT l_orderkey, l_linenumber, 'discount_pct', l_discount * 100 FROM lineitem
+UNION ALL
+SELECT l_orderkey, l_linenumber, 'tax_pct', l_tax * 100 FROM lineitem""",
+})

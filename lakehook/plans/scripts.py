@@ -194,6 +194,20 @@ SELECT doc_id,
        size(filter(split(text, ' '), w -> length(w) > 6)) AS n_long_tokens,
        array_contains(split(text, ' '), 'the') AS has_the
 FROM return_arrow_table"""),
+    # D7 multiset set operations
+    "sql_transform_d07b": ("events", """
+(SELECT event_type, user_id FROM return_arrow_table WHERE value > 50
+ INTERSECT ALL
+ SELECT event_type, user_id FROM return_arrow_table WHERE value < 400)
+EXCEPT ALL
+SELECT event_type, user_id FROM return_arrow_table WHERE event_type = 'error'"""),
+    # D13 unpivot
+    "sql_transform_d13b": ("lineitem", """
+SELECT l_orderkey, l_linenumber, measure, amount FROM (
+  SELECT l_orderkey, l_linenumber, l_quantity, l_discount * 100 AS discount_pct,
+         l_tax * 100 AS tax_pct
+  FROM return_arrow_table)
+UNPIVOT (amount FOR measure IN (l_quantity AS quantity, discount_pct, tax_pct))"""),
     # The default (identity) SQL transform
     "sql_identity": ("orders", "SELECT * FROM return_arrow_table a"),
 }
