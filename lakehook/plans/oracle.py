@@ -521,3 +521,23 @@ SELECT l_orderkey, l_linenumber, 'discount_pct', l_discount * 100 FROM lineitem
 UNION ALL
 SELECT l_orderkey, l_linenumber, 'tax_pct', l_tax * 100 FROM lineitem""",
 })
+
+ORACLES.update({
+    "sql_transform_d04b": """
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+       CAST(ntile(2) OVER (PARTITION BY l_orderkey
+                           ORDER BY l_extendedprice, l_linenumber) AS BIGINT) AS half,
+       percent_rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS pct_rank,
+       first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cheapest,
+       last_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dearest,
+       lead(l_extendedprice) OVER (PARTITION BY l_orderkey
+                                   ORDER BY l_extendedprice, l_linenumber) AS next_price,
+       sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
+           RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS qty_last_two_lines
+FROM lineitem""",
+    "sql_transform_d05_page": """
+SELECT o_orderkey, o_totalprice FROM orders
+ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 10""",
+})

@@ -208,6 +208,27 @@ SELECT l_orderkey, l_linenumber, measure, amount FROM (
          l_tax * 100 AS tax_pct
   FROM return_arrow_table)
 UNPIVOT (amount FOR measure IN (l_quantity AS quantity, discount_pct, tax_pct))"""),
+    # D4 more window functions and a RANGE frame (groups = one order's lines)
+    "sql_transform_d04b": ("lineitem", """
+SELECT l_orderkey, l_linenumber, l_extendedprice,
+       CAST(ntile(2) OVER (PARTITION BY l_orderkey
+                           ORDER BY l_extendedprice, l_linenumber) AS BIGINT) AS half,
+       percent_rank() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice) AS pct_rank,
+       first_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS cheapest,
+       last_value(l_extendedprice) OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice
+           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS dearest,
+       lead(l_extendedprice) OVER (PARTITION BY l_orderkey
+                                   ORDER BY l_extendedprice, l_linenumber) AS next_price,
+       sum(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber
+           RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS qty_last_two_lines
+FROM return_arrow_table"""),
+    # D5 a page of a top-n report
+    "sql_transform_d05_page": ("orders", """
+SELECT o_orderkey, o_totalprice
+FROM return_arrow_table
+ORDER BY o_totalprice DESC, o_orderkey
+LIMIT 10 OFFSET 10"""),
     # The default (identity) SQL transform
     "sql_identity": ("orders", "SELECT * FROM return_arrow_table a"),
 }
