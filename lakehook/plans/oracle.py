@@ -541,3 +541,17 @@ FROM lineitem""",
 SELECT o_orderkey, o_totalprice FROM orders
 ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 10""",
 })
+
+ORACLES["sql_transform_d10b"] = """
+SELECT l_orderkey, l_linenumber,
+       CAST(l_linenumber // 2 AS BIGINT) AS half_line,
+       ((l_orderkey % 7) + 7) % 7 AS weekday_slot,
+       l_orderkey & 15 AS low_bits,
+       l_linenumber << 2 AS line_x4,
+       greatest(l_tax, l_discount) AS max_rate,
+       least(l_tax, l_discount) AS min_rate,
+       CAST(ceil(l_extendedprice) AS BIGINT) AS price_ceil,
+       sqrt(l_quantity) AS qty_sqrt,
+       CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS tax_per_discount,
+       coalesce(nullif(l_linestatus, 'O'), 'open') AS status
+FROM lineitem"""

@@ -229,6 +229,20 @@ SELECT o_orderkey, o_totalprice
 FROM return_arrow_table
 ORDER BY o_totalprice DESC, o_orderkey
 LIMIT 10 OFFSET 10"""),
+    # D10 integer and floating math, bit operations, null handling
+    "sql_transform_d10b": ("lineitem", """
+SELECT l_orderkey, l_linenumber,
+       l_linenumber div 2 AS half_line,
+       pmod(l_orderkey, 7) AS weekday_slot,
+       l_orderkey & 15 AS low_bits,
+       shiftleft(l_linenumber, 2) AS line_x4,
+       greatest(l_tax, l_discount) AS max_rate,
+       least(l_tax, l_discount) AS min_rate,
+       CAST(ceil(l_extendedprice) AS BIGINT) AS price_ceil,
+       sqrt(l_quantity) AS qty_sqrt,
+       try_divide(l_tax, l_discount) AS tax_per_discount,
+       nvl(nullif(l_linestatus, 'O'), 'open') AS status
+FROM return_arrow_table"""),
     # The default (identity) SQL transform
     "sql_identity": ("orders", "SELECT * FROM return_arrow_table a"),
 }
