@@ -391,3 +391,12 @@ def test_broadcast_only_behind_a_size_check(spark):
         assert hinted.count() == plain.count() == 10
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_exclude_list_and_first_per_key_nulls_first(spark):
+    df = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "name string, t int")
+    assert [r[0] for r in P.exclude(df, "name", ["b"]).orderBy("name").collect()] == ["a", "c"]
+    assert P.exclude(df, "name", []).count() == 3
+    keyed = df.withColumn("k", F.lit(1))
+    first = L.first_per_key(keyed, "k", ["t"], payload=["name"]).collect()
+    assert [(r["t"], r["name"]) for r in first] == [(None, "b")]      # NULL sorts first
