@@ -400,3 +400,19 @@ def test_exclude_list_and_first_per_key_nulls_first(spark):
     keyed = df.withColumn("k", F.lit(1))
     first = L.first_per_key(keyed, "k", ["t"], payload=["name"]).collect()
     assert [(r["t"], r["name"]) for r in first] == [(None, "b")]      # NULL sorts first
+
+
+def test_column_arguments_for_lifecycle_and_processed_flag(spark):
+    files = spark.createDataFrame([(1, "d1", date(2024, 1, 5), "hot", date(2024, 1, 8)),
+                                   (2, "d1", date(2024, 1, 5), "hot", date(2024, 1, 9))],
+                                  "file_id long, dataset string, created date, storage_class string, "
+                                  "as_of date")
+    due = spark.createDataFrame([("d1", 3, "cold")],
+                                "dataset string, days_till_transition int, transition_to string")
+    out = dict(LC.apply_transitions(files, due, F.col("as_of")).select("file_id", "storage_class")
+               .collect())
+    assert out == {1: "cold", 2: "hot"}       # each file aged on its own as-of date
+    log = _log(spark, [(1, 1, "c", 1, "POST", "file", False, False),
+                       (4, 1, "c", 1, "POST", "file", False, False)])
+    flagged = dict(mark_processed(log, F.lit(1)).select("log_id", "processed").collect())
+    assert flagged == {1: True, 4: False}
