@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from lakehook.llm import exact_dedup
+from lakehook.llm import bpe, exact_dedup
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
