@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from lakehook.llm import bpe, exact_dedup
+from lakehook.llm import bpe, exact_dedup, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_packing": packing.op3_packing,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
