@@ -1,24 +1,29 @@
 """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 The vocabulary's pattern never joins a word with what stands before its leading
-space, so a text is cut into such pieces and the library encodes each distinct
-piece once; tasks remember up to ``CACHE_PIECES`` of them.
+space, so a text is cut into such pieces (punctuation that follows a
+word apart) and the library encodes each distinct piece once; tasks remember up to ``CACHE_PIECES`` of them.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 CACHE_PIECES = 400_000
 
-# A word with at most one space before it, or white space before that.
-# \x1c-\x1f are white space for Python alone.
-_PIECES = re.compile(r" ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
-# A piece after which a sentence is over.
-_SENTENCE_END = re.compile(r"[.!?…。！？][\"'”’)\]]*$|\n")
+# Letters up to a blank or to plain punctuation, else a word with at most one space
+# before it, or white space before that. \x1c-\x1f are white space for Python alone.
+_PIECES = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[ \n.,;:!?]|\Z)"
+    r"| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+# A sentence is over after a piece that ends so, or with a line.
+_STOPS = tuple(".!?…。！？")
+_CLOSERS = "\"'”’)]"
 
 
 class ByteCoder:
@@ -42,10 +47,10 @@ class ByteCoder:
         if len(self.ids) + len(fresh) > CACHE_PIECES:
             self._forget()
             fresh = list(pieces)
-        for p, got in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False)):
-            self.ids[p] = np.array(got.ids, "<u4").tobytes()
-            if _SENTENCE_END.search(p):
-                self.sentence_ends.add(p)
+        got = self.library.encode_batch_fast(fresh, add_special_tokens=False)
+        self.ids.update(zip(fresh, [array("I", g.ids).tobytes() for g in got]))
+        self.sentence_ends.update(p for p in fresh if not p.isalpha()
+                                  and (p.rstrip(_CLOSERS).endswith(_STOPS) or "\n" in p))
 
     def _cut(self, text: str) -> list[str]:
         if not any(s in text for s in self.specials):
@@ -65,7 +70,7 @@ class ByteCoder:
             try:
                 parts = list(map(self.ids.__getitem__, pieces))
             except KeyError:
-                self._learn({p for later in cut[k:] for p in later})
+                self._learn(set(chain.from_iterable(cut[k:])))
                 parts = list(map(self.ids.__getitem__, pieces))
             ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
             over = np.fromiter(map(self.sentence_ends.__contains__, pieces), bool, len(pieces))

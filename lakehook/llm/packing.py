@@ -52,7 +52,7 @@ STRIDE = 64
 BLOCK = 1 << 18
 # Ids at the end of a block whose windows are settled with the next block.
 TAIL = 8 * WINDOW
-SLICE_ROWS = 512
+SLICE_ROWS = 1024
 
 
 def padding(length: int) -> int:
@@ -66,16 +66,21 @@ def split_cost(length: int) -> int:
     return parts * OPEN + (parts - 1) * CUT_INSIDE
 
 
+def _merged(*rising: np.ndarray) -> np.ndarray:
+    every = np.sort(np.concatenate(rising), kind="stable")
+    return every[np.diff(every, prepend=-1) > 0]
+
+
 def positions(ends: np.ndarray, doc_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Cut positions after 0 and their costs, from sentence and document ends."""
-    stops = np.union1d(ends, doc_ends)
+    stops = _merged(ends, doc_ends)
     gaps = np.diff(stops, prepend=0)
     wide = np.flatnonzero(gaps > STRIDE)
     extra = [np.arange(stops[k] - gaps[k] + STRIDE, stops[k], STRIDE) for k in wide.tolist()]
-    every = np.union1d(stops, np.concatenate(extra)) if extra else stops
+    every = _merged(stops, *extra)
     cost = np.full(len(every), CUT_INSIDE)
-    cost[np.isin(every, ends)] = CUT_SENTENCE
-    cost[np.isin(every, doc_ends)] = 0
+    cost[np.searchsorted(every, ends)] = CUT_SENTENCE
+    cost[np.searchsorted(every, doc_ends)] = 0
     return every, cost
 
 
