@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import site
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehook.session import scratch_path
+import lakehook
+from lakehook.session import scratch_path, ship_package
 
 # Fixed value: the white space of the contracts, [\x20\x09-\x0D].
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -26,6 +30,46 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepare_workers(spark: SparkSession) -> None:
+    """Let Python workers use this package: as installed or shipped, else by value.
+
+    Imported by reference, a module's caches outlive a task in its worker.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(lakehook.__file__)))
+    seen = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
+    shipped = root.endswith(".zip") or spark.sparkContext.getConf().get("spark.submit.pyFiles", "")
+    if not shipped and os.path.realpath(root) not in {os.path.realpath(p) for p in seen if p}:
+        ship_package()
+
+
+class Remembered(dict):
+    """A bounded memory of two generations: when the newer one is full, the older
+    one is forgotten, and what is used again moves on."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def __missing__(self, key):
+        value = self.old[key]
+        self[key] = value
+        return value
+
+    def unknown(self, keys) -> list:
+        """Those of ``keys`` that are new; all others are in the newer generation then."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for key in keys:
+            if key not in self:
+                if key in self.old:
+                    self[key] = self.old[key]
+                else:
+                    out.append(key)
+        return out
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lakehook.llm import bpe, exact_dedup, packing
+from lakehook.llm import bpe, exact_dedup, jaccard_join, packing
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_packing": packing.op3_packing,
+    "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
