@@ -34,10 +34,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehook.llm.common import table
+from lakehook.llm.common import Remembered, prepare_workers, table
 
-# Pieces whose ids a task remembers; beyond it the memory starts anew.
-CACHE_PIECES = 400_000
+# Pieces whose ids a task remembers, in each of two generations.
+CACHE_PIECES = 300_000
 # Words of up to so many bytes are merged together, longer ones each by a heap.
 SHORT_WORD = 48
 # Rows of an Arrow batch that are turned into Python texts at once.
@@ -90,7 +90,7 @@ class WordBpe:
         self.symbol = np.array([self.vocab[c] for c in self.alphabet], np.int64)
         self.last_symbol = np.array([self.vocab[c + self.end] for c in self.alphabet], np.int64)
         self._prepare_match()
-        self._forget()
+        self.pieces = Remembered(CACHE_PIECES)
 
     # --- proposal: greedy longest match, all words at once ---
 
@@ -309,26 +309,21 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
-    def _forget(self) -> None:
-        # a special token's piece starts with a blank, as no other does
-        self.pieces = {f" {t}": i.to_bytes(4, "little") for t, i in self.specials.items()}
-
     def _learn(self, pieces: set[str]) -> None:
-        """Remember the ids of pieces without blanks."""
-        fresh = [p for p in pieces if p not in self.pieces]
-        if len(self.pieces) + len(fresh) > CACHE_PIECES:
-            self._forget()
-            fresh = [p for p in pieces if p not in self.pieces]
+        """Remember the ids of pieces without blanks; a special token's begins with one."""
+        fresh = self.pieces.unknown(pieces)
+        special = {p: self.specials[p[1:]] for p in fresh if p[0] == " "}
+        fresh = [p for p in fresh if p not in special]
         cut = {p: self.words.findall(p) for p in fresh if not p.isalpha()}
         words = list(dict.fromkeys([p for p in fresh if p not in cut] + [w for ws in cut.values() for w in ws]))
         ids = {w: array("I", i).tobytes() for w, i in zip(words, self.encode_words([w.encode() for w in words]))}
-        for p in fresh:
-            self.pieces[p] = b"".join(map(ids.__getitem__, cut[p])) if p in cut else ids[p]
+        self.pieces.update([(p, i.to_bytes(4, "little")) for p, i in special.items()])
+        self.pieces.update([(p, b"".join(map(ids.__getitem__, cut[p])) if p in cut else ids[p]) for p in fresh])
 
     def _pieces_of(self, text: str) -> list[str]:
         text = self.normalise(text)
         if _CONTROL_BLANKS.search(text):
-            return regex.split(r"[^\S\x1c-\x1f]+", text)
+            return [p for p in regex.split(r"[^\S\x1c-\x1f]+", text) if p]
         return text.split()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
@@ -377,6 +372,7 @@ def encode_decode(docs: DataFrame, key: str = "doc_id", text: str = "text",
     Returns key, n_tokens, ids_sha256, decoded_sha256 and, with ``keep``, the
     ids (array of int) and the decoded text themselves.
     """
+    prepare_workers(docs.sparkSession)
     path = tokenizer or default_path()
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -14,6 +14,8 @@ from itertools import chain
 
 import numpy as np
 
+from lakehook.llm.common import Remembered
+
 CACHE_PIECES = 400_000
 
 # Letters up to a blank or to plain punctuation, else a word with at most one space
@@ -21,7 +23,7 @@ CACHE_PIECES = 400_000
 _PIECES = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[ \n.,;:!?]|\Z)"
     r"| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
-# A sentence is over after a piece that ends so, or with a line.
+# A sentence is over after these, before a blank, and with a line.
 _STOPS = tuple(".!?…。！？")
 _CLOSERS = "\"'”’)]"
 
@@ -33,24 +35,25 @@ class ByteCoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.specials = added
-        self.split_specials = re.compile("|".join(map(re.escape, added)) or r"(?!)")
-        self._forget()
+        self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.split_specials = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
+        self.ids = Remembered(CACHE_PIECES)
+        strings = [self.library.decode([i]) for i in range(self.library.get_vocab_size())]
+        self.line = np.array(["\n" in t for t in strings])
+        self.stop = np.array([t.rstrip(_CLOSERS).endswith(_STOPS) for t in strings])
+        self.blank = np.array([t[:1].isspace() for t in strings])
 
-    def _forget(self) -> None:
-        self.ids: dict[str, bytes] = {}
-        self.sentence_ends: set[str] = set()
+    def sentence_ends(self, ids: bytes) -> np.ndarray:
+        """Numbers of ids after which a sentence or a line is over."""
+        ids = np.frombuffer(ids, "<u4")
+        over = self.line[ids]
+        over[:-1] |= self.stop[ids[:-1]] & self.blank[ids[1:]]
+        return np.flatnonzero(over) + 1
 
     def _learn(self, pieces: set[str]) -> None:
-        fresh = [p for p in pieces if p not in self.ids]
-        if len(self.ids) + len(fresh) > CACHE_PIECES:
-            self._forget()
-            fresh = list(pieces)
+        fresh = self.ids.unknown(pieces)
         got = self.library.encode_batch_fast(fresh, add_special_tokens=False)
         self.ids.update(zip(fresh, [array("I", g.ids).tobytes() for g in got]))
-        self.sentence_ends.update(p for p in fresh if not p.isalpha()
-                                  and (p.rstrip(_CLOSERS).endswith(_STOPS) or "\n" in p))
 
     def _cut(self, text: str) -> list[str]:
         if not any(s in text for s in self.specials):
@@ -61,20 +64,16 @@ class ByteCoder:
             at = m.end()
         return out + _PIECES.findall(text[at:])
 
-    def encode_batch(self, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
-        """For each text its ids (little-endian unsigned 32-bit) and the numbers of
-        ids after which a sentence ends."""
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
         cut = [self._cut(t) for t in texts]
         out = []
         for k, pieces in enumerate(cut):
             try:
-                parts = list(map(self.ids.__getitem__, pieces))
+                out.append(b"".join(map(self.ids.__getitem__, pieces)))
             except KeyError:
                 self._learn(set(chain.from_iterable(cut[k:])))
-                parts = list(map(self.ids.__getitem__, pieces))
-            ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // 4
-            over = np.fromiter(map(self.sentence_ends.__contains__, pieces), bool, len(pieces))
-            out.append((b"".join(parts), ends[over]))
+                out.append(b"".join(map(self.ids.__getitem__, pieces)))
         return out
 
 

@@ -31,7 +31,6 @@ any length is cut as often as needed.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakehook.llm.common import table
+from lakehook.llm.common import prepare_workers, table
 from lakehook.llm.byte_tokens import coder
 
 WINDOW = 1024
@@ -101,45 +100,50 @@ def plan(stops: np.ndarray, costs: np.ndarray, final: bool = True) -> tuple[list
     powers.sort()
     powers.append((n, 0))
     best, back, kind = [0] * n, [0] * n, [0] * n
-    near: deque[int] = deque([0])   # i with f(i) + i rising, j - i in 1..WINDOW
-    far: deque[int] = deque()       # the same for j - i in WINDOW+1..2*WINDOW
+    # i with f(i) + i rising: near for j - i in 1..WINDOW, far in WINDOW+1..2*WINDOW
+    near, far = [0], []
+    near_head = far_head = 0
     key = [0] * n
-    passed, p = 0, 0
+    passed, p, next_power = 0, 0, powers[0][0]
+    far_cost = WINDOW + OPEN + CUT_INSIDE
     for j in range(1, n):
         x = pos[j]
-        while near and pos[near[0]] < x - WINDOW:
-            near.popleft()
-        while passed < j and pos[passed] < x - WINDOW:
-            while far and key[far[-1]] >= key[passed]:
+        while near_head < len(near) and pos[near[near_head]] < x - WINDOW:
+            near_head += 1
+        while pos[passed] < x - WINDOW:
+            v = key[passed]
+            while len(far) > far_head and key[far[-1]] >= v:
                 far.pop()
             far.append(passed)
             passed += 1
-        while far and pos[far[0]] < x - 2 * WINDOW:
-            far.popleft()
-        least = None
-        if near:
-            i = near[0]
-            least, back[j], kind[j] = key[i] + WINDOW - x + OPEN, i, 0
-        if far:
-            i = far[0]
-            v = key[i] + 2 * WINDOW - x + 2 * OPEN + CUT_INSIDE
+        while far_head < len(far) and pos[far[far_head]] < x - 2 * WINDOW:
+            far_head += 1
+        least, i, how = None, 0, 0
+        if near_head < len(near):
+            i = near[near_head]
+            least = key[i]
+        if far_head < len(far):
+            v = key[far[far_head]] + far_cost
             if least is None or v < least:
-                least, back[j], kind[j] = v, i, 1
-        while powers[p][0] == j:
-            i = powers[p][1]
-            if best[i] + OPEN < least:
-                least, back[j], kind[j] = best[i] + OPEN, i, 0
+                least, i, how = v, far[far_head], 1
+        least += WINDOW - x + OPEN
+        while next_power == j:
+            v = best[powers[p][1]] + OPEN
+            if v < least:
+                least, i, how = v, powers[p][1], 0
             p += 1
+            next_power = powers[p][0]
         if final and j == n - 1:
-            for i in range(j - 1, -1, -1):
-                if x - pos[i] > WINDOW:
+            for k in range(j - 1, -1, -1):
+                if x - pos[k] > WINDOW:
                     break
-                v = best[i] + split_cost(x - pos[i])
+                v = best[k] + split_cost(x - pos[k])
                 if v < least:
-                    least, back[j], kind[j] = v, i, 2
-        best[j] = least + cost[j]
-        key[j] = best[j] + x
-        while near and key[near[-1]] >= key[j]:
+                    least, i, how = v, k, 2
+        back[j], kind[j] = i, how
+        best[j] = least = least + cost[j]
+        key[j] = least = least + x
+        while len(near) > near_head and key[near[-1]] >= least:
             near.pop()
         near.append(j)
     cuts, j = [], n - 1
@@ -226,6 +230,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text",
          tokenizer: str | None = None, keep_ids: bool = True) -> DataFrame:
     """One row per piece: key, start, length, ids_crc32, doc_tokens, sequence_id,
     offset and, with ``keep_ids``, its ids."""
+    prepare_workers(docs.sparkSession)
     path = tokenizer or default_path()
     kind = docs.schema[key].dataType.simpleString()
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -250,8 +255,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text",
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                for k, (ids, ends) in zip(part.column(0).to_pylist(), code.encode_batch(texts)):
-                    if pieces := list(packer.feed(k, ids, ends)):
+                for k, ids in zip(part.column(0).to_pylist(), code.encode_batch(texts)):
+                    if pieces := list(packer.feed(k, ids, code.sentence_ends(ids))):
                         yield rows(pieces)
         if pieces := list(packer.finish()):
             yield rows(pieces)
