@@ -342,7 +342,8 @@ def candidates(entries: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame
     Rows with ``b`` are pairs with their common lists in this bucket; rows
     without are members of a long list, with its number.
     """
-    schema = "list long, a long, b long, size_a long, size_b long, common long"
+    columns = ["list", "a", "b", "size_a", "size_b", "common"]
+    schema = ", ".join(f"{c} long" for c in columns)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         bucket = int(part["bucket"].iloc[0])
@@ -363,8 +364,8 @@ def candidates(entries: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame
                 out.append(got.groupby(["a", "b", "size_a", "size_b"], as_index=False)["common"].sum())
         long = np.repeat(lengths > LONG, lengths)
         out.append(pd.DataFrame({"list": (bucket << 33) + lists[long], "a": vertex[long], "size_a": size[long]}))
-        got = pd.concat(out, ignore_index=True).reindex(columns=["list", "a", "b", "size_a", "size_b", "common"])
-        return got.astype("Int64")
+        # as nullable integers before they are joined: a float would round the ids
+        return pd.concat([o.reindex(columns=columns).astype("Int64") for o in out], ignore_index=True)
 
     found = materialise(entries.groupBy("bucket").applyInPandas(run, schema), "jaccard-candidates")
     bigger = F.greatest("size_a", "size_b")
