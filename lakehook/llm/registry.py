@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from lakehook.llm import bpe, exact_dedup, jaccard_join, packing
+from lakehook.llm import bpe, exact_dedup, jaccard_join, near_vectors, packing, quality
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_packing": packing.op3_packing,
+    "op4_quality": quality.op4_quality,
+    "op5_near_vectors": near_vectors.op5_near_vectors,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op5_near_vectors": near_vectors.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
