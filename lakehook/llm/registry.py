@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from lakehook.llm import bpe, exact_dedup, jaccard_join, near_vectors, packing, quality
+from lakehook.llm import bpe, exact_dedup, jaccard_join, near_vectors, packing, quality, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_packing": packing.op3_packing,
     "op4_quality": quality.op4_quality,
     "op5_near_vectors": near_vectors.op5_near_vectors,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op7_jaccard_join": jaccard_join.op7_jaccard_join,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
