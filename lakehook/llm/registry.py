@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from lakehook.llm import bpe, exact_dedup, jaccard_join, near_vectors, packing, quality, url_filter
+from lakehook.llm import bpe, exact_dedup, jaccard_join, license_scan, near_vectors, packing, quality, url_filter, warc_audit
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
     "op3_packing": packing.op3_packing,
+    "op2_license_scan": license_scan.op2_license_scan,
+    "op8_warc_audit": warc_audit.op8_warc_audit,
     "op4_quality": quality.op4_quality,
     "op5_near_vectors": near_vectors.op5_near_vectors,
     "op6_url_filter": url_filter.op6_url_filter,
@@ -15,6 +17,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_license_scan": license_scan.ORACLE,
+    "op8_warc_audit": warc_audit.ORACLE,
     "op5_near_vectors": near_vectors.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
