@@ -88,14 +88,16 @@ def sanitize_name(name: Column | str) -> Column:
 
 def iso_timestamp(ts: Column | str) -> Column:
     """ISO-8601 text of a naive timestamp, microseconds only when non-zero
-    (the form Python's ``datetime.isoformat`` produces)."""
+    (the form Python's ``datetime.isoformat`` produces); a date stays a date."""
     text = F.date_format(_c(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.regexp_replace(text, r"\.000000$", "")
+    return F.when(F.typeof(_c(ts)) == "date", _c(ts).cast("string")).otherwise(
+        F.regexp_replace(text, r"\.000000$", ""))
 
 
 def to_json_object(*cols: Column | str, iso_dates: tuple[str, ...] = ()) -> Column:
     """F8: JSON object text of the given columns; timestamp columns listed in
-    ``iso_dates`` are rendered with :func:`iso_timestamp` first."""
+    ``iso_dates`` are rendered with :func:`iso_timestamp` first. NULL fields are
+    written as ``null``."""
     fields = []
     for c in cols:
         name = c if isinstance(c, str) else None
@@ -103,7 +105,7 @@ def to_json_object(*cols: Column | str, iso_dates: tuple[str, ...] = ()) -> Colu
             fields.append(iso_timestamp(name).alias(name))
         else:
             fields.append(_c(c))
-    return F.to_json(F.struct(*fields))
+    return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
 def json_field(json_text: Column | str, path: str) -> Column:

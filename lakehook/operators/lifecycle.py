@@ -17,12 +17,17 @@ def due_transitions(datasets: DataFrame, rules: DataFrame, transitions: DataFram
                     dataset_key: str = "dataset") -> DataFrame:
     """(dataset, days, target class) for every enabled rule.
 
+    A rule holds for its own user and dataset: every rule column besides
+    ``rule_enabled`` that ``datasets`` has too (``user_id``, ``dataset_id``,
+    ``lifecycle_id``) must agree.
+
     One target per (dataset, days): if a lifecycle lists two transitions for
     the same day count, the alphabetically first class wins, deterministically.
     """
-    enabled = rules.filter(F.col("rule_enabled")).select("lifecycle_id")
-    due = (datasets.select(dataset_key, "lifecycle_id")
-           .join(enabled, "lifecycle_id")
+    keys = [c for c in rules.columns if c != "rule_enabled" and c in datasets.columns]
+    enabled = rules.filter(F.col("rule_enabled")).select(*keys).distinct()
+    due = (datasets.select(dataset_key, *[k for k in keys if k != dataset_key])
+           .join(enabled, keys)
            .join(transitions, "lifecycle_id")
            .groupBy(dataset_key, "days_till_transition")
            .agg(F.min("transition_to").alias("transition_to")))

@@ -7,13 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakehook.operators.joins import BROADCAST_MAX_ROWS, has_at_most
 from lakehook.schemas import MISSING_ID
 
 
 def name_to_id(requests: DataFrame, request_col: str, dim: DataFrame, key_col: str,
                value_col: str, out_col: str, one_result: bool = True,
-               sentinel=MISSING_ID, probe_broadcast: bool = True) -> DataFrame:
+               sentinel=MISSING_ID) -> DataFrame:
     """Resolve ``requests[request_col]`` through ``dim`` (``key_col`` ->
     ``value_col``), for name->id or id->name alike.
 
@@ -21,17 +20,13 @@ def name_to_id(requests: DataFrame, request_col: str, dim: DataFrame, key_col: s
     deterministic "first") and fills misses with ``sentinel``; otherwise every
     match is returned and misses get NULL. The dimension is reduced to one row
     per key before the join (partial aggregation, so a repeated name cannot
-    fan out the request side).
+    fan out the request side). Whether the reduced side is broadcast is left to
+    the planner, which knows its size in bytes.
     """
-    # The probe reads the stored dimension (a limit per task, stops early);
-    # its row count bounds the reduced side, which is what gets broadcast.
-    small = probe_broadcast and has_at_most(dim, BROADCAST_MAX_ROWS)
     if one_result:
         d = dim.groupBy(F.col(key_col).alias("__k")).agg(F.min(value_col).alias("__v"))
     else:
         d = dim.select(F.col(key_col).alias("__k"), F.col(value_col).alias("__v"))
-    if small:
-        d = F.broadcast(d)
     joined = requests.join(d, requests[request_col] == d["__k"], "left").drop("__k")
     value = F.coalesce(F.col("__v"), F.lit(sentinel)) if (one_result and sentinel is not None) \
         else F.col("__v")

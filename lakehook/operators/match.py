@@ -156,11 +156,6 @@ def gate(log: DataFrame, transforms: DataFrame) -> DataFrame:
     return gated.filter(~F.coalesce(F.col("is_transform_output"), F.lit(False)))
 
 
-def high_water_mark(log: DataFrame) -> DataFrame:
-    """Largest event id of a batch, as a one-row DataFrame."""
-    return log.agg(F.max("log_id").alias("high_water"))
-
-
 def mark_processed(log: DataFrame, high_water: int | Column) -> DataFrame:
     """M5: flag every event up to the batch high-water mark as processed.
 

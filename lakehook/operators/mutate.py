@@ -80,23 +80,18 @@ def upsert(base: DataFrame, incoming: DataFrame, keys: Sequence[str],
     one (re-uploading a file updates its modification time only).
 
     Several incoming rows for one key are reduced to the latest (largest
-    ``bump`` values) first. One full outer join on the key; applying it twice
-    equals applying it once.
+    ``bump`` values) first. Two joins with the incoming side, which the planner
+    broadcasts when it is small: the catalog is then neither shuffled nor sorted.
+    Applying it twice equals applying it once.
     """
     latest = one_per_key(incoming.select(*base.columns), keys, rank=list(bump))
-    inc = _tag(latest.select(*base.columns), "in_", keys).withColumn("__in", F.lit(True))
-    cur = base.withColumn("__cur", F.lit(True))
-    joined = cur.join(inc, list(keys), "full_outer")
-    has_cur = F.coalesce(F.col("__cur"), F.lit(False))
-    cols = []
-    for c in base.columns:
-        if c in keys:
-            cols.append(F.col(c))
-        elif c in bump:
-            cols.append(F.when(F.col("__in").isNotNull(), F.col(f"in_{c}")).otherwise(F.col(c)).alias(c))
-        else:
-            cols.append(F.when(has_cur, F.col(c)).otherwise(F.col(f"in_{c}")).alias(c))
-    return joined.select(*cols)
+    fresh = latest.select(*base.columns).join(base.select(*keys), list(keys), "left_anti")
+    bumps = _tag(latest.select(*keys, *bump), "in_", keys).withColumn("__in", F.lit(True))
+    joined = base.join(bumps, list(keys), "left")
+    kept = joined.select(*[
+        F.when(F.col("__in").isNotNull(), F.col(f"in_{c}")).otherwise(F.col(c)).alias(c)
+        if c in bump else F.col(c) for c in base.columns])
+    return kept.unionByName(fresh.select(*base.columns))
 
 
 def delete_rows(base: DataFrame, doomed: DataFrame, keys: Sequence[str] | Column) -> DataFrame:

@@ -185,18 +185,18 @@ def cascade_delete(spark, sf_dir):
     return kept_items
 
 
-def _file_snapshot(spark, sf_dir, langs, ts=None):
-    f = _files(spark, sf_dir).filter(F.col("lang").isin(langs))
+def _file_snapshot(spark, sf_dir, keep, ts=None):
+    f = _files(spark, sf_dir).filter(keep)
     created = F.expr(f"TIMESTAMP_NTZ '{ts}'") if ts else F.col("created").cast("timestamp_ntz")
     return f.select("dataset", "path", "file_id", created.alias("created"),
                     created.alias("last_modified"))
 
 
 def upsert_files(spark, sf_dir):
-    """M3: re-upload of German and Spanish files onto a catalog of English and
-    German ones: existing paths only get a new modification time."""
-    base = _file_snapshot(spark, sf_dir, ["en", "de"])
-    incoming = _file_snapshot(spark, sf_dir, ["de", "es"], ts=REUPLOAD_TS)
+    """M3: all files but the Spanish ones are in the catalog, all but the English
+    ones are uploaded: existing paths only get a new modification time."""
+    base = _file_snapshot(spark, sf_dir, ~F.col("lang").eqNullSafe("es"))
+    incoming = _file_snapshot(spark, sf_dir, ~F.col("lang").eqNullSafe("en"), ts=REUPLOAD_TS)
     return M.upsert(base, incoming, ["dataset", "path"])
 
 
@@ -242,15 +242,17 @@ def lifecycle_transition(spark, sf_dir):
     files = docs.select(F.col("doc_id").alias("file_id"), F.col("source").alias("dataset"),
                         lake.created_date().alias("created"),
                         F.lit("hot").alias("storage_class"))
+    # every dataset has its own rule for its lifecycle; those of src2 and src5 are off
     src = F.col("source")
-    datasets = docs.select(src.alias("dataset"), F.when(src.isin("src1", "src2", "src3"), 1)
+    datasets = docs.select(src.alias("dataset"), src.alias("dataset_id"),
+                           F.when(src.isin("src1", "src2", "src3"), 1)
                            .when(src.isin("src4", "src5"), 2).otherwise(3)
                            .cast("long").alias("lifecycle_id")).distinct()
-    rules = spark.createDataFrame([(1, True), (2, False), (3, True)],
-                                  "lifecycle_id long, rule_enabled boolean")
+    rules = datasets.select("dataset_id", "lifecycle_id",
+                            (~F.coalesce(F.col("dataset_id").isin("src2", "src5"), F.lit(False))).alias("rule_enabled"))
     transitions = spark.createDataFrame([(1, 3, "cold"), (2, 3, "cold"), (3, 7, "archive")],
                                         "lifecycle_id long, days_till_transition int, transition_to string")
-    due = LC.due_transitions(datasets, F.broadcast(rules), F.broadcast(transitions))
+    due = LC.due_transitions(datasets, rules, F.broadcast(transitions))
     out = LC.apply_transitions(files, due, AS_OF)
     return out.select("file_id", "dataset", "storage_class")
 
@@ -281,6 +283,14 @@ def local_time(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", S.local_time("ts").alias("local_ts"))
 
 
+def json_nulls(spark, sf_dir):
+    """F8: NULL fields are written, dates stay dates."""
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", S.to_json_object(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("status"),
+        ).alias("details"), S.iso_timestamp(F.to_date("o_orderdate")).alias("day"))
+
+
 def json_roundtrip(spark, sf_dir):
     """F8 + F9: event objects to JSON (ISO dates) and a field parsed back."""
     ev = table(spark, sf_dir, "events")
@@ -430,16 +440,36 @@ def python_identity(spark, sf_dir):
     return TR.pandas_transform(table(spark, sf_dir, "events"), TR.identity_process_df)
 
 
-def per_file_transform(spark, sf_dir, max_file_rows=TR.MAX_FILE_ROWS_IN_WORKER):
-    """T4: events stored as one lake file per event type; a pandas transform
-    runs once per file."""
-    root = scratch_path(spark, "per-file")
-    table(spark, sf_dir, "events").write.partitionBy("event_type").parquet(root)
-    df = IO.read_files(spark, {"parquet": [root]})
-    out = TR.per_file_transform_routed(df, file_delta,
-                                       "event_id long, event_type string, value_delta double",
-                                       IO.SOURCE_FILE_COL, max_file_rows=max_file_rows)
-    return out.drop(IO.SOURCE_FILE_COL)
+def _event_files(spark, sf_dir):
+    """Events as many lake files of bounded size: one per thousand event ids."""
+    root = scratch_path(spark, "event-files")
+    (table(spark, sf_dir, "events").withColumn("file", F.floor(F.coalesce("event_id", F.lit(-1)) / 1000))
+     .repartition("file").sortWithinPartitions("file", "event_id").write.partitionBy("file").parquet(root))
+    return IO.read_files(spark, {"parquet": [root]}, positions=True)
+
+
+def per_file_transform(spark, sf_dir):
+    """T4: a pandas transform runs once per file of events."""
+    out = TR.per_file_transform(_event_files(spark, sf_dir), file_delta,
+                                "event_id long, event_type string, value_delta double", "file")
+    return out.drop("file")
+
+
+def running_total(pdf):
+    """An order-dependent per-file transform: running sum, change and first value."""
+    r = pdf[["event_id"]].copy()
+    cents = (pdf["value"] * 100).round().astype("int64")
+    r["running"] = cents.cumsum()
+    r["change"] = (cents - cents.shift(1)).astype("Int64")
+    r["first_id"] = pdf["event_id"].head(1).iloc[0]
+    return r
+
+
+def per_file_ordered(spark, sf_dir):
+    """T4: functions that depend on the order of rows in the file."""
+    out = TR.per_file_transform(_event_files(spark, sf_dir), running_total,
+                                "event_id long, running long, change long, first_id long", "file")
+    return out.select("event_id", "running", "change", "first_id")
 
 
 def native_transform(spark, sf_dir):
@@ -465,25 +495,48 @@ def scan_csv(spark, sf_dir):
     return IO.read_csv(spark, path, schema=ORDERS_DDL)
 
 
+def _statuses(orders):
+    """The order statuses that occur, NULL as None: one lake file each."""
+    return sorted((r[0] for r in orders.select("o_orderstatus").distinct().collect()), key=str)
+
+
 def _orders_dataset(spark, sf_dir):
-    """A dataset of three files: shipped orders as Parquet, open and pending
-    ones as CSV; returns its catalog rows."""
+    """A dataset with a file per order status: shipped orders as Parquet, all
+    others as CSV; returns its catalog rows."""
     root = scratch_path(spark, "orders-dataset")
     orders = table(spark, sf_dir, "orders")
     rows = []
-    for i, (status, ext) in enumerate([("F", "parquet"), ("O", "csv"), ("P", "csv")]):
+    for i, status in enumerate(_statuses(orders)):
+        ext = "parquet" if status == "F" else "csv"
         path = f"{root}/orders_{status}.{ext}"
-        part = orders.filter(F.col("o_orderstatus") == status)
+        part = orders.filter(F.col("o_orderstatus").eqNullSafe(status))
         if ext == "parquet":
             IO.write_parquet(part, path)
         else:
             part.write.mode("overwrite").option("header", True).csv(path)
-        rows.append((1, 7, 100 + i, f"orders_{status}.{ext}", path, ext))
+        rows.append((1, 7, 100 if status == "F" else 101 + i, f"orders_{status}.{ext}", path, ext))
     return spark.createDataFrame(
         rows, "user_id long, dataset_id long, file_id long, name string, path string, "
               "file_extension string")
 
 
+def scan_by_name(spark, sf_dir):
+    """S2 + S3: columns are bound by name: one CSV file has its columns in another
+    order, one Parquet file has a column more."""
+    root = scratch_path(spark, "mixed-dataset")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    part = F.pmod(F.coalesce("o_orderkey", F.lit(0)), F.lit(4))
+    o.filter(part == 0).write.option("header", True).csv(f"{root}/a.csv")
+    o.filter(part == 1).select("o_totalprice", "o_orderkey", "o_custkey").write.option("header", True).csv(f"{root}/b.csv")
+    o.filter(part == 2).write.parquet(f"{root}/c.parquet")
+    o.filter(part == 3).withColumn("extra", F.col("o_custkey") * 2).write.parquet(f"{root}/d.parquet")
+    catalog = spark.createDataFrame(
+        [(1, 7, k, f"{n}", f"{root}/{n}", n.split(".")[1]) for k, n in enumerate(["a.csv", "b.csv", "c.parquet", "d.parquet"])],
+        "user_id long, dataset_id long, file_id long, name string, path string, file_extension string")
+    df = IO.scan_dataset(spark, catalog, 1, 7, csv_schema="o_orderkey long, o_custkey long, o_totalprice double")
+    return df.select("o_orderkey", "o_custkey", "o_totalprice", "extra")
+
+
 def scan_dataset(spark, sf_dir):
     """S3: every file of a dataset (Parquet and CSV), unioned by name."""
     catalog = _orders_dataset(spark, sf_dir)
@@ -518,9 +571,9 @@ def ingest_q(spark, sf_dir):
     landing = scratch_path(spark, "landing")
     orders = table(spark, sf_dir, "orders")
     rows = []
-    for status in ("F", "O", "P"):
+    for status in _statuses(orders):
         path = f"{landing}/orders_{status}.csv"
-        orders.filter(F.col("o_orderstatus") == status).write.option("header", True).csv(path)
+        orders.filter(F.col("o_orderstatus").eqNullSafe(status)).write.option("header", True).csv(path)
         rows.append((f"orders_{status}.csv", path, "csv"))
     land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
     empty = spark.createDataFrame([], TR_FILES_SCHEMA)
@@ -558,7 +611,7 @@ def append_log(spark, sf_dir):
     log = lake.event_log(ev).drop("service", "object", "is_transform_output", "processed")
     cut = F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")
     for part in (log.filter(F.col("created_timestamp") < cut),
-                 log.filter(F.col("created_timestamp") >= cut)):
+                 log.filter(F.coalesce(F.col("created_timestamp") >= cut, F.lit(True)))):
         IO.append_events(IO.log_rows(part), path)
     back = spark.read.parquet(path)
     return back.select("log_id", "created_timestamp", "action", "dataset_id", "processed")
@@ -612,7 +665,7 @@ def dispatch_batch_sql(spark, sf_dir):
     D.dispatch_sql(spark, match_triggers(log, regs),
                    lambda s: lake.activity(table(s, sf_dir, "events")),
                    lake.ACTIVITY_FILE_KEYS, {"identity.sql": DISPATCH_SCRIPT}, out_root,
-                   work_path=scratch_path(spark, "dispatch-work"))
+                   work_path=scratch_path(spark, "dispatch-work"), scope="script")
     return D.read_outputs(spark, out_root, SQL_DISPATCH_OUT_DDL)
 
 
@@ -682,9 +735,9 @@ def lake_flow(spark, sf_dir):
     landing = scratch_path(spark, "flow-landing")
     orders = table(spark, sf_dir, "orders")
     rows = []
-    for status in ("F", "O", "P"):
+    for status in _statuses(orders):
         path = f"{landing}/orders_{status}.csv"
-        orders.filter(F.col("o_orderstatus") == status).write.option("header", True).csv(path)
+        orders.filter(F.col("o_orderstatus").eqNullSafe(status)).write.option("header", True).csv(path)
         rows.append((f"orders_{status}.csv", path, "csv"))
     land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
     root = scratch_path(spark, "flow-lake")
@@ -697,11 +750,107 @@ def lake_flow(spark, sf_dir):
         "transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
         "in_action string, in_object string, out_service string, out_dataset_id long, "
         "out_action string, out_object string, src_file string, enabled boolean")
-    out_root = f"{root}/outputs"
-    D.dispatch_files(spark, match_triggers(events.checkpoint(eager=True), regs),
-                     priority_summary, "o_orderpriority string, n long, max_price double",
-                     out_root)
-    return D.read_outputs(spark, out_root).drop(IO.SOURCE_FILE_COL, "transform_id")
+    manifest = D.dispatch_files(
+        spark, match_triggers(events.checkpoint(eager=True), regs),
+        lambda src: ("pandas_file", priority_summary, "o_orderpriority string, n long, max_price double"),
+        f"{root}/outputs")
+    return _outputs(spark, manifest).select("out_dataset_id", F.col("name").alias("out_file"),
+                                            "o_orderpriority", "n", "max_price")
+
+
+def _outputs(spark, manifest):
+    """Rows of all outputs of a manifest, with the output they belong to."""
+    paths = [r[0] for r in manifest.where("error is null").select("path").collect()]
+    data = IO.read_files(spark, {"parquet": paths})
+    outputs = manifest.select(IO.normalize_path(F.col("path")).alias(IO.SOURCE_FILE_COL), "user_id",
+                              "out_dataset_id", "name", "src_file")
+    return data.join(outputs, IO.SOURCE_FILE_COL)
+
+
+def broken_on_pending(pdf):
+    """A transform that raises on one file: pending orders."""
+    if (pdf["o_orderstatus"] == "P").any():
+        raise ValueError("pending orders")
+    return pdf.groupby("o_orderstatus", as_index=False).agg(n=("o_orderkey", "count"), top=("o_totalprice", "max"))
+
+
+REGS_DDL = ("transform_id long, user_id long, name string, in_service string, in_dataset_id long, "
+            "in_action string, in_object string, out_service string, out_dataset_id long, "
+            "out_action string, out_object string, src_file string, enabled boolean")
+
+
+def _two_users(spark, sf_dir):
+    """Two users' datasets with a file per order status (even and odd customers),
+    under the same base names, and a Python and a SQL registration."""
+    from datetime import datetime
+
+    root = scratch_path(spark, "batch-lake")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    files = spark.createDataFrame([], TR_FILES_SCHEMA)
+    log = None
+    for user in (1, 2):
+        mine = orders.filter(F.pmod(F.coalesce("o_custkey", F.lit(0)), F.lit(2)) == user - 1)
+        rows = []
+        for status in _statuses(orders):
+            path = f"{root}/landing{user}/orders_{status}.parquet"
+            mine.filter(F.col("o_orderstatus").eqNullSafe(status)).write.parquet(path)
+            rows.append((f"orders_{status}.parquet", path, "parquet"))
+        land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
+        files, events = IO.ingest(spark, land, files, f"{root}/user{user}/sales", user, 10 + user, "owner",
+                                  datetime(2024, 6, 1), 100 * user, 1000 * user)
+        log = events if log is None else log.unionByName(events)
+    regs = spark.createDataFrame([
+        (1, 1, "by python", "datasets", 11, "POST", "file", "datasets", 21, "POST", "file", "status.py", True),
+        (2, 2, "by sql", "datasets", 12, "POST", "file", "datasets", 22, "POST", "file", "total.sql", True)], REGS_DDL)
+
+    def resolve(src_file):
+        if src_file == "status.py":
+            return "pandas_file", broken_on_pending, "o_orderstatus string, n long, top double"
+        return "sql", "SELECT count(*) AS n, max(o_totalprice) AS top FROM return_arrow_table"
+
+    return root, files.checkpoint(eager=True), log.checkpoint(eager=True), regs, resolve
+
+
+def _run_two_users(spark, sf_dir):
+    from datetime import datetime
+
+    root, files, log, regs, resolve = _two_users(spark, sf_dir)
+    D.run_batch(spark, log, regs, files, resolve, f"{root}/out", f"{root}/log2", f"{root}/files2",
+                datetime(2024, 6, 2), batch_id=1)
+    return root
+
+
+def run_batch(spark, sf_dir):
+    """Each registration runs its own source file (Python, SQL) over each of
+    its user's files; the outputs are read through the catalog (S4)."""
+    root = _run_two_users(spark, sf_dir)
+    catalog = spark.read.parquet(f"{root}/files2").where("dataset_id in (21, 22)")
+    out = None
+    for r in catalog.select("user_id", "dataset_id", "file_id", "name").collect():
+        got = IO.scan_catalog_file(spark, catalog, r["user_id"], r["dataset_id"], r["file_id"]).select(
+            F.lit(r["user_id"]).alias("user_id"), F.lit(r["name"]).alias("name"), "n", "top")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def dispatch_failures(spark, sf_dir):
+    """The manifest of a batch in which one file's script raises."""
+    root = _run_two_users(spark, sf_dir)
+    return spark.read.parquet(f"{root}/out-manifest/batch_id=1").select(
+        "user_id", "src_file", "name", F.col("error").isNotNull().alias("failed"), "n_rows")
+
+
+def empty_rerun(spark, sf_dir):
+    """A rerun of a transform that gives no rows any more replaces the
+    output: the catalogued file is empty."""
+    root, files, log, regs, _ = _two_users(spark, sf_dir)
+    ddl = "o_orderkey long"
+    matched = match_triggers(log, regs.where("transform_id = 1"))
+    keep = lambda src: ("pandas_file", lambda pdf: pdf[["o_orderkey"]], ddl)
+    drop = lambda src: ("pandas_file", lambda pdf: pdf[["o_orderkey"]][pdf["o_orderstatus"] != "F"], ddl)
+    D.dispatch_files(spark, matched, keep, f"{root}/out", batch_id=1)
+    manifest = D.dispatch_files(spark, matched, drop, f"{root}/out", batch_id=2)
+    return _outputs(spark, manifest).select("name", "o_orderkey")
 
 
 def create_datasets(spark, sf_dir):
@@ -753,13 +902,35 @@ def dispatch_record(spark, sf_dir):
     log, regs, _ = _dispatch_inputs(spark, sf_dir)
     work = D.work_items(match_triggers(log, regs), lake.ACTIVITY_FILE_KEYS)
     empty = spark.createDataFrame([], TR_FILES_SCHEMA)
-    _, events = D.record_outputs(work, lake.activity_file_name(), "/lake/out", empty,
-                                 datetime(2024, 3, 1), 1, 1)
+    outputs = work.select("user_id", F.col("out_dataset_id").alias("dataset_id"),
+                          lake.activity_file_name().alias("name")).withColumn(
+        "path", F.concat_ws("/", F.lit("/lake/out"), F.col("dataset_id").cast("string"), "name"))
+    _, events = D.record_outputs(outputs, empty, datetime(2024, 3, 1), 1, 1)
     return events.select("user_id", "dataset_id", "action",
                          S.json_field("object_details", "$.name").alias("object_name"),
                          "is_transform_output")
 
+def match_all(spark, sf_dir):
+    """J2 with every enabled POST registration of a key firing."""
+    log = _log(spark, sf_dir)
+    return match_triggers(log, lake.registrations(log), policy="all").select("log_id", "transform_id")
+
+
+def match_salted(spark, sf_dir):
+    """J2 with hot trigger keys spread over eight buckets: the same matches."""
+    log = _log(spark, sf_dir)
+    return match_triggers(log, lake.registrations(log), salt_buckets=8).select("log_id", "transform_id")
+
+
 QUERIES.update({
+    "json_nulls": json_nulls,
+    "scan_by_name": scan_by_name,
+    "per_file_ordered": per_file_ordered,
+    "run_batch": run_batch,
+    "dispatch_failures": dispatch_failures,
+    "empty_rerun": empty_rerun,
+    "match_all": match_all,
+    "match_salted": match_salted,
     "python_transform": python_transform,
     "python_identity": python_identity,
     "per_file_transform": per_file_transform,

@@ -4,18 +4,16 @@ Input is the match result of :func:`lakehook.operators.match.match_triggers`
 plus the lake data the events point at. A "file" is identified by key
 columns (``file_keys``) of the data; every matched event names one file.
 
-* Python transforms run per file, all files in one job (small files packed
-  into bucketed ``applyInPandas`` calls, large files routed to the
-  distributed path); :func:`dispatch_files` reads exactly the files that the
-  matched events name.
-* SQL transforms run once per (script, output dataset) -- or per fired
-  transform on request -- in an isolated session each; the jobs are
-  submitted concurrently.
+* :func:`dispatch_files` runs each registration's own source file -- pandas,
+  SQL or a DataFrame function -- over exactly the files that matched events
+  name, one output per file, with failures noted in the batch's manifest.
+* :func:`dispatch_python` and :func:`dispatch_sql` do so for one transform body
+  over a keyed table, all files in one job or a job per file.
 * :func:`record_outputs` enters the outputs in the file catalog and logs
   them as transform output, which never re-triggers; :func:`run_batch`
   chains match, dispatch, recording and the processed flag.
 
-Outputs are written as Parquet under ``out_root``, partitioned by output
+Outputs of keyed tables are written as Parquet under ``out_root``, partitioned by output
 dataset, batch id and writing job, with the output file name (the input
 file's base name with a ``.parquet`` extension) as a column; rows are sorted
 by it inside each Parquet file so a single file's rows are found through
@@ -36,8 +34,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakehook.plans.transforms import (MAX_FILE_ROWS_IN_WORKER, TABLE_NAME,
-                                       per_file_transform_routed)
+from lakehook.plans.transforms import ERROR_COL, TABLE_NAME, per_file_transform
+from lakehook.session import checkpoint_root
 
 OUT_FILE_COL = "out_file"
 OUT_DATASET_COL = "out_dataset_id"
@@ -80,82 +78,144 @@ def read_outputs(spark: SparkSession, out_root: str, schema: T.StructType | str
 
 def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
                     file_name: Column, process_df: Callable, out_schema: T.StructType | str,
-                    out_root: str, max_file_rows: int = MAX_FILE_ROWS_IN_WORKER,
-                    batch_id: int = 0) -> None:
+                    out_root: str, batch_id: int = 0, order_by: tuple[str, ...] = ()) -> None:
     """Run a per-file pandas transform for every (file, transform) of the
     batch in one job and write the results.
 
     The batch's work items are checkpointed first (reliable checkpoint in the
     shared folder): the match -- a scan of the event log -- runs exactly
-    once, and executor loss after that point never re-runs it. File sizes
-    are counted from the data's key columns only; files above
-    ``max_file_rows`` take the distributed path. ``file_name`` is a Column
+    once, and executor loss after that point never re-runs it. The data is read
+    once and shuffled once, by file and transform. ``file_name`` is a Column
     over ``file_keys`` giving the output file name.
     """
+    checkpoint_root(data.sparkSession)
     work = work_items(matched, file_keys).checkpoint(eager=True)
     group = file_keys + ["transform_id", "out_dataset_id"]
-    # sizes from the data's key columns only, per file, then per work item
-    files = work.select(*file_keys).distinct()
-    sizes = (data.select(*file_keys).join(files, file_keys, "left_semi")
-             .groupBy(*file_keys).agg(F.count(F.lit(1)).alias("__rows")))
-    per_item = work.join(sizes, file_keys).select(*group, "__rows")
-    summary = per_item.agg(
-        F.coalesce(F.sum(F.when(F.col("__rows") <= max_file_rows, F.col("__rows"))),
-                   F.lit(0)).alias("small_rows"),
-        F.collect_list(F.when(F.col("__rows") > max_file_rows, F.struct(*group))).alias("large"),
-    ).first()
-    plan = ([tuple(r) for r in summary["large"]], int(summary["small_rows"]))
-    tagged = data.join(work, file_keys, "inner")
-    result = per_file_transform_routed(tagged, process_df, out_schema, group,
-                                       max_file_rows=max_file_rows, plan=plan)
+    result = per_file_transform(data.join(work.drop("src_file"), file_keys), process_df, out_schema, group,
+                                order_by=order_by)
     _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id, "py")
 
 
-def dispatch_files(spark: SparkSession, matched: DataFrame, process_df: Callable,
-                   out_schema: T.StructType | str, out_root: str, csv_schema=None,
-                   batch_id: int = 0,
-                   max_file_rows: int = MAX_FILE_ROWS_IN_WORKER) -> DataFrame | None:
-    """T7 over lake files: each matched event names its file in
-    ``object_details`` (path and extension); exactly those files are read
-    (one read per format, rows tagged with their file) and the per-file
-    Python transform writes its output under the file's base name with a
-    ``.parquet`` extension. Events without object details were never matched.
-    Returns the batch's (checkpointed) work items, or None when nothing
-    matched.
+def dispatch_files(spark: SparkSession, matched: DataFrame, resolve: Callable, out_root: str,
+                   batch_id: int = 0, csv_schema=None, max_parallel: int = 8) -> DataFrame | None:
+    """T7 over lake files: every matched event runs *its own registration's*
+    source file over the file that it names in ``object_details``.
+
+    ``resolve(src_file)`` gives the registration's runtime and body:
+
+    * ``("pandas_file", process_df, schema)``: all files of the script in one
+      job, pandas file by file in the file's row order, whatever its size;
+    * ``("sql", text)`` or ``("spark_frame", fn)``: the script or the DataFrame
+      function over each file by itself, as concurrent jobs.
+
+    A result is one output: (user, output dataset, source file, transform), under
+    the source file's base name with a ``.parquet`` extension, in a directory of
+    its own that the catalog can point to; files with one base name, and files of
+    two users, never meet. A rerun replaces an output, also by an empty one. A
+    file whose script raises leaves its earlier output and does not stop others.
+
+    Returns the batch's manifest (also under ``<out_root>-manifest``): user_id,
+    transform_id, out_dataset_id, src_file, source_file, name, path, n_rows,
+    error; or None when nothing matched.
     """
     from lakehook.functions import scalars as S
     from lakehook.sources.files import SOURCE_FILE_COL, normalize_path, read_files
 
+    checkpoint_root(spark)
     obj = F.col("object_details")
-    located = matched.select(
+    work = matched.select(
         normalize_path(F.get_json_object(obj, "$.path")).alias(SOURCE_FILE_COL),
-        F.lower(F.get_json_object(obj, "$.file_extension")).alias("__ext"),
-        "user_id", "transform_id", "out_dataset_id")
-    work = located.distinct().checkpoint(eager=True)
-    paths: dict[str, list[str]] = {}
-    for r in work.select(SOURCE_FILE_COL, "__ext").distinct().collect():   # file list only
-        paths.setdefault(r["__ext"], []).append(r[SOURCE_FILE_COL])
-    if not paths:
+        F.lower(F.get_json_object(obj, "$.file_extension")).alias("ext"),
+        "user_id", "transform_id", "out_dataset_id", "src_file").distinct()
+    work = work.withColumn("name", S.force_parquet_extension(S.base_name(SOURCE_FILE_COL))).withColumn(
+        "output", F.hex(F.xxhash64("transform_id", SOURCE_FILE_COL)))
+    work = work.checkpoint(eager=True)
+    group = [SOURCE_FILE_COL, "user_id", "transform_id", "out_dataset_id", "name", "output"]
+    layout = ["out_dataset_id", "user_id", "output", "name"]
+    scripts = [r[0] for r in work.select("src_file").distinct().collect()]   # a catalog's scripts
+    if not scripts:
         return None
-    data = read_files(spark, paths, csv_schema)
-    dispatch_python(work.drop("__ext", "user_id"), data, [SOURCE_FILE_COL],
-                    S.force_parquet_extension(S.base_name(SOURCE_FILE_COL)),
-                    process_df, out_schema, out_root, max_file_rows=max_file_rows,
-                    batch_id=batch_id)
-    return work
+    found = []
+    for script in sorted(scripts):
+        kind, body, *schema = resolve(script)
+        mine = work.where(F.col("src_file") == script)
+        # the paths of the files to read: what Spark's own file index holds
+        items = [r.asDict() for r in mine.collect()]
+        root = f"{out_root.rstrip('/')}/script={script.rsplit('/', 1)[-1]}"
+        errors: dict[tuple, str] = {}
+        if kind == "pandas_file":
+            paths: dict[str, list[str]] = {}
+            for i in items:
+                if i[SOURCE_FILE_COL] not in paths.setdefault(i["ext"], []):
+                    paths[i["ext"]].append(i[SOURCE_FILE_COL])
+            data = read_files(spark, paths, csv_schema, positions=True)
+            result = per_file_transform(data.join(mine.select(*group), SOURCE_FILE_COL), body, schema[0],
+                                        group, failures=True).persist()
+            (result.where(F.col(ERROR_COL).isNull()).drop(ERROR_COL, SOURCE_FILE_COL, "transform_id")
+             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy(*layout).parquet(root))
+            counts = {(r["output"], r["user_id"], r["out_dataset_id"]): (r["n"], r["error"]) for r in
+                      result.groupBy("output", "user_id", "out_dataset_id").agg(
+                          F.count(F.lit(1)).alias("n"), F.first(ERROR_COL, ignorenulls=True).alias("error")).collect()}
+            empty = result.drop(ERROR_COL, *group).limit(0)
+            for i in items:
+                n, error = counts.get((i["output"], i["user_id"], i["out_dataset_id"]), (0, None))
+                i["n_rows"], i["error"] = (None, error) if error else (n, None)
+                if n == 0:
+                    empty.write.mode("overwrite").parquet(_place(root, i))
+            result.unpersist()
+        elif kind in ("sql", "spark_frame"):
+            def execute(i):
+                try:
+                    session = spark.newSession()
+                    frame = read_files(session, {i["ext"]: [i[SOURCE_FILE_COL]]}, csv_schema).drop(SOURCE_FILE_COL)
+                    if kind == "sql":
+                        frame.createOrReplaceTempView(TABLE_NAME)
+                        frame = session.sql(body)
+                    else:
+                        frame = body(frame)
+                    frame.write.mode("overwrite").parquet(_place(root, i))
+                    return session.read.parquet(_place(root, i)).count(), None
+                except Exception as error:  # the script's own failure: noted, others go on
+                    return None, f"{type(error).__name__}: {error}"[:1000]
+
+            with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
+                for i, (n, error) in zip(items, pool.map(execute, items)):
+                    i["n_rows"], i["error"] = n, error
+        else:
+            raise ValueError(f"unknown runtime {kind!r} of {script}")
+        found += [{**i, "path": _place(root, i)} for i in items]
+    manifest = spark.createDataFrame(
+        [tuple(i[c] for c in MANIFEST.fieldNames()) for i in found], MANIFEST)
+    target = f"{out_root.rstrip('/')}-manifest/batch_id={batch_id}"
+    manifest.write.mode("overwrite").parquet(target)
+    return spark.read.schema(MANIFEST).parquet(target)
+
+
+MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
+    ("user_id", T.LongType()), ("transform_id", T.LongType()), ("out_dataset_id", T.LongType()),
+    ("src_file", T.StringType()), ("source_file", T.StringType()), ("name", T.StringType()),
+    ("path", T.StringType()), ("n_rows", T.LongType()), ("error", T.StringType()))])
+
+
+def _place(root: str, item: dict) -> str:
+    """Directory of one output, as ``partitionBy`` lays it out."""
+    name = "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or ord(c) < 32 else c for c in item["name"])
+    return (f"{root}/out_dataset_id={item['out_dataset_id']}/user_id={item['user_id']}"
+            f"/output={item['output']}/name={name}")
 
 
 def dispatch_sql(spark: SparkSession, matched: DataFrame,
                  data_reader: Callable[[SparkSession], DataFrame], file_keys: list[str],
                  scripts: dict[str, str] | Callable[[str], str], out_root: str,
                  work_path: str, max_parallel: int = 8, batch_id: int = 0,
-                 scope: str = "script") -> list[tuple]:
+                 scope: str = "file") -> list[tuple]:
     """Run the SQL scripts of the fired transforms and write their outputs.
 
     ``scope`` decides what one script run sees as ``return_arrow_table``:
 
-    * ``"script"`` (default): one job per (script, output dataset) over the
-      UNION ALL of the matched files of every transform in the group (a file
+    * ``"script"``: for row-local scripts only, as it puts all users' files
+      together: one job per (script, output dataset) over the UNION ALL of the matched files of every transform in the group (a file
       matched by two transforms appears twice). For row-local scripts this
       equals the union of per-transform outputs. Output file: the script's
       base name with a ``.parquet`` extension. Jobs are bounded by the
@@ -163,7 +223,7 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
     * ``"transform"``: one job per fired transform over its files (exact
       per-transform input for aggregating scripts); output
       ``t<transform_id>.parquet``.
-    * ``"file"``: one job per (transform, file) -- the reference's exact
+    * ``"file"`` (default): one job per (transform, file) -- the exact
       per-file semantics for any script, at the cost of one job per matched
       file; output: the file's base name (``source_file`` keys) or its key
       values, with a ``.parquet`` extension.
@@ -219,17 +279,15 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
         return list(pool.map(execute, groups))
 
 
-def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: DataFrame,
-                   now, next_file_id: int, next_log_id: int):
+def record_outputs(outputs: DataFrame, files: DataFrame, now, next_file_id: int, next_log_id: int):
     """Catalog side of a dispatched batch (M3 + S8 for transform output).
 
-    ``work`` holds the batch's work items (with ``user_id``); ``file_name``
-    gives each item's output file name. Every output file is upserted into
-    the ``files`` catalog keyed by (user, dataset, path): a path seen before
-    only gets a new modification time, a new one gets a row and one POST
-    event flagged ``is_transform_output`` -- the gate and the matcher skip
-    such events, so transform output never triggers another transform.
-    Returns ``(catalog_snapshot, output_events)``.
+    ``outputs`` has one row per written output: user_id, dataset_id, name, path.
+    Every output is upserted into the ``files`` catalog keyed by (user, dataset,
+    path): a path seen before only gets a new modification time, a new one gets a
+    row and one POST event flagged ``is_transform_output`` -- the gate and the
+    matcher skip such events, so transform output never triggers another
+    transform. Returns ``(catalog_snapshot, output_events)``.
     """
     from lakehook.functions import scalars as S
     from lakehook.operators.ids import with_ids
@@ -237,15 +295,11 @@ def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: Dat
     from lakehook.sources.files import log_rows
 
     ts = F.lit(now).cast("timestamp_ntz")
-    outs = work.select("user_id", F.col("out_dataset_id").alias("dataset_id"),
-                       file_name.alias("name")).distinct()
-    path = F.concat_ws("/", F.lit(out_root.rstrip("/")),
-                       F.concat(F.lit(f"{OUT_DATASET_COL}="), F.col("dataset_id").cast("string")),
-                       F.col("name"))
-    staged = with_ids(outs, {"file_id": next_file_id, "__log_id": next_log_id})
+    staged = with_ids(outputs.select("user_id", "dataset_id", "name", "path").distinct(),
+                      {"file_id": next_file_id, "__log_id": next_log_id})
     incoming = staged.select(
         F.col("user_id").cast("long"), F.col("dataset_id").cast("long"), "file_id",
-        "name", path.alias("path"), F.lit(None).cast("string").alias("owner"),
+        "name", "path", F.lit(None).cast("string").alias("owner"),
         ts.alias("creation_date"), ts.alias("last_modified"),
         F.lit(None).cast("string").alias("size"), F.lit(None).cast("long").alias("size_bytes"),
         S.file_extension("name").alias("file_extension"),
@@ -265,49 +319,43 @@ def record_outputs(work: DataFrame, file_name: Column, out_root: str, files: Dat
 
 
 def run_batch(spark: SparkSession, log: DataFrame, transforms: DataFrame, files: DataFrame,
-              process_df: Callable, out_schema: T.StructType | str, out_root: str,
-              log_out: str, files_out: str, now, batch_id: int, csv_schema=None) -> dict:
+              resolve: Callable, out_root: str, log_out: str, files_out: str, now,
+              batch_id: int, csv_schema=None) -> dict:
     """One complete batch of T7 over lake snapshots.
 
     1. the batch's high-water mark is fixed (largest pending event id);
-    2. pending events up to it are matched (J2) and their files dispatched
-       (:func:`dispatch_files`, S5);
-    3. output files are upserted into the file catalog and logged as
+    2. pending events up to it are matched (J2) and each runs its registration's
+       source file over its file (:func:`dispatch_files`, S5);
+    3. written outputs are upserted into the file catalog and logged as
        transform output (:func:`record_outputs`, M3 + S8);
-    4. every event up to the mark is flagged processed (M5).
+    4. every event up to the mark is flagged processed (M5), those whose script
+       failed too: the failure is in the manifest.
 
     The new event log and file catalog are written as new snapshots to
     ``log_out`` / ``files_out`` (never over the paths being read). Events
     that arrive while the batch runs lie above the mark and stay pending.
-    Returns counts of the batch (from the written snapshots).
+    Returns counts of the batch.
     """
-    from lakehook.functions import scalars as S
     from lakehook.operators.match import mark_processed, match_triggers, pending
 
     hw = pending(log).agg(F.max("log_id").alias("hw")).first()["hw"]
     if hw is None:
         log.write.mode("overwrite").parquet(log_out)
         files.write.mode("overwrite").parquet(files_out)
-        return {"high_water": None, "dispatched": 0, "outputs": 0}
+        return {"high_water": None, "dispatched": 0, "failed": 0, "outputs": 0}
     batch = log.filter(F.col("log_id") <= F.lit(hw))
-    matched = match_triggers(batch, transforms)
-    work = dispatch_files(spark, matched, process_df, out_schema, out_root,
-                          csv_schema=csv_schema, batch_id=batch_id)
-    new_files, out_events = files, None
-    if work is not None:
+    manifest = dispatch_files(spark, match_triggers(batch, transforms), resolve, out_root, batch_id, csv_schema)
+    new_files, new_log, counts = files, mark_processed(log, hw), (0, 0)
+    if manifest is not None:
         next_file = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0] + 1
         next_log = log.agg(F.max("log_id")).first()[0] + 1
-        new_files, out_events = record_outputs(
-            work.select("user_id", "out_dataset_id", "source_file"),
-            S.force_parquet_extension(S.base_name("source_file")), out_root, files,
-            now, next_file, next_log)
-    new_log = mark_processed(log, hw)
-    if out_events is not None:
-        new_log = new_log.unionByName(out_events.select(*new_log.columns))
+        new_files, events = record_outputs(
+            manifest.where("error is null").select("user_id", F.col("out_dataset_id").alias("dataset_id"),
+                                                   "name", "path"), files, now, next_file, next_log)
+        new_log = new_log.unionByName(events.select(*new_log.columns))
+        counts = manifest.agg(F.count(F.lit(1)), F.count("error")).first()
     new_log.write.mode("overwrite").parquet(log_out)
     new_files.write.mode("overwrite").parquet(files_out)
-    return {"high_water": hw,
-            "dispatched": 0 if work is None else work.count(),
-            "outputs": 0 if out_events is None else
-            spark.read.parquet(log_out).filter(F.col("is_transform_output")
-                                               & (F.col("log_id") > F.lit(hw))).count()}
+    return {"high_water": hw, "dispatched": counts[0], "failed": counts[1],
+            "outputs": spark.read.parquet(log_out).filter(
+                F.col("is_transform_output") & (F.col("log_id") > F.lit(hw))).count()}

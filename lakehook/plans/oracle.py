@@ -109,9 +109,9 @@ WHERE NOT EXISTS (SELECT 1 FROM doomed_orders d WHERE d.o_orderkey = l.l_orderke
     "upsert_files": f"""
 WITH {_FILES},
 base AS (SELECT dataset, path, file_id, CAST(created AS TIMESTAMP) AS created,
-                CAST(created AS TIMESTAMP) AS last_modified FROM files WHERE lang IN ('en', 'de')),
+                CAST(created AS TIMESTAMP) AS last_modified FROM files WHERE lang IS DISTINCT FROM 'es'),
 inc AS (SELECT dataset, path, file_id, TIMESTAMP '2024-02-01 00:00:00' AS created,
-               TIMESTAMP '2024-02-01 00:00:00' AS last_modified FROM files WHERE lang IN ('de', 'es'))
+               TIMESTAMP '2024-02-01 00:00:00' AS last_modified FROM files WHERE lang IS DISTINCT FROM 'en')
 SELECT coalesce(b.dataset, i.dataset) AS dataset, coalesce(b.path, i.path) AS path,
        CASE WHEN b.path IS NOT NULL THEN b.file_id ELSE i.file_id END AS file_id,
        CASE WHEN b.path IS NOT NULL THEN b.created ELSE i.created END AS created,
@@ -148,11 +148,11 @@ ds AS (SELECT DISTINCT source AS dataset,
               CASE WHEN source IN ('src1','src2','src3') THEN 1
                    WHEN source IN ('src4','src5') THEN 2 ELSE 3 END AS lifecycle_id
        FROM documents),
-rules AS (SELECT * FROM (VALUES (1,true),(2,false),(3,true)) t(lifecycle_id, rule_enabled)),
+rules AS (SELECT dataset, lifecycle_id, dataset NOT IN ('src2', 'src5') AS rule_enabled FROM ds),
 trans AS (SELECT * FROM (VALUES (1,3,'cold'),(2,3,'cold'),(3,7,'archive'))
           t(lifecycle_id, days_till_transition, transition_to)),
 due AS (SELECT ds.dataset, t.days_till_transition, t.transition_to
-        FROM ds JOIN rules r ON ds.lifecycle_id=r.lifecycle_id
+        FROM ds JOIN rules r ON ds.lifecycle_id=r.lifecycle_id AND ds.dataset=r.dataset
                 JOIN trans t ON r.lifecycle_id=t.lifecycle_id
         WHERE r.rule_enabled)
 SELECT f.file_id, f.dataset, coalesce(d.transition_to, f.storage_class) AS storage_class
@@ -361,7 +361,7 @@ SELECT event_id, event_type, value - (SELECT min(value) FROM f) AS value_delta,
 FROM f""",
     "python_identity": "SELECT * FROM events",
     "per_file_transform": """
-SELECT event_id, event_type, value - min(value) OVER (PARTITION BY event_type) AS value_delta
+SELECT event_id, event_type, value - min(value) OVER (PARTITION BY coalesce(event_id, -1) // 1000) AS value_delta
 FROM events""",
     "native_transform": """
 SELECT event_id, user_id, value * 2 AS value_x2 FROM events WHERE value > 100""",
@@ -372,16 +372,16 @@ WHERE l_shipdate >= TIMESTAMP '1995-01-01 00:00:00' AND l_quantity < 10""",
     "scan_dataset": """
 SELECT o_orderkey, o_orderstatus, o_totalprice,
        CASE WHEN o_orderstatus = 'F' THEN 'parquet' ELSE 'csv' END AS fmt
-FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+FROM orders""",
     "catalog_scan": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'F'",
     "sink_roundtrip": """
 SELECT l_orderkey, l_linenumber, l_quantity, 'lineitem_copy.parquet' AS stored_as FROM lineitem""",
     "ingest": """
 SELECT 'orders_' || o_orderstatus || '.parquet' AS file_name, o_orderkey, o_orderstatus,
        CAST(1 AS BIGINT) AS n_events
-FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')""",
+FROM orders""",
     "append_docs": """
-SELECT sha256(CAST(conv_id AS VARCHAR) || chr(1) || CAST(turn AS VARCHAR)) AS _id,
+SELECT sha256(CAST(to_json({'conv_id': conv_id, 'turn': turn}) AS VARCHAR)) AS _id,
        conv_id, turn, role, CAST(length(text) AS INTEGER) AS n_chars
 FROM conversations""",
     "append_log": """
@@ -454,7 +454,7 @@ FROM files WHERE lang = 'de'"""
 ORACLES["lake_flow"] = """
 SELECT 'orders_' || o_orderstatus || '.parquet' AS out_file, CAST(2 AS BIGINT) AS out_dataset_id,
        o_orderpriority, count(*) AS n, max(o_totalprice) AS max_price
-FROM orders WHERE o_orderstatus IN ('F', 'O', 'P')
+FROM orders
 GROUP BY o_orderstatus, o_orderpriority"""
 
 ORACLES["create_datasets"] = """
@@ -555,3 +555,50 @@ SELECT l_orderkey, l_linenumber,
        CASE WHEN l_discount = 0 THEN NULL ELSE l_tax / l_discount END AS tax_per_discount,
        coalesce(nullif(l_linestatus, 'O'), 'open') AS status
 FROM lineitem"""
+
+ORACLES["per_file_ordered"] = """
+SELECT event_id, CAST(sum(cents) OVER f AS BIGINT) AS running, cents - lag(cents) OVER f AS change,
+       min(event_id) OVER (PARTITION BY event_id // 1000) AS first_id
+FROM (SELECT event_id, CAST(round(value * 100) AS BIGINT) AS cents FROM events) WINDOW f AS (PARTITION BY event_id // 1000 ORDER BY event_id)"""
+
+ORACLES["scan_by_name"] = """
+SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 4 = 3 THEN o_custkey * 2 END AS extra
+FROM orders"""
+
+_TWO_USERS = """
+f AS (SELECT 1 + o_custkey % 2 AS user_id, 'orders_' || o_orderstatus || '.parquet' AS name, o_orderstatus,
+             count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL)"""
+
+ORACLES["run_batch"] = f"""
+WITH {_TWO_USERS}
+SELECT user_id, name, n, top FROM f WHERE user_id = 2 OR o_orderstatus <> 'P'"""
+
+ORACLES["dispatch_failures"] = f"""
+WITH {_TWO_USERS}
+SELECT user_id, CASE user_id WHEN 1 THEN 'status.py' ELSE 'total.sql' END AS src_file, name,
+       user_id = 1 AND o_orderstatus = 'P' AS failed,
+       CASE WHEN user_id = 2 OR o_orderstatus <> 'P' THEN CAST(1 AS BIGINT) END AS n_rows
+FROM f"""
+
+ORACLES["empty_rerun"] = """
+SELECT 'orders_' || o_orderstatus || '.parquet' AS name, o_orderkey FROM orders
+WHERE o_custkey % 2 = 0 AND o_orderstatus <> 'F'"""
+
+ORACLES["match_salted"] = f"SELECT log_id, transform_id FROM ({TRIGGER_MATCH})"
+
+ORACLES["match_all"] = f"""
+WITH {_LOG}, {_REG}
+SELECT l.log_id, r.transform_id
+FROM log l JOIN reg r ON l.user_id=r.user_id AND l.node_id=r.in_node_id AND l.action=r.in_action
+WHERE NOT l.processed AND r.enabled AND r.out_action='POST'"""
+
+ORACLES["json_nulls"] = """
+SELECT o_orderkey,
+       CAST(to_json({'o_orderkey': o_orderkey,
+                     'status': CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END}) AS VARCHAR) AS details,
+       strftime(o_orderdate, '%Y-%m-%d') AS day
+FROM orders"""
+
+ORACLES["sql_transform_d12_approx"] = """
+SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(*) AS n, true AS parts_near, true AS median_near
+FROM lineitem GROUP BY l_returnflag"""

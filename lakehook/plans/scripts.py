@@ -144,12 +144,18 @@ SELECT l_returnflag, median(l_quantity) AS med_qty, percentile(l_quantity, 0.9)
        count(*) AS n
 FROM return_arrow_table
 GROUP BY l_returnflag"""),
-    # D12 approximate aggregates (sketches; compared on rows only)
+    # D12 approximate aggregates, within their error bounds of the exact ones
     "sql_transform_d12_approx": ("lineitem", """
-SELECT l_returnflag, approx_count_distinct(l_partkey) AS approx_parts,
-       percentile_approx(l_quantity, 0.5) AS approx_med
-FROM return_arrow_table
-GROUP BY l_returnflag"""),
+WITH a AS (
+  SELECT l_returnflag, approx_count_distinct(l_partkey, 0.02) AS approx_parts, count(DISTINCT l_partkey) AS parts,
+         percentile_approx(l_quantity, 0.5, 10000) AS approx_med, count(*) AS n
+  FROM return_arrow_table GROUP BY l_returnflag),
+b AS (
+  SELECT t.l_returnflag, count_if(t.l_quantity < a.approx_med) AS below, count_if(t.l_quantity <= a.approx_med) AS upto
+  FROM return_arrow_table t JOIN a ON t.l_returnflag <=> a.l_returnflag GROUP BY t.l_returnflag)
+SELECT a.l_returnflag, parts, n, abs(approx_parts - parts) <= 0.1 * parts AS parts_near,
+       below <= 0.501 * n AND upto >= 0.499 * n AS median_near
+FROM a JOIN b ON a.l_returnflag <=> b.l_returnflag"""),
     # D13 pivot
     "sql_transform_d13": ("lineitem", """
 SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM return_arrow_table)

@@ -10,7 +10,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakehook.session import ship_package
+from lakehook.sources.files import PART_COL, ROW_COL
 
 TABLE_NAME = "return_arrow_table"
+ERROR_COL = "__error"
 
 # The default bodies of a new transform (identity).
 SQL_TEMPLATE = "SELECT * FROM return_arrow_table a"
@@ -47,6 +49,12 @@ def sql_transform(spark: SparkSession, script: str,
 def pandas_transform(df: DataFrame, process_df: Callable) -> DataFrame:
     """Whole-table Python transform on pandas-on-Spark.
 
+    Takes what that frame defines without an order: column arithmetic, filters,
+    ``assign``, aggregates, ``groupby``, ``merge``. Functions that depend on the
+    order of rows or need numpy arrays (``cumsum``, ``shift``, ``head``,
+    ``np.where``) belong to :func:`per_file_transform` or, as window functions,
+    to :func:`native_transform`.
+
     The frame handed to ``process_df`` is distributed; column arithmetic,
     filters and global aggregates run as Spark jobs. The default index is the
     ``distributed`` kind (no sequential numbering pass); the index is dropped
@@ -70,42 +78,55 @@ def _run_pandas_api(df, process_df, ps):
 
 
 def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType | str,
-                       file_col: str = "source_file") -> DataFrame:
-    """T4: run a pandas ``process_df`` once per source file, all files in one
-    job (grouped ``applyInPandas``).
-
-    ``process_df`` never sees ``file_col``; it is re-attached afterwards. One
-    file is one group, so a file must fit in a Python worker's memory -- the
-    dispatcher routes files above its size bound to :func:`pandas_transform`
-    instead. ``schema`` describes ``process_df``'s output (without the file
-    column).
+                       file_cols: list[str] | str = "source_file", order_by: Sequence[str] = (),
+                       failures: bool = False) -> DataFrame:
+    """T4: run a pandas ``process_df`` once per file, all files in one job.
+
+    A file is a group of rows with equal ``file_cols`` (several columns make a
+    composite key); its rows are handed over in the order of ``order_by``, else
+    in that of the file where ``df`` carries ``ROW_COL`` (see
+    :func:`lakehook.sources.files.read_files`). ``process_df`` always gets
+    pandas, whatever the file's size: a file is the unit of work, as large as one
+    worker can hold, and a registration whose files are larger declares another
+    runtime (``spark_frame`` or ``sql``). It never sees the key columns; they are
+    attached to every output row. ``schema`` describes its output.
+
+    With ``failures``, a file whose call raises gives one row with the text of
+    the exception in ``ERROR_COL`` (NULL in all other rows), and other files go
+    on; without, the job fails.
     """
+    keys = [file_cols] if isinstance(file_cols, str) else list(file_cols)
     out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    full = T.StructType([T.StructField(file_col, T.StringType())] + list(out_schema.fields))
+    fields = [df.schema[k] for k in keys] + list(out_schema.fields)
+    if failures:
+        fields.append(T.StructField(ERROR_COL, T.StringType()))
+    names = [f.name for f in fields]
+    order = list(order_by) or [c for c in (PART_COL, ROW_COL) if c in df.columns]
+    hidden = keys + [c for c in (PART_COL, ROW_COL) if c in df.columns]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[file_col].iloc[0]
-        res = process_df(pdf.drop(columns=[file_col]).reset_index(drop=True))
-        res = res.reset_index(drop=True)
-        res.insert(0, file_col, name)
-        return res[[f.name for f in full.fields]]
+        ident = {k: pdf[k].iloc[0] for k in keys}
+        if order:
+            pdf = pdf.sort_values(order, kind="stable", na_position="first")
+        try:
+            res = process_df(pdf.drop(columns=hidden).reset_index(drop=True)).reset_index(drop=True)
+            if failures:
+                res[ERROR_COL] = None
+            res = res[[n for n in names if n not in keys]]
+        except Exception as error:
+            if not failures:
+                raise
+            res = pd.DataFrame({ERROR_COL: [f"{type(error).__name__}: {error}"]})
+        for i, k in enumerate(keys):
+            res.insert(i, k, ident[k])
+        for n in names:  # a failure has none of the result's columns
+            if n not in res:
+                res[n] = pd.Series([None] * len(res), dtype=object)
+        return res[names]
 
     ship_package()
-    return _spread(df, [file_col]).groupBy(file_col).applyInPandas(run, full)
-
-
-def _spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-partition by the group keys into ``spark.sql.shuffle.partitions``
-    parts before a grouped pandas call.
-
-    The grouping reuses this partitioning (no second shuffle). Unlike a
-    plain ``groupBy`` shuffle, an explicit repartition is not coalesced by
-    AQE, whose size-based merging would otherwise put many Python groups of
-    a small input into one task and run them serially.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys)
-
+    return df.groupBy(*keys).applyInPandas(run, T.StructType(
+        [T.StructField(f.name, f.dataType, True) for f in fields]))
 
 
 def native_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -121,7 +142,8 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
     out_dataset, out_action, src_file`` (+ optional ``timeout``, ``enabled``).
     User and dataset names are resolved to ids (J1, sentinel on a miss);
     names are sanitised (F7) and must then be 1-64 characters long, the
-    timeout at most 1500, and the user and both datasets must resolve --
+    timeout at most 1500, both actions PUT or POST, the source file a ``.py`` or
+    ``.sql`` file, and the user and both datasets must resolve --
     other requests are refused with a reason. New ids continue above the
     current maximum (stable, see :func:`lakehook.operators.ids.with_ids`),
     without a global sort. Returns the
@@ -131,7 +153,7 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
     from lakehook.operators.ids import with_ids
     from lakehook.operators.lookup import name_to_id
     from lakehook.operators.quality import MAX_TIMEOUT, TRANSFORM_NAME_LENGTH
-    from lakehook.schemas import DEFAULT_TIMEOUT, MISSING_ID, OBJECT_FILE, SERVICE_DATASETS
+    from lakehook.schemas import DEFAULT_TIMEOUT, MISSING_ID, OBJECT_FILE, SERVICE_DATASETS, TRIGGER_ACTIONS
 
     r = name_to_id(requests, "username", users, "username", "user_id", "user_id")
     r = name_to_id(r, "in_dataset", datasets, "name", "dataset_id", "in_dataset_id")
@@ -145,6 +167,12 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
                     F.lit("unknown_dataset"))
               .when(~F.coalesce(F.length("__name").between(lo, hi), F.lit(False)),
                     F.lit("name_length"))
+              .when(~F.coalesce(F.col("in_action").isin(*TRIGGER_ACTIONS), F.lit(False)),
+                    F.lit("in_action"))
+              .when(~F.coalesce(F.col("out_action").isin(*TRIGGER_ACTIONS), F.lit(False)),
+                    F.lit("out_action"))
+              .when(~F.coalesce(F.col("src_file").rlike(r"\.(py|sql)$"), F.lit(False)),
+                    F.lit("source_file"))
               .when(~F.coalesce(F.col("__timeout") <= MAX_TIMEOUT, F.lit(False)),
                     F.lit("timeout_bound")))
     r = r.withColumn("__reason", reason)
@@ -168,91 +196,3 @@ def register_transforms(requests: DataFrame, existing: DataFrame, users: DataFra
     refused = r.filter(F.col("__reason").isNotNull()).select(
         *requests.columns, F.col("__reason").alias("reason"))
     return snapshot, refused
-
-
-# Files with more rows than this are not handed to one Python worker; they run
-# through the distributed pandas-on-Spark path instead (exact, one job each).
-MAX_FILE_ROWS_IN_WORKER = 2_000_000
-# Small files are packed into pandas calls of about this many rows.
-TARGET_ROWS_PER_CALL = 200_000
-
-
-def plan_files(df: DataFrame, keys: list[str], max_file_rows: int = MAX_FILE_ROWS_IN_WORKER):
-    """One aggregate pass over the key columns: the files above
-    ``max_file_rows`` (a bounded list: at most total rows / max_file_rows)
-    and the total number of rows in the remaining small files."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-    row = sizes.agg(
-        F.coalesce(F.sum(F.when(F.col("__rows") <= max_file_rows, F.col("__rows"))),
-                   F.lit(0)).alias("small_rows"),
-        F.collect_list(F.when(F.col("__rows") > max_file_rows, F.struct(*keys))).alias("large"),
-    ).first()
-    return [tuple(r) for r in row["large"]], int(row["small_rows"])
-
-
-def per_file_transform_routed(df: DataFrame, process_df: Callable, schema: T.StructType | str,
-                              file_cols: list[str] | str = "source_file",
-                              max_file_rows: int = MAX_FILE_ROWS_IN_WORKER,
-                              plan: tuple[list[tuple], int] | None = None,
-                              rows_per_call: int = TARGET_ROWS_PER_CALL) -> DataFrame:
-    """T4 at any file size and count, exact per-file semantics.
-
-    * Files above ``max_file_rows`` each run through :func:`pandas_transform`
-      (distributed), so no large file is collected into one task.
-    * Small files are packed: hashed into ``ceil(small_rows / rows_per_call)``
-      buckets (at least one per shuffle partition), one grouped
-      ``applyInPandas`` call per bucket, and inside the
-      call ``process_df`` runs once per file. Many small files then cost a
-      few pandas calls instead of one each, and memory per call stays near
-      ``rows_per_call`` plus one file.
-
-    ``file_cols`` may be several columns (a file identified by a composite
-    key); they are re-attached to every output row. ``plan`` is the result
-    of :func:`plan_files` when the caller already has it.
-    """
-    keys = [file_cols] if isinstance(file_cols, str) else list(file_cols)
-    out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
-    key_fields = [df.schema[k] for k in keys]
-    full = T.StructType(key_fields + list(out_schema.fields))
-    names = [f.name for f in full.fields]
-    large, small_rows = plan if plan is not None else plan_files(df, keys, max_file_rows)
-
-    def run_one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ident = {k: pdf[k].iloc[0] for k in keys}
-        res = process_df(pdf.drop(columns=keys).reset_index(drop=True)).reset_index(drop=True)
-        for i, k in enumerate(keys):
-            res.insert(i, k, ident[k])
-        return res[names]
-
-    def run_bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop(columns=["__bucket"])
-        parts = [run_one(g) for _, g in pdf.groupby(keys, sort=False, dropna=False)]
-        parts = [p for p in parts if len(p)]
-        if not parts:
-            return pd.DataFrame({n: pd.Series(dtype=object) for n in names})
-        return pd.concat(parts, ignore_index=True)
-
-    small_df = df
-    if large:
-        big_keys = df.sparkSession.createDataFrame(large, T.StructType(key_fields))
-        small_df = df.join(big_keys, keys, "left_anti")
-    # enough buckets to bound the rows per call, and at least one per shuffle
-    # partition so small inputs still use every core
-    parallelism = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = max(parallelism, -(-small_rows // max(1, rows_per_call)))
-    ship_package()
-    packed = small_df.withColumn("__bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)))
-    parts = [_spread(packed, ["__bucket"]).groupBy("__bucket").applyInPandas(run_bucket, full)]
-    for ident in large:
-        cond = None
-        for k, v in zip(keys, ident):
-            c = F.col(k) == F.lit(v)
-            cond = c if cond is None else cond & c
-        res = pandas_transform(df.filter(cond).drop(*keys), process_df)
-        res = res.select(*[F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(key_fields, ident)],
-                         *[F.col(f.name).cast(f.dataType) for f in out_schema.fields])
-        parts.append(res)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -55,8 +56,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or a directory already set
-    with ``setCheckpointDir``). Only when neither is set -- local runs and
-    tests -- a private temporary directory is created and registered.
+    with ``setCheckpointDir``). When neither is set, a local run gets a private
+    temporary directory; on a cluster that is refused, since every node would
+    have its own.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -64,6 +66,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not re.fullmatch(r"local(\[[^\]-]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="lakehook-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
@@ -76,19 +80,6 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return f"{root}/lakehook/{leaf}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme so a path can be handed to local tools."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
-
-
-def is_local_fs(path: str) -> bool:
-    return path.startswith("file:") or os.path.isabs(path)
-
-
 def ship_package() -> None:
     """Make lakehook functions travel to Python workers by value.
 

@@ -25,6 +25,7 @@ from lakehook.schemas import OBJECT_FILE, SERVICE_DATASETS
 PARQUET_EXTENSIONS = ("pq", "parquet")
 CSV_EXTENSIONS = ("csv",)
 SOURCE_FILE_COL = "source_file"
+PART_COL, ROW_COL = "__part", "__row"
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -59,14 +60,50 @@ def normalize_path(path):
     return F.regexp_replace(path, "^file:/+", "/")
 
 
-def _with_source(df: DataFrame) -> DataFrame:
+def _with_source(df: DataFrame, positions: bool) -> DataFrame:
+    if positions:
+        # row_index exists for Parquet alone; CSV rows keep their split's order
+        row = (F.col("_metadata.row_index") if "row_index" in _metadata_fields(df)
+               else F.monotonically_increasing_id())
+        df = df.withColumns({PART_COL: F.col("_metadata.file_path"), ROW_COL: row})
     return df.withColumn(SOURCE_FILE_COL, logical_file())
 
 
+def _metadata_fields(df: DataFrame) -> list[str]:
+    return df.select("_metadata").schema[0].dataType.fieldNames()
+
+
+def _csv_by_header(spark: SparkSession, paths: list[str], schema) -> list[DataFrame]:
+    """CSV files bound by column name: one read per distinct header. Reading a
+    header takes Spark one line of the file; a declared schema gives the types of
+    the columns that a file has, and its other columns are read as text."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        headers = list(pool.map(lambda p: tuple(spark.read.option("header", True).csv(p).columns), paths))
+    groups: dict[tuple, list[str]] = {}
+    for path, header in zip(paths, headers):
+        groups.setdefault(header, []).append(path)
+    declared = schema
+    if isinstance(schema, str):
+        declared = T._parse_datatype_string(schema)
+    out = []
+    for header, some in groups.items():
+        bound = None
+        if declared is not None:
+            types = {f.name: f.dataType for f in declared.fields}
+            bound = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+        out.append(read_csv(spark, *some, schema=bound))
+    return out
+
+
 def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
-               csv_schema: T.StructType | str | None = None) -> DataFrame:
-    """Read files of several formats into one DataFrame, tagged with their
-    source file, aligned by column name (missing columns are NULL)."""
+               csv_schema: T.StructType | str | None = None, positions: bool = False) -> DataFrame:
+    """Read files of several formats and schemas into one DataFrame, tagged with
+    their source file, aligned by column name (missing columns are NULL).
+
+    ``positions`` adds each row's part file and place in it (``PART_COL``,
+    ``ROW_COL``), the order in which a per-file transform gets its rows."""
     parts = []
     pq = [p for e in PARQUET_EXTENSIONS for p in paths_by_ext.get(e, [])]
     csv = [p for e in CSV_EXTENSIONS for p in paths_by_ext.get(e, [])]
@@ -74,9 +111,9 @@ def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
     if unknown:
         raise ValueError(f"unsupported file extensions: {sorted(unknown)}")
     if pq:
-        parts.append(_with_source(read_parquet(spark, *pq)))
+        parts.append(_with_source(spark.read.option("mergeSchema", True).parquet(*pq), positions))
     if csv:
-        parts.append(_with_source(read_csv(spark, *csv, schema=csv_schema)))
+        parts += [_with_source(df, positions) for df in _csv_by_header(spark, csv, csv_schema)]
     if not parts:
         raise ValueError("no files to read")
     out = parts[0]
@@ -134,7 +171,7 @@ def append_documents(df: DataFrame, path: str, id_cols: Sequence[str] | None = N
                      partition_by: Sequence[str] | None = None, fmt: str = "json"):
     """Append schemaless documents to a collection directory.
 
-    Every document gets an ``_id``: a SHA-256 of ``id_cols`` when given
+    Every document gets an ``_id``: a SHA-256 of the JSON of ``id_cols`` when given
     (stable across retries and re-runs), else a random UUID -- in that case
     the tagged documents are checkpointed first, so a retried task cannot
     hand out different ids than the ones reported. Returns
@@ -144,7 +181,8 @@ def append_documents(df: DataFrame, path: str, id_cols: Sequence[str] | None = N
     from pyspark.sql import Observation
 
     if id_cols:
-        ident = F.sha2(F.concat_ws("\u0001", *[F.col(c).cast("string") for c in id_cols]), 256)
+        # as JSON, so that a NULL keeps its column
+        ident = F.sha2(F.to_json(F.struct(*id_cols), {"ignoreNullFields": "false"}), 256)
         tagged = df.withColumn("_id", ident)
     else:
         tagged = df.withColumn("_id", F.expr("uuid()")).checkpoint(eager=True)
@@ -184,8 +222,13 @@ def log_rows(df: DataFrame, created: datetime | None = None) -> DataFrame:
 
 
 def append_events(rows: DataFrame, log_path: str) -> None:
-    """Append event-log rows (partitioned by day for pruning)."""
-    (rows.withColumn("day", F.to_date("created_timestamp"))
+    """Append event-log rows, partitioned by day for pruning.
+
+    Rows of a day are brought together first, else every task would leave a file
+    in every day; the rebalance splits a day that is too large for one task. Rows
+    without a time stay, in the partition of the NULL day.
+    """
+    (rows.withColumn("day", F.to_date("created_timestamp")).hint("rebalance", "day")
          .write.mode("append").partitionBy("day").parquet(log_path))
 
 

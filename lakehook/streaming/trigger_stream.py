@@ -48,8 +48,9 @@ def start_dispatch_stream(
     streaming state bounded by a watermark on the event time
     (``dropDuplicatesWithinWatermark``). As with any watermark, events
     older than the latest event time minus the delay count as late and are
-    dropped, so the delay should exceed how late the log can arrive. Without
-    it, duplicates are removed within each micro-batch only.
+    dropped, so the delay should exceed how late the log can arrive. It is off
+    by default: duplicates are then removed within each micro-batch only, and a
+    repeated event rewrites the same output.
     """
     reader = spark.readStream.schema(schema)
     if path_glob:
