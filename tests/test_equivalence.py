@@ -19,10 +19,70 @@ def test_pandas_on_spark_equals_local_pandas(spark):
     pd.testing.assert_frame_equal(got, want, check_dtype=False)
 
 
-def test_per_file_routing_large_files_equals_grouped(spark):
-    small = A.per_file_transform(spark, SMOKE_DIR).orderBy("event_id").collect()
-    routed = A.per_file_transform(spark, SMOKE_DIR, max_file_rows=150).orderBy("event_id").collect()
-    assert [tuple(r) for r in small] == [tuple(r) for r in routed]
+def test_per_file_gets_pandas_in_file_order_at_any_size(spark):
+    import numpy as np
+    rows = 30_000
+    path = scratch_path(spark, "ordered")
+    (spark.range(rows).repartitionByRange(3, "id").sortWithinPartitions(F.desc("id"))
+     .select("id", F.lit("f").alias("file")).write.parquet(path))
+    df = IO.read_files(spark, {"parquet": [path]}, positions=True)
+
+    def ordered(pdf):
+        assert isinstance(pdf, pd.DataFrame) and list(pdf.columns) == ["id", "source_file"]
+        return pd.DataFrame({"id": pdf["id"], "seen": np.arange(len(pdf)), "total": pdf["id"].cumsum(),
+                             "odd": np.where(pdf["id"] % 2 == 1, 1, 0)})
+
+    got = TR.per_file_transform(df, ordered, "id long, seen long, total long, odd long", "file").toPandas()
+    got = got.sort_values("seen")
+    # each part file holds its range backwards, part files stand in name order
+    want = [i for lo, hi in _ranges(path) for i in range(hi, lo - 1, -1)]
+    assert got["id"].tolist() == want and got["total"].tolist() == np.cumsum(want).tolist()
+
+
+def _ranges(path):
+    import glob
+    parts = sorted(glob.glob(f"{path.removeprefix('file:')}/part-*"))
+    return [(int(p["id"].min()), int(p["id"].max())) for p in map(pd.read_parquet, parts)]
+
+
+def test_per_file_failures_become_rows(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2)], "file string, v long")
+
+    def picky(pdf):
+        if (pdf["v"] == 2).any():
+            raise ValueError("two")
+        return pdf
+
+    rows = TR.per_file_transform(df, picky, "v long", "file", failures=True).orderBy("file").collect()
+    assert [tuple(r) for r in rows] == [("a", 1, None), ("b", None, "ValueError: two")]
+
+
+def test_csv_and_parquet_columns_bind_by_name(spark):
+    root = scratch_path(spark, "by-name")
+    spark.createDataFrame([(1, 2.5)], "id long, amount double").write.option("header", True).csv(f"{root}/a.csv")
+    spark.createDataFrame([(7.5, 2)], "amount double, id long").write.option("header", True).csv(f"{root}/b.csv")
+    for schema in (None, "id long, amount double"):
+        got = IO.read_files(spark, {"csv": [f"{root}/a.csv", f"{root}/b.csv"]}, schema).select("id", "amount")
+        assert sorted(tuple(r) for r in got.collect()) == [(1, 2.5), (2, 7.5)]
+
+
+def test_lifecycle_rule_of_another_dataset_does_not_count(spark):
+    from lakehook.operators import lifecycle as LC
+    datasets = spark.createDataFrame([("a", 1, 1, 9), ("b", 1, 2, 9)],
+                                     "dataset string, user_id long, dataset_id long, lifecycle_id long")
+    rules = spark.createDataFrame([(1, 1, 9, True), (1, 2, 9, False)],
+                                  "user_id long, dataset_id long, lifecycle_id long, rule_enabled boolean")
+    steps = spark.createDataFrame([(9, 3, "cold")], "lifecycle_id long, days_till_transition int, transition_to string")
+    assert [r["dataset"] for r in LC.due_transitions(datasets, rules, steps).collect()] == ["a"]
+
+
+def test_dense_ids_and_null_safe_document_ids(spark):
+    from lakehook.operators.ids import with_ids
+    ids = sorted(r["n"] for r in with_ids(spark.range(0, 50, numPartitions=7), {"n": 5}).collect())
+    assert ids == list(range(5, 55))
+    df = spark.createDataFrame([("a", None, "b"), ("a", "b", None)], "x string, y string, z string")
+    _, got = IO.append_documents(df, scratch_path(spark, "null-ids"), id_cols=["x", "y", "z"])
+    assert got.distinct().count() == 2
 
 
 def test_stream_equals_batch(spark):
@@ -120,8 +180,9 @@ def test_transform_output_never_retriggers(spark):
                                  "user_id long, dataset_id long, transform_id long, "
                                  "out_dataset_id long, src_file string")
     name = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit(".parquet"))
-    snap, events = D.record_outputs(work, name, "/lake/out", spark.createDataFrame([], FILES),
-                                    datetime(2024, 1, 1), 1, 100)
+    outputs = work.select("user_id", F.col("out_dataset_id").alias("dataset_id"), name.alias("name"),
+                          F.concat(F.lit("/lake/out/"), name).alias("path"))
+    snap, events = D.record_outputs(outputs, spark.createDataFrame([], FILES), datetime(2024, 1, 1), 1, 100)
     assert snap.count() == 1 and events.first()["is_transform_output"] is True
     upload = events.withColumn("log_id", F.lit(101).cast("long")) \
         .withColumn("is_transform_output", F.lit(False))
@@ -133,7 +194,7 @@ def test_transform_output_never_retriggers(spark):
     fired = [r["log_id"] for r in match_triggers(log, regs).collect()]
     assert fired == [101]
     # recording the same outputs again adds no event and keeps one catalog row
-    snap2, events2 = D.record_outputs(work, name, "/lake/out", snap, datetime(2024, 1, 2), 2, 200)
+    snap2, events2 = D.record_outputs(outputs, snap, datetime(2024, 1, 2), 2, 200)
     assert events2.count() == 0 and snap2.count() == 1
     assert snap2.first()["last_modified"] == datetime(2024, 1, 2)
 
@@ -194,13 +255,14 @@ def test_end_to_end_upload_trigger_transform(spark):
         return out[["n_regionkey", "n", "share"]]
 
     out_root = f"{root}/outputs"
-    D.dispatch_files(spark, matched, region_share, "n_regionkey int, n long, share double", out_root)
-    got = D.read_outputs(spark, out_root).collect()
-    assert {r["out_file"] for r in got} == {"nations.parquet"}
-    assert sum(r["n"] for r in got) == 25 and {r["out_dataset_id"] for r in got} == {2}
-    _, out_events = D.record_outputs(
-        D.work_items(matched, ["user_id"]).withColumn("name", F.lit("nations.parquet")),
-        F.col("name"), out_root, catalog, datetime(2024, 5, 1), 10, 10)
+    manifest = D.dispatch_files(
+        spark, matched, lambda src: ("pandas_file", region_share, "n_regionkey int, n long, share double"), out_root)
+    done = manifest.collect()
+    assert [(r["name"], r["out_dataset_id"], r["error"]) for r in done] == [("nations.parquet", 2, None)]
+    got = spark.read.parquet(done[0]["path"]).collect()
+    assert sum(r["n"] for r in got) == 25 and done[0]["n_rows"] == len(got)
+    outputs = manifest.select("user_id", F.col("out_dataset_id").alias("dataset_id"), "name", "path")
+    _, out_events = D.record_outputs(outputs, catalog, datetime(2024, 5, 1), 10, 10)
     assert out_events.count() == 1 and match_triggers(out_events, regs).count() == 0
 
 
@@ -272,19 +334,23 @@ def test_run_batch_twice_dispatches_once(spark):
         out["r_name"] = out["r_name"].str.upper()
         return out[["r_regionkey", "r_name"]]
 
+    def resolve(src_file):
+        return "pandas_file", upper, "r_regionkey int, r_name string"
+
     out_root = f"{root}/out"
-    s1 = D.run_batch(spark, log, regs, files, upper, "r_regionkey int, r_name string", out_root,
+    s1 = D.run_batch(spark, log, regs, files, resolve, out_root,
                      f"{root}/log1", f"{root}/files1", datetime(2024, 5, 2), 1)
     assert s1["dispatched"] == 1 and s1["outputs"] == 1
     log1, files1 = spark.read.parquet(f"{root}/log1"), spark.read.parquet(f"{root}/files1")
     assert files1.count() == 2
     # transform 6 listens on dataset 2, where the output landed: it must not fire
-    s2 = D.run_batch(spark, log1, regs, files1, upper, "r_regionkey int, r_name string", out_root,
+    s2 = D.run_batch(spark, log1, regs, files1, resolve, out_root,
                      f"{root}/log2", f"{root}/files2", datetime(2024, 5, 3), 2)
     assert s2["dispatched"] == 0
-    outs = D.read_outputs(spark, out_root).collect()
+    made = files1.where("dataset_id = 2").first()
+    outs = IO.scan_catalog_file(spark, files1, 1, 2, made["file_id"]).collect()
     assert sorted(r["r_name"] for r in outs) == ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    assert {r["out_file"] for r in outs} == {"regions.parquet"}
+    assert made["name"] == "regions.parquet"
 
 
 def test_stream_drops_events_delivered_twice(spark):

@@ -375,24 +375,6 @@ def test_has_row_single_key_existence(spark):
     assert not L.has_row(df, F.col("name") == "zed")
 
 
-def test_broadcast_only_behind_a_size_check(spark):
-    from lakehook.operators.joins import broadcast_if_small, has_at_most
-    big = spark.range(0, 1000).withColumnRenamed("id", "k")
-    small = spark.range(0, 10).withColumnRenamed("id", "k")
-    assert has_at_most(small, 10) and not has_at_most(small, 9)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")   # no automatic broadcast
-    try:
-        hinted = big.join(broadcast_if_small(small, max_rows=100), "k")
-        plain = big.join(broadcast_if_small(small, max_rows=5), "k")
-        hinted_plan = hinted._jdf.queryExecution().executedPlan().toString()
-        plain_plan = plain._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in hinted_plan
-        assert "BroadcastHashJoin" not in plain_plan
-        assert hinted.count() == plain.count() == 10
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-
-
 def test_exclude_list_and_first_per_key_nulls_first(spark):
     df = spark.createDataFrame([("a", 1), ("b", None), ("c", 3)], "name string, t int")
     assert [r[0] for r in P.exclude(df, "name", ["b"]).orderBy("name").collect()] == ["a", "c"]
