@@ -87,7 +87,7 @@ def canonical(text: Column) -> Column:
     out = F.regexp_replace(F.lower(text), COPYRIGHT, "")
     for variant, standard in SPELLINGS:
         out = F.replace(out, F.lit(variant), F.lit(standard))
-    return F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "), r" *\n+ *", "\n")
+    return F.regexp_replace(F.regexp_replace(out, r"[^\p{L}\p{N}\n]+", " "), r" *\n[ \n]*", "\n")
 
 
 def one_line(canon: Column) -> Column:
@@ -127,7 +127,7 @@ def _sql_canonical(text: str) -> str:
     out = f"regexp_replace(lower({text}), '{COPYRIGHT}', '', 'g')"
     for variant, standard in SPELLINGS:
         out = f"replace({out}, '{variant}', '{standard}')"
-    return rf"regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' *\n+ *', chr(10), 'g')"
+    return rf"regexp_replace(regexp_replace({out}, '[^\p{{L}}\p{{N}}\n]+', ' ', 'g'), ' *\n[ \n]*', chr(10), 'g')"
 
 
 def _oracle() -> str:

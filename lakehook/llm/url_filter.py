@@ -38,7 +38,7 @@ FIXED_RULES = [
 ]
 BAD = "label:bad"
 SUPPORT = 0.002
-CONFIDENCE = 0.5
+CONFIDENCE = 0.7
 RULES = 10_000
 # Upper-case ASCII alone is lowered.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
