@@ -66,6 +66,22 @@ def dispatchable(registrations: DataFrame) -> DataFrame:
     return registrations.filter(F.col("enabled") & (F.col("out_action") == F.lit(DISPATCH_ACTION)))
 
 
+def ranked_table(ranked: DataFrame) -> DataFrame:
+    """``ranked`` (registrations, registered datasets) as a stored table.
+
+    A derived side has no known size before it runs, so the planner would
+    shuffle the event log first and find out later that a broadcast would do.
+    Written to the shared scratch folder (a catalog-sized table, rewritten
+    whenever registrations change), its size in bytes is known: small, it is
+    broadcast and the log is never shuffled; large, it is joined by key.
+    """
+    from lakehook.session import scratch_path
+
+    path = scratch_path(ranked.sparkSession, "ranked")
+    ranked.write.parquet(path)
+    return ranked.sparkSession.read.schema(ranked.schema).parquet(path)
+
+
 def _key_condition(log: DataFrame, regs: DataFrame) -> Column:
     cond = None
     for left, right in TRIGGER_KEY:
@@ -83,9 +99,9 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
     every enabled POST registration of the key.
 
     Returns the event columns plus the registration payload. The join is an
-    inner equi-join on the trigger key; the planner (with AQE) broadcasts the
-    registration side when it is measured small and splits skewed keys
-    otherwise.
+    inner equi-join on the trigger key with the ranked registrations as a
+    stored table (:func:`ranked_table`): the planner broadcasts it when its
+    bytes are few, and AQE splits skewed keys otherwise.
 
     ``salt_buckets > 0`` salts the join explicitly (for clusters running
     without AQE skew handling): every event gets a bucket from a hash of its
@@ -95,7 +111,7 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
     result is identical.
     """
     if policy == "first":
-        regs = dispatchable(first_registration_per_key(transforms))
+        regs = ranked_table(dispatchable(first_registration_per_key(transforms)))
     elif policy == "all":
         keep = [r for _, r in TRIGGER_KEY] + [c for c in MATCH_PAYLOAD if c in transforms.columns]
         regs = dispatchable(transforms.select(*dict.fromkeys(keep)))
@@ -134,7 +150,7 @@ def match_report(log: DataFrame, transforms: DataFrame) -> DataFrame:
     One left join of the events with the ranked registration side, so the
     report costs the same as the match itself.
     """
-    regs = first_registration_per_key(transforms)
+    regs = ranked_table(first_registration_per_key(transforms))
     events = pending(log)
     if "object_details" not in events.columns:
         events = events.withColumn("object_details", F.lit("{}"))
@@ -151,7 +167,7 @@ def gate(log: DataFrame, transforms: DataFrame) -> DataFrame:
     """Events on a dataset that has at least one registration (any user),
     excluding transform output. A semi join against the distinct registered
     datasets."""
-    registered = transforms.select(F.col("in_dataset_id").alias("__ds")).distinct()
+    registered = ranked_table(transforms.select(F.col("in_dataset_id").alias("__ds")).distinct())
     gated = log.join(registered, log["dataset_id"] == registered["__ds"], "left_semi")
     return gated.filter(~F.coalesce(F.col("is_transform_output"), F.lit(False)))
 

@@ -13,9 +13,18 @@ def _plan(df) -> str:
 
 
 def test_flagship_ranks_registrations_not_events(spark):
-    plan = _plan(QUERIES["trigger_match"](spark, SMOKE_DIR))
-    assert "Window" not in plan and "row_number" not in plan
-    assert "min(struct(" in plan
+    from lakehook.operators.match import first_registration_per_key
+    from lakehook.plans import lake
+    ev = spark.read.parquet(f"{SMOKE_DIR}/events.parquet")
+    ranked = _plan(first_registration_per_key(lake.registrations(lake.event_log(ev))))
+    assert "row_number" not in ranked and "min(struct(" in ranked
+
+
+@pytest.mark.parametrize("name", ["trigger_match", "trigger_gate", "trigger_report"])
+def test_the_event_log_is_not_shuffled(spark, name):
+    # before adaptive execution: the small side's stored size alone decides
+    plan = _plan(QUERIES[name](spark, SMOKE_DIR))
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and "Window" not in plan
 
 
 def test_first_per_key_is_an_aggregate(spark):
@@ -48,7 +57,7 @@ def test_d06_uses_no_null_aware_anti_join(spark):
 
 
 @pytest.mark.parametrize("name", sorted(n for n in QUERIES if not n.startswith(
-    ("dispatch", "lake_flow", "per_file", "ingest", "scan_csv", "scan_dataset", "catalog_scan",
+    ("op", "pipeline", "run_batch", "empty_rerun", "scan_by_name", "dispatch", "lake_flow", "per_file", "ingest", "scan_csv", "scan_dataset", "catalog_scan",
      "sink_", "append_", "python_", "register_", "update_tags", "mark_processed"))))
 def test_no_row_udfs_or_cartesian_joins(spark, name):
     plan = _plan(QUERIES[name](spark, SMOKE_DIR))
