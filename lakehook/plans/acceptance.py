@@ -910,6 +910,62 @@ def dispatch_record(spark, sf_dir):
                          S.json_field("object_details", "$.name").alias("object_name"),
                          "is_transform_output")
 
+def _order_datasets(spark, sf_dir):
+    """Every customer's orders as datasets (one per customer) and files (one per order)."""
+    cust = table(spark, sf_dir, "customer")
+    none = F.lit(None)
+    datasets = cust.select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_custkey") + 1000000).alias("dataset_id"),
+        F.col("c_name").alias("name"), S.resource_name("c_name").alias("resource_name"),
+        F.array(F.col("c_mktsegment")).alias("tags"), none.cast("long").alias("lifecycle_id"))
+    files = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("user_id"), (F.col("o_custkey") + 1000000).alias("dataset_id"),
+        F.col("o_orderkey").alias("file_id"), F.concat(F.lit("/lake/"), F.col("o_orderkey").cast("string")).alias("path"))
+    return cust, datasets, files
+
+
+def update_datasets(spark, sf_dir):
+    """Catalog action: customers of nation 3 retag their datasets; a NULL keeps the tags."""
+    from datetime import datetime
+
+    from lakehook.operators import catalog as C
+
+    cust, datasets, _ = _order_datasets(spark, sf_dir)
+    patches = cust.where("c_nationkey = 3").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_custkey") + 1000000).alias("dataset_id"),
+        F.when(F.col("c_acctbal") > 0, F.array(F.lit("x"), F.lit("y"))).alias("tags"))
+    snap, events = C.update_datasets(datasets, patches, datetime(2024, 3, 1), 1)
+    put = events.select("user_id", "dataset_id", F.lit(True).alias("put"))
+    return snap.join(put, ["user_id", "dataset_id"], "left").select(
+        "user_id", "dataset_id", F.array_join("tags", "|").alias("tags"), F.coalesce("put", F.lit(False)).alias("put"))
+
+
+def delete_datasets(spark, sf_dir):
+    """Catalog action: datasets of nation 3 are deleted with their files; a request
+    by another user than the owner does nothing. Returns the files left."""
+    from datetime import datetime
+
+    from lakehook.operators import catalog as C
+
+    cust, datasets, files = _order_datasets(spark, sf_dir)
+    mine = cust.where("c_nationkey = 3").select(
+        F.col("c_custkey").alias("user_id"), (F.col("c_custkey") + 1000000).alias("dataset_id"))
+    foreign = cust.where("c_nationkey = 4").select(
+        (F.col("c_custkey") + 1).alias("user_id"), (F.col("c_custkey") + 1000000).alias("dataset_id"))
+    _, left, _ = C.delete_datasets(datasets, files, mine.unionByName(foreign), datetime(2024, 3, 1), 1)
+    return left.select("user_id", "file_id")
+
+
+def delete_files(spark, sf_dir):
+    """Catalog action: files of urgent orders are deleted by (user, dataset, path)."""
+    from lakehook.operators import catalog as C
+
+    _, _, files = _order_datasets(spark, sf_dir)
+    urgent = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey")
+    doomed = files.join(urgent, F.col("file_id") == F.col("o_orderkey"), "left_semi")
+    return C.delete_files(files, doomed).select("user_id", "file_id")
+
+
 def match_all(spark, sf_dir):
     """J2 with every enabled POST registration of a key firing."""
     log = _log(spark, sf_dir)
@@ -929,6 +985,9 @@ QUERIES.update({
     "run_batch": run_batch,
     "dispatch_failures": dispatch_failures,
     "empty_rerun": empty_rerun,
+    "update_datasets": update_datasets,
+    "delete_datasets": delete_datasets,
+    "delete_files": delete_files,
     "match_all": match_all,
     "match_salted": match_salted,
     "python_transform": python_transform,

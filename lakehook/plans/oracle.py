@@ -602,3 +602,16 @@ FROM orders"""
 ORACLES["sql_transform_d12_approx"] = """
 SELECT l_returnflag, count(DISTINCT l_partkey) AS parts, count(*) AS n, true AS parts_near, true AS median_near
 FROM lineitem GROUP BY l_returnflag"""
+
+ORACLES["update_datasets"] = """
+SELECT c_custkey AS user_id, c_custkey + 1000000 AS dataset_id,
+       CASE WHEN c_nationkey = 3 AND c_acctbal > 0 THEN 'x|y' ELSE c_mktsegment END AS tags,
+       c_nationkey = 3 AS put
+FROM customer"""
+
+ORACLES["delete_datasets"] = """
+SELECT o_custkey AS user_id, o_orderkey AS file_id FROM orders
+WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"""
+
+ORACLES["delete_files"] = """
+SELECT o_custkey AS user_id, o_orderkey AS file_id FROM orders WHERE o_orderpriority <> '1-URGENT'"""
