@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import site
+import tempfile
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import lakehook
-from lakehook.session import scratch_path, ship_package
+from lakehook.session import scratch_path
 
 # Fixed value: the white space of the contracts, [\x20\x09-\x0D].
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -31,15 +33,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare_workers(spark: SparkSession) -> None:
-    """Let Python workers use this package: as installed or shipped, else by value.
-
-    Imported by reference, a module's caches outlive a task in its worker.
-    """
+    """Let Python workers import this package: as installed there, else shipped
+    once per application as a zip, as ``--py-files`` would do. Imported by
+    reference, a module's caches outlive a task in its worker."""
+    sc = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.abspath(lakehook.__file__)))
-    seen = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), os.getcwd(), *site.getsitepackages()]
-    shipped = root.endswith(".zip") or spark.sparkContext.getConf().get("spark.submit.pyFiles", "")
-    if not shipped and os.path.realpath(root) not in {os.path.realpath(p) for p in seen if p}:
-        ship_package()
+    seen = [*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()]
+    if sc.master.split("[")[0] == "local":
+        seen.append(os.getcwd())
+    if (root.endswith(".zip") or sc.getConf().get("spark.submit.pyFiles", "") or sc.applicationId in _SHIPPED
+            or os.path.realpath(root) in {os.path.realpath(p) for p in seen if p}):
+        return
+    _SHIPPED.add(sc.applicationId)
+    # on the driver alone: Spark hands the file out to the executors
+    name = os.path.join(tempfile.mkdtemp(prefix="lakehook-ship-"), "lakehook.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "lakehook")):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, root))
+    sc.addPyFile(name)
+
+
+_SHIPPED: set[str] = set()
 
 
 class Remembered(dict):
