@@ -10,8 +10,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,10 +105,8 @@ def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType
     order = list(order_by) or [c for c in (PART_COL, ROW_COL) if c in df.columns]
     hidden = keys + [c for c in (PART_COL, ROW_COL) if c in df.columns]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run_file(pdf: pd.DataFrame) -> pd.DataFrame:
         ident = {k: pdf[k].iloc[0] for k in keys}
-        if order:
-            pdf = pdf.sort_values(order, kind="stable", na_position="first")
         try:
             res = process_df(pdf.drop(columns=hidden).reset_index(drop=True)).reset_index(drop=True)
             if failures:
@@ -124,9 +123,33 @@ def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType
                 res[n] = pd.Series([None] * len(res), dtype=object)
         return res[names]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []   # the file that the last batch left open
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            seam = pd.concat([held[-1].tail(1), pdf]) if held else pdf
+            fresh = np.zeros(len(seam), bool)
+            for k in keys:
+                one, two = seam[k].iloc[:-1].to_numpy(), seam[k].iloc[1:].to_numpy()
+                fresh[1:] |= (one != two) & ~(pd.isna(one) & pd.isna(two))
+            starts = np.flatnonzero(fresh[1:] if held else fresh)
+            at = 0
+            for to in [*starts.tolist(), len(pdf)]:
+                if to > at:
+                    held.append(pdf.iloc[at:to])
+                if to < len(pdf) and held:   # another file begins here
+                    yield run_file(pd.concat(held))
+                    held = []
+                at = to
+        if held:
+            yield run_file(pd.concat(held))
+
     ship_package()
-    return df.groupBy(*keys).applyInPandas(run, T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in fields]))
+    # files one after another in each task, in order: no call and no group per file,
+    # and memory for one file and one batch, however many files there are
+    return (df.repartition(*keys).sortWithinPartitions(*keys, *order)
+            .mapInPandas(run, T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])))
 
 
 def native_transform(df: DataFrame, fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
