@@ -7,13 +7,15 @@ extension, scheme) and, for pages whose document is labelled bad, the item
 ``BAD`` are one transaction; FP-growth finds the token combinations that occur
 with BAD. A rule is kept with at least ``CONFIDENCE`` and a support of
 ``SUPPORT`` of the transactions, when no kept rule over a part of its tokens is
-as confident; at most ``RULES`` rules, the bound of the broadcast table, ordered
-by confidence, support and tokens. Rules match by an inverted index: a url's
-tokens are joined with the rules' tokens, and a rule whose tokens are all found
-blocks the url.
+as confident; neither rules nor their tokens are limited in number. Rules match
+by an inverted index: a url's tokens are joined with the rules' rarest tokens,
+and a rule whose tokens are all found blocks the url.
 
 Numbers (runs of digits) are one token, so vocabularies and urls' token sets are
-small; FP-growth's tables are Spark's own shuffled groups.
+small; FP-growth's tables are Spark's own shuffled groups. Tokens that stand in
+too few bad pages are left out of them, and tokens of the very same pages are one
+item there: a set with two of them is never a kept rule, since a part of it is as
+confident. The kept rules get each of an item's tokens in turn.
 
 Defined results: a null url, or one without ``://``, has an empty host and path,
 no rule, and is judged on no tokens, so it is allowed. Repeated rows repeat.
@@ -39,7 +41,6 @@ FIXED_RULES = [
 BAD = "label:bad"
 SUPPORT = 0.002
 CONFIDENCE = 0.7
-RULES = 10_000
 # Upper-case ASCII alone is lowered.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -93,48 +94,78 @@ def describe(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFr
 
 
 def mine(described: DataFrame, labels: DataFrame) -> DataFrame:
-    """(rule id, tokens, confidence, support): pruned rules for BAD.
+    """(tokens, confidence, support, lead, rule id): pruned rules for BAD; lead is the rarest token.
 
     A page is labelled by the document whose number its url ends in.
     """
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     known = described.where(F.size("tokens") > 0).join(marks, F.col("number") == F.col("doc_id"))
-    baskets = materialise(known.select(
-        F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items")),
-        "url-baskets")
+    known = materialise(known.select("tokens", "bad", F.monotonically_increasing_id().alias("row")), "url-known")
+    held = known.select("row", "bad", F.explode("tokens").alias("token"))
+    least = SUPPORT * known.count()
+    # tokens of the same pages, by count and 128 bits of their numbers, are one item: its least token
+    alike = [F.bit_xor(F.xxhash64("row", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
+    counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("both"), *alike)
+    kinds = materialise(counts.where(F.col("both") >= least).groupBy("n", "mark1", "mark2").agg(
+        F.min("token").alias("item"), F.collect_list("token").alias("members")).select("item", "n", "members"), "url-kinds")
+    items = (held.join(kinds.select(F.col("item").alias("token")), "token", "left_semi")
+             .groupBy("row").agg(F.collect_list("token").alias("items")))
+    every = F.coalesce("items", F.array().cast("array<string>"))
+    baskets = materialise(known.select("row", "bad").join(items, "row", "left").select(
+        F.when(F.col("bad") == 1, F.concat(every, F.array(F.lit(BAD)))).otherwise(every).alias("items")), "url-baskets")
     model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(baskets)
-    sets = materialise(model.freqItemsets.where(F.size("items") <= 4).select(
-        F.array_sort("items").alias("items"), "freq"), "url-itemsets")
+    sets = materialise(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
     bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(
         F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("both"))
     whole = sets.select(F.col("items").alias("tokens"), "freq")
-    rules = (bad.join(whole, "tokens").withColumn("confidence", F.col("both") / F.col("freq"))
-             .where(F.col("confidence") >= CONFIDENCE))
-    rules = (rules.orderBy(F.desc("confidence"), F.desc("both"), F.size("tokens"), "tokens").limit(RULES)
-             .select("tokens", "confidence", F.col("both").alias("support")))
-    rules = materialise(rules, "url-rules")
-    # a rule falls when another over a part of its tokens is as confident
-    less = F.broadcast(rules.select(F.col("tokens").alias("part"), F.col("confidence").alias("as_sure"),
-                                    F.col("tokens")[0].alias("lead")))
-    led = rules.withColumn("lead", F.explode("tokens"))
-    weaker = (led.join(less, "lead").where((F.size("part") < F.size("tokens")) & (F.col("as_sure") >= F.col("confidence"))
-                                           & (F.size(F.array_except("part", "tokens")) == 0))
-              .select("tokens").distinct())
-    return rules.join(weaker, "tokens", "left_anti").withColumn("rule_id", F.xxhash64("tokens"))
+    sure = materialise(bad.join(whole, "tokens").select(
+        "tokens", F.col("both").alias("support"), (F.col("both") / F.col("freq")).alias("confidence")), "url-rules")
+    rules = materialise(minimal(sure), "url-minimal")
+    # every choice of one token of each item, the rarest item's first
+    choices = (rules.select("tokens", F.explode("tokens").alias("item")).join(kinds, "item").groupBy("tokens")
+               .agg(F.array_sort(F.collect_list(F.struct("n", "members"))).alias("choices")))
+    spread = F.aggregate(
+        F.col("choices.members"), F.array(F.array()).cast("array<array<string>>"),
+        lambda done, more: F.flatten(F.transform(done, lambda d: F.transform(more, lambda x: F.concat(d, F.array(x))))))
+    return (rules.join(choices, "tokens").select(F.explode(spread).alias("chosen"), "confidence", "support")
+            .select(F.array_sort("chosen").alias("tokens"), "confidence", "support", F.col("chosen")[0].alias("lead"))
+            .withColumn("rule_id", F.xxhash64("tokens")))
+
+
+def minimal(sure: DataFrame) -> DataFrame:
+    """The rules of (tokens, support, confidence) of at least CONFIDENCE that no part of their tokens is as sure as.
+
+    By size: what is known of a set is the greatest confidence of its parts, which
+    the sets of one token less carry, so a set meets just those and no list of rules.
+    """
+    longest = sure.where(F.col("confidence") >= CONFIDENCE).agg(F.max(F.size("tokens"))).first()[0] or 0
+    kept, last = sure.limit(0), None
+    for n in range(1, longest + 1):
+        level = sure.where(F.size("tokens") == n)
+        if last is None:
+            level = level.withColumn("below", F.lit(0.0))
+        else:
+            parts = level.select("tokens", F.explode(F.transform("tokens", lambda x: F.array_remove("tokens", x))).alias("part"))
+            below = (parts.join(last.select(F.col("tokens").alias("part"), F.greatest("confidence", "below").alias("below")), "part")
+                     .groupBy("tokens").agg(F.max("below").alias("below")))
+            level = level.join(below, "tokens")
+        last = materialise(level, f"url-level{n}")
+        kept = kept.union(last.where((F.col("confidence") >= CONFIDENCE) & (F.col("below") < F.col("confidence")))
+                          .select(kept.columns))
+    return kept
 
 
 def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: key, host, path, rule, verdict, and the mined rule's confidence."""
     described = describe(pages, key, url)
     rules = materialise(mine(described, labels), "url-pruned")
-    index = F.broadcast(rules.select("rule_id", F.size("tokens").alias("need"), "confidence",
-                                     F.explode("tokens").alias("token")))
+    index = rules.select("lead", F.col("tokens").alias("need"), "confidence")
     # one row per set of tokens, far fewer than urls
-    sets = described.select("tokens").distinct().withColumn("set", F.xxhash64("tokens"))
-    hits = (sets.select("set", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-            .groupBy("set", "tokens", "rule_id", "need", "confidence").agg(F.count(F.lit(1)).alias("n"))
-            .where("n = need").groupBy("tokens").agg(F.max("confidence").alias("confidence")))
+    sets = described.select("tokens").distinct()
+    hits = (sets.select("tokens", F.explode("tokens").alias("lead")).join(index, "lead")
+            .where(F.size(F.array_except("need", "tokens")) == 0)
+            .groupBy("tokens").agg(F.max("confidence").alias("confidence")))
     fit = described.withColumn("fixed", fixed(F.col("host"), F.col("path"))).join(hits, "tokens", "left")
     return fit.select(
         key, "host", "path", F.col("fixed.rule").alias("rule"),

@@ -114,6 +114,33 @@ def test_mined_url_rules_match_brute_force(spark):
         assert (verdicts[k] == "block") == ("spam-farm" in url or "cheap" in url and "bets" in url)
 
 
+def test_every_bad_host_keeps_its_url_rule(spark):
+    # one rule a host and name; what else is mined of a host is as confident as these
+    hosts = [f"bad{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(200)]
+    rows = [f"https://{h}.example.com/en/{w}.html" for h in hosts for w in ("news", "bets")]
+    rows += [f"https://good{k}.example.com/en/{w}.html" for k in range(100) for w in ("news", "bets")]
+    rows = [(k, f"{u[:-5]}/{k}") for k, u in enumerate(rows)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(k, int("//bad" not in u), 0) for k, u in rows], "doc_id long, quality int, toxic int")
+    rules = {tuple(r["tokens"]) for r in url_filter.mine(url_filter.describe(pages), labels).collect()}
+    assert {(f"{kind}:{h}",) for h in hosts for kind in ("host3", "name")} <= rules
+    assert not any(len(r) > 1 and any("bad" in x for x in r) for r in rules)
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).collect()}
+    assert all(verdicts[k] == "block" for k, u in rows if "//bad" in u)
+
+
+def test_url_rules_of_many_tokens(spark):
+    # bad are only pages with all four words, any three of which good pages have too
+    words = ["aa", "bb", "cc", "dd"]
+    rows = [("/".join(words), 0)] * 30 + [("/".join(w for w in words if w != x), 1) for x in words for _ in range(30)]
+    pages = spark.createDataFrame([(k, f"http://h.example.org/{w}/{k}") for k, (w, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, q, 0) for k, (_, q) in enumerate(rows)], "doc_id long, quality int, toxic int")
+    rules = [r["tokens"] for r in url_filter.mine(url_filter.describe(pages), labels).collect()]
+    assert rules == [[f"path:{w}" for w in words]]
+    verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).collect()}
+    assert all((verdicts[k] == "block") == (q == 0) for k, (_, q) in enumerate(rows))
+
+
 def test_warc_audit_finds_just_the_faults(spark):
     rng = random.Random(7)
     pages = spark.createDataFrame([(k, f"http://h/{k}", prose(rng, rng.randint(0, 400))) for k in range(2500)]
