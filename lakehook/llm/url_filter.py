@@ -41,6 +41,8 @@ FIXED_RULES = [
 BAD = "label:bad"
 SUPPORT = 0.002
 CONFIDENCE = 0.7
+# Longer path words, query keys and schemes stand as their hash.
+LONG_WORD = 64
 # Upper-case ASCII alone is lowered.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -67,6 +69,11 @@ def fixed(host: Column, path: Column) -> Column:
     return out
 
 
+def whole(word: Column) -> Column:
+    """The word, or the hash of all of a long one; neither words nor keys have a ``#`` of their own."""
+    return F.when(F.length(word) <= LONG_WORD, word).otherwise(F.concat(F.lit("#"), F.sha2(word.cast("binary"), 256)))
+
+
 def tokens(url: Column, host: Column, path: Column, tail: Column) -> Column:
     """Distinct tokens of a url."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
@@ -75,10 +82,10 @@ def tokens(url: Column, host: Column, path: Column, tail: Column) -> Column:
     suffix = F.concat(F.lit("site:"), F.array_join(F.slice(labels, F.greatest(n - 1, F.lit(1)), 2), "."))
     hyphens = F.transform(F.filter(F.split(host, r"[.\-]"), lambda x: x != ""), lambda x: F.concat(F.lit("name:"), x))
     words = F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "0"), r"[/.\-_]"), lambda x: x != "")
-    words = F.transform(words, lambda x: F.concat(F.lit("path:"), F.substring(x, 1, 64)))
+    words = F.transform(words, lambda x: F.concat(F.lit("path:"), whole(x)))
     keys = F.transform(F.expr("regexp_extract_all(t, '[?&]([^=&#]+)', 1)"),
-                       lambda x: F.concat(F.lit("key:"), F.substring(x, 1, 64)))
-    scheme = F.array(F.concat(F.lit("scheme:"), F.lower(F.substring_index(F.substring(url, 1, 16), ":", 1))))
+                       lambda x: F.concat(F.lit("key:"), whole(x)))
+    scheme = F.array(F.concat(F.lit("scheme:"), whole(F.lower(F.substring_index(url, ":", 1)))))
     every = F.array_distinct(F.concat(levels, F.array(suffix), hyphens, words, keys, scheme))
     return F.when(F.length(host) > 0, every).otherwise(F.array().cast("array<string>"))
 

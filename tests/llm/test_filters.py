@@ -129,6 +129,15 @@ def test_every_bad_host_keeps_its_url_rule(spark):
     assert all(verdicts[k] == "block" for k, u in rows if "//bad" in u)
 
 
+def test_long_url_words_are_told_apart(spark):
+    long = "w" * 64
+    urls = [f"http://h/{long}a", f"http://h/{long}b", f"http://h/?{long}a=1", f"http://h/?{long}b=1", f"http://h/{long}",
+            f"{'s' * 16}a://h/", f"{'s' * 16}b://h/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = [tuple(sorted(r["tokens"])) for r in url_filter.describe(pages).collect()]
+    assert len(set(rows)) == len(urls) and any(f"path:{long}" in r for r in rows)
+
+
 def test_url_rules_of_many_tokens(spark):
     # bad are only pages with all four words, any three of which good pages have too
     words = ["aa", "bb", "cc", "dd"]
