@@ -557,10 +557,18 @@ def _texts_of(rows: DataFrame, first: DataFrame, words: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the documents that link, directly or not, to one of a smaller key."""
-    groups = near_groups(docs, key, text)
-    lose = groups.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("lost_key")).distinct()
-    return docs.join(lose, docs[key] == F.col("lost_key"), "left_anti")
+    """One row of ``docs`` of each group that links, directly or not: the first by
+    key, nulls last, then by place. Rows, not keys, are decided on, so null and
+    repeated keys change no other row; rows without shingles stay."""
+    columns = list(docs.columns)
+    # written with their numbers, which a task that runs again must not change
+    rows = materialise(docs.select(
+        F.struct("*").alias("doc"), F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"),
+                                             F.monotonically_increasing_id().alias("row")).alias("place")), "jaccard-rows")
+    groups = near_groups(rows.select("place", F.col("doc").getField(text).alias("text")), "place", "text")
+    lose = groups.where(F.col("place.row") != F.col("component_id.row")).select("place.row")
+    return (rows.join(lose, F.col("place.row") == F.col("row"), "left_anti")
+            .select([F.col("doc").getField(c).alias(c) for c in columns]))
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -142,6 +142,22 @@ def test_jaccard_of_awkward_rows(spark):
     assert jaccard_join.near_groups(docs.limit(0)).count() == 0
 
 
+def test_one_row_stays_of_near_copies_with_null_and_repeated_ids(spark):
+    rng = random.Random(8)
+    base = [prose(rng, 80).split() for _ in range(4)]
+    near = [[" ".join(w), " ".join(w[:-1] + ["other"]), " ".join(["other"] + w[1:])] for w in base]
+    rows = [(None, near[0][0]), (None, near[0][1]), (None, near[0][2]),          # null ids only
+            (None, near[1][0]), (7, near[1][1]), (None, near[1][2]),              # one id: it stays
+            (3, near[2][0]), (3, near[2][1]), (9, near[2][2]),                    # the smallest id twice
+            (2, near[3][0]), (5, near[3][1]),                                     # 5 loses here
+            (5, prose(rng, 60)), (None, prose(rng, 60)),                          # and stands elsewhere
+            (5, ""), (5, None), (None, " "), (None, None)]                        # without shingles
+    docs = spark.createDataFrame([(i, t, n, 0) for n, (i, t) in enumerate(rows)], "doc_id long, text string, row int, place int").coalesce(1)
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["row"] for r in kept.collect()) == [0, 4, 6, 9, 11, 12, 13, 14, 15, 16]
+
+
 def brute_vectors(rows):
     links = []
     for (i, p, x), (j, q, y) in combinations(rows, 2):
