@@ -67,6 +67,8 @@ CLOSED_BY = {
     "tr": frozenset(["tr", "tbody", "tfoot"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
     "option": frozenset(["option"]),
 }
+# Elements that may stand in a head; any other, or text, closes an open one.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 # Attribute tokens by what they tell; a node's feature is whether it or an ancestor has one.
 SIGNS = {
     "menu": "nav navigation navbar menu menubar breadcrumb breadcrumbs toc pagination pager tabs sitemap skip".split(),
@@ -154,10 +156,18 @@ def parse(page: str) -> tuple[Node, list[str], list[Node]]:
         skip -= node.tag in SKIPPED or node.hidden
         stack.pop()
 
+    def close_head() -> None:
+        nonlocal in_link
+        while any(n.tag == "head" for n in stack):
+            in_link -= stack[-1].tag == "a"
+            pop()
+
     at, in_link = 0, 0
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
+        if skip and stack[-1].tag == "head" and not page[at:end].isspace() and end > at:
+            close_head()
         if end > at and not skip:
             buffer.append(page[at:end])
             if in_link:
@@ -185,6 +195,8 @@ def parse(page: str) -> tuple[Node, list[str], list[Node]]:
                 if tag in INLINE and stack[k].tag not in INLINE:
                     break           # a stray end of an inline element
             continue
+        if skip and tag not in IN_HEAD:
+            close_head()
         while len(stack) > 1:
             top = next((n for n in reversed(stack) if n.tag not in INLINE), root)
             if top.tag in CLOSED_BY and tag in CLOSED_BY[top.tag]:

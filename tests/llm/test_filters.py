@@ -213,6 +213,22 @@ def test_extraction_of_planted_pages(spark):
     assert inside > 0.9 * len(whole)
 
 
+def test_extraction_of_pages_that_omit_the_end_of_head(spark):
+    texts = lambda html: html_extract.parse(html)[1]
+    for head in ("<head><title>no</title>", "<head><meta charset=utf-8><style>no</style><script>no</script>\n",
+                 "<head hidden><title>no</title><noscript>no</noscript>", "<head><noframes>no"):
+        for body in ("<body><p>One</p><p>Two</p></body></html>", "<p>One</p><p>Two", "<body hidden=no>"):
+            want = [] if "hidden" in body else ["One", "Two"]
+            assert texts(f"<html>{head}{body}") == want
+            assert texts(f"<html>{head}</head>{body}") == want
+    assert texts("<head><title>no</title>One<p>Two") == ["One", "Two"]
+    assert texts("<head></head><body><p>One<head><p>Two") == ["One", "Two"]
+    pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
+    model = html_extract.train(pages, docs, 120)
+    html = f"<html><head><title>T</title><body><nav><a href=/>Home</a></nav><article>{ARTICLE}</article></body></html>"
+    assert html_extract.main_text(html, model) == TEXT
+
+
 def test_decoding_never_contradicts_itself():
     rng = np.random.default_rng(1)
     for _ in range(50):
