@@ -44,6 +44,10 @@ SHORT_WORD = 48
 SLICE_ROWS = 1024
 # Blanks for str.split() that are no white space for the vocabulary's patterns.
 _CONTROL_BLANKS = regex.compile("[\x1c-\x1f]")
+# Characters outside the Latin and punctuation blocks. Unicode tables of different
+# libraries differ in what is a letter or a capital there, so the tokenizer file's
+# own library normalises and splits the pieces that hold one.
+_RARE = regex.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 
 
 def byte_alphabet() -> list[str]:
@@ -58,8 +62,12 @@ class WordBpe:
     """Encoder and decoder of a word-end BPE vocabulary file (NFC, lower case, no blanks)."""
 
     def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        library = Tokenizer.from_file(path)
+        self.library_normal, self.library_split = library.normalizer, library.pre_tokenizer
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.end: str = model["end_of_word_suffix"] or ""
@@ -309,19 +317,27 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return text.lower()
 
+    def _cut(self, piece: str) -> list[str]:
+        """The words of a piece without blanks."""
+        if not piece.isascii() and _RARE.search(piece):
+            piece = self.library_normal.normalize_str(piece)
+            return [piece[a:b] for _, (a, b) in self.library_split.pre_tokenize_str(piece)]
+        return self.words.findall(self.normalise(piece))
+
     def _learn(self, pieces: set[str]) -> None:
         """Remember the ids of pieces without blanks; a special token's begins with one."""
         fresh = self.pieces.unknown(pieces)
         special = {p: self.specials[p[1:]] for p in fresh if p[0] == " "}
         fresh = [p for p in fresh if p not in special]
-        cut = {p: self.words.findall(p) for p in fresh if not p.isalpha()}
+        cut = {p: self._cut(p) for p in fresh if not (p.isascii() and p.isalpha() and p.islower())}
         words = list(dict.fromkeys([p for p in fresh if p not in cut] + [w for ws in cut.values() for w in ws]))
         ids = {w: array("I", i).tobytes() for w, i in zip(words, self.encode_words([w.encode() for w in words]))}
         self.pieces.update([(p, i.to_bytes(4, "little")) for p, i in special.items()])
         self.pieces.update([(p, b"".join(map(ids.__getitem__, cut[p])) if p in cut else ids[p]) for p in fresh])
 
     def _pieces_of(self, text: str) -> list[str]:
-        text = self.normalise(text)
+        if text.isascii() or not _RARE.search(text):
+            text = self.normalise(text)
         if _CONTROL_BLANKS.search(text):
             return [p for p in regex.split(r"[^\S\x1c-\x1f]+", text) if p]
         return text.split()

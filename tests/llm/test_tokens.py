@@ -12,7 +12,7 @@ from hypothesis import strategies as st
 from lakehook.llm import bpe, byte_tokens, packing
 from tests.llm.cases import awkward, prose
 
-TEXTS = ["", "  ", "<|endoftext|>a b", "x<|startoftext|>", "ΑΣ ΣΑΣ İstanbul ǅ ﬁ", "éa don't I'LL we've 123 ½ ²",
+TEXTS = [":\U0003d000", "a\U0003d000 \U00012550x \U000323b0", "J\u030c \U00010d50\U00010d51", "", "  ", "<|endoftext|>a b", "x<|startoftext|>", "ΑΣ ΣΑΣ İstanbul ǅ ﬁ", "éa don't I'LL we've 123 ½ ²",
          "a\x1cb \x85 c d e", "日本語 テスト 한국어 ́ 👍🏽", "a" * 5000, "aaaa " * 50, "!!!??!! @@@###", "  a   b\n\n\n c \n"]
 
 
@@ -44,6 +44,17 @@ def test_ids_equal_the_librarys(word, byte, texts):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
 
 
+def test_ids_of_every_code_point(word, byte):
+    points = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
+    for at in range(0, len(points), 100_000):
+        texts = [f":{c}a{c} {c}" for c in points[at:at + 100_000]]
+        for own, lib in (word, byte):
+            want = [w.ids for w in lib.encode_batch_fast(texts, add_special_tokens=False)]
+            got = own.encode_batch(texts)
+            wrong = [t for t, g, w in zip(texts, got, want) if np.frombuffer(g, "<u4").tolist() != w]
+            assert not wrong, wrong[:10]
+
+
 def test_decoding_equals_the_librarys(word):
     own, lib = word
     for ids in own.encode_batch(TEXTS):
