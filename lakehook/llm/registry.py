@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from lakehook.llm import (
+    alignment,
     bpe,
+    decontamination,
     exact_dedup,
     html_extract,
     jaccard_join,
     license_scan,
     near_vectors,
     packing,
+    prefix_trie,
     quality,
     url_filter,
     warc_audit,
@@ -26,13 +29,18 @@ QUERIES = {
     "op8_warc_audit": warc_audit.op8_warc_audit,
     "op9_html_extract": html_extract.op9_html_extract,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
+    "op12_decontamination": decontamination.op12_decontamination,
+    "op13_alignment": alignment.op13_alignment,
 }
 
-# SQL cannot express 1, 3, 4, 6, 7 and 9: tests hold them against the tokenizers
+# SQL cannot express 1, 3, 4, 6, 7, 9 and 13: tests hold them against the tokenizers
 # library, brute force or planted cases.
 ORACLES = {
     "op2_license_scan": license_scan.ORACLE,
     "op8_warc_audit": warc_audit.ORACLE,
     "op5_near_vectors": near_vectors.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
+    "op12_decontamination": decontamination.ORACLE,
 }
