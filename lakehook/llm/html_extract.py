@@ -23,8 +23,10 @@ read whole, in one pass without a shuffle.
 
 Defined results: null and empty pages have the empty text; text outside any
 element is a block of the page; unclosed and stray tags are closed or skipped as
-browsers do in the usual cases. Repeated rows repeat. Without training pages a
-model from the frames alone is used.
+browsers do in the usual cases; a quote that nothing closes does not hide what
+follows its tag. Repeated rows repeat. Without training pages, or with empty ones
+only, a model from the frames alone is used. Text that attributes hide from view is
+judged like any other. Time is in proportion to a page's length.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -54,7 +57,6 @@ SLICE_ROWS = 256
 
 # HTML's elements by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title svg math iframe object select".split())
 SKIPPED = frozenset("script style noscript template head title textarea svg math iframe object select option button "
                     "datalist audio video canvas".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s "
@@ -92,9 +94,12 @@ TAG_SIGNS = {"nav": "menu", "menu": "menu", "header": "head", "footer": "foot",
              "dialog": "notice", "article": "main", "main": "main", "fieldset": "form"}
 _SIGN = {token: sign for sign, tokens in SIGNS.items() for token in tokens}
 _NAMES = list(SIGNS)
+# An attribute's value is quoted only after its equals sign; a quote that nothing
+# closes is a character like any other, so a tag always ends at a ">".
+_NAME_AND_VALUE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?=[^\s>"'])[^\s>]++)?+)?+"""
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                  r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+                  rf"<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME_AND_VALUE})*+)(?:>|\Z)", re.S)
+_ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?=[^\s>"'])[^\s>]++)))?+""")
 _SPACE = re.compile(r"\s+")
 _TOKEN = re.compile(r"[a-z]+(?:-[a-z]+)*")
 
@@ -103,143 +108,150 @@ _TOKEN = re.compile(r"[a-z]+(?:-[a-z]+)*")
 class Node:
     tag: str
     signs: frozenset
-    hidden: bool
-    parent: Node | None
+    parent: Node | None                             # the block that it stands in
     depth: int
     children: list = field(default_factory=list)   # nodes, and indexes of blocks
     blocks: range = range(0)
     links: int = 0                                  # characters of links below
 
 
-def _attributes(text: str) -> tuple[frozenset, bool]:
-    if not text or text.isspace():
-        return frozenset(), False
-    signs, hidden = set(), False
-    for name, a, b, c in _ATTRIBUTE.findall(text):
-        name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id", "role"):
-            for token in _TOKEN.findall(value.replace("_", "-")):
-                signs.update(_SIGN[t] for t in (token, *token.split("-")) if t in _SIGN)
-        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(
-                r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            hidden = True
-    return frozenset(signs), hidden
+def _signs(attributes: str) -> frozenset:
+    """What the tokens of class, id and role tell."""
+    signs: set[str] = set()
+    if attributes and not attributes.isspace():
+        for name, a, b, c in _ATTRIBUTE.findall(attributes):
+            if name.lower() in ("class", "id", "role"):
+                for token in _TOKEN.findall((a or b or c).lower().replace("_", "-")):
+                    signs.update(_SIGN[t] for t in (token, *token.split("-")) if t in _SIGN)
+    return frozenset(signs)
+
+
+class _Open:
+    """The open elements of a page, with counts by tag, so that a stray end tag and
+    the innermost block are found without a look through them."""
+
+    def __init__(self):
+        self.nodes = [Node("#page", frozenset(), None, 0)]
+        self.blocks = [self.nodes[0]]             # those that are not inline
+        self.tags: Counter = Counter()
+        self.inline = [Counter()]                 # open inline tags of each block
+        self.skipped = 0                          # open elements whose content is no text
+        self.links = 0
+
+    def push(self, node: Node) -> None:
+        self.nodes.append(node)
+        self.tags[node.tag] += 1
+        self.skipped += node.tag in SKIPPED
+        self.links += node.tag == "a"
+        if node.tag in INLINE:
+            self.inline[-1][node.tag] += 1
+        else:
+            self.blocks.append(node)
+            self.inline.append(Counter())
+
+    def pop(self) -> Node:
+        node = self.nodes.pop()
+        self.tags[node.tag] -= 1
+        self.skipped -= node.tag in SKIPPED
+        self.links -= node.tag == "a"
+        if node.tag in INLINE:
+            self.inline[-1][node.tag] -= 1
+        else:
+            self.blocks.pop()
+            self.inline.pop()
+        return node
 
 
 def parse(page: str) -> tuple[Node, list[str], list[Node]]:
-    """Root, texts of the blocks in page order, and the node of each block."""
-    root = Node("#page", frozenset(), False, None, 0)
-    stack = [root]
+    """Root, texts of the blocks in page order, and the node of each block.
+
+    Takes time in proportion to the page, however its tags are nested.
+    """
+    open_ = _Open()
+    root = open_.nodes[0]
     texts: list[str] = []
     owners: list[Node] = []
     buffer: list[str] = []
-    linked = [0]
-    skip = 0            # open elements whose content is no text
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         if buffer:
             text = _SPACE.sub(" ", html.unescape("".join(buffer))).strip()
             buffer.clear()
             if text:
-                at = next(n for n in reversed(stack) if n.tag not in INLINE)
+                at = open_.blocks[-1]
                 at.children.append(len(texts))
-                at.links += min(linked[0], len(text))
+                at.links += min(linked, len(text))
                 texts.append(text)
                 owners.append(at)
-        linked[0] = 0
+        linked = 0
 
-    def pop() -> None:
-        nonlocal skip
-        node = stack[-1]
-        if node.tag not in INLINE:
+    def pop() -> Node:
+        if open_.nodes[-1].tag not in INLINE:
             flush()
-        skip -= node.tag in SKIPPED or node.hidden
-        stack.pop()
+        return open_.pop()
 
-    def close_head() -> None:
-        nonlocal in_link
-        while any(n.tag == "head" for n in stack):
-            in_link -= stack[-1].tag == "a"
-            pop()
+    def close(tag: str) -> None:
+        while pop().tag != tag:
+            pass
 
-    at, in_link = 0, 0
+    at = 0
     while at < len(page):
         m = _TAG.search(page, at)
         end = m.start() if m else len(page)
-        if skip and stack[-1].tag == "head" and not page[at:end].isspace() and end > at:
-            close_head()
-        if end > at and not skip:
+        if open_.skipped and open_.nodes[-1].tag == "head" and not page[at:end].isspace() and end > at:
+            close("head")
+        if end > at and not open_.skipped:
             buffer.append(page[at:end])
-            if in_link:
-                linked[0] += end - at
+            if open_.links:
+                linked += end - at
         if not m:
             break
         at = m.end()
         tag = m[2]
         if tag is None:
-            if not skip and m[0].startswith("<![CDATA["):
+            if not open_.skipped and m[0].startswith("<![CDATA["):
                 buffer.append(html.escape(m[0][9:].removesuffix("]]>")))
             continue
         tag = tag.lower()
         if m[1]:
-            if tag == "br" or tag == "p" and not any(n.tag == "p" for n in stack):
-                if not skip:
+            if tag == "br" or tag == "p" and not open_.tags["p"]:
+                if not open_.skipped:
                     flush()
-                continue
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    while len(stack) > k:
-                        in_link -= stack[-1].tag == "a"
-                        pop()
-                    break
-                if tag in INLINE and stack[k].tag not in INLINE:
-                    break           # a stray end of an inline element
+            # an inline element ends within its block only
+            elif open_.inline[-1][tag] if tag in INLINE else open_.tags[tag]:
+                close(tag)
             continue
-        if skip and tag not in IN_HEAD:
-            close_head()
-        while len(stack) > 1:
-            top = next((n for n in reversed(stack) if n.tag not in INLINE), root)
-            if top.tag in CLOSED_BY and tag in CLOSED_BY[top.tag]:
-                while stack[-1] is not top:
-                    in_link -= stack[-1].tag == "a"
-                    pop()
-                pop()
-            else:
-                break
+        if open_.skipped and tag not in IN_HEAD and open_.tags["head"]:
+            close("head")
+        while tag in CLOSED_BY.get(open_.blocks[-1].tag, ()):
+            close(open_.blocks[-1].tag)
         if tag in VOID:
-            if tag in ("br", "hr") and not skip:
+            if tag in ("br", "hr") and not open_.skipped:
                 flush()
-            elif not skip and tag == "wbr":
-                pass
             continue
-        signs, hidden = _attributes(m[3])
+        signs = _signs(m[3])
         if tag in TAG_SIGNS:
             signs |= {TAG_SIGNS[tag]}
-        if tag not in INLINE and not skip:
+        if tag not in INLINE and not open_.skipped:
             flush()
-        node = Node(tag, signs, hidden, stack[-1], len(stack))
         if m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        if tag in RAW and tag in ("script", "style", "textarea", "title", "iframe", "noscript", "template"):
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+        if tag in ("script", "style", "textarea", "title", "iframe", "noscript", "template"):
+            over = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = over.end() if over else len(page)
             continue
-        if tag not in INLINE or tag == "a":
-            if tag not in INLINE:
-                _block_parent(stack).children.append(node)
-            in_link += tag == "a"
-        skip += tag in SKIPPED or hidden
-        stack.append(node)
-    while len(stack) > 1:
+        node = Node(tag, signs, open_.blocks[-1], len(open_.nodes))
+        if tag not in INLINE:
+            open_.blocks[-1].children.append(node)
+        open_.push(node)
+    while len(open_.nodes) > 1:
         pop()
     flush()
     return root, texts, owners
 
 
-def _block_parent(stack: list[Node]) -> Node:
-    return next(n for n in reversed(stack) if n.tag not in INLINE)
-
-
 # --- features ---
 
 TAG_GROUPS = [("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"),
@@ -279,8 +291,6 @@ def describe(root: Node, texts: list[str]) -> tuple[list[Node], np.ndarray]:
     family_tags: dict[int, Counter] = {}
     for node in order:
         parent = node.parent
-        while parent is not None and parent.tag in INLINE:
-            parent = parent.parent
         own = inherited[id(parent)][1] if parent is not None else (0.0,) * len(_NAMES)
         below_own = own
         if node.signs:  # 2: the node itself has the sign, 1: an ancestor
@@ -377,9 +387,10 @@ def decode(root: Node, nodes: list[Node], odds: np.ndarray, texts: list[str]) ->
     A node's vote counts for each of its blocks, by the logarithm of its text.
     """
     vote = {id(n): float(o) for n, o in zip(nodes, odds)}
+    loads = [0.0, *accumulate(math.log1p(len(t)) for t in texts)]
     value: dict[int, tuple[float, bool | None]] = {}
     for node in reversed(nodes):
-        load = sum(math.log1p(len(texts[b])) for b in node.blocks)
+        load = loads[node.blocks.stop] - loads[node.blocks.start]
         z = max(-12.0, min(12.0, vote[id(node)]))
         take, leave = -math.log1p(math.exp(-z)) * load, -math.log1p(math.exp(z)) * load
         inside = [c for c in node.children if isinstance(c, Node) and id(c) in value]
@@ -524,7 +535,7 @@ def train(pages: DataFrame, docs: DataFrame, sample_pages: int = SAMPLE_PAGES) -
         got.append(examples(page, lines))
         for _ in range(2):
             got.append(examples(framed(page, rng, words), lines))
-    if not rows:
+    if not any(len(g[1]) for g in got):
         body = "<html><body><article>" + "<p>one two three four five six seven eight nine ten.</p>" * 4 + "</article></body></html>"
         for _ in range(50):
             got.append(examples(framed(body, rng, ["more", "news", "today"] * 9),

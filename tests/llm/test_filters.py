@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -213,6 +214,35 @@ def test_extraction_of_planted_pages(spark):
     assert inside > 0.9 * len(whole)
 
 
+def test_quotes_in_attributes_and_pages_without_text(spark):
+    texts = lambda html: html_extract.parse(html)[1]
+    page = "<article><p title=it's>First para.</p><p>Second, isn't long.</p><p>Third.</p></article>"
+    assert texts(page) == ["First para.", "Second, isn't long.", "Third."]
+    assert texts('<p title="abc>One</p><p>Two</p>') == ["One", "Two"]
+    assert texts("<p a=x/y b='1>2' c>Three</p><br/>x <a href=http://x/?a=1>l</a><p\nclass = 'y'>Four<p id>Five") == \
+        ["Three", "x l", "Four", "Five"]
+    assert html_extract._signs(" class = 'nav-bar x' id=Footer") == {"menu", "foot"}
+    # hidden text is judged like any other
+    assert texts("<article hidden><p aria-hidden=true>One</p></article>") == ["One"]
+    # labelled pages without any text leave the frames to learn from
+    pages = spark.createDataFrame([(1, "http://a.b/1.html", ""), (2, "http://a.b/2.html", None)], "page_id long, url string, html string")
+    docs = spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string")
+    model = html_extract.train(pages, docs)
+    assert [r["text"] for r in html_extract.extract(pages, model).collect()] == ["", ""]
+    assert html_extract.main_text(f"<body><nav><a href=/>Home</a></nav><article>{ARTICLE}</article></body>", model) == TEXT
+
+
+def test_nested_tags_take_time_in_proportion():
+    for page in ("<div>" * 50_000 + "x" + "</i>" * 50_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 50_000 + "x",
+                 "<b>" * 50_000 + "<div>a</div>" * 5_000, '<p t="' * 50_001 + "x", "<head>" * 50_000 + "x"):
+        began = time.process_time()
+        root, texts, _ = html_extract.parse(page)
+        if texts:
+            nodes, _ = html_extract.describe(root, texts)
+            assert html_extract.decode(root, nodes, [1.0] * len(nodes), texts) == list(range(len(texts)))
+        assert time.process_time() - began < 20
+
+
 def test_extraction_of_pages_that_omit_the_end_of_head(spark):
     texts = lambda html: html_extract.parse(html)[1]
     for head in ("<head><title>no</title>", "<head><meta charset=utf-8><style>no</style><script>no</script>\n",
