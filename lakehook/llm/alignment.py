@@ -7,9 +7,10 @@ character cut by A, byte-fallback tokens of B), the tokens' own decoded bytes
 refine the cuts. Byte offsets where tokens of both end cut a text into groups;
 an A and a B token are linked when their byte ranges overlap.
 
-Neither vocabulary joins a blank with what stands before it (checked when the
+Neither vocabulary joins a blank with what stands before it, or plain punctuation
+with a letter before it (checked when the
 files are read; whole texts are encoded otherwise), so a text is cut before a
-blank that follows no blank. Such a segment's tokens, groups and links are found
+blank that follows no blank and before punctuation after a word. Such a segment's tokens, groups and links are found
 once and remembered, up to ``CACHE_SEGMENTS`` short ones by a Python worker. A
 cut between segments is a cut of both tokenizers, so groups never cross it.
 
@@ -30,9 +31,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,14 @@ SLICE_ROWS = 256
 # Pairs with counts (24 bytes a row) that are sent to every executor at most.
 BROADCAST_ROWS = 2_000_000
 
-# A blank begins a segment when no white space stands before it.
-_SEGMENTS = re.compile(r"[ \n](?:[^ \n]++|(?<=\s)[ \n])*+")
+# A blank begins a segment when no white space stands before it; plain punctuation
+# after a word of letters does, too.
+LETTERS, STOPS = "A-Za-zÀ-ÖØ-öø-ɏ", ".,;:!?"
+_WORD = rf"[ \n][{LETTERS}]++"
+_SEGMENTS = re.compile(rf"{_WORD}(?=[ \n{STOPS}]|\Z)|[{STOPS}]++(?=[ \n]|\Z)|[ \n{STOPS}](?:[^ \n]++|(?<=\s)[ \n])*+")
+_WORDS = re.compile(_WORD)
+# Words that are aligned as one text.
+TOGETHER = 4_096
 SPACE_MARK = "▁"
 SEGMENT = tuple[int, int, int, str, bytes]  # tokens of A, of B, groups, groups as text, links
 
@@ -69,6 +77,9 @@ class Aligner:
         names = {i: t for t, i in self.a.get_vocab(with_added_tokens=False).items()}
         self.bytes_a = [bytes(back[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         self.bytes_b = [self._bytes_b(i) for i in range(self.b.get_piece_size())]
+        self.is_byte = [self.b.is_byte(i) for i in range(self.b.get_piece_size())]
+        self.byte_b = np.array(self.is_byte)
+        self.sizes_a, self.sizes_b = np.array(list(map(len, self.bytes_a))), np.array(list(map(len, self.bytes_b)))
         self.segmented = self._separable()
         self.known: Remembered = Remembered(CACHE_SEGMENTS)
 
@@ -77,9 +88,10 @@ class Aligner:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE_MARK, " ").encode()
 
     def _separable(self) -> bool:
-        """Whether no token can reach over the border before a blank."""
-        pieces = [p for i in range(self.b.get_piece_size()) if not self.b.is_byte(i) for p in [self.b.id_to_piece(i)]]
-        if any("\n" in p or " " in p or SPACE_MARK in p.lstrip(SPACE_MARK) for p in pieces):
+        """Whether no token can reach over the border of two segments."""
+        pieces = [self.b.id_to_piece(i) for i, byte in enumerate(self.is_byte) if not byte]
+        across = re.compile(rf"[\n ]|[^{SPACE_MARK}]{SPACE_MARK}|[{LETTERS}][{STOPS}]")
+        if any(map(across.search, pieces)):
             return False
         # A splits words by its own pattern, as the library shows on one sample
         split = self.a.pre_tokenizer.pre_tokenize_str(" ab, \n cd\nef  g") if self.a.pre_tokenizer else []
@@ -93,7 +105,7 @@ class Aligner:
         offsets = encoding.offsets
         if text.isascii():
             return [e for _, e in offsets]
-        at = list(np.cumsum([0, *(len(c.encode()) for c in text)]).tolist())
+        at = [0, *accumulate(len(c.encode()) for c in text)]
         ends, here = [], 0
         for k, (i, (_, end)) in enumerate(zip(encoding.ids, offsets)):
             here += len(self.bytes_a[i])
@@ -107,7 +119,7 @@ class Aligner:
         """Byte offsets at which B's tokens (id, coarse end) end."""
         ends, here = [], 0
         for i, end in tokens:
-            here = here + 1 if self.b.is_byte(i) else end
+            here = here + 1 if self.is_byte[i] else end
             ends.append(here)
         return ends
 
@@ -122,6 +134,50 @@ class Aligner:
         found = self.b.encode(["\n" + t for t in texts], return_type="proto", num_threads=1)
         return [[(p.id, p.end - 1) for p in f.pieces[2:]] for f in found]
 
+    # --- words, many at once ---
+
+    def align_words(self, words: list[str]) -> list[SEGMENT | None]:
+        """As ``align``, for segments that are one word each after a blank.
+
+        Such words are as independent side by side as they are alone, so they are
+        one text for the libraries; their tokens are cut apart again by byte offsets.
+        """
+        raw = "".join(words).encode()
+        a = self.a.encode(raw.decode(), add_special_tokens=False)
+        ids_a = np.array(a.ids, np.int64)
+        tokens_b = self._tokens_b([raw.decode()])[0]
+        ids_b = np.array([i for i, _ in tokens_b], np.int64)
+        if b"".join([self.bytes_a[i] for i in a.ids]) != raw or b"".join([self.bytes_b[i] for i, _ in tokens_b]) != raw:
+            return self.align(words)
+        # coarse ends, refined by decoded bytes where tokens share a character
+        places = np.flatnonzero(np.frombuffer(raw, np.uint8) & 0xC0 != 0x80)
+        offsets = np.array(a.offsets, np.int64)
+        coarse = np.append(places, len(raw))[offsets[:, 1]]
+        shared = np.append(offsets[1:, 0] < offsets[:-1, 1], False)
+        ends_a = np.where(shared, np.cumsum(self.sizes_a[ids_a]), coarse)
+        coarse = np.array([e for _, e in tokens_b], np.int64)
+        ends_b = np.where(self.byte_b[ids_b], np.cumsum(self.sizes_b[ids_b]), coarse)
+        # between two neighbouring ends stand one token of A and one of B: a link
+        ends = np.union1d(ends_a, ends_b)
+        of_a, of_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        links = (ids_a[of_a] << 32 | ids_b[of_b]).astype("<i8").tobytes()
+        cuts = np.flatnonzero((ends_a[of_a] == ends) & (ends_b[of_b] == ends))
+        borders = np.cumsum([len(w.encode()) for w in words])
+        last = np.searchsorted(ends[cuts], borders)  # each word's last group
+        if not np.array_equal(ends[cuts][np.minimum(last, len(cuts) - 1)], borders):
+            return self.align(words)
+        up_a, up_b, up_links = (of_a[cuts] + 1).tolist(), (of_b[cuts] + 1).tolist(), (cuts + 1).tolist()
+        names_a, names_b = list(map(str, a.ids)), [str(i) for i, _ in tokens_b]
+        groups = [",".join(names_a[i:j]) + "|" + ",".join(names_b[k:n])
+                  for i, j, k, n in zip([0, *up_a], up_a, [0, *up_b], up_b)]
+        out: list[SEGMENT | None] = []
+        g = i = j = k = 0
+        for upto in (last + 1).tolist():
+            i2, j2, k2 = up_a[upto - 1], up_b[upto - 1], up_links[upto - 1]
+            out.append((i2 - i, j2 - j, upto - g, groups[g] if upto == g + 1 else ";".join(groups[g:upto]), links[8 * k:8 * k2]))
+            g, i, j, k = upto, i2, j2, k2
+        return out
+
     # --- groups and links ---
 
     def align(self, texts: list[str]) -> list[SEGMENT | None]:
@@ -139,6 +195,8 @@ class Aligner:
 
     @staticmethod
     def _grouped(a: list[int], ends_a: list[int], b: list[int], ends_b: list[int]) -> SEGMENT:
+        if len(a) == len(b) == 1:
+            return 1, 1, 1, f"{a[0]}|{b[0]}", (a[0] << 32 | b[0]).to_bytes(8, "little")
         groups, links = [], []
         i = j = first_i = first_j = 0
         while i < len(a):
@@ -149,7 +207,7 @@ class Aligner:
             if left == right:
                 groups.append(",".join(map(str, a[first_i:i])) + "|" + ",".join(map(str, b[first_j:j])))
                 first_i, first_j = i, j
-        return len(a), len(b), len(groups), ";".join(groups), np.array(links, "<i8").tobytes()
+        return len(a), len(b), len(groups), ";".join(groups), array("q", links).tobytes()
 
     def segments(self, text: str) -> list[str]:
         return _SEGMENTS.findall(f" {text}") if self.segmented else [f" {text}"]
@@ -176,7 +234,12 @@ class Aligner:
 
     def _learn(self, parts: set[str]) -> None:
         fresh = self.known.unknown([p for p in parts if len(p) <= LONG_SEGMENT])
-        self.known.update(zip(fresh, self.align(fresh)))
+        words = [p for p in fresh if self.segmented and _WORDS.fullmatch(p)]
+        for at in range(0, len(words), TOGETHER):
+            some = words[at:at + TOGETHER]
+            self.known.update(zip(some, self.align_words(some)))
+        rest = [p for p in fresh if p not in self.known]
+        self.known.update(zip(rest, self.align(rest)))
 
     def _with_long(self, parts: list[str]) -> list[SEGMENT | None]:
         long = list({p for p in parts if len(p) > LONG_SEGMENT})

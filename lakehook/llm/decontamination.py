@@ -15,8 +15,8 @@ are proximity matches instead: places of the rarest word that have every other
 word of the phrase within ``near`` words in the same text, in any order.
 
 A shard's work is bounded by its words, so a passage that a third of all texts
-share is spread over their shards. The phrases' words are broadcast to filter the
-index when they are at most ``BROADCAST_BYTES``; otherwise both sides are shuffled.
+share is spread over their shards. The tables of phrases and of their words are
+broadcast where they hold at most ``BROADCAST_BYTES``; beyond, both sides are shuffled.
 
 Words are ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after A-Z are lower-cased.
 Defined results: null and empty texts have no words, match nothing and stay in
@@ -36,7 +36,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakehook.llm.common import materialise, prepare_workers, table
@@ -170,14 +170,20 @@ def windows_of(items: DataFrame, key: str = "item_id", text: str = "text", windo
     return found.groupBy("words").agg(F.collect_set(F.coalesce("item", F.lit(""))).alias("items"))
 
 
+def _sent(rows: DataFrame, size: Column) -> DataFrame:
+    """A stored table, to be broadcast when the bytes counted in it are few."""
+    total = rows.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(rows) if total <= BROADCAST_BYTES else rows
+
+
 def _ordered(index: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Phrases whose words all occur, with (n, offset, word) from the rarest on; and
     the index rows of phrase words, without their positions."""
     words = materialise(phrases.select(F.explode("words").alias("word")).distinct(), "phrase-words")
-    size = words.agg(F.sum(F.octet_length("word") + 16)).first()[0] or 0
-    few = F.broadcast(words) if size <= BROADCAST_BYTES else words
-    held = materialise(index.select("word", "shard", "n").where("word <> ''").join(few, "word", "left_semi"), "phrase-shards")
-    totals = held.groupBy("word").agg(F.sum("n").alias("total"))
+    held = materialise(index.select("word", "shard", "n").where("word <> ''").join(
+        _sent(words, F.octet_length("word") + 16), "word", "left_semi"), "phrase-shards")
+    totals = materialise(held.groupBy("word").agg(F.sum("n").alias("total")), "phrase-totals")
+    totals = _sent(totals, F.octet_length("word") + 24)
     parts = phrases.select("phrase", F.size("words").alias("length"), F.posexplode("words").alias("offset", "word"))
     parts = parts.join(totals, "word").groupBy("phrase", "length").agg(
         F.sort_array(F.collect_list(F.struct("total", "offset", "word"))).alias("rank"))
@@ -234,14 +240,17 @@ def search(index: DataFrame, phrases: DataFrame, near: int | None = None) -> Dat
     prepare_workers(index.sparkSession)
     ranked, held = _ordered(index, phrases)
     ranked = materialise(ranked.join(phrases.select("phrase", "items"), "phrase"), "ranked-phrases")
-    candidates = ranked.join(held.select(F.col("word").alias("rarest"), "shard"),
+    # a word may stand in every shard and be the rarest of many phrases
+    few = _sent(ranked, F.lit(64) + 48 * F.size("rank") + 24 * F.size("items"))
+    candidates = few.join(held.select(F.col("word").alias("rarest"), "shard"),
                              F.element_at("rank", 1)["word"] == F.col("rarest")).drop("rarest")
     candidates = materialise(candidates, "candidate-phrases")
     wanted = candidates.select("shard", F.explode(F.concat("rank.word", F.array(F.lit(BEGINNINGS)))).alias("word")).distinct()
     wanted = materialise(wanted, "candidate-words")
-    size = wanted.agg(F.sum(F.octet_length("word") + 24)).first()[0] or 0
-    wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
-    lists = index.select("shard", "word", "positions").join(wanted, ["shard", "word"], "left_semi")
+    # the phrases' words first, so that other lists are not shuffled where this table is large
+    named = materialise(wanted.select("word").distinct(), "candidate-names")
+    lists = index.select("shard", "word", "positions").join(_sent(named, F.octet_length("word") + 16), "word", "left_semi")
+    lists = lists.join(_sent(wanted, F.octet_length("word") + 24), ["shard", "word"], "left_semi")
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = {w: np.frombuffer(p, "<u4").astype(np.int64) for w, p in zip(left["word"], left["positions"])}

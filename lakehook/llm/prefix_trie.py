@@ -247,8 +247,8 @@ def trie(conversations: DataFrame, band: int = BAND) -> DataFrame:
     # most nodes hang on few parents near the root: its children need no join
     parents = nodes.select(F.col("key").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
     below = nodes.where("pos > 1").join(parents, "parent")
-    smallest = everyone.select(F.col("conv_id").alias("parent_conv_id"))
-    top = nodes.where("pos = 1").join(F.broadcast(smallest))  # one row
+    smallest = everyone.first()["conv_id"]
+    top = nodes.where("pos = 1").withColumn("parent_conv_id", F.lit(smallest).cast("long"))
     start = nodes.where("pos = 0").withColumn("parent_conv_id", F.lit(None).cast("long"))
     nodes = below.select(start.columns).union(top.select(start.columns)).union(start)
     last = chain.groupBy("conv").agg(F.max(F.struct("pos", "key"))["key"].alias("key"))

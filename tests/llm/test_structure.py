@@ -253,6 +253,14 @@ def test_alignment_against_brute_force(both):
         assert Counter(int(x) for x in alignment.np.frombuffer(got[4], "<i8")) == Counter(i << 32 | j for i, j in links), text
 
 
+def test_words_together_align_as_words_alone(both):
+    rng = random.Random(11)
+    words = [rng.choice(" \n") + "".join(rng.choice("aeimnorstZQÀéßøñž") for _ in range(rng.randint(1, 14))) for _ in range(3000)]
+    words = list(dict.fromkeys(words))
+    assert both.align_words(words) == both.align(words)
+    assert both.align_words(words[:1]) == both.align(words[:1])
+
+
 def test_whole_texts_align_as_their_segments(both):
     texts = [t for t in TEXTS if t]
     assert both.documents(texts) == [both._whole(t) for t in texts]
