@@ -517,6 +517,21 @@ def examples(page: str, lines: set[str]) -> tuple[np.ndarray, np.ndarray, np.nda
     return x, (y >= 0.5).astype(float), np.where(pure > 0.98, 1.0, 0.05)
 
 
+PLAIN = "a day in the town where they went to see what was left of it after so many long years away".split()
+
+
+def invented(rng: np.random.Generator) -> tuple[str, set[str]]:
+    """A page whose article consists of plain words, and its lines."""
+    def some(low: int, high: int) -> str:
+        return " ".join(rng.choice(PLAIN, int(rng.integers(low, high)))).capitalize()
+
+    title, lines = some(2, 9), [some(4, 60) + "." for _ in range(int(rng.integers(1, 25)))]
+    marked = [re.sub(r"(?<= )(\w+)(?= )", r'<a href="/x">\1</a>', x, count=1) if rng.random() < 0.3 else x
+              for x in lines]
+    body = f"<h1>{title}</h1>" * int(rng.integers(0, 2)) + "".join(f"<p>{x}</p>" for x in marked)
+    return f"<html><body><article>{body}</article></body></html>", {title, *lines}
+
+
 def train(pages: DataFrame, docs: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Trees:
     """Fit on at most ``sample_pages`` pages whose url names a document."""
     number = F.expr("try_cast(regexp_extract(url, '/([0-9]{1,18})(?:[./?#]|$)', 1) AS BIGINT)")
@@ -536,10 +551,8 @@ def train(pages: DataFrame, docs: DataFrame, sample_pages: int = SAMPLE_PAGES) -
         for _ in range(2):
             got.append(examples(framed(page, rng, words), lines))
     if not any(len(g[1]) for g in got):
-        body = "<html><body><article>" + "<p>one two three four five six seven eight nine ten.</p>" * 4 + "</article></body></html>"
-        for _ in range(50):
-            got.append(examples(framed(body, rng, ["more", "news", "today"] * 9),
-                                {"one two three four five six seven eight nine ten."}))
+        for page, lines in (invented(rng) for _ in range(120)):
+            got += [examples(page, lines), examples(framed(page, rng, PLAIN), lines)]
     got = [g for g in got if len(g[1])]
     return boost(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got]), np.concatenate([g[2] for g in got]))
 
