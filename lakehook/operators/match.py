@@ -30,7 +30,7 @@ TRIGGER_KEY = (
 
 # Registration columns carried to the match result.
 MATCH_PAYLOAD = ("transform_id", "name", "out_service", "out_dataset_id", "out_action",
-                 "out_object", "src_file", "enabled")
+                 "out_object", "src_file", "timeout", "enabled")
 
 
 def pending(log: DataFrame) -> DataFrame:
@@ -90,8 +90,13 @@ def _key_condition(log: DataFrame, regs: DataFrame) -> Column:
     return cond
 
 
-def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
-                   salt_buckets: int = 0) -> DataFrame:
+def ranked_registrations(transforms: DataFrame) -> DataFrame:
+    """The registrations that :func:`match_triggers` joins, as a stored table."""
+    return ranked_table(dispatchable(first_registration_per_key(transforms)))
+
+
+def match_triggers(log: DataFrame, transforms: DataFrame | None, policy: str = "first",
+                   salt_buckets: int = 0, ranked: DataFrame | None = None) -> DataFrame:
     """Pending events joined to the registration that fires for them.
 
     ``policy="first"`` (default) keeps the reference rule -- one registration
@@ -109,9 +114,14 @@ def match_triggers(log: DataFrame, transforms: DataFrame, policy: str = "first",
     copy -- is replicated into all buckets with ``explode``. A key holding a
     large share of the events is then spread over that many tasks. The
     result is identical.
+
+    ``ranked`` is a table from :func:`ranked_registrations` that is used again, as
+    by a stream whose registrations did not change.
     """
-    if policy == "first":
-        regs = ranked_table(dispatchable(first_registration_per_key(transforms)))
+    if ranked is not None:
+        regs = ranked
+    elif policy == "first":
+        regs = ranked_registrations(transforms)
     elif policy == "all":
         keep = [r for _, r in TRIGGER_KEY] + [c for c in MATCH_PAYLOAD if c in transforms.columns]
         regs = dispatchable(transforms.select(*dict.fromkeys(keep)))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakehook.functions import predicates as P
 from lakehook.functions import scalars as S
+from lakehook.operators import ledger as LG
 from lakehook.operators import lifecycle as LC
 from lakehook.operators import lookup as L
 from lakehook.operators import mutate as M
@@ -725,21 +726,25 @@ def priority_summary(pdf):
         n=("o_orderkey", "count"), max_price=("o_totalprice", "max"))
 
 
+def _order_files(spark, orders, root, ext):
+    """Orders as lake files of bounded size, one per status and thousand order keys,
+    written by one job; returns the landing table."""
+    name = F.concat(F.lit("orders_"), F.coalesce("o_orderstatus", F.lit("")), F.lit("_"),
+                    F.floor(F.coalesce("o_orderkey", F.lit(0)) / 1000).cast("string"), F.lit(f".{ext}"))
+    orders = orders.withColumn("file", name)
+    orders.repartition("file").write.partitionBy("file").format(ext).option("header", True).save(root)
+    return orders.select(F.col("file").alias("name"), F.concat(F.lit(f"{root}/file="), "file").alias("landing_path"),
+                         F.lit(ext).alias("file_extension")).distinct()
+
+
 def lake_flow(spark, sf_dir):
-    """S6 -> S8 -> J2 -> T7 over real files: orders land as three CSV files,
+    """S6 -> S8 -> J2 -> T7 over real files: orders land as many CSV files,
     are ingested (one upload event each), match a registration on their
     dataset, and a per-file pandas transform writes each file's summary under
     the same base name in the output dataset."""
     from datetime import datetime
 
-    landing = scratch_path(spark, "flow-landing")
-    orders = table(spark, sf_dir, "orders")
-    rows = []
-    for status in _statuses(orders):
-        path = f"{landing}/orders_{status}.csv"
-        orders.filter(F.col("o_orderstatus").eqNullSafe(status)).write.option("header", True).csv(path)
-        rows.append((f"orders_{status}.csv", path, "csv"))
-    land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
+    land = _order_files(spark, table(spark, sf_dir, "orders"), scratch_path(spark, "flow-landing"), "csv")
     root = scratch_path(spark, "flow-lake")
     _, events = IO.ingest(spark, land, spark.createDataFrame([], TR_FILES_SCHEMA),
                           f"{root}/user1/sales", 1, 7, "owner1", datetime(2024, 6, 1), 1, 1,
@@ -754,21 +759,39 @@ def lake_flow(spark, sf_dir):
         spark, match_triggers(events.checkpoint(eager=True), regs),
         lambda src: ("pandas_file", priority_summary, "o_orderpriority string, n long, max_price double"),
         f"{root}/outputs")
-    return _outputs(spark, manifest).select("out_dataset_id", F.col("name").alias("out_file"),
-                                            "o_orderpriority", "n", "max_price")
+    return D.output_rows(spark, manifest, f"{root}/outputs").select(
+        "out_dataset_id", F.col("name").alias("out_file"), "o_orderpriority", "n", "max_price")
 
 
-def _outputs(spark, manifest):
-    """Rows of all outputs of a manifest, with the output they belong to."""
-    paths = [r[0] for r in manifest.where("error is null").select("path").collect()]
-    data = IO.read_files(spark, {"parquet": paths})
-    outputs = manifest.select(IO.normalize_path(F.col("path")).alias(IO.SOURCE_FILE_COL), "user_id",
-                              "out_dataset_id", "name", "src_file")
-    return data.join(outputs, IO.SOURCE_FILE_COL)
+EVENT_SUMMARY = """
+WITH ranked AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS place
+                FROM return_arrow_table)
+SELECT event_type, count(*) AS n, max(value) AS top, max(CASE WHEN place = 1 THEN event_id END) AS top_event
+FROM ranked GROUP BY event_type"""
+
+
+def dispatch_sql_files(spark, sf_dir):
+    """T7 + T1: one SQL script (windows, grouping) over each of many lake files, all
+    files in one job; events land as files of a thousand ids and are ingested."""
+    from datetime import datetime
+
+    ev = table(spark, sf_dir, "events").withColumn("file", F.concat(
+        F.lit("events_"), F.floor(F.coalesce("event_id", F.lit(-1)) / 1000).cast("string"), F.lit(".parquet")))
+    landing, root = scratch_path(spark, "sql-landing"), scratch_path(spark, "sql-lake")
+    ev.repartition("file").write.partitionBy("file").parquet(landing)
+    land = ev.select(F.col("file").alias("name"), F.concat(F.lit(f"{landing}/file="), "file").alias("landing_path"),
+                     F.lit("parquet").alias("file_extension")).distinct()
+    _, events = IO.ingest(spark, land, spark.createDataFrame([], TR_FILES_SCHEMA), f"{root}/user1/events", 1, 7,
+                          "owner1", datetime(2024, 6, 1), 1, 1)
+    regs = spark.createDataFrame([(1, 1, "summary", "datasets", 7, "POST", "file", "datasets", 2, "POST", "file",
+                                   "summary.sql", True)], REGS_DDL)
+    manifest = D.dispatch_files(spark, match_triggers(events.checkpoint(eager=True), regs),
+                                lambda src: ("sql", EVENT_SUMMARY), f"{root}/outputs")
+    return D.output_rows(spark, manifest, f"{root}/outputs").select("name", "event_type", "n", "top", "top_event")
 
 
 def broken_on_pending(pdf):
-    """A transform that raises on one file: pending orders."""
+    """A transform that raises on files of pending orders."""
     if (pdf["o_orderstatus"] == "P").any():
         raise ValueError("pending orders")
     return pdf.groupby("o_orderstatus", as_index=False).agg(n=("o_orderkey", "count"), top=("o_totalprice", "max"))
@@ -780,8 +803,8 @@ REGS_DDL = ("transform_id long, user_id long, name string, in_service string, in
 
 
 def _two_users(spark, sf_dir):
-    """Two users' datasets with a file per order status (even and odd customers),
-    under the same base names, and a Python and a SQL registration."""
+    """Two users' datasets of many order files (even and odd customers), under the
+    same base names, and a Python and a SQL registration."""
     from datetime import datetime
 
     root = scratch_path(spark, "batch-lake")
@@ -790,14 +813,9 @@ def _two_users(spark, sf_dir):
     log = None
     for user in (1, 2):
         mine = orders.filter(F.pmod(F.coalesce("o_custkey", F.lit(0)), F.lit(2)) == user - 1)
-        rows = []
-        for status in _statuses(orders):
-            path = f"{root}/landing{user}/orders_{status}.parquet"
-            mine.filter(F.col("o_orderstatus").eqNullSafe(status)).write.parquet(path)
-            rows.append((f"orders_{status}.parquet", path, "parquet"))
-        land = spark.createDataFrame(rows, "name string, landing_path string, file_extension string")
+        land = _order_files(spark, mine, f"{root}/landing{user}", "parquet")
         files, events = IO.ingest(spark, land, files, f"{root}/user{user}/sales", user, 10 + user, "owner",
-                                  datetime(2024, 6, 1), 100 * user, 1000 * user)
+                                  datetime(2024, 6, 1), 10_000_000 * user, 10_000_000 * user)
         log = events if log is None else log.unionByName(events)
     regs = spark.createDataFrame([
         (1, 1, "by python", "datasets", 11, "POST", "file", "datasets", 21, "POST", "file", "status.py", True),
@@ -822,19 +840,17 @@ def _run_two_users(spark, sf_dir):
 
 def run_batch(spark, sf_dir):
     """Each registration runs its own source file (Python, SQL) over each of
-    its user's files; the outputs are read through the catalog (S4)."""
+    its user's files; the output datasets are read through the catalog (S3)."""
     root = _run_two_users(spark, sf_dir)
     catalog = spark.read.parquet(f"{root}/files2").where("dataset_id in (21, 22)")
-    out = None
-    for r in catalog.select("user_id", "dataset_id", "file_id", "name").collect():
-        got = IO.scan_catalog_file(spark, catalog, r["user_id"], r["dataset_id"], r["file_id"]).select(
-            F.lit(r["user_id"]).alias("user_id"), F.lit(r["name"]).alias("name"), "n", "top")
-        out = got if out is None else out.unionByName(got)
-    return out
+    rows = IO.scan_dataset(spark, catalog, 1, 21).select(IO.SOURCE_FILE_COL, "n", "top").unionByName(
+        IO.scan_dataset(spark, catalog, 2, 22).select(IO.SOURCE_FILE_COL, "n", "top"))
+    named = catalog.select(IO.normalize_path("path").alias(IO.SOURCE_FILE_COL), "user_id", "name")
+    return rows.join(named, IO.SOURCE_FILE_COL).drop(IO.SOURCE_FILE_COL)
 
 
 def dispatch_failures(spark, sf_dir):
-    """The manifest of a batch in which one file's script raises."""
+    """The manifest of a batch in which some files' script raises."""
     root = _run_two_users(spark, sf_dir)
     return spark.read.parquet(f"{root}/out-manifest/batch_id=1").select(
         "user_id", "src_file", "name", F.col("error").isNotNull().alias("failed"), "n_rows")
@@ -842,7 +858,7 @@ def dispatch_failures(spark, sf_dir):
 
 def empty_rerun(spark, sf_dir):
     """A rerun of a transform that gives no rows any more replaces the
-    output: the catalogued file is empty."""
+    output: the catalogued files are empty. Read by path, as the catalog does."""
     root, files, log, regs, _ = _two_users(spark, sf_dir)
     ddl = "o_orderkey long"
     matched = match_triggers(log, regs.where("transform_id = 1"))
@@ -850,7 +866,39 @@ def empty_rerun(spark, sf_dir):
     drop = lambda src: ("pandas_file", lambda pdf: pdf[["o_orderkey"]][pdf["o_orderstatus"] != "F"], ddl)
     D.dispatch_files(spark, matched, keep, f"{root}/out", batch_id=1)
     manifest = D.dispatch_files(spark, matched, drop, f"{root}/out", batch_id=2)
-    return _outputs(spark, manifest).select("name", "o_orderkey")
+    catalog = manifest.select("user_id", F.col("out_dataset_id").alias("dataset_id"), "path", "name",
+                              F.lit("parquet").alias("file_extension"))
+    rows = IO.scan_dataset(spark, catalog, 1, 21)
+    named = catalog.select(IO.normalize_path("path").alias(IO.SOURCE_FILE_COL), "name")
+    return rows.join(named, IO.SOURCE_FILE_COL).select("name", "o_orderkey")
+
+
+def _ledger_log(spark, sf_dir):
+    """The event log appended in two parts, the second with late events of the first
+    days, and a ledger that covers the first part; returns its path and mark."""
+    path = scratch_path(spark, "ledger-log")
+    log = lake.event_log(table(spark, sf_dir, "events")).withColumn("processed", F.lit(False))
+    half = log.agg((F.max("log_id") / 2).cast("long")).first()[0] or 0
+    LG.append(IO.log_rows(log.where(F.col("log_id") <= half)), path)
+    LG.mark(spark, path, half, batch_id=1)
+    LG.append(IO.log_rows(log.where(F.coalesce(F.col("log_id") > half, F.lit(True)))), path)
+    return path, half
+
+
+def ledger_pending(spark, sf_dir):
+    """M5 + J2's gate: events that the ledger's ranges leave pending, read from the
+    days that hold any, late events in early days too."""
+    path, _ = _ledger_log(spark, sf_dir)
+    return LG.pending_events(spark, path).select("log_id", "user_id", "action")
+
+
+def ledger_flags(spark, sf_dir):
+    """M5: the processed flag of every event, half of it compacted into the log's
+    touched days, half of it still in the ledger."""
+    path, half = _ledger_log(spark, sf_dir)
+    LG.compact(spark, path)
+    LG.mark(spark, path, half + half // 2, batch_id=2, from_id=half + 1)
+    return LG.all_events(spark, path).select("log_id", "processed")
 
 
 def create_datasets(spark, sf_dir):
@@ -978,11 +1026,95 @@ def match_salted(spark, sf_dir):
     return match_triggers(log, lake.registrations(log), salt_buckets=8).select("log_id", "transform_id")
 
 
+def asof_events(spark, sf_dir):
+    """Every error event with the latest purchase of its user group at or before
+    it; one of the three groups holds most events."""
+    from lakehook.operators.asof import asof_join
+
+    ev = table(spark, sf_dir, "events").select(
+        "event_id", "event_type", "value", F.when(F.col("user_id") % 10 == 0, 1).when(F.col("user_id") % 10 == 1, 2).otherwise(0).alias("grp"))
+    errors = ev.where("event_type = 'error'").select("event_id", "grp")
+    bought = ev.where("event_type = 'purchase'").select("event_id", "grp", "value")
+    return asof_join(errors, bought, ["grp"], "event_id", F.floor(F.col("event_id") / 500)).select(
+        "event_id", "grp", F.col("right_event_id").alias("purchase_id"), F.col("right_value").alias("purchase_value"))
+
+
+def merged_sketches(spark, sf_dir):
+    """Sketches stored per event type and day, merged to all days: the number of
+    rows, and whether estimates lie within the stated errors of exact counts."""
+    from lakehook.operators import sketches as SK
+    from lakehook.session import stored
+
+    ev = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    kept = stored(SK.sketch(ev, ["event_type", "day"], "user_id", "value"), "sketches")
+    estimates = SK.merged(kept, ["event_type"])
+    # the exact side: distinct users, and the rank of the estimated median
+    exact = ev.groupBy("event_type").agg(F.count_distinct("user_id").alias("users"))
+    rank = (ev.join(F.broadcast(estimates.select("event_type", "quantile")), "event_type").groupBy("event_type").agg(
+        F.avg((F.col("value") <= F.col("quantile")).cast("double")).alias("upto"),
+        F.avg((F.col("value") < F.col("quantile")).cast("double")).alias("below")))
+    near = F.abs(F.col("distinct_values") - F.col("users")) <= F.ceil(4 * SK.ERROR * F.col("users"))
+    inside = (F.col("below") <= 0.5 + SK.RANK_ERROR) & (F.col("upto") >= 0.5 - SK.RANK_ERROR)
+    return estimates.join(exact, "event_type").join(rank, "event_type").select(
+        "event_type", "n", "users", near.alias("users_near"), inside.alias("median_near"))
+
+
+def registration_reach(spark, sf_dir):
+    """The datasets that a change reaches through chains of registrations, with
+    the fewest steps; the chains have cycles."""
+    from lakehook.operators.reach import reach
+
+    regs = lake.registrations(_log(spark, sf_dir)).where("transform_id >= 1000000")
+    return reach(regs)
+
+
+def variant_details(spark, sf_dir):
+    """D11 + F9: event details as VARIANT, parsed once per row, read by path."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.try_parse_json("props").alias("details"))
+    return ev.select("event_id", F.try_variant_get("details", "$.k", "int").alias("k"),
+                     F.try_variant_get("details", "$.k", "string").alias("k_text"),
+                     F.try_variant_get("details", "$.missing", "string").alias("missing"),
+                     F.schema_of_variant("details").alias("shape"))
+
+
+def _rough_csv(spark, sf_dir):
+    """Orders as CSV, in which some rows lack a field, have one too many, or hold words
+    for a number."""
+    path = scratch_path(spark, "rough-csv")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat_ws(",", text("o_orderkey"), F.when(F.col("o_orderkey") % 11 == 3, F.lit("many")).otherwise(text("o_custkey")),
+                       text("o_totalprice"))
+    line = F.when(F.col("o_orderkey") % 7 == 2, line).otherwise(F.concat(line, F.lit(',"'), F.col("o_orderstatus"), F.lit(',"')))
+    line = F.when(F.col("o_orderkey") % 13 == 5, F.concat(line, F.lit(",extra"))).otherwise(line)
+    o.select(line.alias("value")).write.text(path)
+    return path
+
+
+def csv_rejects(spark, sf_dir):
+    """Rows of a CSV dataset by their fate: read, or rejected for their number of
+    fields or a value of another type."""
+    good, bad = IO.read_csv_checked(spark, _rough_csv(spark, sf_dir), header=False, schema=(
+        "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string"))
+    kept = good.select("o_orderkey", F.lit("read").alias("fate"), "o_totalprice")
+    key = F.split("record", ",")[0].cast("long")
+    return kept.unionByName(bad.select(key.alias("o_orderkey"), F.col("reason").alias("fate"),
+                                       F.lit(None).cast("double").alias("o_totalprice")))
+
+
 QUERIES.update({
+    "asof_events": asof_events,
+    "merged_sketches": merged_sketches,
+    "registration_reach": registration_reach,
+    "variant_details": variant_details,
+    "csv_rejects": csv_rejects,
     "json_nulls": json_nulls,
     "scan_by_name": scan_by_name,
     "per_file_ordered": per_file_ordered,
     "run_batch": run_batch,
+    "dispatch_sql_files": dispatch_sql_files,
+    "ledger_pending": ledger_pending,
+    "ledger_flags": ledger_flags,
     "dispatch_failures": dispatch_failures,
     "empty_rerun": empty_rerun,
     "update_datasets": update_datasets,

@@ -34,8 +34,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakehook.plans.transforms import ERROR_COL, TABLE_NAME, per_file_transform
-from lakehook.session import checkpoint_root
+from lakehook.plans.transforms import ERROR_COL, TABLE_NAME, per_file_transform, sql_per_file
+from lakehook.session import checkpoint_root, scratch_path, scratch_scope, stored, time_limit
+from lakehook.sources.files import SOURCE_FILE_COL, read_files
+from lakehook.sources.storage import write_empty
 
 OUT_FILE_COL = "out_file"
 OUT_DATASET_COL = "out_dataset_id"
@@ -96,8 +98,24 @@ def dispatch_python(matched: DataFrame, data: DataFrame, file_keys: list[str],
     _write(result.withColumn(OUT_FILE_COL, file_name), out_root, batch_id, "py")
 
 
+# Files that one job opens at most (about). Spark's file index keeps the paths of
+# a job's files on the driver, so this bounds that list.
+FILES_PER_JOB = 10_000
+
+# Columns of a work item that travel with its rows, and the layout of outputs.
+# The prefix keeps them apart from the columns of the files and of the scripts.
+ITEM = ["lake_source", "lake_user", "lake_transform", "lake_dataset", "lake_output", "lake_name"]
+LAYOUT = ["lake_dataset", "lake_user", "lake_output", "lake_name"]
+
+MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
+    ("user_id", T.LongType()), ("transform_id", T.LongType()), ("out_dataset_id", T.LongType()),
+    ("src_file", T.StringType()), ("source_file", T.StringType()), ("name", T.StringType()),
+    ("path", T.StringType()), ("n_rows", T.LongType()), ("error", T.StringType()))])
+
+
 def dispatch_files(spark: SparkSession, matched: DataFrame, resolve: Callable, out_root: str,
-                   batch_id: int = 0, csv_schema=None, max_parallel: int = 8) -> DataFrame | None:
+                   batch_id: int = 0, csv_schema=None, max_parallel: int = 8,
+                   files_per_job: int = FILES_PER_JOB) -> DataFrame | None:
     """T7 over lake files: every matched event runs *its own registration's*
     source file over the file that it names in ``object_details``.
 
@@ -105,104 +123,247 @@ def dispatch_files(spark: SparkSession, matched: DataFrame, resolve: Callable, o
 
     * ``("pandas_file", process_df, schema)``: all files of the script in one
       job, pandas file by file in the file's row order, whatever its size;
-    * ``("sql", text)`` or ``("spark_frame", fn)``: the script or the DataFrame
-      function over each file by itself, as concurrent jobs.
+    * ``("sql", text)``: all files in one job, the script over each file by itself
+      (:func:`lakehook.plans.transforms.sql_per_file`); files of one script are
+      read with their columns merged by name;
+    * ``("sql_file", text)`` or ``("spark_frame", fn)``: a job for each file; this is
+      also what becomes of an ``sql`` script that Catalyst cannot decorrelate, as
+      one with a subquery inside a subquery.
 
     A result is one output: (user, output dataset, source file, transform), under
     the source file's base name with a ``.parquet`` extension, in a directory of
     its own that the catalog can point to; files with one base name, and files of
     two users, never meet. A rerun replaces an output, also by an empty one. A
-    file whose script raises leaves its earlier output and does not stop others.
+    file whose script raises leaves its earlier output and does not stop others:
+    of a job over many files that fails, halves are run until the file is alone,
+    and then the script by itself.
+
+    A registration's ``timeout`` (seconds) bounds the work on each file: pandas
+    code by an alarm in its task, jobs by cancelling their tag; a job over n files
+    has n times as long before it is halved.
+
+    The work items are a stored table. A script's function runs once per item and
+    attempt: its rows are written to the scratch space, and outputs, counts and the
+    manifest are made from there. The manifest is a join of the work items with
+    these counts; empty outputs are written by tasks. On the driver are the scripts
+    and the paths of one job's files, at most about ``files_per_job``.
 
     Returns the batch's manifest (also under ``<out_root>-manifest``): user_id,
     transform_id, out_dataset_id, src_file, source_file, name, path, n_rows,
     error; or None when nothing matched.
     """
+    with scratch_scope(spark):
+        work = stored(_files_to_run(matched), "dispatch-work")
+        scripts = work.groupBy("src_file", "timeout").agg(
+            F.count_distinct("lake_source").alias("files")).collect()  # a catalog's scripts
+        if not scripts:
+            return None
+        parts = scratch_path(spark, "dispatch-manifest")
+        for r in sorted(scripts, key=lambda r: (r["src_file"], r["timeout"] or 0)):
+            job = _Job(spark, r["src_file"], resolve(r["src_file"]), r["timeout"], out_root, parts, csv_schema, max_parallel)
+            chunks = -(-r["files"] // files_per_job)
+            for k in range(chunks):
+                job.run(work.where(F.col("src_file").eqNullSafe(r["src_file"]) & F.col("timeout").eqNullSafe(r["timeout"])
+                                   & (F.pmod(F.xxhash64("lake_source"), F.lit(chunks)) == k)))
+        target = f"{out_root.rstrip('/')}-manifest/batch_id={batch_id}"
+        spark.read.schema(MANIFEST).parquet(parts).write.mode("overwrite").parquet(target)
+    return spark.read.schema(MANIFEST).parquet(target)
+
+
+def _files_to_run(matched: DataFrame) -> DataFrame:
+    """Distinct (file, transform) pairs of a batch with their output's key and name."""
     from lakehook.functions import scalars as S
-    from lakehook.sources.files import SOURCE_FILE_COL, normalize_path, read_files
+    from lakehook.sources.files import normalize_path
 
-    checkpoint_root(spark)
     obj = F.col("object_details")
+    limit = F.col("timeout").cast("double") if "timeout" in matched.columns else F.lit(None).cast("double")
     work = matched.select(
-        normalize_path(F.get_json_object(obj, "$.path")).alias(SOURCE_FILE_COL),
+        normalize_path(F.get_json_object(obj, "$.path")).alias("lake_source"),
         F.lower(F.get_json_object(obj, "$.file_extension")).alias("ext"),
-        "user_id", "transform_id", "out_dataset_id", "src_file").distinct()
-    work = work.withColumn("name", S.force_parquet_extension(S.base_name(SOURCE_FILE_COL))).withColumn(
-        "output", F.hex(F.xxhash64("transform_id", SOURCE_FILE_COL)))
-    work = work.checkpoint(eager=True)
-    group = [SOURCE_FILE_COL, "user_id", "transform_id", "out_dataset_id", "name", "output"]
-    layout = ["out_dataset_id", "user_id", "output", "name"]
-    scripts = [r[0] for r in work.select("src_file").distinct().collect()]   # a catalog's scripts
-    if not scripts:
-        return None
-    found = []
-    for script in sorted(scripts):
-        kind, body, *schema = resolve(script)
-        mine = work.where(F.col("src_file") == script)
-        # the paths of the files to read: what Spark's own file index holds
-        items = [r.asDict() for r in mine.collect()]
-        root = f"{out_root.rstrip('/')}/script={script.rsplit('/', 1)[-1]}"
-        errors: dict[tuple, str] = {}
-        if kind == "pandas_file":
-            paths: dict[str, list[str]] = {}
-            for i in items:
-                if i[SOURCE_FILE_COL] not in paths.setdefault(i["ext"], []):
-                    paths[i["ext"]].append(i[SOURCE_FILE_COL])
-            data = read_files(spark, paths, csv_schema, positions=True)
-            result = per_file_transform(data.join(mine.select(*group), SOURCE_FILE_COL), body, schema[0],
-                                        group, failures=True).persist()
-            (result.where(F.col(ERROR_COL).isNull()).drop(ERROR_COL, SOURCE_FILE_COL, "transform_id")
-             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy(*layout).parquet(root))
-            counts = {(r["output"], r["user_id"], r["out_dataset_id"]): (r["n"], r["error"]) for r in
-                      result.groupBy("output", "user_id", "out_dataset_id").agg(
-                          F.count(F.lit(1)).alias("n"), F.first(ERROR_COL, ignorenulls=True).alias("error")).collect()}
-            empty = result.drop(ERROR_COL, *group).limit(0)
-            for i in items:
-                n, error = counts.get((i["output"], i["user_id"], i["out_dataset_id"]), (0, None))
-                i["n_rows"], i["error"] = (None, error) if error else (n, None)
-                if n == 0:
-                    empty.write.mode("overwrite").parquet(_place(root, i))
-            result.unpersist()
-        elif kind in ("sql", "spark_frame"):
-            def execute(i):
-                try:
-                    session = spark.newSession()
-                    frame = read_files(session, {i["ext"]: [i[SOURCE_FILE_COL]]}, csv_schema).drop(SOURCE_FILE_COL)
-                    if kind == "sql":
-                        frame.createOrReplaceTempView(TABLE_NAME)
-                        frame = session.sql(body)
+        F.col("user_id").alias("lake_user"), F.col("transform_id").alias("lake_transform"),
+        F.col("out_dataset_id").alias("lake_dataset"), "src_file", limit.alias("timeout")).distinct()
+    return work.withColumns({
+        "lake_name": S.force_parquet_extension(S.base_name("lake_source")),
+        "lake_output": output_key("lake_transform", "lake_source")})
+
+
+class _Job:
+    """One script over files that one job can open."""
+
+    def __init__(self, spark, script, runtime, timeout, out_root, parts, csv_schema, max_parallel):
+        self.spark, self.script, self.timeout = spark, script, timeout
+        self.kind, self.body, *self.schema = runtime
+        self.root = script_root(out_root, script)
+        self.parts, self.csv_schema, self.max_parallel = parts, csv_schema, max_parallel
+
+    def run(self, work: DataFrame) -> None:
+        """Outputs of the work items, and their rows of the manifest."""
+        runs = {"pandas_file": self._pandas, "sql": self._sql, "sql_file": self._each, "spark_frame": self._each}
+        if self.kind not in runs:
+            raise ValueError(f"unknown runtime {self.kind!r} of {self.script}")
+        self.items = scratch_path(self.spark, "dispatch-items")
+        work.withColumn("path", _place(self.root)).write.parquet(self.items)
+        items = self._items(self.spark)
+        runs[self.kind](items).select(
+            F.col("lake_user").alias("user_id"), F.col("lake_transform").alias("transform_id"),
+            F.col("lake_dataset").alias("out_dataset_id"), F.lit(self.script).alias("src_file"),
+            F.col("lake_source").alias("source_file"), F.col("lake_name").alias("name"), "path",
+            F.col("n").cast("long").alias("n_rows"), "error").write.mode("append").parquet(self.parts)
+
+    def _items(self, session: SparkSession) -> DataFrame:
+        return session.read.parquet(self.items)
+
+    def _paths(self, items: DataFrame) -> list[tuple[str, str]]:
+        return sorted(tuple(r) for r in items.select("lake_source", "ext").distinct().collect())
+
+    def _read(self, session: SparkSession, paths: list[tuple[str, str]], positions: bool = False) -> DataFrame:
+        by_ext: dict[str, list[str]] = {}
+        for path, ext in paths:
+            by_ext.setdefault(ext, []).append(path)
+        return read_files(session, by_ext, self.csv_schema, positions)
+
+    def _pandas(self, items: DataFrame) -> DataFrame:
+        data = self._read(self.spark, self._paths(items), positions=True).withColumnRenamed(SOURCE_FILE_COL, "lake_source")
+        rows = stored(per_file_transform(data.join(items.select(*ITEM), "lake_source"), self.body, self.schema[0],
+                                         ITEM, failures=True, timeout=self.timeout), "dispatch-rows")
+        errors = rows.where(F.col(ERROR_COL).isNotNull()).select(
+            "lake_output", "lake_user", "lake_dataset", F.col(ERROR_COL).alias("error"))
+        return self._written(items, [rows.where(F.col(ERROR_COL).isNull()).drop(ERROR_COL)], errors)
+
+    def _sql(self, items: DataFrame) -> DataFrame:
+        """The script over all files; over halves of them where that fails.
+
+        A file that fails alone, and every file of a script that Catalyst cannot
+        decorrelate, is left to the script by itself.
+        """
+        results, alone, open_ = [], [], [self._paths(items)]
+        every = len(open_[0])
+        while open_:
+            paths = open_.pop()
+            try:
+                with time_limit(self.spark, self.timeout and self.timeout * len(paths)):
+                    results.append(stored(self._over(paths, every), "dispatch-rows"))
+            except Exception:  # the script's own failure, which its file gets alone
+                if len(paths) > 1 and (len(paths) < every or self._runs_at_all(paths)):
+                    open_ += [paths[len(paths) // 2:], paths[:len(paths) // 2]]
+                else:
+                    alone += paths
+        if not alone:
+            return self._written(items, results, self._errors())
+        left = F.broadcast(self.spark.createDataFrame([(p,) for p, _ in alone], "lake_source string"))
+        rest = self._each(items.join(left, "lake_source", "left_semi"))
+        done = items.join(left, "lake_source", "left_anti")
+        return self._written(done, results, self._errors()).select(rest.columns).union(rest)
+
+    def _over(self, paths: list[tuple[str, str]], every: int, rows: int | None = None) -> DataFrame:
+        session = self.spark.newSession()
+        mine = self._items(session).select(*ITEM)
+        if len(paths) < every:
+            some = session.createDataFrame([(p,) for p, _ in paths], "lake_source string")
+            mine = mine.join(F.broadcast(some), "lake_source").select(*ITEM)
+        data = self._read(session, paths)
+        return sql_per_file(self.body, data if rows is None else data.limit(rows), mine, (SOURCE_FILE_COL, "lake_source"))
+
+    def _runs_at_all(self, paths: list[tuple[str, str]]) -> bool:
+        """Whether the script over many files at once can be planned and run, by one row."""
+        try:
+            self._over(paths[:1], len(paths), rows=1).collect()
+            return True
+        except Exception:
+            return False
+
+    def _errors(self) -> DataFrame:
+        return self.spark.createDataFrame([], "lake_output string, lake_user long, lake_dataset long, error string")
+
+    def _written(self, items: DataFrame, results: list[DataFrame], errors: DataFrame) -> DataFrame:
+        """Outputs from stored rows; the items with n and error."""
+        keys = ["lake_output", "lake_user", "lake_dataset"]
+        counts = self.spark.createDataFrame([], "lake_output string, lake_user long, lake_dataset long, n long")
+        for rows in results:
+            counts = counts.union(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+            (rows.drop("lake_source", "lake_transform").write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(*LAYOUT).parquet(self.root))
+        # a file's script raises once or gives rows
+        errors = errors.groupBy(*keys).agg(F.min("error").alias("error"))
+        done = items.join(counts, keys, "left").join(errors, keys, "left")
+        done = stored(done.withColumn("n", F.when(F.col("error").isNull(), F.coalesce("n", F.lit(0)))), "dispatch-done")
+        if results:
+            write_empty(done.where("n = 0"), results[0].drop(*ITEM).schema)
+        return done
+
+    def _each(self, items: DataFrame) -> DataFrame:
+        """A job for each work item."""
+        todo = [r.asDict() for r in items.select("lake_source", "ext", "lake_output", "path").collect()]
+
+        def execute(i):
+            try:
+                with time_limit(self.spark, self.timeout):
+                    session = self.spark.newSession()
+                    frame = self._read(session, [(i["lake_source"], i["ext"])]).drop(SOURCE_FILE_COL)
+                    if self.kind == "spark_frame":
+                        frame = self.body(frame)
                     else:
-                        frame = body(frame)
-                    frame.write.mode("overwrite").parquet(_place(root, i))
-                    return session.read.parquet(_place(root, i)).count(), None
-                except Exception as error:  # the script's own failure: noted, others go on
-                    return None, f"{type(error).__name__}: {error}"[:1000]
-
-            with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as pool:
-                for i, (n, error) in zip(items, pool.map(execute, items)):
-                    i["n_rows"], i["error"] = n, error
-        else:
-            raise ValueError(f"unknown runtime {kind!r} of {script}")
-        found += [{**i, "path": _place(root, i)} for i in items]
-    manifest = spark.createDataFrame(
-        [tuple(i[c] for c in MANIFEST.fieldNames()) for i in found], MANIFEST)
-    target = f"{out_root.rstrip('/')}-manifest/batch_id={batch_id}"
-    manifest.write.mode("overwrite").parquet(target)
-    return spark.read.schema(MANIFEST).parquet(target)
+                        frame.createOrReplaceTempView(TABLE_NAME)
+                        frame = session.sql(self.body)
+                    frame.write.mode("overwrite").parquet(i["path"])
+                return session.read.parquet(i["path"]).count(), None
+            except Exception as error:  # the script's own failure: noted, others go on
+                return None, _said(error)
 
+        with ThreadPoolExecutor(max_workers=max(1, self.max_parallel)) as pool:
+            done = [(i["path"], n, error) for i, (n, error) in zip(todo, pool.map(execute, todo))]
+        # items share a file when several registrations match it, but no path
+        return items.join(F.broadcast(self.spark.createDataFrame(done, "path string, n long, error string")), "path").select(
+            *items.columns, "n", "error")
 
-MANIFEST = T.StructType([T.StructField(n, t) for n, t in (
-    ("user_id", T.LongType()), ("transform_id", T.LongType()), ("out_dataset_id", T.LongType()),
-    ("src_file", T.StringType()), ("source_file", T.StringType()), ("name", T.StringType()),
-    ("path", T.StringType()), ("n_rows", T.LongType()), ("error", T.StringType()))])
 
+def _said(error: Exception) -> str:
+    """The error and what it was caused by first of all."""
+    text = str(error)
+    causes = [line.removeprefix("Caused by: ") for line in map(str.strip, text.split("\n")) if line.startswith("Caused by: ")]
+    return f"{type(error).__name__}: {text[:500]}" + (f" ... caused by {causes[-1][:400]}" if causes and causes[-1] not in text[:500] else "")
 
-def _place(root: str, item: dict) -> str:
-    """Directory of one output, as ``partitionBy`` lays it out."""
-    name = "".join(f"%{ord(c):02X}" if c in "\"#%'*/:=?\\{[]^\x7f" or ord(c) < 32 else c for c in item["name"])
-    return (f"{root}/out_dataset_id={item['out_dataset_id']}/user_id={item['user_id']}"
-            f"/output={item['output']}/name={name}")
+
+def script_root(out_root: str, script: str) -> str:
+    """The directory of a script's outputs."""
+    return f"{out_root.rstrip('/')}/script={script.rsplit('/', 1)[-1]}"
+
+
+# The characters that Spark writes as %XX in a partition's directory.
+ESCAPED = "%\"#'*/:=?\\{[]^\x7f" + "".join(map(chr, range(1, 32)))
+
+
+def _place(root: str) -> Column:
+    """Directory of an item's output, as ``partitionBy`` lays it out."""
+    name = F.col("lake_name")
+    for c in ESCAPED:
+        name = F.replace(name, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return F.concat(F.lit(f"{root}/lake_dataset="), F.col("lake_dataset").cast("string"), F.lit("/lake_user="),
+                    F.col("lake_user").cast("string"), F.lit("/lake_output="), "lake_output", F.lit("/lake_name="), name)
+
+
+def output_rows(spark: SparkSession, manifest: DataFrame, out_root: str) -> DataFrame:
+    """Rows of a manifest's outputs with user_id, out_dataset_id, src_file and name.
+
+    Scripts' output directories are read whole and joined with the manifest, so no
+    path is listed; outputs that the manifest does not name are left out.
+    """
+    scripts = [r[0] for r in manifest.where("error is null and n_rows > 0").select("src_file").distinct().collect()]
+    keys = manifest.where("error is null").select(
+        "user_id", "out_dataset_id", "src_file", "name", output_key("transform_id", "source_file").alias("lake_output"))
+    out = None
+    for script in sorted(scripts):
+        rows = spark.read.option("mergeSchema", True).parquet(script_root(out_root, script)).drop("lake_name").withColumns({
+            "user_id": F.col("lake_user").cast("long"), "out_dataset_id": F.col("lake_dataset").cast("long"),
+            "src_file": F.lit(script)}).drop("lake_user", "lake_dataset")
+        rows = rows.join(keys, ["user_id", "out_dataset_id", "src_file", "lake_output"]).drop("lake_output")
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    return out
+
+
+def output_key(transform: str, source: str) -> Column:
+    """Names an output by its transform and source file; never read as a number."""
+    return F.concat(F.lit("o"), F.hex(F.xxhash64(transform, source)))
 
 
 def dispatch_sql(spark: SparkSession, matched: DataFrame,
@@ -344,7 +505,8 @@ def run_batch(spark: SparkSession, log: DataFrame, transforms: DataFrame, files:
         files.write.mode("overwrite").parquet(files_out)
         return {"high_water": None, "dispatched": 0, "failed": 0, "outputs": 0}
     batch = log.filter(F.col("log_id") <= F.lit(hw))
-    manifest = dispatch_files(spark, match_triggers(batch, transforms), resolve, out_root, batch_id, csv_schema)
+    with scratch_scope(spark):  # the match's ranked registrations
+        manifest = dispatch_files(spark, match_triggers(batch, transforms), resolve, out_root, batch_id, csv_schema)
     new_files, new_log, counts = files, mark_processed(log, hw), (0, 0)
     if manifest is not None:
         next_file = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0] + 1
@@ -359,3 +521,40 @@ def run_batch(spark: SparkSession, log: DataFrame, transforms: DataFrame, files:
     return {"high_water": hw, "dispatched": counts[0], "failed": counts[1],
             "outputs": spark.read.parquet(log_out).filter(
                 F.col("is_transform_output") & (F.col("log_id") > F.lit(hw))).count()}
+
+
+def run_log_batch(spark: SparkSession, log_path: str, transforms: DataFrame, files: DataFrame,
+                  resolve: Callable, out_root: str, files_out: str, now, batch_id: int, csv_schema=None) -> dict:
+    """:func:`run_batch` over an appended log with a ledger (:mod:`lakehook.operators.ledger`).
+
+    Reads the days with pending events only. Output events are appended to the log
+    under the batch's name, and the processed range is one appended row of the
+    ledger: the log itself is not rewritten. The range is written last, so a batch
+    that fails before is repeated, and replaces what it has written. The new file
+    catalog goes to ``files_out``. Returns counts of the batch.
+    """
+    from lakehook.operators import ledger
+    from lakehook.operators.match import match_triggers
+
+    batch = ledger.pending_events(spark, log_path)
+    hw = batch.where(~F.coalesce("is_transform_output", F.lit(False))).agg(F.max("log_id")).first()[0]
+    if hw is None:
+        files.write.mode("overwrite").parquet(files_out)
+        return {"high_water": None, "dispatched": 0, "failed": 0, "outputs": 0}
+    counts, outputs = (0, 0), 0
+    with scratch_scope(spark):
+        matched = match_triggers(batch.where(F.col("log_id") <= hw).drop("day"), transforms)
+        manifest = dispatch_files(spark, matched, resolve, out_root, batch_id, csv_schema)
+        new_files = files
+        if manifest is not None:
+            next_file = files.agg(F.coalesce(F.max("file_id"), F.lit(0))).first()[0] + 1
+            new_files, events = record_outputs(
+                manifest.where("error is null").select("user_id", F.col("out_dataset_id").alias("dataset_id"), "name", "path"),
+                files, now, next_file, ledger.next_log_id(spark, log_path))
+            events = stored(events, "output-events")
+            outputs = events.count()
+            ledger.append(events, log_path, writer=f"batch-{batch_id}")
+            counts = manifest.agg(F.count(F.lit(1)), F.count("error")).first()
+        new_files.write.mode("overwrite").parquet(files_out)
+    ledger.mark(spark, log_path, hw, batch_id)
+    return {"high_water": hw, "dispatched": counts[0], "failed": counts[1], "outputs": outputs}

@@ -452,10 +452,23 @@ SELECT CAST(regexp_extract(dataset, '(\\d+)$', 1) AS BIGINT) AS dataset_id, 'PUT
 FROM files WHERE lang = 'de'"""
 
 ORACLES["lake_flow"] = """
-SELECT 'orders_' || o_orderstatus || '.parquet' AS out_file, CAST(2 AS BIGINT) AS out_dataset_id,
-       o_orderpriority, count(*) AS n, max(o_totalprice) AS max_price
+SELECT 'orders_' || o_orderstatus || '_' || (o_orderkey // 1000) || '.parquet' AS out_file,
+       CAST(2 AS BIGINT) AS out_dataset_id, o_orderpriority, count(*) AS n, max(o_totalprice) AS max_price
 FROM orders
-GROUP BY o_orderstatus, o_orderpriority"""
+GROUP BY o_orderstatus, o_orderkey // 1000, o_orderpriority"""
+
+ORACLES["dispatch_sql_files"] = """
+SELECT 'events_' || (event_id // 1000) || '.parquet' AS name, event_type, count(*) AS n, max(value) AS top,
+       arg_max(event_id, (value, -event_id)) AS top_event
+FROM events GROUP BY event_id // 1000, event_type"""
+
+ORACLES["ledger_pending"] = f"""
+WITH {_LOG}
+SELECT log_id, user_id, action FROM log WHERE log_id > (SELECT max(log_id) // 2 FROM log)"""
+
+ORACLES["ledger_flags"] = f"""
+WITH {_LOG}, half AS (SELECT max(log_id) // 2 AS h FROM log)
+SELECT log_id, log_id <= h + h // 2 AS processed FROM log, half"""
 
 ORACLES["create_datasets"] = """
 WITH req AS (SELECT c_custkey AS user_id, lower(c_mktsegment) AS name FROM customer
@@ -566,7 +579,8 @@ SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderkey % 4 = 3 THEN o_
 FROM orders"""
 
 _TWO_USERS = """
-f AS (SELECT 1 + o_custkey % 2 AS user_id, 'orders_' || o_orderstatus || '.parquet' AS name, o_orderstatus,
+f AS (SELECT 1 + o_custkey % 2 AS user_id,
+             'orders_' || o_orderstatus || '_' || (o_orderkey // 1000) || '.parquet' AS name, o_orderstatus,
              count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL)"""
 
 ORACLES["run_batch"] = f"""
@@ -581,7 +595,7 @@ SELECT user_id, CASE user_id WHEN 1 THEN 'status.py' ELSE 'total.sql' END AS src
 FROM f"""
 
 ORACLES["empty_rerun"] = """
-SELECT 'orders_' || o_orderstatus || '.parquet' AS name, o_orderkey FROM orders
+SELECT 'orders_' || o_orderstatus || '_' || (o_orderkey // 1000) || '.parquet' AS name, o_orderkey FROM orders
 WHERE o_custkey % 2 = 0 AND o_orderstatus <> 'F'"""
 
 ORACLES["match_salted"] = f"SELECT log_id, transform_id FROM ({TRIGGER_MATCH})"
@@ -615,3 +629,33 @@ WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"""
 
 ORACLES["delete_files"] = """
 SELECT o_custkey AS user_id, o_orderkey AS file_id FROM orders WHERE o_orderpriority <> '1-URGENT'"""
+
+ORACLES["asof_events"] = """
+WITH ev AS (SELECT event_id, event_type, value,
+                   CASE user_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS grp FROM events),
+bought AS (SELECT * FROM ev WHERE event_type = 'purchase')
+SELECT e.event_id, e.grp, b.event_id AS purchase_id, b.value AS purchase_value
+FROM (SELECT * FROM ev WHERE event_type = 'error') e ASOF LEFT JOIN bought b
+  ON e.grp = b.grp AND e.event_id >= b.event_id"""
+
+ORACLES["merged_sketches"] = """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, true AS users_near, true AS median_near
+FROM events GROUP BY event_type"""
+
+ORACLES["registration_reach"] = f"""
+WITH RECURSIVE {_LOG}, {_REG},
+step AS (SELECT DISTINCT in_node_id AS s, out_node_id AS t FROM reg WHERE transform_id >= 1000000),
+walk AS (SELECT s, t, 1 AS hops FROM step
+         UNION SELECT w.s, e.t, w.hops + 1 FROM walk w JOIN step e ON e.s = w.t WHERE w.hops < 10)
+SELECT s AS in_dataset_id, CAST(t AS BIGINT) AS out_dataset_id, min(hops) AS hops FROM walk GROUP BY ALL"""
+
+ORACLES["variant_details"] = """
+SELECT event_id, CAST(props->>'$.k' AS INT) AS k, props->>'$.k' AS k_text, NULL::VARCHAR AS missing,
+       'OBJECT<k: BIGINT>' AS shape FROM events"""
+
+ORACLES["csv_rejects"] = """
+SELECT o_orderkey,
+       CASE WHEN (o_orderkey % 7 = 2) <> (o_orderkey % 13 = 5) THEN 'columns'
+            WHEN o_orderkey % 11 = 3 THEN 'type' ELSE 'read' END AS fate,
+       CASE WHEN (o_orderkey % 7 = 2) = (o_orderkey % 13 = 5) AND o_orderkey % 11 <> 3 THEN o_totalprice END AS o_totalprice
+FROM orders"""

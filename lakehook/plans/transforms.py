@@ -10,7 +10,10 @@
 
 from __future__ import annotations
 
+import signal
+import threading
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -78,9 +81,50 @@ def _run_pandas_api(df, process_df, ps):
         return out.to_spark()
 
 
+@contextmanager
+def alarm(seconds: float | None) -> Iterator[None]:
+    """Raise TimeoutError in a task's Python code after ``seconds``."""
+    if seconds is None or threading.current_thread() is not threading.main_thread():
+        yield
+        return
+
+    def ring(*_):
+        raise TimeoutError(f"ended after {seconds:g} s")
+
+    before = signal.signal(signal.SIGALRM, ring)
+    signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        signal.setitimer(signal.ITIMER_REAL, 0)
+        signal.signal(signal.SIGALRM, before)
+
+
+def sql_per_file(script: str, rows: DataFrame, files: DataFrame, on: tuple[str, str]) -> DataFrame:
+    """T1 over many files at once: ``script`` runs over each file's rows by itself.
+
+    A lateral join of ``files`` with the script, in which ``return_arrow_table``
+    stands for the rows whose ``on[0]`` equals the file's ``on[1]``; Catalyst
+    decorrelates it into joins, grouped aggregates and windows, so all files are
+    one job. A file without rows is an empty table: a global aggregate still
+    gives its row. The result has the columns of ``files`` and then the script's;
+    its rows have no order. A script that Catalyst cannot decorrelate raises
+    AnalysisException here, before any job.
+    """
+    session = rows.sparkSession
+    rows.createOrReplaceTempView("lake_rows")
+    files.createOrReplaceTempView("lake_files")
+    columns = ", ".join("`" + c.replace("`", "``") + "`" for c in rows.columns if c != on[0])
+    return session.sql(f"""SELECT lake_files.*, lake_result.* FROM lake_files, LATERAL (
+        WITH {TABLE_NAME} AS (SELECT {columns} FROM lake_rows WHERE lake_rows.`{on[0]}` = lake_files.`{on[1]}`)
+        SELECT * FROM (
+{script.strip().rstrip(';')}
+)) lake_result""")
+
+
 def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType | str,
                        file_cols: list[str] | str = "source_file", order_by: Sequence[str] = (),
-                       failures: bool = False) -> DataFrame:
+                       failures: bool = False, timeout: float | None = None) -> DataFrame:
     """T4: run a pandas ``process_df`` once per file, all files in one job.
 
     A file is a group of rows with equal ``file_cols`` (several columns make a
@@ -94,7 +138,8 @@ def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType
 
     With ``failures``, a file whose call raises gives one row with the text of
     the exception in ``ERROR_COL`` (NULL in all other rows), and other files go
-    on; without, the job fails.
+    on; without, the job fails. A call that takes longer than ``timeout`` seconds
+    is ended by an alarm and counts as one that raises.
     """
     keys = [file_cols] if isinstance(file_cols, str) else list(file_cols)
     out_schema = schema if isinstance(schema, T.StructType) else T._parse_datatype_string(schema)
@@ -108,7 +153,8 @@ def per_file_transform(df: DataFrame, process_df: Callable, schema: T.StructType
     def run_file(pdf: pd.DataFrame) -> pd.DataFrame:
         ident = {k: pdf[k].iloc[0] for k in keys}
         try:
-            res = process_df(pdf.drop(columns=hidden).reset_index(drop=True)).reset_index(drop=True)
+            with alarm(timeout):
+                res = process_df(pdf.drop(columns=hidden).reset_index(drop=True)).reset_index(drop=True)
             if failures:
                 res[ERROR_COL] = None
             res = res[[n for n in names if n not in keys]]

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every lakehook job relies on. AQE re-plans joins from runtime sizes
 # (sort-merge -> broadcast when a side turns out small, skewed partitions are
@@ -77,7 +80,81 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A fresh, unique directory name under the shared checkpoint folder."""
     root = checkpoint_root(spark).rstrip("/")
     leaf = "-".join(p for p in parts if p) or "scratch"
-    return f"{root}/lakehook/{leaf}-{uuid.uuid4().hex[:12]}"
+    path = f"{root}/lakehook/{leaf}-{uuid.uuid4().hex[:12]}"
+    if scopes := getattr(_OPEN, "scopes", None):
+        scopes[-1].append(path)
+    return path
+
+
+_OPEN = threading.local()
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders that this thread takes inside are removed at the end.
+
+    For code that has written its result somewhere else by then; a DataFrame that
+    still reads a scratch table must not leave the block.
+    """
+    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    scopes.append([])
+    try:
+        yield
+    finally:
+        for path in scopes.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the lake or of the scratch space, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the scratch space and read back: what made it runs once,
+    its size is known to the planner, and a lost executor costs a re-read."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def time_limit(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """End the Spark jobs that this thread runs inside after ``seconds``.
+
+    The jobs carry a tag, and a watcher cancels what has the tag from the deadline
+    on, jobs begun later too. The block then raises TimeoutError.
+    """
+    if seconds is None:
+        yield
+        return
+    sc, tag = spark.sparkContext, f"lakehook-{uuid.uuid4().hex}"
+    over, late = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        if not over.wait(seconds):
+            late.set()
+            while True:
+                sc.cancelJobsWithTag(tag)
+                if over.wait(0.2):
+                    return
+
+    sc.addJobTag(tag)
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        yield
+    except Exception as error:
+        if late.is_set():
+            raise TimeoutError(f"ended after {seconds:g} s") from error
+        raise
+    finally:
+        over.set()
+        watcher.join()
+        sc.removeJobTag(tag)
+    if late.is_set():
+        raise TimeoutError(f"ended after {seconds:g} s")
 
 
 def ship_package() -> None:

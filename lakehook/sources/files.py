@@ -21,11 +21,15 @@ from lakehook.functions import scalars as S
 from lakehook.operators import mutate as M
 from lakehook.operators.ids import with_ids
 from lakehook.schemas import OBJECT_FILE, SERVICE_DATASETS
+from lakehook.session import scratch_path, stored
+from lakehook.sources.storage import copy_file, first_line, for_each, move_directory, write_empty
 
 PARQUET_EXTENSIONS = ("pq", "parquet")
 CSV_EXTENSIONS = ("csv",)
 SOURCE_FILE_COL = "source_file"
 PART_COL, ROW_COL = "__part", "__row"
+# Files whose paths one job holds on the driver, as Spark's file index does, at most (about).
+FILES_PER_JOB = 10_000
 
 
 def read_parquet(spark: SparkSession, *paths: str) -> DataFrame:
@@ -41,6 +45,35 @@ def read_csv(spark: SparkSession, *paths: str, schema: T.StructType | str | None
     return reader.csv(list(paths))
 
 
+CORRUPT_COL = "_corrupt_record"
+
+
+def read_csv_checked(spark: SparkSession, *paths: str, schema: T.StructType | str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """S2 with a defined fate for bad rows: (good rows, rejected rows).
+
+    A row is rejected when it has another number of fields than ``schema``
+    (``columns``), a value that is not of its column's type (``type``), or cannot be
+    taken apart otherwise (``record``); the rejected table has its file, the whole record as it stands there, and the
+    reason. An empty value is NULL and no error. The files are parsed once, with all
+    columns, into a stored table that both frames read: which rows are good does not
+    depend on the columns that are selected later.
+    """
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    whole = T.StructType([*declared.fields, T.StructField(CORRUPT_COL, T.StringType())])
+    rows = (spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT_COL)
+            .schema(whole).csv(list(paths)))
+    rows = stored(rows.withColumn(SOURCE_FILE_COL, logical_file()), "csv-checked")
+    # commas outside of quotes
+    short = F.size(F.split(F.regexp_replace(CORRUPT_COL, r'"(?:[^"\\]|\\.)*"', ""), ",")) != len(declared)
+    absent = F.lit(False)
+    for f in declared.fields:
+        absent = absent | F.col(f"`{f.name}`").isNull()
+    bad = rows.where(F.col(CORRUPT_COL).isNotNull()).select(
+        SOURCE_FILE_COL, F.col(CORRUPT_COL).alias("record"),
+        F.when(short, F.lit("columns")).when(absent, F.lit("type")).otherwise(F.lit("record")).alias("reason"))
+    return rows.where(F.col(CORRUPT_COL).isNull()).drop(CORRUPT_COL, SOURCE_FILE_COL), bad
+
+
 def logical_file(file_path=None):
     """The lake file a row came from, as the catalog writes its path. Spark
     writes a "file" as a directory of ``part-*`` files; this strips the part
@@ -73,28 +106,30 @@ def _metadata_fields(df: DataFrame) -> list[str]:
     return df.select("_metadata").schema[0].dataType.fieldNames()
 
 
+def _bound(header: Sequence[str], schema) -> T.StructType | None:
+    """The declared types of a file's columns, in its order; text for the others."""
+    if schema is None:
+        return None
+    declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    types = {f.name: f.dataType for f in declared.fields}
+    return T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+
+
 def _csv_by_header(spark: SparkSession, paths: list[str], schema) -> list[DataFrame]:
-    """CSV files bound by column name: one read per distinct header. Reading a
-    header takes Spark one line of the file; a declared schema gives the types of
-    the columns that a file has, and its other columns are read as text."""
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        headers = list(pool.map(lambda p: tuple(spark.read.option("header", True).csv(p).columns), paths))
-    groups: dict[tuple, list[str]] = {}
-    for path, header in zip(paths, headers):
-        groups.setdefault(header, []).append(path)
-    declared = schema
-    if isinstance(schema, str):
-        declared = T._parse_datatype_string(schema)
-    out = []
-    for header, some in groups.items():
-        bound = None
-        if declared is not None:
-            types = {f.name: f.dataType for f in declared.fields}
-            bound = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
-        out.append(read_csv(spark, *some, schema=bound))
-    return out
+    """CSV files bound by column name: one read per distinct header. The headers are
+    read in tasks, one line of each file; a declared schema gives the types of
+    the columns that a file has, and its other columns are read as text. Files
+    without a line have no columns and no rows."""
+    if len(paths) == 1:  # Spark reads the header of the one file as it binds it
+        header = spark.read.option("header", True).csv(paths).columns
+        return [read_csv(spark, *paths, schema=_bound(header, schema))]
+    todo = spark.createDataFrame([(p,) for p in paths], "landing_path string")
+    todo = todo.repartition(min(len(paths), max(1, spark.sparkContext.defaultParallelism)))
+    groups = for_each(todo, first_line, "landing_path string, header array<string>").groupBy("header").agg(
+        F.sort_array(F.collect_list("landing_path")).alias("paths")).collect()
+    out = [read_csv(spark, *r["paths"], schema=_bound(r["header"], schema))
+           for r in sorted(groups, key=lambda r: r["header"]) if r["header"]]
+    return out or [read_csv(spark, *paths, schema=_bound([], schema) or T.StructType([]))]
 
 
 def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
@@ -232,39 +267,77 @@ def append_events(rows: DataFrame, log_path: str) -> None:
          .write.mode("append").partitionBy("day").parquet(log_path))
 
 
+def _landed(spark: SparkSession, landing: DataFrame, dataset_root: str, csv_schema) -> DataFrame:
+    """(name, path, size_bytes) of landing files brought into the dataset, as a stored
+    table; a number of jobs that depends on the distinct CSV headers alone."""
+    target = F.concat(F.lit(f"{dataset_root.rstrip('/')}/"), S.force_parquet_extension("name"))
+    todo = stored(landing.select("name", "landing_path", F.lower("file_extension").alias("ext"), target.alias("path")), "ingest")
+    known = F.col("ext").isin(*PARQUET_EXTENSIONS, *CSV_EXTENSIONS)
+    if odd := todo.where(~F.coalesce(known, F.lit(False))).select("ext").distinct().limit(5).collect():
+        raise ValueError(f"unsupported file extensions: {sorted(str(r[0]) for r in odd)}")
+    ddl = "name string, landing_path string, path string"
+    # Parquet files are copied as they are
+    done = [stored(for_each(todo.where(F.col("ext").isin(*PARQUET_EXTENSIONS)).select("name", "landing_path", "path")
+                            .repartition("path"), copy_file, ddl + ", size_bytes long"), "ingest-copied")]
+    headed = stored(for_each(todo.where(F.col("ext").isin(*CSV_EXTENSIONS)).select("name", "landing_path", "path")
+                             .repartition("path"), first_line, ddl + ", header array<string>"), "ingest-headers")
+    for r in headed.groupBy("header").agg(F.count(F.lit(1)).alias("n")).orderBy("header").collect():
+        mine = headed.where(F.col("header") == F.array(*map(F.lit, r["header"])) if r["header"] else F.size("header") == 0)
+        chunks = -(-r["n"] // FILES_PER_JOB)
+        for k in range(chunks):
+            some = mine.where(F.pmod(F.xxhash64("landing_path"), F.lit(chunks)) == k)
+            done.append(_written_csv(spark, some, r["header"], dataset_root, csv_schema))
+    out = done[0].select("name", "path", "size_bytes")
+    for d in done[1:]:
+        out = out.union(d.select("name", "path", "size_bytes"))
+    return out
+
+
+def _written_csv(spark: SparkSession, files: DataFrame, header: list[str], dataset_root: str, csv_schema) -> DataFrame:
+    """CSV files with one header as Parquet: one read, one partitioned write, one job of moves."""
+    place = F.hex(F.xxhash64("path"))
+    files = files.select("name", "path", normalize_path("landing_path").alias("landing_path"),
+                         F.concat(F.lit("f"), place).alias("lake_file"))
+    staging = scratch_path(spark, "ingest-staged")
+    empty = T.StructType([])
+    if header:
+        paths = [r[0] for r in files.select("landing_path").collect()]  # those of one job
+        rows = _with_source(read_csv(spark, *paths, schema=_bound(header, csv_schema)), False)
+        empty = rows.drop(SOURCE_FILE_COL).schema
+        (rows.join(files.select(F.col("landing_path").alias(SOURCE_FILE_COL), "lake_file"), SOURCE_FILE_COL).drop(SOURCE_FILE_COL)
+         .write.partitionBy("lake_file").parquet(staging))
+        # a header alone gives no directory: those files are empty tables
+        full = spark.read.schema(T.StructType([*empty.fields, T.StructField("lake_file", T.StringType())])).parquet(staging)
+        full = full.groupBy("lake_file").agg(F.count(F.lit(1)).alias("rows"))
+        files = stored(files.join(full, "lake_file", "left"), "ingest-files")
+        bare = files.where("rows is null").withColumn("path", F.concat(F.lit(f"{staging}/lake_file="), "lake_file"))
+    else:
+        bare = files.withColumn("path", F.concat(F.lit(f"{staging}/lake_file="), "lake_file"))
+    write_empty(bare, empty)
+    moves = files.select("name", "path", F.concat(F.lit(f"{staging}/lake_file="), "lake_file").alias("staged"))
+    return stored(for_each(moves.repartition("path"), move_directory, "name string, path string, staged string, size_bytes long"), "ingest-moved")
+
+
 def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_root: str,
            user_id: int, dataset_id: int, owner: str, now: datetime,
            next_file_id: int, next_log_id: int, csv_schema=None):
     """Land files into a dataset, upsert the catalog, log new uploads.
 
     ``landing`` lists ``(name, landing_path, file_extension)`` of the files to
-    ingest. Each file is copied (as Parquet) under ``dataset_root`` with the
-    same base name; its catalog size is what was really written (summed
-    ``_metadata.file_size`` of its parts). The catalog gets a new row per new
+    ingest. Each file lands as Parquet under ``dataset_root`` with the
+    same base name; its catalog size is what was really written. Parquet files are
+    copied as they are, file by file in tasks of one job; CSV files with one header
+    are read and written together (one job for about ``FILES_PER_JOB`` of them) and
+    each brought to its path, so the number of jobs does not follow the number of
+    files. The catalog gets a new row per new
     path, or only a new modification time for an existing one -- and only new
     paths produce a POST event. CSV files are read with ``csv_schema`` when given, else
-    with inferred types. Returns ``(catalog_snapshot, new_events)`` as
+    with types inferred over the files of one header; a CSV file without a line is a
+    table without columns. Returns ``(catalog_snapshot, new_events)`` as
     DataFrames.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    def copy(r):
-        src = read_files(spark, {r["file_extension"].lower(): [r["landing_path"]]},
-                         csv_schema).drop(SOURCE_FILE_COL)
-        return r["name"], write_parquet(src, f"{dataset_root.rstrip('/')}/{r['name']}")
-
-    # one row per landed file (metadata only); the copies run as concurrent jobs
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        written = list(pool.map(copy, landing.collect()))
-    landed = spark.createDataFrame(written, "name string, path string") \
-        .withColumn("path", normalize_path(F.col("path")))
-    # real stored size: one metadata-only scan over everything just written
-    sizes = (read_parquet(spark, *[t for _, t in written])
-             .select(logical_file().alias("path"), F.col("_metadata.file_path").alias("__part"),
-                     F.col("_metadata.file_size").alias("__bytes"))
-             .distinct().groupBy("path").agg(F.sum("__bytes").cast("long").alias("size_bytes")))
-    landed = with_ids(landed.join(sizes, "path", "left"),
-                      {"file_id": next_file_id, "__log_id": next_log_id})
+    landed = _landed(spark, landing, dataset_root, csv_schema).withColumn("path", normalize_path("path"))
+    landed = with_ids(landed, {"file_id": next_file_id, "__log_id": next_log_id})
     ts = F.lit(now).cast("timestamp_ntz")
     staged = landed.select(
         F.lit(user_id).cast("long").alias("user_id"),

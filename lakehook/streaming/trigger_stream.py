@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakehook.operators.match import match_triggers
+from lakehook.operators.registrations import RegistrationStore
+from lakehook.session import scratch_path, scratch_scope
 
 
 def start_dispatch_stream(
@@ -25,7 +27,7 @@ def start_dispatch_stream(
     source_dir: str,
     schema: T.StructType,
     to_log: Callable[[DataFrame], DataFrame],
-    transforms: DataFrame,
+    transforms: DataFrame | RegistrationStore,
     handle_batch: Callable[[DataFrame, int], None],
     checkpoint: str,
     path_glob: str | None = None,
@@ -51,7 +53,17 @@ def start_dispatch_stream(
     dropped, so the delay should exceed how late the log can arrive. It is off
     by default: duplicates are then removed within each micro-batch only, and a
     repeated event rewrites the same output.
+
+    ``transforms`` is a fixed table or a :class:`RegistrationStore`; of the latter,
+    each micro-batch takes the version that is current when it begins, so what is
+    registered while the query runs fires from the next batch on. A fixed table is
+    kept in a store of the query's own. The ranked registrations are written once
+    per version; scratch tables of a micro-batch are removed when it is done.
     """
+    if not isinstance(transforms, RegistrationStore):
+        fixed, transforms = transforms, RegistrationStore(spark, scratch_path(spark, "stream-registrations"))
+        transforms.publish(fixed)
+    store = transforms
     reader = spark.readStream.schema(schema)
     if path_glob:
         reader = reader.option("pathGlobFilter", path_glob)
@@ -68,7 +80,9 @@ def start_dispatch_stream(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         events = batch.dropDuplicates(["log_id"])
-        handle_batch(match_triggers(events, transforms), batch_id)
+        ranked = store.ranked()  # outlives the batch
+        with scratch_scope(spark):
+            handle_batch(match_triggers(events, None, ranked=ranked), batch_id)
 
     writer = log.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if available_now:
