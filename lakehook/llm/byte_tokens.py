@@ -23,6 +23,10 @@ CACHE_PIECES = 400_000
 _PIECES = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[ \n.,;:!?]|\Z)"
     r"| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+# A word after its space. Such words are as independent side by side as alone, so the
+# library encodes TOGETHER of them as one text.
+_WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]++")
+TOGETHER = 4_096
 # A sentence is over after these, before a blank, and with a line.
 _STOPS = tuple(".!?…。！？")
 _CLOSERS = "\"'”’)]"
@@ -38,6 +42,10 @@ class ByteCoder:
         self.specials = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.split_specials = re.compile("|".join(map(re.escape, self.specials)) or r"(?!)")
         self.ids = Remembered(CACHE_PIECES)
+        names = self.library.get_vocab(with_added_tokens=False)
+        # byte-level tokens have a character for each byte
+        self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
+        self.sizes[list(names.values())] = [len(t) for t in names]
         strings = [self.library.decode([i]) for i in range(self.library.get_vocab_size())]
         self.line = np.array(["\n" in t for t in strings])
         self.stop = np.array([t.rstrip(_CLOSERS).endswith(_STOPS) for t in strings])
@@ -52,9 +60,24 @@ class ByteCoder:
 
     def _learn(self, pieces: set[str]) -> None:
         fresh = self.ids.unknown(pieces)
+        words = [p for p in fresh if _WORD.fullmatch(p)]
+        for at in range(0, len(words), TOGETHER):
+            self._learn_words(words[at:at + TOGETHER])
+        fresh = [p for p in fresh if p not in self.ids]
         got = self.library.encode_batch_fast(fresh, add_special_tokens=False)
         self.ids.update(zip(fresh, [array("I", g.ids).tobytes() for g in got]))
 
+    def _learn_words(self, words: list[str]) -> None:
+        """Ids of words from those of their text, cut where each word's bytes end."""
+        text = "".join(words)
+        ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.cumsum(self.sizes[ids])
+        borders = np.cumsum([len(w.encode()) for w in words])
+        upto = np.searchsorted(ends, borders) + 1
+        if upto[-1] == len(ids) and np.array_equal(ends[upto - 1], borders):
+            raw, edges = ids.tobytes(), (4 * upto).tolist()
+            self.ids.update(zip(words, [raw[i:j] for i, j in zip([0, *edges], edges)]))
+
     def _cut(self, text: str) -> list[str]:
         if not any(s in text for s in self.specials):
             return _PIECES.findall(text)

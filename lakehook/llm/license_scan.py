@@ -4,7 +4,8 @@ A text is made canonical: lower case, without copyright lines, with equivalent
 spellings unified and everything but letters and digits as one space. Its digest
 is looked up in a table of known licence texts by a hash join: the whole text's,
 and that of each of its lines, since notices stand as lines in other texts. The
-known table is a constant of this module, which bounds the broadcast.
+module knows the texts of ``KNOWN`` and ``KNOWN_DIGESTS``; a caller adds a table of
+others. The known digests are counted, and broadcast up to ``BROADCAST_ROWS`` rows.
 
 One narrow table (row, key, digest, lines' digests) is written; the texts are
 read once and never shuffled.
@@ -78,6 +79,27 @@ KNOWN = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     ("LicenseRef-all-rights-reserved", "All rights reserved."),
 ]
+# Digests of whole licence texts, as distributed, after they are made canonical.
+KNOWN_DIGESTS: dict[str, list[str]] = {
+    # with the appendix, without its lines to fill in, without the appendix
+    "Apache-2.0": ["b200db14d43f341836ccc14296f66944", "d44d7dd7bb33c43e91c9d5e48b1d489e", "2907559bf696d33fdfdc7da57023e979"],
+    "Artistic-1.0-Perl": ["a8b0fb0c6e43a3b36bdc159e59dbfd1e"],
+    "BSD-2-Clause": ["86f56c47a776acba8d7b43470d449555", "9f9962ab98a42b4004ece981910e78b9"],
+    "BSD-3-Clause": ["6989781d8e3e31bf06f590dd203d4e65", "dbcc6b46cd5b3ad519ba6d13a4021fcd", "a7bff467668048cc8d597b480fb1b110"],
+    "CC0-1.0": ["93a180096f6cfcf2c0dd24f75c2eec48"],
+    "GFDL-1.2-only": ["49ffacd2fea52c0c124f0d16bc990c74"],
+    "GFDL-1.3-only": ["2d7ce083c264cf7f093acc742260e501"],
+    "GPL-1.0-only": ["97008616a6c74f408568b284dd04871d"],
+    "GPL-2.0-only": ["bc956f44d1c84837504c207f245fa68b"],
+    "GPL-3.0-only": ["973bd6aa012124b0398a2ebfb853eea4"],
+    "LGPL-2.0-only": ["6885b1a1b528de907e6c89bd80a1ea4f"],
+    "LGPL-2.1-only": ["79aa7998cfa6069eae71d7bea9b32641"],
+    "LGPL-3.0-only": ["b31b7335bc37919e8cdd79154e04d88d"],
+    "MPL-1.1": ["9fa8ae3e869a929215034d82982372b5"],
+    "MPL-2.0": ["b5b7a0cf4994910cd0204fba4637d6ec"],
+}
+# 100 bytes a row.
+BROADCAST_ROWS = 100_000
 # A copyright line: the word or sign, at a line's start, with a year, owner or sign after it.
 COPYRIGHT = r"(?m)^[ \t]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<])|\(c\)[ \t]*[0-9<]|©)[^\n]*$"
 
@@ -94,16 +116,32 @@ def one_line(canon: Column) -> Column:
     return F.trim(F.replace(canon, F.lit("\n"), F.lit(" ")))
 
 
+def digests_of(texts: DataFrame) -> DataFrame:
+    """(digest, license) of a table of known texts (license, text); of texts with one
+    digest, the smallest licence name counts."""
+    rows = texts.where("license is not null").select("license", F.md5(one_line(canonical(text_or_empty())).cast("binary")).alias("digest"))
+    return rows.groupBy("digest").agg(F.min("license").alias("license"))
+
+
 def known_table(spark: SparkSession) -> DataFrame:
-    """(digest, license) of the known texts."""
-    rows = spark.createDataFrame(KNOWN, "license string, text string")
-    return rows.select(F.md5(one_line(canonical(F.col("text"))).cast("binary")).alias("digest"), "license").distinct()
+    """(digest, license) of the texts that this module knows, some by their digests alone."""
+    rows = spark.createDataFrame([(d, i) for i, ds in KNOWN_DIGESTS.items() for d in ds], "digest string, license string")
+    return digests_of(spark.createDataFrame(KNOWN, "license string, text string")).union(rows)
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """One row per row: key, digest (of the whole canonical text), license (of the
-    whole text, or null), notices (licences of its lines, sorted), n_notices."""
-    known = F.broadcast(known_table(docs.sparkSession))  # as many rows as KNOWN
+    whole text, or null), notices (licences of its lines, sorted), n_notices.
+
+    ``known`` is a table of licence texts (license, text) to look for besides the
+    module's own; the module's name stands where both have a text.
+    """
+    table_ = known_table(docs.sparkSession)
+    if known is not None:
+        more = digests_of(known).join(table_, "digest", "left_anti")
+        table_ = table_.unionByName(more)
+    table_ = materialise(table_, "license-known")
+    known = F.broadcast(table_) if table_.count() <= BROADCAST_ROWS else table_
     lines = F.filter(F.transform(F.split("canon", "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0)
     narrow = materialise(
         docs.select(F.col(key).alias("id"), canonical(text_or_empty(text)).alias("canon"))
@@ -131,11 +169,13 @@ def _sql_canonical(text: str) -> str:
 
 
 def _oracle() -> str:
+    digests = ", ".join(f"('{d}', '{i}')" for i, ds in KNOWN_DIGESTS.items() for d in ds)
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""
 WITH known AS (
   SELECT DISTINCT md5(trim(replace({_sql_canonical("t")}, chr(10), ' '))) AS digest, license
-  FROM (VALUES {values}) k(license, t)),
+  FROM (VALUES {values}) k(license, t)
+  UNION ALL SELECT * FROM (VALUES {digests})),
 d AS (SELECT doc_id, {_sql_canonical("coalesce(text, '')")} AS canon FROM documents),
 w AS (SELECT doc_id, md5(trim(replace(canon, chr(10), ' '))) AS digest FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices

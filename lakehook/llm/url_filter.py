@@ -40,7 +40,11 @@ FIXED_RULES = [
 ]
 BAD = "label:bad"
 SUPPORT = 0.002
+# A rule also rests on so many bad pages at least: one page proves nothing.
+MIN_PAGES = 2
 CONFIDENCE = 0.7
+# Matched token sets up to so many bytes are broadcast to the pages.
+BROADCAST_BYTES = 16 << 20
 # Longer path words, query keys and schemes stand as their hash.
 LONG_WORD = 64
 # Upper-case ASCII alone is lowered.
@@ -100,17 +104,19 @@ def describe(pages: DataFrame, key: str = "page_id", url: str = "url") -> DataFr
             .select(key, "host", "path", "number", "tokens"))
 
 
-def mine(described: DataFrame, labels: DataFrame) -> DataFrame:
+def mine(described: DataFrame, labels: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
     """(tokens, confidence, support, lead, rule id): pruned rules for BAD; lead is the rarest token.
 
-    A page is labelled by the document whose number its url ends in.
+    A page is labelled by the document whose number its url ends in. A rule's tokens
+    stand together in at least ``SUPPORT`` of the labelled pages and in ``min_pages`` bad ones.
     """
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.max(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")).alias("bad"))
     known = described.where(F.size("tokens") > 0).join(marks, F.col("number") == F.col("doc_id"))
     known = materialise(known.select("tokens", "bad", F.monotonically_increasing_id().alias("row")), "url-known")
     held = known.select("row", "bad", F.explode("tokens").alias("token"))
-    least = SUPPORT * known.count()
+    labelled = known.count()
+    least = max(SUPPORT * labelled, min_pages)
     # tokens of the same pages, by count and 128 bits of their numbers, are one item: its least token
     alike = [F.bit_xor(F.xxhash64("row", F.lit(salt))).alias(f"mark{salt}") for salt in (1, 2)]
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("both"), *alike)
@@ -121,9 +127,9 @@ def mine(described: DataFrame, labels: DataFrame) -> DataFrame:
     every = F.coalesce("items", F.array().cast("array<string>"))
     baskets = materialise(known.select("row", "bad").join(items, "row", "left").select(
         F.when(F.col("bad") == 1, F.concat(every, F.array(F.lit(BAD)))).otherwise(every).alias("items")), "url-baskets")
-    model = FPGrowth(itemsCol="items", minSupport=SUPPORT, minConfidence=CONFIDENCE).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(SUPPORT, (min_pages - 0.5) / max(labelled, 1))), minConfidence=CONFIDENCE).fit(baskets)
     sets = materialise(model.freqItemsets.select(F.array_sort("items").alias("items"), "freq"), "url-itemsets")
-    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1)).select(
+    bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.col("freq") >= min_pages)).select(
         F.array_remove("items", BAD).alias("tokens"), F.col("freq").alias("both"))
     whole = sets.select(F.col("items").alias("tokens"), "freq")
     sure = materialise(bad.join(whole, "tokens").select(
@@ -163,16 +169,20 @@ def minimal(sure: DataFrame) -> DataFrame:
     return kept
 
 
-def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url") -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, key: str = "page_id", url: str = "url", min_pages: int = MIN_PAGES) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, and the mined rule's confidence."""
     described = describe(pages, key, url)
-    rules = materialise(mine(described, labels), "url-pruned")
+    rules = materialise(mine(described, labels, min_pages), "url-pruned")
     index = rules.select("lead", F.col("tokens").alias("need"), "confidence")
     # one row per set of tokens, far fewer than urls
     sets = described.select("tokens").distinct()
     hits = (sets.select("tokens", F.explode("tokens").alias("lead")).join(index, "lead")
             .where(F.size(F.array_except("need", "tokens")) == 0)
             .groupBy("tokens").agg(F.max("confidence").alias("confidence")))
+    # a set of tokens may be that of a third of all urls: few matched sets go to the urls
+    hits = materialise(hits, "url-hits")
+    size = hits.agg(F.sum(F.octet_length(F.array_join("tokens", ",")) + 64)).first()[0] or 0
+    hits = F.broadcast(hits) if size <= BROADCAST_BYTES else hits
     fit = described.withColumn("fixed", fixed(F.col("host"), F.col("path"))).join(hits, "tokens", "left")
     return fit.select(
         key, "host", "path", F.col("fixed.rule").alias("rule"),

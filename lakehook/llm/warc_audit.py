@@ -13,8 +13,9 @@ group holds at most ``FANOUT`` nodes, or the records that start within
 branches only; nothing is gathered on the driver.
 
 Defined results: null urls and bodies are written as empty; a null id gets a file
-by its record's hash; rows that repeat an id are records of their own, in the
-order of their digests. Records only one replica has are ``missing`` or
+by its record's hash; a key that is no number counts as a null id and stands in its
+record; rows that repeat an id are records of their own, in the
+order of their digests, and stand in one file, which one window group lays out. Records only one replica has are ``missing`` or
 ``extra``; others are ``ok`` or ``damaged``. Empty tables give empty results.
 """
 
@@ -40,19 +41,20 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str
         F.lit(">\r\nWARC-Target-URI: "), F.coalesce(F.col(url).cast("string"), F.lit("")),
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length(text).cast("string"), F.lit("\r\n\r\n"), text, F.lit("\r\n\r\n"))
-    return pages.select(F.col(key).cast("long").alias("id"), record.alias("record")).select(
+    return pages.select(F.col(key).try_cast("long").alias("id"), record.alias("record")).select(
         "id", F.coalesce(F.floor(F.col("id") / FILE_RECORDS).cast("long"),
                          -1 - F.pmod(F.xxhash64("record"), F.lit(1 << 20))).alias("file"), "record")
 
 
-def index(rows: DataFrame) -> DataFrame:
-    """(file, offset, length, digest, id): where each record stands and its SHA-256."""
+def index(rows: DataFrame, *more: str) -> DataFrame:
+    """(file, offset, length, digest, id): where each record stands and its SHA-256;
+    and the columns ``more`` of the rows."""
     facts = rows.select("id", "file", F.octet_length("record").cast("long").alias("length"),
-                        F.sha2(F.col("record").cast("binary"), 256).alias("digest"))
+                        F.sha2(F.col("record").cast("binary"), 256).alias("digest"), *more)
     before = (Window.partitionBy("file").orderBy(F.col("id").asc_nulls_last(), "digest")
               .rowsBetween(Window.unboundedPreceding, -1))
     return facts.select("file", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"),
-                        "length", "digest", "id")
+                        "length", "digest", "id", *more)
 
 
 def _width(level: int) -> int:
@@ -107,22 +109,20 @@ def audit(left: DataFrame, right: DataFrame) -> DataFrame:
     return mine.unionByName(more).select("id", "file", "offset", "length", "digest", "status")
 
 
-def worn_copy(rows: DataFrame, at: DataFrame) -> DataFrame:
-    """The index of a replica of ``rows`` (indexed by ``at``) that has lost every
-    101st record and the last bytes of every 97th, by id."""
+def worn(rows: DataFrame) -> DataFrame:
+    """``rows`` with the length and digest (``worn``) that each record has in a replica
+    that has lost every 101st record and the last bytes of every 97th, by id; null is lost."""
     short = F.when(F.col("id") % 97 == 13, F.expr("substring(record, 1, length(record) - 9)")).otherwise(F.col("record"))
-    kept = rows.where("id is null or id % 101 <> 7").select(
-        "file", "id", F.sha2(F.col("record").cast("binary"), 256).alias("was"),
-        F.octet_length(short).cast("long").alias("length"), F.sha2(short.cast("binary"), 256).alias("digest"))
-    places = at.select("file", "offset", F.col("digest").alias("was"))
-    return kept.join(places, ["file", "was"]).select("file", "offset", "length", "digest", "id")
+    left = F.struct(F.octet_length(short).cast("long").alias("length"), F.sha2(short.cast("binary"), 256).alias("digest"))
+    return rows.withColumn("worn", F.when(F.col("id").isNull() | (F.col("id") % 101 != 7), left))
 
 
 def op8_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = records(table(spark, sf_dir, "pages"))
-    first = materialise(index(rows), "warc-index")
-    second = materialise(worn_copy(rows, first), "warc-replica")
-    return audit(first, second).withColumnRenamed("id", "page_id")
+    rows = worn(records(table(spark, sf_dir, "pages")))
+    both = materialise(index(rows, "worn"), "warc-index")
+    # a record of the replica stands where it stands in the first: no join by digest
+    second = both.where("worn is not null").select("file", "offset", "worn.length", "worn.digest", "id")
+    return audit(both.drop("worn"), second).withColumnRenamed("id", "page_id")
 
 
 ORACLE = f"""

@@ -74,6 +74,31 @@ def test_licences(spark):
     assert license_scan.scan(docs.limit(0)).count() == 0
 
 
+def test_licences_that_a_caller_adds(spark, monkeypatch):
+    mine = spark.createDataFrame([("House-1.0", "House Licence\nCopyright 2020 X\nYou may look."), ("Again", "house license you may look"),
+                                  ("Not-MIT", "Released under the MIT License."), (None, "nobody's"), ("Empty-Text", None)],
+                                 "license string, text string")
+    docs = spark.createDataFrame([(1, "HOUSE LICENSE\n(c) 1999 Y\n\nYou may look!"), (2, "Released under the MIT License"), (3, "nobody's"),
+                                  (4, "a\nyou may look\nreleased under the mit licence"), (None, None)], "doc_id long, text string")
+    for rows in (license_scan.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(license_scan, "BROADCAST_ROWS", rows)
+        got = {r["doc_id"]: (r["license"], r["notices"]) for r in license_scan.scan(docs, known=mine).collect()}
+        assert got[1][0] == "Again" and got[2][0] == "MIT" and got[3][0] is None and got[4] == (None, "MIT")
+        assert got[None] == ("Empty-Text", None)
+
+
+def test_whole_licences_as_distributed(spark):
+    import glob
+
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0",
+             "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    found = {f.rsplit("/", 1)[-1]: f for f in glob.glob("/usr/share/common-licenses/*")}
+    texts = [(k, open(found[n], encoding="utf-8", errors="replace").read(), i) for k, (n, i) in enumerate(names.items()) if n in found]
+    docs = spark.createDataFrame([(k, t.replace("\n", " \n").upper().replace("https", "http")) for k, t, _ in texts] + [(-1, "x")], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(docs).collect()}
+    assert all(got[k].startswith(i) for k, _, i in texts)
+
+
 def page(key, url):
     return (key, url, "x")
 
@@ -151,6 +176,52 @@ def test_url_rules_of_many_tokens(spark):
     assert all((verdicts[k] == "block") == (q == 0) for k, (_, q) in enumerate(rows))
 
 
+def test_url_rules_rest_on_more_than_one_page(spark):
+    rows = [(k, f"http://only{chr(97 + k)}.example.org/z/{k}") for k in range(10)]
+    rows += [(100 + k, f"http://twice.example.org/y/{100 + k}") for k in range(2)]
+    rows += [(200 + k, f"http://fine{k % 7}.example.org/z/{200 + k}") for k in range(30)]
+    marks = [(k, int(k >= 200), 0) for k, _ in rows] + [(None, 0, 0), (3, None, 1), (999, 0, 1)]
+    odd = [(None, "http://twice.example.org/y/5"), (7, None), (100, rows[10][1]), (100, rows[10][1])]
+    pages = spark.createDataFrame([(k, u, "t", 1.0, "x") for k, u in rows + odd],
+                                  "page_id long, url string, tokens string, confidence double, rule string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = url_filter.judge(pages, labels).collect()
+    assert len(got) == len(rows) + len(odd)
+    blocked = {r["host"] for r in got if r["verdict"] == "block"}
+    assert blocked == {"twice.example.org"}
+    alone = {r["host"] for r in url_filter.judge(pages, labels, min_pages=1).collect() if r["verdict"] == "block"}
+    assert alone >= {r[1].split("/")[2] for r in rows[:10]}
+    for some, marks_ in ((pages.limit(0), labels), (pages, labels.limit(0))):
+        assert {r["verdict"] for r in url_filter.judge(some, marks_).collect()} <= {"allow"}
+
+
+def test_url_rules_hold_on_pages_that_did_not_teach_them(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(1200):
+        bad = rng.random() < 0.3
+        host = f"{rng.choice(['casino', 'pills'])}{rng.randint(0, 5)}" if bad else f"news{rng.randint(0, 40)}"
+        rows.append((k, f"http://{host}.example.org/{rng.choice(['a', 'b', 'c'])}/{k}", bad))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(k, int(not bad), 0) for k, _, bad in rows if k % 2], "doc_id long, quality int, toxic int")
+    verdict = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, labels).collect()}
+    held = [(bad, verdict[k] == "block") for k, _, bad in rows if k % 2 == 0]
+    assert sum(b and v for b, v in held) >= 0.95 * max(1, sum(v for _, v in held))
+    assert sum(b and v for b, v in held) >= 0.9 * sum(b for b, _ in held)
+
+
+def test_warc_audit_of_repeated_rows_and_text_keys(spark):
+    rows = [("13", "u", "x" * 50)] * 4 + [("7", "u", "lost")] * 2 + [("abc", "u", "text key")] * 2 + [(None, None, None), ("200", "u", "é")]
+    pages = spark.createDataFrame([(*r, "f", 1) for r in rows], "page_id string, url string, html string, file string, offset int")
+    both = warc_audit.materialise(warc_audit.index(warc_audit.worn(warc_audit.records(pages)), "worn"), "test-worn")
+    second = both.where("worn is not null").select("file", "offset", "worn.length", "worn.digest", "id")
+    got = warc_audit.audit(both.drop("worn"), second).collect()
+    count = lambda i: sorted(r["status"] for r in got if r["id"] == i)
+    assert len(got) == len(rows) and count(13) == ["damaged"] * 4 and count(7) == ["missing"] * 2
+    assert count(None) == ["ok"] * 3 and count(200) == ["ok"]
+    assert len({(r["file"], r["offset"]) for r in got}) == len(rows)
+
+
 def test_warc_audit_finds_just_the_faults(spark):
     rng = random.Random(7)
     pages = spark.createDataFrame([(k, f"http://h/{k}", prose(rng, rng.randint(0, 400))) for k in range(2500)]

@@ -44,6 +44,15 @@ def test_ids_equal_the_librarys(word, byte, texts):
         assert [np.frombuffer(g, "<u4").tolist() for g in got] == [w.ids for w in want]
 
 
+def test_words_learned_together_have_the_librarys_ids(byte):
+    own, lib = byte
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeimnorstZQÀéßøñž") for _ in range(rng.randint(1, 14))) for _ in range(20_000)]
+    texts = [" ".join(words[k:k + 40]) for k in range(0, len(words), 40)]
+    want = [w.ids for w in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [np.frombuffer(g, "<u4").tolist() for g in own.encode_batch(texts)] == want
+
+
 def test_ids_of_every_code_point(word, byte):
     points = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
     for at in range(0, len(points), 100_000):
