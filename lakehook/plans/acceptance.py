@@ -521,9 +521,9 @@ def _orders_dataset(spark, sf_dir):
               "file_extension string")
 
 
-def scan_by_name(spark, sf_dir):
-    """S2 + S3: columns are bound by name: one CSV file has its columns in another
-    order, one Parquet file has a column more."""
+def _mixed_dataset(spark, sf_dir):
+    """The catalog of two CSV files with columns in different order and two Parquet
+    files, one with a column more."""
     root = scratch_path(spark, "mixed-dataset")
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     part = F.pmod(F.coalesce("o_orderkey", F.lit(0)), F.lit(4))
@@ -531,13 +531,29 @@ def scan_by_name(spark, sf_dir):
     o.filter(part == 1).select("o_totalprice", "o_orderkey", "o_custkey").write.option("header", True).csv(f"{root}/b.csv")
     o.filter(part == 2).write.parquet(f"{root}/c.parquet")
     o.filter(part == 3).withColumn("extra", F.col("o_custkey") * 2).write.parquet(f"{root}/d.parquet")
-    catalog = spark.createDataFrame(
+    return spark.createDataFrame(
         [(1, 7, k, f"{n}", f"{root}/{n}", n.split(".")[1]) for k, n in enumerate(["a.csv", "b.csv", "c.parquet", "d.parquet"])],
         "user_id long, dataset_id long, file_id long, name string, path string, file_extension string")
+
+
+def scan_by_name(spark, sf_dir):
+    """S2 + S3: columns are bound by name: one CSV file has its columns in another
+    order, one Parquet file has a column more."""
+    catalog = _mixed_dataset(spark, sf_dir)
     df = IO.scan_dataset(spark, catalog, 1, 7, csv_schema="o_orderkey long, o_custkey long, o_totalprice double")
     return df.select("o_orderkey", "o_custkey", "o_totalprice", "extra")
 
 
+def scan_declared(spark, sf_dir):
+    """S3: a dataset of Parquet and CSV files read by the columns that its catalog
+    entry declares: their order, their types, and one that only some files have."""
+    catalog = _mixed_dataset(spark, sf_dir)
+    datasets = spark.createDataFrame([(1, 7, "mixed")], "user_id long, dataset_id long, name string")
+    datasets = IO.declare_columns(datasets, 1, 7, "extra long, o_totalprice double, o_orderkey long, absent string")
+    df = IO.scan_dataset(spark, catalog, 1, 7, datasets=datasets)
+    return df.select("o_orderkey", "o_totalprice", "extra", "absent")
+
+
 def scan_dataset(spark, sf_dir):
     """S3: every file of a dataset (Parquet and CSV), unioned by name."""
     catalog = _orders_dataset(spark, sf_dir)
@@ -1110,6 +1126,7 @@ QUERIES.update({
     "csv_rejects": csv_rejects,
     "json_nulls": json_nulls,
     "scan_by_name": scan_by_name,
+    "scan_declared": scan_declared,
     "per_file_ordered": per_file_ordered,
     "run_batch": run_batch,
     "dispatch_sql_files": dispatch_sql_files,

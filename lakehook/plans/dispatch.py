@@ -8,7 +8,7 @@ columns (``file_keys``) of the data; every matched event names one file.
   SQL or a DataFrame function -- over exactly the files that matched events
   name, one output per file, with failures noted in the batch's manifest.
 * :func:`dispatch_python` and :func:`dispatch_sql` do so for one transform body
-  over a keyed table, all files in one job or a job per file.
+  or one script over a keyed table, all files in one job.
 * :func:`record_outputs` enters the outputs in the file catalog and logs
   them as transform output, which never re-triggers; :func:`run_batch`
   chains match, dispatch, recording and the processed flag.
@@ -384,24 +384,26 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
     * ``"transform"``: one job per fired transform over its files (exact
       per-transform input for aggregating scripts); output
       ``t<transform_id>.parquet``.
-    * ``"file"`` (default): one job per (transform, file) -- the exact
-      per-file semantics for any script, at the cost of one job per matched
-      file; output: the file's base name (``source_file`` keys) or its key
-      values, with a ``.parquet`` extension.
+    * ``"file"`` (default): the exact per-file semantics for any script that
+      Catalyst can decorrelate, one job per script over all its (transform, file)
+      pairs (:func:`lakehook.plans.transforms.sql_per_file`); output: the file's
+      base name (``source_file`` keys) or its key values, with a ``.parquet``
+      extension.
 
     The batch's work items are first written to ``work_path`` in the shared
     checkpoint folder: that cuts the match lineage, survives executor loss,
     and lets every job's private session read them. ``scripts`` maps a
     registration's ``src_file`` to its SQL text; ``data_reader(session)``
-    builds the lake data inside a given session. Only the list of groups
-    reaches the driver. Jobs run concurrently (``max_parallel``). Returns the
-    groups that ran.
+    builds the lake data inside a given session. Only the list of groups (scripts
+    and datasets, fired transforms, or scripts) reaches the driver. Jobs run
+    concurrently (``max_parallel``). Returns the groups that ran.
     """
+    from lakehook.functions import scalars as S
     from lakehook.sources.files import parquet_target
 
     keys_of = {"script": ["src_file", "out_dataset_id"],
                "transform": ["transform_id", "out_dataset_id"],
-               "file": ["transform_id", "out_dataset_id", *file_keys]}
+               "file": ["src_file"]}
     if scope not in keys_of:
         raise ValueError(f"unknown scope {scope!r}")
     key = keys_of[scope]
@@ -410,29 +412,37 @@ def dispatch_sql(spark: SparkSession, matched: DataFrame,
     groups = [tuple(r) for r in work.select(*key).distinct().collect()]
     script_text = scripts if callable(scripts) else scripts.__getitem__
 
-    def out_name(group) -> str:
-        if scope == "script":
-            return parquet_target(group[0].rsplit("/", 1)[-1])
-        if scope == "transform":
-            return f"t{group[0]}.parquet"
-        ident = dict(zip(key, group))
-        if file_keys == ["source_file"]:
-            return parquet_target(str(ident["source_file"]).rsplit("/", 1)[-1])
-        return f"t{group[0]}_" + "_".join(str(ident[k]) for k in file_keys) + ".parquet"
+    def whole(group, session, mine) -> tuple[DataFrame, str]:
+        """The script over all the group's rows; its output file."""
+        src = group[0] if scope == "script" else mine.select("src_file").first()["src_file"]
+        out_file = parquet_target(group[0].rsplit("/", 1)[-1]) if scope == "script" else f"t{group[0]}.parquet"
+        data_reader(session).join(mine.select(*file_keys), file_keys, "inner").createOrReplaceTempView(TABLE_NAME)
+        result = session.sql(script_text(src)).withColumns({
+            OUT_DATASET_COL: F.lit(group[1]).cast("long"), OUT_FILE_COL: F.lit(out_file)})
+        return result, f"sql-{out_file}"
+
+    def each_file(group, session, mine) -> tuple[DataFrame, str]:
+        """The script over every (transform, file) by itself."""
+        one_key = F.to_json(F.struct(*file_keys))
+        present = F.lit(True)
+        for k in file_keys:
+            present = present & F.col(k).isNotNull()
+        name = (S.force_parquet_extension(S.base_name("source_file")) if file_keys == ["source_file"] else
+                F.concat(F.lit("t"), F.col("transform_id").cast("string"), F.lit("_"),
+                         F.concat_ws("_", *[F.col(k).cast("string") for k in file_keys]), F.lit(".parquet")))
+        items = mine.where(present).select(one_key.alias("lake_key"), F.col("out_dataset_id").alias("lake_dataset"),
+                                           name.alias("lake_name"))
+        rows = data_reader(session).where(present).withColumn("lake_key", one_key)
+        wanted = rows.join(items.select("lake_key").distinct(), "lake_key", "left_semi")
+        result = sql_per_file(script_text(group[0]), wanted, items, ("lake_key", "lake_key")).drop("lake_key")
+        return result.withColumnsRenamed({"lake_dataset": OUT_DATASET_COL, "lake_name": OUT_FILE_COL}), f"sql-{group[0].rsplit('/', 1)[-1]}"
 
     def execute(group):
         session = spark.newSession()
         mine = session.read.parquet(work_path)
         for k, v in zip(key, group):
             mine = mine.filter(F.col(k) == F.lit(v))
-        src = group[0] if scope == "script" else mine.select("src_file").first()["src_file"]
-        out_file = out_name(group)
-        data_reader(session).join(mine.select(*file_keys), file_keys, "inner") \
-            .createOrReplaceTempView(TABLE_NAME)
-        result = session.sql(script_text(src))
-        result = (result.withColumn(OUT_DATASET_COL, F.lit(group[1]).cast("long"))
-                  .withColumn(OUT_FILE_COL, F.lit(out_file)))
-        job = f"sql-{out_file}" if scope != "file" else f"sql-t{group[0]}-{out_file}"
+        result, job = (each_file if scope == "file" else whole)(group, session, mine)
         _write(result, out_root, batch_id, job)
         return group
 

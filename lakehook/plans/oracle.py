@@ -630,6 +630,10 @@ WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)"""
 ORACLES["delete_files"] = """
 SELECT o_custkey AS user_id, o_orderkey AS file_id FROM orders WHERE o_orderpriority <> '1-URGENT'"""
 
+ORACLES["scan_declared"] = """
+SELECT o_orderkey, o_totalprice, CASE WHEN o_orderkey % 4 = 3 THEN o_custkey * 2 END AS extra, NULL::VARCHAR AS absent
+FROM orders"""
+
 ORACLES["asof_events"] = """
 WITH ev AS (SELECT event_id, event_type, value,
                    CASE user_id % 10 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS grp FROM events),

@@ -21,7 +21,7 @@ from lakehook.functions import scalars as S
 from lakehook.operators import mutate as M
 from lakehook.operators.ids import with_ids
 from lakehook.schemas import OBJECT_FILE, SERVICE_DATASETS
-from lakehook.session import scratch_path, stored
+from lakehook.session import scratch_path, scratch_scope, stored
 from lakehook.sources.storage import copy_file, first_line, for_each, move_directory, write_empty
 
 PARQUET_EXTENSIONS = ("pq", "parquet")
@@ -124,7 +124,6 @@ def _csv_by_header(spark: SparkSession, paths: list[str], schema) -> list[DataFr
         header = spark.read.option("header", True).csv(paths).columns
         return [read_csv(spark, *paths, schema=_bound(header, schema))]
     todo = spark.createDataFrame([(p,) for p in paths], "landing_path string")
-    todo = todo.repartition(min(len(paths), max(1, spark.sparkContext.defaultParallelism)))
     groups = for_each(todo, first_line, "landing_path string, header array<string>").groupBy("header").agg(
         F.sort_array(F.collect_list("landing_path")).alias("paths")).collect()
     out = [read_csv(spark, *r["paths"], schema=_bound(r["header"], schema))
@@ -133,10 +132,14 @@ def _csv_by_header(spark: SparkSession, paths: list[str], schema) -> list[DataFr
 
 
 def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
-               csv_schema: T.StructType | str | None = None, positions: bool = False) -> DataFrame:
+               csv_schema: T.StructType | str | None = None, positions: bool = False,
+               schema: T.StructType | str | None = None) -> DataFrame:
     """Read files of several formats and schemas into one DataFrame, tagged with
     their source file, aligned by column name (missing columns are NULL).
 
+    A declared ``schema`` is what the caller gets, of all files: Parquet footers are
+    not read for their schemas then, and CSV columns are bound to it by their headers.
+
     ``positions`` adds each row's part file and place in it (``PART_COL``,
     ``ROW_COL``), the order in which a per-file transform gets its rows."""
     parts = []
@@ -146,11 +149,17 @@ def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
     if unknown:
         raise ValueError(f"unsupported file extensions: {sorted(unknown)}")
     if pq:
-        parts.append(_with_source(spark.read.option("mergeSchema", True).parquet(*pq), positions))
+        reader = spark.read.option("mergeSchema", True) if schema is None else spark.read.schema(schema)
+        parts.append(_with_source(reader.parquet(*pq), positions))
     if csv:
-        parts += [_with_source(df, positions) for df in _csv_by_header(spark, csv, csv_schema)]
+        parts += [_with_source(df, positions) for df in _csv_by_header(spark, csv, csv_schema if schema is None else schema)]
     if not parts:
         raise ValueError("no files to read")
+    if schema is not None:
+        declared = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+        own = [SOURCE_FILE_COL, *((PART_COL, ROW_COL) if positions else ())]
+        parts = [p.select(*[(F.col(f"`{f.name}`") if f.name in p.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                            for f in declared.fields], *own) for p in parts]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -165,11 +174,24 @@ def _paths_by_ext(catalog_rows: DataFrame) -> dict[str, list[str]]:
 
 
 def scan_dataset(spark: SparkSession, files: DataFrame, user_id, dataset_id,
-                 csv_schema=None) -> DataFrame:
-    """S3: every file of one dataset, one read per format, unioned by name,
-    each row tagged with its file."""
-    rows = files.filter((F.col("user_id") == F.lit(user_id)) & (F.col("dataset_id") == F.lit(dataset_id)))
-    return read_files(spark, _paths_by_ext(rows), csv_schema)
+                 csv_schema=None, datasets: DataFrame | None = None) -> DataFrame:
+    """S3: every file of one dataset, one read per format (and CSV header), unioned by
+    name, each row tagged with its file.
+
+    With the ``datasets`` table, the dataset's declared columns (``columns``, as DDL;
+    see :func:`declare_columns`) are the schema, and no file is opened to find one.
+    """
+    mine = (F.col("user_id") == F.lit(user_id)) & (F.col("dataset_id") == F.lit(dataset_id))
+    declared = datasets.filter(mine).select("columns").first() if datasets is not None else None
+    return read_files(spark, _paths_by_ext(files.filter(mine)), csv_schema, schema=declared[0] if declared else None)
+
+
+def declare_columns(datasets: DataFrame, user_id, dataset_id, columns: str) -> DataFrame:
+    """The datasets table with the DDL of one dataset's columns in ``columns``."""
+    T._parse_datatype_string(columns)  # refuses what is no schema
+    before = F.col("columns") if "columns" in datasets.columns else F.lit(None).cast("string")
+    mine = (F.col("user_id") == F.lit(user_id)) & (F.col("dataset_id") == F.lit(dataset_id))
+    return datasets.withColumn("columns", F.when(mine, F.lit(columns)).otherwise(before))
 
 
 def scan_catalog_file(spark: SparkSession, files: DataFrame, user_id, dataset_id, file_id,
@@ -277,10 +299,10 @@ def _landed(spark: SparkSession, landing: DataFrame, dataset_root: str, csv_sche
         raise ValueError(f"unsupported file extensions: {sorted(str(r[0]) for r in odd)}")
     ddl = "name string, landing_path string, path string"
     # Parquet files are copied as they are
-    done = [stored(for_each(todo.where(F.col("ext").isin(*PARQUET_EXTENSIONS)).select("name", "landing_path", "path")
-                            .repartition("path"), copy_file, ddl + ", size_bytes long"), "ingest-copied")]
-    headed = stored(for_each(todo.where(F.col("ext").isin(*CSV_EXTENSIONS)).select("name", "landing_path", "path")
-                             .repartition("path"), first_line, ddl + ", header array<string>"), "ingest-headers")
+    done = [stored(for_each(todo.where(F.col("ext").isin(*PARQUET_EXTENSIONS)).select("name", "landing_path", "path"),
+                            copy_file, ddl + ", size_bytes long"), "ingest-copied")]
+    headed = stored(for_each(todo.where(F.col("ext").isin(*CSV_EXTENSIONS)).select("name", "landing_path", "path"),
+                             first_line, ddl + ", header array<string>"), "ingest-headers")
     for r in headed.groupBy("header").agg(F.count(F.lit(1)).alias("n")).orderBy("header").collect():
         mine = headed.where(F.col("header") == F.array(*map(F.lit, r["header"])) if r["header"] else F.size("header") == 0)
         chunks = -(-r["n"] // FILES_PER_JOB)
@@ -315,7 +337,7 @@ def _written_csv(spark: SparkSession, files: DataFrame, header: list[str], datas
         bare = files.withColumn("path", F.concat(F.lit(f"{staging}/lake_file="), "lake_file"))
     write_empty(bare, empty)
     moves = files.select("name", "path", F.concat(F.lit(f"{staging}/lake_file="), "lake_file").alias("staged"))
-    return stored(for_each(moves.repartition("path"), move_directory, "name string, path string, staged string, size_bytes long"), "ingest-moved")
+    return stored(for_each(moves, move_directory, "name string, path string, staged string, size_bytes long"), "ingest-moved")
 
 
 def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_root: str,
@@ -336,8 +358,9 @@ def ingest(spark: SparkSession, landing: DataFrame, files: DataFrame, dataset_ro
     table without columns. Returns ``(catalog_snapshot, new_events)`` as
     DataFrames.
     """
-    landed = _landed(spark, landing, dataset_root, csv_schema).withColumn("path", normalize_path("path"))
-    landed = with_ids(landed, {"file_id": next_file_id, "__log_id": next_log_id})
+    with scratch_scope(spark):  # rows with ids are checkpointed
+        landed = _landed(spark, landing, dataset_root, csv_schema).withColumn("path", normalize_path("path"))
+        landed = with_ids(landed, {"file_id": next_file_id, "__log_id": next_log_id})
     ts = F.lit(now).cast("timestamp_ntz")
     staged = landed.select(
         F.lit(user_id).cast("long").alias("user_id"),

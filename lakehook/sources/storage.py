@@ -50,8 +50,14 @@ def data_files(store, path: str) -> list[tuple[str, int]]:
 
 
 def for_each(rows: DataFrame, action: Callable[[dict], dict], schema: str) -> DataFrame:
-    """``action`` on every row, in tasks; lazy: the caller stores or writes the result."""
+    """``action`` on every row of a stored table; lazy: the caller stores or writes the result.
+
+    Rows are few bytes and much work, so they are dealt out by their number, a few to
+    a task, and not by their size.
+    """
     ship_package()
+    slots = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartition(max(1, min(rows.count(), slots)))
     names = [f.name for f in T._parse_datatype_string(schema).fields]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -394,3 +394,80 @@ def test_registrations_are_picked_up_between_micro_batches(spark):
     left = len(scratch_folders(spark))
     store.close()
     assert len(scratch_folders(spark)) == left - 1
+
+
+# --- declared columns, as-of join, sketches, reach ---
+
+def test_declared_columns_need_no_footer_and_no_header_job_per_file(spark):
+    root = scratch_path(spark, "declared")
+    for k in range(6):
+        spark.range(3).selectExpr(f"id + {10 * k} as a", "id as b").coalesce(1).write.parquet(f"{root}/p{k}.parquet")
+        spark.range(3).selectExpr(*(["id as a", "id as c"] if k % 2 else ["id as c", "id as a"])).coalesce(1) \
+            .write.option("header", True).csv(f"{root}/c{k}.csv")
+    files = spark.createDataFrame([(1, 2, f"{root}/p{k}.parquet", "parquet") for k in range(6)]
+                                  + [(1, 2, f"{root}/c{k}.csv", "CSV") for k in range(6)],
+                                  "user_id long, dataset_id long, path string, file_extension string")
+    datasets = spark.createDataFrame([(1, 2), (1, 3)], "user_id long, dataset_id long")
+    with pytest.raises(Exception):
+        IO.declare_columns(datasets, 1, 2, "not a schema,")
+    datasets = IO.declare_columns(datasets, 1, 2, "c long, a int")
+    datasets = IO.declare_columns(datasets, 1, 3, "z string")
+    assert {r["dataset_id"]: r["columns"] for r in datasets.collect()} == {2: "c long, a int", 3: "z string"}
+    out = {}
+    jobs = jobs_of(spark, lambda: out.update(df=IO.scan_dataset(spark, files, 1, 2, datasets=datasets)))
+    df = out["df"]
+    assert df.columns == ["c", "a", IO.SOURCE_FILE_COL] and dict(df.dtypes)["a"] == "int" and jobs <= 10
+    assert df.count() == 36 and df.where("c is null").count() == 18 and df.where("a >= 50").count() == 3
+
+
+def test_asof_join_against_brute_force(spark):
+    import random
+
+    from lakehook.operators.asof import asof_join
+
+    rng = random.Random(2)
+    left = [(rng.choice([0, 0, 0, 1, None]), rng.choice([None, *range(40)]), k) for k in range(200)]
+    right = [(rng.choice([0, 0, 1, 2, None]), rng.choice([None, *range(0, 40, 3)]), rng.randint(0, 9)) for _ in range(60)]
+    want = []
+    for g, t, k in left:
+        found = max(((t2, v) for g2, t2, v in right if None not in (g, t, t2) and g2 == g and t2 <= t), default=(None, None))
+        want.append((g, t, k, *found))
+    df = spark.createDataFrame(left, "g int, t int, k int")
+    marks = spark.createDataFrame(right, "g int, t int, v int")
+    for bucket in (F.lit(0), F.floor(F.col("t") / 5), F.col("t")):
+        got = asof_join(df, marks, ["g"], "t", bucket)
+        assert got.columns == ["g", "t", "k", "right_t", "right_v"]
+        assert sorted((tuple(r) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert asof_join(df.limit(0), marks, ["g"], "t", F.lit(0)).count() == 0
+    assert {r["right_t"] for r in asof_join(df, marks.limit(0), ["g"], "t", F.lit(0)).collect()} == {None}
+
+
+def test_sketches_of_days_merge_to_all_days(spark):
+    from lakehook.operators import sketches as SK
+
+    df = spark.range(20_000).selectExpr("id % 2 as g", "id % 5 as day", "id % 3000 as u", "cast(id as double) as v")
+    kept = SK.sketch(df, ["g", "day"], "u", "v")
+    assert kept.count() == 10
+    for r in SK.merged(kept, ["g"], 0.25).collect():
+        exact = df.where(F.col("g") == r["g"])
+        assert r["n"] == 10_000 and abs(r["distinct_values"] - exact.select("u").distinct().count()) <= 4 * SK.ERROR * 1500
+        rank = exact.where(F.col("v") <= r["quantile"]).count() / 10_000
+        assert abs(rank - 0.25) <= SK.RANK_ERROR
+
+
+def test_reach_ends_on_cycles(spark):
+    from lakehook.operators.reach import reach
+
+    steps = [(1, 2), (2, 3), (3, 1), (3, 4), (5, 5), (6, 7), (6, 7), (None, 1), (1, None)]
+    df = spark.createDataFrame(steps, "in_dataset_id long, out_dataset_id long")
+    got = {(r[0], r[1]): r[2] for r in reach(df).collect()}
+    edges, want, frontier, hops = {s for s in steps if None not in s}, {}, None, 0
+    frontier = set(edges)
+    while frontier:
+        hops += 1
+        want.update({p: hops for p in frontier})
+        frontier = {(a, d) for a, b in frontier for c, d in edges if b == c} - set(want)
+    assert got == want and got[1, 1] == 3
+    assert reach(df.limit(0)).count() == 0
+    with pytest.raises(RuntimeError):
+        reach(spark.createDataFrame([(k, k + 1) for k in range(6)], df.schema), max_rounds=3)
