@@ -4,6 +4,11 @@ Each stage takes (spark, docs, sf_dir), gets what its predecessor kept and
 returns a DataFrame; ``run`` writes every stage's result as Parquet in the shared
 scratch folder and reads it again for the next, so a lost executor repeats tasks
 of one stage at most. All stages but the last return the columns of documents.
+
+Defined results: null texts count as empty; null ids stay and sort after all others
+where one of several rows is kept; labels that are null or of unknown documents
+teach nothing, and without any all documents are kept; columns beside doc_id and text
+pass through untouched; empty tables give no pieces.
 """
 
 from __future__ import annotations

@@ -1,12 +1,18 @@
 """Ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-The vocabulary's pattern never joins a word with what stands before its leading
-space, so a text is cut into such pieces (punctuation that follows a
-word apart) and the library encodes each distinct piece once; tasks remember up to ``CACHE_PIECES`` of them.
+Texts in Latin letters and common punctuation are encoded whole by tiktoken, with the
+file's own vocabulary as ranks (where its merges stand in the order of their ids; else
+not): for such texts both libraries split words alike, and the tests hold the ids equal.
+
+Other texts are cut: the vocabulary's pattern never joins a word with what stands
+before its leading space, so a text is cut into such pieces (punctuation that follows a
+word apart) and the tokenizers library encodes each distinct piece once; tasks remember
+up to ``CACHE_PIECES`` of them.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
@@ -14,6 +20,7 @@ from itertools import chain
 
 import numpy as np
 
+from lakehook.llm.bpe import byte_alphabet
 from lakehook.llm.common import Remembered
 
 CACHE_PIECES = 400_000
@@ -23,6 +30,10 @@ CACHE_PIECES = 400_000
 _PIECES = re.compile(
     r" ?[A-Za-zÀ-ÖØ-öø-ɏ]++(?=[ \n.,;:!?]|\Z)"
     r"| ?[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+(?![\S\x1c-\x1f])|[^\S\x1c-\x1f]+")
+# Characters whose class may differ between the libraries' Unicode tables, and controls.
+_RARE = re.compile("[^\\t\\n\\r\\x20-\\x7e\\u00a1-\\u024f\\u2010-\\u2027\\u2030-\\u205e]")
+# Fixed value: how a byte-level pre-tokenizer splits words.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # A word after its space. Such words are as independent side by side as alone, so the
 # library encodes TOGETHER of them as one text.
 _WORD = re.compile(r" [A-Za-zÀ-ÖØ-öø-ɏ]++")
@@ -46,11 +57,28 @@ class ByteCoder:
         # byte-level tokens have a character for each byte
         self.sizes = np.zeros(self.library.get_vocab_size(), np.int64)
         self.sizes[list(names.values())] = [len(t) for t in names]
+        self.whole = self._by_ranks(path, names)
         strings = [self.library.decode([i]) for i in range(self.library.get_vocab_size())]
         self.line = np.array(["\n" in t for t in strings])
         self.stop = np.array([t.rstrip(_CLOSERS).endswith(_STOPS) for t in strings])
         self.blank = np.array([t[:1].isspace() for t in strings])
 
+    def _by_ranks(self, path: str, names: dict[str, int]):
+        """A tiktoken encoding of the same ids, if the file's merges are in the order of ids."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split, back = spec["pre_tokenizer"] or {}, {c: b for b, c in enumerate(byte_alphabet())}
+        plain = (spec["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"]
+                 and not split["add_prefix_space"] and not spec["model"].get("ignore_merges"))
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        if not plain or {c: names.get(c, 256) < 256 for c in back} != dict.fromkeys(back, True) or any(
+                names.get(x + y) != 256 + r for r, (x, y) in enumerate(merges)) or len(names) != 256 + len(merges):
+            return None
+        ranks = {bytes(back[c] for c in t): i for t, i in names.items()}
+        return tiktoken.Encoding("byte-level", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
     def sentence_ends(self, ids: bytes) -> np.ndarray:
         """Numbers of ids after which a sentence or a line is over."""
         ids = np.frombuffer(ids, "<u4")
@@ -89,13 +117,17 @@ class ByteCoder:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [self._cut(t) for t in texts]
+        plain = [self.whole is not None and not _RARE.search(t) and not any(s in t for s in self.specials) for t in texts]
+        cut = [None if p else self._cut(t) for p, t in zip(plain, texts)]
         out = []
         for k, pieces in enumerate(cut):
+            if pieces is None:
+                out.append(self.whole.encode_to_numpy(texts[k], disallowed_special=()).astype("<u4").tobytes())
+                continue
             try:
                 out.append(b"".join(map(self.ids.__getitem__, pieces)))
             except KeyError:
-                self._learn(set(chain.from_iterable(cut[k:])))
+                self._learn(set(chain.from_iterable(filter(None, cut[k:]))))
                 out.append(b"".join(map(self.ids.__getitem__, pieces)))
         return out
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import time
 
 import numpy as np
@@ -364,3 +365,21 @@ def test_pipeline_stage_by_stage(spark):
     assert {r["doc_id"] for r in near_out} == set(groups.values())
     assert {r["doc_id"] for r in pieces} == {r["doc_id"] for r in last}
     assert corpus_pipeline.run(spark, SMOKE_DIR).count() == len(pieces)
+
+
+def test_pipeline_of_awkward_rows(spark):
+    docs = awkward(spark)
+    labels = spark.createDataFrame([(None, None, 1), (6, None, None), (999, 1, 0)], "doc_id long, quality int, toxic int")
+    for rows in (docs, docs.limit(0)):
+        folder = scratch_path(spark, "awkward")
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        pieces = [r.asDict() for r in corpus_pipeline.run(spark, folder).collect()]
+        # without usable labels all documents are kept; of equal texts the one with the smallest id, nulls last
+        norm = lambda t: " ".join(x for x in re.split(r"[\x20\x09-\x0D]+", t or ""))
+        kept = {}
+        for r in rows.collect():
+            kept.setdefault(norm(r["text"]), []).append(r["doc_id"])
+        want = sorted((min((i is None, i or 0) for i in ids) for ids in kept.values()))
+        assert sorted((p["doc_id"] is None, p["doc_id"] or 0) for p in pieces if p["start"] == 0) == want
+        assert sum(p["length"] for p in pieces) == sum(p["doc_tokens"] for p in pieces if p["start"] == 0)

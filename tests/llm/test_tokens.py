@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lakehook.llm import bpe, byte_tokens, packing
+from tests.conftest import SMOKE_DIR
 from tests.llm.cases import awkward, prose
 
 TEXTS = [":\U0003d000", "a\U0003d000 \U00012550x \U000323b0", "J\u030c \U00010d50\U00010d51", "", "  ", "<|endoftext|>a b", "x<|startoftext|>", "ΑΣ ΣΑΣ İstanbul ǅ ﬁ", "éa don't I'LL we've 123 ½ ²",
@@ -53,6 +54,18 @@ def test_words_learned_together_have_the_librarys_ids(byte):
     assert [np.frombuffer(g, "<u4").tolist() for g in own.encode_batch(texts)] == want
 
 
+def test_ids_of_whole_documents(spark, byte):
+    own, lib = byte
+    assert own.whole is not None
+    texts = [r[0] or "" for r in spark.read.parquet(SMOKE_DIR.replace("sf0.001", "sf0.01") + "/documents.parquet").select("text").collect()]
+    texts += [t.upper() for t in texts[:300]] + [t.replace(" ", "  ").replace("e", "'ll ") for t in texts[:300]]
+    rng = random.Random(10)
+    texts += ["".join(rng.choice("ab c,'.\n\t1ést#") for _ in range(rng.randint(1, 80))) for _ in range(20_000)]
+    want = [w.ids for w in lib.encode_batch_fast(texts, add_special_tokens=False)]
+    got = own.encode_batch(texts)
+    assert [t for t, g, w in zip(texts, got, want) if np.frombuffer(g, "<u4").tolist() != w] == []
+
+
 def test_ids_of_every_code_point(word, byte):
     points = [c for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff"]
     for at in range(0, len(points), 100_000):
