@@ -81,12 +81,13 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     root = checkpoint_root(spark).rstrip("/")
     leaf = "-".join(p for p in parts if p) or "scratch"
     path = f"{root}/lakehook/{leaf}-{uuid.uuid4().hex[:12]}"
-    if scopes := getattr(_OPEN, "scopes", None):
+    if scopes := _OPEN.get(threading.get_ident()):
         scopes[-1].append(path)
     return path
 
 
-_OPEN = threading.local()
+# Open scopes by thread: plain data, as functions of this package travel by value.
+_OPEN: dict[int, list[list[str]]] = {}
 
 
 @contextmanager
@@ -96,12 +97,16 @@ def scratch_scope(spark: SparkSession) -> Iterator[None]:
     For code that has written its result somewhere else by then; a DataFrame that
     still reads a scratch table must not leave the block.
     """
-    scopes = _OPEN.__dict__.setdefault("scopes", [])
+    me = threading.get_ident()
+    scopes = _OPEN.setdefault(me, [])
     scopes.append([])
     try:
         yield
     finally:
-        for path in scopes.pop():
+        made = scopes.pop()
+        if not scopes:
+            del _OPEN[me]
+        for path in made:
             remove(spark, path)
 
 

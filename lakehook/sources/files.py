@@ -139,6 +139,7 @@ def read_files(spark: SparkSession, paths_by_ext: dict[str, list[str]],
 
     A declared ``schema`` is what the caller gets, of all files: Parquet footers are
     not read for their schemas then, and CSV columns are bound to it by their headers.
+    Its types must be those of the Parquet files, or wider ones that Spark reads them as.
 
     ``positions`` adds each row's part file and place in it (``PART_COL``,
     ``ROW_COL``), the order in which a per-file transform gets its rows."""

@@ -410,13 +410,13 @@ def test_declared_columns_need_no_footer_and_no_header_job_per_file(spark):
     datasets = spark.createDataFrame([(1, 2), (1, 3)], "user_id long, dataset_id long")
     with pytest.raises(Exception):
         IO.declare_columns(datasets, 1, 2, "not a schema,")
-    datasets = IO.declare_columns(datasets, 1, 2, "c long, a int")
+    datasets = IO.declare_columns(datasets, 1, 2, "c long, a long")
     datasets = IO.declare_columns(datasets, 1, 3, "z string")
-    assert {r["dataset_id"]: r["columns"] for r in datasets.collect()} == {2: "c long, a int", 3: "z string"}
+    assert {r["dataset_id"]: r["columns"] for r in datasets.collect()} == {2: "c long, a long", 3: "z string"}
     out = {}
     jobs = jobs_of(spark, lambda: out.update(df=IO.scan_dataset(spark, files, 1, 2, datasets=datasets)))
     df = out["df"]
-    assert df.columns == ["c", "a", IO.SOURCE_FILE_COL] and dict(df.dtypes)["a"] == "int" and jobs <= 10
+    assert df.columns == ["c", "a", IO.SOURCE_FILE_COL] and dict(df.dtypes)["a"] == "bigint" and jobs <= 10
     assert df.count() == 36 and df.where("c is null").count() == 18 and df.where("a >= 50").count() == 3
 
 
