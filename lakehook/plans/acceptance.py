@@ -743,10 +743,10 @@ def priority_summary(pdf):
 
 
 def _order_files(spark, orders, root, ext):
-    """Orders as lake files of bounded size, one per status and thousand order keys,
+    """Orders as lake files of bounded size, one per status and ten thousand order keys,
     written by one job; returns the landing table."""
     name = F.concat(F.lit("orders_"), F.coalesce("o_orderstatus", F.lit("")), F.lit("_"),
-                    F.floor(F.coalesce("o_orderkey", F.lit(0)) / 1000).cast("string"), F.lit(f".{ext}"))
+                    F.floor(F.coalesce("o_orderkey", F.lit(0)) / 10_000).cast("string"), F.lit(f".{ext}"))
     orders = orders.withColumn("file", name)
     orders.repartition("file").write.partitionBy("file").format(ext).option("header", True).save(root)
     return orders.select(F.col("file").alias("name"), F.concat(F.lit(f"{root}/file="), "file").alias("landing_path"),

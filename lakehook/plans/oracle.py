@@ -452,10 +452,10 @@ SELECT CAST(regexp_extract(dataset, '(\\d+)$', 1) AS BIGINT) AS dataset_id, 'PUT
 FROM files WHERE lang = 'de'"""
 
 ORACLES["lake_flow"] = """
-SELECT 'orders_' || o_orderstatus || '_' || (o_orderkey // 1000) || '.parquet' AS out_file,
+SELECT 'orders_' || o_orderstatus || '_' || (o_orderkey // 10000) || '.parquet' AS out_file,
        CAST(2 AS BIGINT) AS out_dataset_id, o_orderpriority, count(*) AS n, max(o_totalprice) AS max_price
 FROM orders
-GROUP BY o_orderstatus, o_orderkey // 1000, o_orderpriority"""
+GROUP BY o_orderstatus, o_orderkey // 10000, o_orderpriority"""
 
 ORACLES["dispatch_sql_files"] = """
 SELECT 'events_' || (event_id // 1000) || '.parquet' AS name, event_type, count(*) AS n, max(value) AS top,
@@ -580,7 +580,7 @@ FROM orders"""
 
 _TWO_USERS = """
 f AS (SELECT 1 + o_custkey % 2 AS user_id,
-             'orders_' || o_orderstatus || '_' || (o_orderkey // 1000) || '.parquet' AS name, o_orderstatus,
+             'orders_' || o_orderstatus || '_' || (o_orderkey // 10000) || '.parquet' AS name, o_orderstatus,
              count(*) AS n, max(o_totalprice) AS top FROM orders GROUP BY ALL)"""
 
 ORACLES["run_batch"] = f"""
@@ -595,7 +595,7 @@ SELECT user_id, CASE user_id WHEN 1 THEN 'status.py' ELSE 'total.sql' END AS src
 FROM f"""
 
 ORACLES["empty_rerun"] = """
-SELECT 'orders_' || o_orderstatus || '_' || (o_orderkey // 1000) || '.parquet' AS name, o_orderkey FROM orders
+SELECT 'orders_' || o_orderstatus || '_' || (o_orderkey // 10000) || '.parquet' AS name, o_orderkey FROM orders
 WHERE o_custkey % 2 = 0 AND o_orderstatus <> 'F'"""
 
 ORACLES["match_salted"] = f"SELECT log_id, transform_id FROM ({TRIGGER_MATCH})"
