@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakehook.session import ship_package
+from lakehook.session import ship_package, size_tasks
 from lakehook.sources.files import PART_COL, ROW_COL
 
 TABLE_NAME = "return_arrow_table"
@@ -43,10 +43,13 @@ def sql_transform(spark: SparkSession, script: str,
 
     ``reader`` is called with a fresh ``newSession()`` (shared SparkContext
     and cache, private temp views), registers the input there as
-    ``return_arrow_table`` and runs the script in that session.
+    ``return_arrow_table`` and runs the script in that session, with shuffles
+    in proportion to the input (:func:`lakehook.session.size_tasks`).
     """
     session = spark.newSession()
-    reader(session).createOrReplaceTempView(TABLE_NAME)
+    df = reader(session)
+    size_tasks(df)
+    df.createOrReplaceTempView(TABLE_NAME)
     return session.sql(script)
 
 

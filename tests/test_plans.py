@@ -63,3 +63,45 @@ def test_no_row_udfs_or_cartesian_joins(spark, name):
     plan = _plan(QUERIES[name](spark, SMOKE_DIR))
     for bad in ("BatchEvalPython", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert bad not in plan, f"{name}: {bad}"
+
+
+WINDOW_SCRIPT = """
+SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY v) AS rn
+FROM return_arrow_table"""
+
+
+def test_script_tasks_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from lakehook import session as S
+    from lakehook.plans import transforms as TR
+    monkeypatch.setattr(S, "TASK_BYTES", 1 << 20, raising=False)
+    largest = []
+    for n in (500_000, 2_000_000):
+        path = f"{tmp_path}/rows-{n}.parquet"
+        spark.range(n).select((F.col("id") % (n // 5)).alias("k"), F.rand(1).alias("v")).write.parquet(path)
+        ranked = TR.sql_transform(spark, WINDOW_SCRIPT, lambda s, p=path: s.read.parquet(p))
+        tasks = ranked.groupBy(F.spark_partition_id().alias("task")).agg(
+            F.count("*").alias("n"), F.sum("rn").alias("rn")).collect()
+        assert sum(t["n"] for t in tasks) == n and sum(t["rn"] for t in tasks) == n // 5 * 15
+        largest.append(max(t["n"] for t in tasks))   # rows that a task has sorted
+    assert largest[1] < 1.5 * largest[0], largest
+
+
+def test_script_keeps_settings_that_make_smaller_tasks(spark):
+    from lakehook.plans import transforms as TR
+    advisory, parts = "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.shuffle.partitions"
+
+    def small(s):
+        s.conf.set(advisory, "1m")
+        s.conf.set(parts, "300")
+        return s.read.parquet(f"{SMOKE_DIR}/lineitem.parquet")
+
+    def no_size(s):   # rows that the planner knows no size of
+        return s.createDataFrame([(1, 2.0)], "k long, v double")
+
+    held = TR.sql_transform(spark, "SELECT count(*) AS n FROM return_arrow_table", small)
+    assert (held.sparkSession.conf.get(advisory), held.sparkSession.conf.get(parts)) == ("1m", "300")
+    held = TR.sql_transform(spark, WINDOW_SCRIPT, no_size)
+    assert held.sparkSession.conf.get(parts) == spark.conf.get(parts) and held.first()["rn"] == 1
+    assert held.sparkSession.conf.get(advisory) == str(16 << 20)
