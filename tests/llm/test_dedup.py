@@ -1,5 +1,6 @@
 """Exact copies, near copies and near vectors against brute force."""
 
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -188,3 +189,94 @@ def test_near_vectors(spark, monkeypatch):
     for i in want:
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (number[i], want[i], want[i] == i)
     assert near_vectors.near_groups(df.limit(0)).count() == 0
+
+
+def check_vectors(spark, rows, kind="double"):
+    links = brute_vectors(rows)
+    number = Counter(x for e in links for x in e)
+    want = components([r[0] for r in rows], links)
+    df = spark.createDataFrame(rows, f"vec_id long, label string, embedding array<{kind}>")
+    got = {r["vec_id"]: r for r in near_vectors.near_groups(df.repartition(3)).collect()}
+    assert len(links) and len(got) == len(rows)
+    for i in want:
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (number[i], want[i], want[i] == i)
+
+
+def test_near_vectors_in_many_files(spark, monkeypatch):
+    for name, value in {"CELL": 30, "GROUP": 24, "STRIP": 2, "SAMPLE": 200}.items():
+        monkeypatch.setattr(near_vectors, name, value)
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(24):
+        centre = rng.normal(size=12)
+        rows += [(len(rows) + j, "ab"[k % 2], (centre + 0.3 * rng.normal(size=12)).astype("f4").tolist()) for j in range(10)]
+    rows += [(len(rows) + j, "a", (np.ones(12) + 0.05 * rng.normal(size=12)).astype("f4").tolist()) for j in range(60)]
+    rows += [(len(rows) + j, "b", rng.normal(size=5).astype("f4").tolist()) for j in range(30)]
+    rows += [(len(rows) + j, "a", rows[7 * j][2]) for j in range(20)] + [(9_000 + j, "b", rows[0][2]) for j in range(9)]
+    rows += [(10_000 + j, f"alone {j}", rng.normal(size=12).astype("f4").tolist()) for j in range(5)]
+    check_vectors(spark, rows, "float")
+    check_vectors(spark, [(i, p, [1e200 * x for x in v]) for i, p, v in rows[::2]])
+
+
+def test_near_vectors_store_each_vertex_once(spark, monkeypatch):
+    """What is stored follows the vectors, not the pairs of cells that may hold a link."""
+    monkeypatch.setattr(near_vectors, "CELL", 40)
+    rng = np.random.default_rng(6)
+    rows = [(j, j % 2, v) for j, v in enumerate(rng.normal(size=(2_000, 32)).tolist())]
+    before = scratch_folders(spark)
+    df = spark.createDataFrame([*rows, *((9_000 + j, 0, rows[0][2]) for j in range(500))],
+                               "vec_id long, label int, embedding array<double>")
+    assert near_vectors.near_groups(df).where("not kept").count() == 500
+    stored = scratch_folders(spark) - before
+    most = max(spark.read.parquet(path).count() for path in stored)
+    assert most <= len(rows) + 500
+    files = [os.path.join(d, f) for path in stored for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert sum(map(os.path.getsize, files)) < 2 * 8 * 32 * len(rows)
+
+
+def scratch_folders(spark):
+    root = f"{spark.sparkContext.getCheckpointDir().removeprefix('file:')}/lakehook"
+    return {os.path.join(root, x) for x in os.listdir(root)} if os.path.isdir(root) else set()
+
+
+def test_near_vectors_cells_of_copies():
+    """Equal vectors have one cell, wherever they stand in a batch."""
+    rng = np.random.default_rng(7)
+    centres = near_vectors.unit(rng.normal(size=(50, 33)))
+    vectors = rng.normal(size=(700, 33))
+    vectors[::7] = vectors[0]
+    want = near_vectors._home(vectors, centres)
+    assert len(set(want[::7])) == 1 and len(set(want)) > 30
+    for n in (1, 2, 13, 250):
+        assert (np.concatenate([near_vectors._home(vectors[s:s + n], centres) for s in range(0, 700, n)]) == want).all()
+    assert (near_vectors._home(vectors * 2.0**-700, centres) == want).all()
+
+
+def test_near_vectors_compared_by_blocks(monkeypatch):
+    """Links across blocks, cells and products, sparse and dense, with weights."""
+    for name, value in {"BLOCK": 16, "SMALL": 4, "STEP": 5, "TILE": (6, 10)}.items():
+        monkeypatch.setattr(near_vectors, name, value)
+    rng = np.random.default_rng(8)
+    spots = rng.normal(size=(30, 10))
+    vectors = near_vectors.unit(np.concatenate([
+        (spots[:, None] + 0.3 * rng.normal(size=(30, 8, 10))).reshape(-1, 10), rng.normal(size=(150, 10)),
+        spots[0] + 0.1 * rng.normal(size=(60, 10))]))
+    centres = near_vectors.spherical_kmeans(vectors, 12)
+    for axes in (np.eye(10)[:, :3], np.eye(10), near_vectors.leading_axes(vectors, near_vectors.COSINE)):
+        cell = near_vectors._home(vectors, centres)
+        cell[::9] = rng.integers(0, 12, len(cell[::9]))  # no link may hang on the choice of cells
+        weight = rng.integers(1, 5, len(vectors)).astype(float)
+        sides = []
+        for at in (np.arange(0, len(vectors), 2), np.arange(1, len(vectors), 2)):
+            at = at[np.argsort(cell[at], kind="stable")]
+            sides.append(near_vectors.Rows(at, at, weight[at], cell[at], vectors[at], near_vectors._upper(vectors[at], axes)))
+        one, two = sides
+        for a, b, same in ((one, two, False), (one, one, True), (two, two, True)):
+            linked = a.unit @ b.unit.T >= near_vectors.COSINE
+            if same:
+                np.fill_diagonal(linked, False)
+            got, root = near_vectors._compare(a, b, same, centres, near_vectors.COSINE)
+            here, there = linked @ b.weight, linked.T @ a.weight
+            assert got.tolist() == (here if same else np.concatenate([here, there])).tolist() and got.any()
+            pairs = [(i, j + (0 if same else len(a.v))) for i, j in np.argwhere(linked).tolist()]
+            assert root.tolist() == list(components(range(len(got)), pairs).values())
